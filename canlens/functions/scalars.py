@@ -48,7 +48,7 @@ def dec_mod_256(c) -> Column:
     c = col_(c)
     ok = c.rlike("^[0-9]+$") & (F.length(strip_leading_zeros(c)) <= 20)
     d = c.try_cast("decimal(20,0)")
-    ok = ok & d.isNotNull() & (d <= F.lit(18446744073709551615).cast("decimal(20,0)"))
+    ok = ok & d.isNotNull() & (d <= F.lit("18446744073709551615").cast("decimal(20,0)"))
     return F.when(ok, F.pmod(d, F.lit(256)).cast("int"))
 
 

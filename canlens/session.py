@@ -32,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel(__import__("os").environ.get("CANLENS_LOG", "ERROR"))
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -51,7 +51,7 @@ def test_raw_bits_random(spark):
     schema = "payload binary, start int, n int, le boolean, exp bigint"
     df = spark.createDataFrame(rows, schema)
     got = df.select(
-        raw_bits(F.hex("payload"), F.col("start"), F.col("n"), F.col("le")).alias("got"), "exp"
+        raw_bits(F.col("payload"), F.col("start"), F.col("n"), F.col("le")).alias("got"), "exp"
     )
     bad = got.filter(~F.col("got").eqNullSafe(F.col("exp"))).count()
     assert bad == 0
