@@ -63,11 +63,15 @@ def events_dbc(spark: SparkSession) -> Dbc:
     return _DBC_CACHE[key]
 
 
-def raw_out(df: DataFrame) -> DataFrame:
-    return df.select(
+def _raw_exprs() -> list:
+    return [
         F.col("ordinal").cast("bigint"), F.col("timestamp_ns").cast("bigint"), F.col("can_id").cast("bigint"),
         F.col("dlc").cast("bigint"), F.col("channel").cast("bigint"), F.col("frame_type").cast("bigint"),
-        F.hex("payload").alias("payload_hex"))
+        F.hex("payload").alias("payload_hex")]
+
+
+def raw_out(df: DataFrame) -> DataFrame:
+    return df.select(*_raw_exprs())
 
 
 def long_out(df: DataFrame) -> DataFrame:
@@ -462,3 +466,82 @@ def q_flagship(spark, sf):
     dec = run_query(frames(spark, sf), dbc=events_dbc(spark), decode=True,
                     raw_filter=all_of(Pred("can_id", "le", 258), Pred("channel", "ne", 0)))
     return long_out(explode_signals(dec.filter(same_signal("EvtValue", "gt", 250.0))))
+
+
+# --------------------------------------------------------------------------- text ingest
+
+from ..sources.fixtures import write_text_trace  # noqa: E402
+from ..sources.traces import bad_lines, read_trace, trace_metadata  # noqa: E402
+
+TRACE_FILES = 4
+_TS_SQL = (f"CAST(trunc(CAST(printf('%d.%09d', (timestamp_ns - {TEXT_EPOCH_NS}) // 1000000000, "
+           f"(timestamp_ns - {TEXT_EPOCH_NS}) % 1000000000) AS DOUBLE) * 1000000000.0::DOUBLE) AS BIGINT)")
+INGEST_COLS = "bucket, ordinal, timestamp_ns, can_id, dlc, channel, frame_type, payload_hex"
+
+
+def _ingest_sql(frame_type: str = "frame_type", where: str = "TRUE") -> str:
+    return with_frames(
+        f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, CAST(ordinal // {TRACE_FILES} AS BIGINT) AS ordinal, "
+        f"{_TS_SQL} AS timestamp_ns, can_id, dlc, channel, CAST({frame_type} AS BIGINT) AS frame_type, payload_hex "
+        f"FROM frames WHERE {where}")
+
+
+def _bucket(trace_id_col="trace_id"):
+    return F.regexp_extract(F.col(trace_id_col), r"bucket=(\d+)", 1).cast("bigint").alias("bucket")
+
+
+def ingest_out(df: DataFrame) -> DataFrame:
+    """Parsed frames with the file bucket (from the path) instead of the path."""
+    return df.select(_bucket(), *_raw_exprs())
+
+
+def _written(spark, sf, fmt, **kw) -> str:
+    return write_text_trace(frames(spark, sf), scratch_path(spark, f"trace-{fmt}"), fmt, files=TRACE_FILES, **kw)
+
+
+@register("ingest_candump", _ingest_sql(frame_type="0"))
+def q_ingest_candump(spark, sf):
+    """Candump lines (blank lines mixed in) parsed back into frames."""
+    return ingest_out(read_trace(spark, _written(spark, sf, "candump", noise_every=7), fmt="candump"))
+
+
+@register("ingest_csv", _ingest_sql())
+def q_ingest_csv(spark, sf):
+    """S3: CSV with a header and repeated header lines inside."""
+    return ingest_out(read_trace(spark, _written(spark, sf, "csv", noise_every=50), fmt="csv"))
+
+
+@register("ingest_asc", _ingest_sql())
+def q_ingest_asc(spark, sf):
+    """ASC with header lines, other-bus lines, classic and FD frames."""
+    return ingest_out(read_trace(spark, _written(spark, sf, "asc", noise_every=11), fmt="asc"))
+
+
+@register("ingest_tolerant", with_frames(
+    f", kept AS (SELECT * FROM frames WHERE ordinal % 97 <> 96) "
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, "
+    f"CAST(row_number() OVER (PARTITION BY ordinal % {TRACE_FILES} ORDER BY ordinal) - 1 AS BIGINT) AS ordinal, "
+    f"{_TS_SQL} AS timestamp_ns, can_id, dlc, channel, frame_type, payload_hex FROM kept"))
+def q_ingest_tolerant(spark, sf):
+    """S6 tolerant: broken lines are dropped and ordinals stay dense over parsed frames."""
+    return ingest_out(read_trace(spark, _written(spark, sf, "csv", broken_every=97), fmt="csv", mode="tolerant"))
+
+
+@register("ingest_bad_lines", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, CAST(ordinal // {TRACE_FILES} + 2 AS BIGINT) AS line_no, "
+    "'bad,line' AS text FROM frames WHERE ordinal % 97 = 96"))
+def q_ingest_bad_lines(spark, sf):
+    """Every unparsable line with its 1-based physical line number (after the header)."""
+    bl = bad_lines(spark, _written(spark, sf, "csv", broken_every=97), fmt="csv")
+    return bl.select(_bucket(), F.col("line_no").cast("bigint"), "text")
+
+
+@register("trace_metadata", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, COUNT(*) AS event_count, "
+    f"arg_min({_TS_SQL}, ordinal) AS start_timestamp_ns, arg_max({_TS_SQL}, ordinal) AS end_timestamp_ns, "
+    f"'asc' AS source_format FROM frames GROUP BY 1"))
+def q_trace_metadata(spark, sf):
+    """Per-trace count, first/last timestamp in file order, format."""
+    fr = read_trace(spark, _written(spark, sf, "asc", noise_every=13), fmt="asc", keep_source=True)
+    md = trace_metadata(fr)
+    return md.select(_bucket(), "event_count", "start_timestamp_ns", "end_timestamp_ns", "source_format")
