@@ -545,3 +545,274 @@ def q_trace_metadata(spark, sf):
     fr = read_trace(spark, _written(spark, sf, "asc", noise_every=13), fmt="asc", keep_source=True)
     md = trace_metadata(fr)
     return md.select(_bucket(), "event_count", "start_timestamp_ns", "end_timestamp_ns", "source_format")
+
+
+# --------------------------------------------------------------------------- saved store and lookups
+
+from ..sources import store as st  # noqa: E402
+from ..sources.fixtures import write_users_dbc  # noqa: E402
+from ..sinks import export as ex  # noqa: E402
+from ..streaming.ingest import run_trace_stream_once  # noqa: E402
+
+
+def _store(spark, sf) -> DataFrame:
+    path = st.save_trace(frames(spark, sf), scratch_path(spark, "store"), chunk_size=CHUNK_SIZE)
+    return st.read_store(spark, path)
+
+
+@register("store_roundtrip", with_frames(f"SELECT {RAW_COLS}, ordinal // {CHUNK_SIZE} AS chunk_id FROM frames"))
+def q_store_roundtrip(spark, sf):
+    """Any frames → chunked Parquet store → read back equal."""
+    s = _store(spark, sf)
+    return s.select(*_raw_exprs(), F.col("chunk_id").cast("bigint"))
+
+
+@register("lookup_time_range", with_frames(
+    f"SELECT trace_id, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, COUNT(*) > 0 AS matched "
+    f"FROM frames WHERE timestamp_ns BETWEEN {T_JAN10} AND {T_JAN20} GROUP BY trace_id"))
+def q_lookup_time_range(spark, sf):
+    return st.lookup_time_range(_store(spark, sf), T_JAN10, T_JAN20)
+
+
+@register("lookup_id", with_frames("SELECT trace_id, ordinal FROM frames WHERE can_id = 259"))
+def q_lookup_id(spark, sf):
+    return st.lookup_id(_store(spark, sf), 259)
+
+
+@register("lookup_ordinal", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE ordinal = 777"))
+def q_lookup_ordinal(spark, sf):
+    return raw_out(st.lookup_ordinal(_store(spark, sf), 777))
+
+
+_CHUNKS_SQL = (
+    f"SELECT trace_id, ordinal // {CHUNK_SIZE} AS chunk_id, COUNT(*) AS event_count, "
+    f"arg_min(timestamp_ns, ordinal) AS first_timestamp_ns, arg_max(timestamp_ns, ordinal) AS last_timestamp_ns, "
+    f"array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels FROM frames GROUP BY 1, 2")
+
+
+@register("chunk_summary", with_frames(_CHUNKS_SQL))
+def q_chunk_summary(spark, sf):
+    c = st.build_chunk_summary(_store(spark, sf), CHUNK_SIZE)
+    return c.select("trace_id", "chunk_id", "event_count", "first_timestamp_ns", "last_timestamp_ns",
+                    F.array_join(F.transform("channels", lambda x: x.cast("string")), ",").alias("channels"))
+
+
+@register("cache_summary", with_frames(
+    f", chunks AS ({_CHUNKS_SQL}) SELECT trace_id, CAST(sum(event_count) AS BIGINT) AS event_count, "
+    "arg_min(first_timestamp_ns, chunk_id) AS start_timestamp_ns, arg_max(last_timestamp_ns, chunk_id) AS "
+    "end_timestamp_ns, COUNT(*) AS chunk_count FROM chunks GROUP BY trace_id"))
+def q_cache_summary(spark, sf):
+    return st.store_summary(st.build_chunk_summary(_store(spark, sf), CHUNK_SIZE))
+
+
+@register("chunk_skip", with_frames(
+    f"SELECT {RAW_COLS} FROM frames WHERE timestamp_ns BETWEEN {T_JAN10} AND {T_JAN20} AND channel = 1"))
+def q_chunk_skip(spark, sf):
+    """Only chunks overlapping the time range and holding the channel are read."""
+    s = _store(spark, sf)
+    chunks = st.build_chunk_summary(s, CHUNK_SIZE)
+    return raw_out(st.skip_chunks(s, chunks, T_JAN10, T_JAN20, channel=1))
+
+
+# --------------------------------------------------------------------------- sinks (K1-K7)
+
+_CSV_STR = "timestamp_ns string, channel string, can_id string, dlc string, payload string, frame_type string"
+_DEC_STR = "timestamp_ns string, can_id string, message_name string, signal_name string, signal_value string, unit string"
+_SPACED = ("CASE WHEN can_id = 259 THEN printf('%02X %02X', raw % 256, raw // 256) ELSE "
+           "printf('%02X %02X %02X %02X %02X %02X %02X %02X', raw % 256, raw // 256, user_id % 256, "
+           "event_id % 2 + 2 * (user_id % 128), raw // 256, raw % 256, event_id % 256, (event_id // 256) % 256) END")
+
+
+@register("export_raw_csv", with_frames(
+    f"SELECT CAST(timestamp_ns AS VARCHAR) AS timestamp_ns, CAST(channel AS VARCHAR) AS channel, "
+    f"printf('%X', can_id) AS can_id, CAST(dlc AS VARCHAR) AS dlc, {_SPACED} AS payload, "
+    "CASE WHEN frame_type = 1 THEN 'FD' ELSE 'CAN' END AS frame_type FROM frames WHERE can_id IN (256, 259)"))
+def q_export_raw_csv(spark, sf):
+    """Raw CSV written by Spark, read back as text columns."""
+    path = scratch_path(spark, "export-raw")
+    ex.export_raw_csv(run_query(frames(spark, sf), raw_filter=any_of(Pred("can_id", "eq", 256),
+                                                                       Pred("can_id", "eq", 259))), path)
+    return spark.read.option("header", "true").schema(_CSV_STR).csv(path)
+
+
+@register("export_decoded_csv", with_signals(
+    "SELECT CAST(timestamp_ns AS VARCHAR) AS timestamp_ns, printf('%X', can_id) AS can_id, message_name, "
+    "signal_name, printf('%.6G', value) AS signal_value, unit FROM signals WHERE can_id IN (258, 259)"))
+def q_export_decoded_csv(spark, sf):
+    """K2/K4: decoded CSV, one row per signal, values printed with 6 significant digits."""
+    path = scratch_path(spark, "export-dec")
+    dec = decode_long(run_query(frames(spark, sf), raw_filter=Pred("can_id", "ge", 258)), events_dbc(spark))
+    ex.export_decoded_csv(dec, path)
+    back = spark.read.option("header", "true").schema(_DEC_STR).csv(path)
+    return back.withColumn("unit", F.coalesce("unit", F.lit("")))
+
+
+@register("export_parquet", with_signals(f"SELECT {LONG_COLS} FROM signals"))
+def q_export_parquet(spark, sf):
+    """K6: columnar export of the decoded long table."""
+    path = scratch_path(spark, "export-parquet")
+    ex.export_parquet(long_out(_long(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@register("render_text", with_frames(
+    "SELECT ordinal, printf('[%d] ts=%d can_id=0x%X dlc=%d ch=%d data=%s', ordinal, timestamp_ns, can_id, dlc, "
+    f"channel, {_SPACED}) AS text FROM frames WHERE can_id = 259"))
+def q_render_text(spark, sf):
+    """The printed frame line."""
+    fr = run_query(frames(spark, sf), raw_filter=Pred("can_id", "eq", 259))
+    return ex.render_frame_text(fr).select(F.col("ordinal").cast("bigint"), "text")
+
+
+@register("render_signal_text", with_signals(
+    "SELECT ordinal, signal_index, signal_name || ' = ' || printf('%.6G', value) || "
+    "COALESCE(' (' || value_description || ')', '') || CASE WHEN unit <> '' THEN ' ' || unit ELSE '' END AS text "
+    "FROM signals WHERE can_id IN (256, 259)"))
+def q_render_signal_text(spark, sf):
+    """K7: ``name = value (label) unit`` lines of decoded signals."""
+    dec = decode_long(run_query(frames(spark, sf), raw_filter=any_of(Pred("can_id", "eq", 256),
+                                                                      Pred("can_id", "eq", 259))), events_dbc(spark))
+    return ex.render_signal_text(dec).select(F.col("ordinal").cast("bigint"), F.col("signal_index").cast("bigint"),
+                                             "text")
+
+
+# --------------------------------------------------------------------------- dictionary
+
+_USERS = "(SELECT DISTINCT user_id AS u FROM events)"
+
+
+def _users_dbc(spark, sf) -> Dbc:
+    return load_dbc(spark, write_users_dbc(spark, sf, scratch_path(spark, "users-dbc")))
+
+
+@register("dbc_messages", (
+    "SELECT CAST(1024 + u AS BIGINT) AS can_id, 'User' || u || CASE WHEN u % 10 = 0 THEN 'b' ELSE '' END "
+    f"AS message_name, CAST(CASE WHEN u % 10 = 0 THEN 4 ELSE 8 END AS BIGINT) AS dlc FROM {_USERS}"))
+def q_dbc_messages(spark, sf):
+    """Messages, last definition per id wins, other keywords ignored."""
+    d = _users_dbc(spark, sf)
+    return d.messages.select("can_id", "message_name", F.col("dlc").cast("bigint"))
+
+
+_SIG_COLS = ("can_id, signal_index, signal_name, is_multiplexer, multiplex_value, start_bit, bit_length, "
+             "little_endian, is_signed, scale, \"offset\", minimum, maximum, unit")
+
+
+def _sig_sql(idx, name, mux, mval, start, length, signed, scale, offset, mn, mx, unit, where):
+    return (f"SELECT CAST(1024 + u AS BIGINT) AS can_id, CAST({idx} AS BIGINT) AS signal_index, '{name}' AS signal_name, "
+            f"{mux} AS is_multiplexer, CAST({mval} AS BIGINT) AS multiplex_value, CAST({start} AS BIGINT) AS start_bit, "
+            f"CAST({length} AS BIGINT) AS bit_length, true AS little_endian, {signed} AS is_signed, "
+            f"{scale}::DOUBLE AS scale, {offset}::DOUBLE AS \"offset\", {mn}::DOUBLE AS minimum, {mx}::DOUBLE AS maximum, "
+            f"'{unit}' AS unit FROM {_USERS} WHERE {where}")
+
+
+@register("dbc_signals", " UNION ALL ".join([
+    _sig_sql(0, "Amount", "false", "NULL", 0, 16, "false", "0.01", "0", "0", "655.35", "u", "u % 10 <> 0"),
+    _sig_sql(1, "Kind", "true", "NULL", 16, 8, "false", "1", "0", "0", "4", "", "u % 10 <> 0"),
+    _sig_sql(2, "Extra", "false", "u % 3", 24, 8, "true", "0.5", "-1", "-65", "62.5", "deg", "u % 10 <> 0"),
+    _sig_sql(0, "Amount", "false", "NULL", 0, 16, "false", "0.1", "0", "0", "6553.5", "u", "u % 10 = 0"),
+]))
+def q_dbc_signals(spark, sf):
+    """Signals with multiplex markers, attached to their (active) message."""
+    d = _users_dbc(spark, sf)
+    return d.signals.select(
+        "can_id", F.col("signal_index").cast("bigint"), "signal_name", "is_multiplexer", "multiplex_value",
+        F.col("start_bit").cast("bigint"), F.col("bit_length").cast("bigint"), "little_endian", "is_signed",
+        "scale", "offset", "minimum", "maximum", "unit")
+
+
+@register("dbc_labels", (
+    f"SELECT CAST(1024 + u AS BIGINT) AS can_id, 'Kind' AS signal_name, CAST(k AS BIGINT) AS raw_value, label "
+    f"FROM {_USERS}, (VALUES (0, 'click'), (1, 'view'), (2, 'purchase'), (3, 'signup'), (4, 'error')) AS l(k, label) "
+    "WHERE u % 10 <> 0"))
+def q_dbc_labels(spark, sf):
+    """Value labels; labels of a superseded definition do not carry over."""
+    return _users_dbc(spark, sf).labels.select("can_id", "signal_name", "raw_value", "label")
+
+
+@register("dbc_last_wins", (
+    "SELECT CAST(1024 + u AS BIGINT) AS can_id, CAST(CASE WHEN u % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_definitions,"
+    f" 'User' || u || CASE WHEN u % 10 = 0 THEN 'b' ELSE '' END AS active_name FROM {_USERS}"))
+def q_dbc_last_wins(spark, sf):
+    """Every definition is listed; the active one is the last."""
+    d = _users_dbc(spark, sf)
+    n = d.all_messages.groupBy("can_id").agg(F.count(F.lit(1)).alias("n_definitions"))
+    return n.join(d.messages.select("can_id", F.col("message_name").alias("active_name")), "can_id")
+
+
+# --------------------------------------------------------------------------- hooks
+
+def _odd_id_not_ch1(ts, can_id, channel, dlc):
+    return (can_id % 2 == 1) & (channel != 1)
+
+
+def _p_or_view(name):
+    return name.str.startswith("P") | (name == "View")
+
+
+@register("hook_frame", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE can_id % 2 = 1 AND channel <> 1"))
+def q_hook_frame(spark, sf):
+    """A Python frame predicate, run as an Arrow-batched pandas UDF."""
+    return raw_out(run_query(frames(spark, sf), frame_hook=hooks.frame_hook(_odd_id_not_ch1)))
+
+
+@register("hook_frame_expr", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE dlc = 8 AND channel IN (0, 2)"))
+def q_hook_frame_expr(spark, sf):
+    """An SQL-expression hook (JVM side); a disabled hook accepts all."""
+    hook = hooks.frame_hook(expr="dlc = 8 AND channel IN (0, 2)") & hooks.frame_hook(_odd_id_not_ch1, enabled=False)
+    return raw_out(run_query(frames(spark, sf), frame_hook=hook))
+
+
+@register("hook_decoded", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE can_id IN (257, 258)"))
+def q_hook_decoded(spark, sf):
+    """A Python predicate on the decoded message name."""
+    return raw_out(run_query(frames(spark, sf), dbc=events_dbc(spark), decoded_hook=hooks.decoded_hook(_p_or_view)))
+
+
+@register("hook_transform", with_signals(
+    "SELECT ordinal, value, value * 2.0::DOUBLE AS value_x2 FROM signals WHERE signal_name = 'EvtValue'"))
+def q_hook_transform(spark, sf):
+    """U4: a DataFrame → DataFrame transform hook."""
+    dec = _long(spark, sf).filter(F.col("signal_name") == "EvtValue")
+    out = hooks.transform_hook(dec, lambda df: df.withColumn("value_x2", F.col("value") * 2.0))
+    return out.select(F.col("ordinal").cast("bigint"), "value", "value_x2")
+
+
+# --------------------------------------------------------------------------- sessions
+
+def _session(spark, sf) -> TraceSession:
+    return TraceSession(frames(spark, sf), events_dbc(spark), decode=True)
+
+
+@register("refine", _decoded_frames_sql(
+    "f.channel = 1 AND EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal AND s.value > 300.0::DOUBLE)"))
+def q_refine(spark, sf):
+    """Scan once, filter the full set, then refine the current matches."""
+    s = _session(spark, sf)
+    s.filter_full(raw_filter=Pred("channel", "eq", 1))
+    return _decoded_out(s.refine(decoded_filter=Pred("signal_value", "gt", 300.0)))
+
+
+@register("session_rows", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE can_id = 260 AND channel = 0"))
+def q_session_rows(spark, sf):
+    """Reset to the full set; undecoded rows are kept in a session; a reversed
+    ordinal range is ignored by the session row test."""
+    s = _session(spark, sf)
+    s.filter_full(raw_filter=Pred("can_id", "eq", 256))
+    s.reset()
+    return raw_out(s.filter_full(raw_filter=all_of(Pred("can_id", "eq", 260), Pred("channel", "eq", 0)),
+                                 ordinal_start=500, ordinal_end=100))
+
+
+# --------------------------------------------------------------------------- streaming
+
+@register("stream_ingest_decode", with_signals(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, CAST(ordinal // {TRACE_FILES} AS BIGINT) AS ordinal, "
+    "can_id, signal_name, raw_value, value FROM signals"))
+def q_stream_ingest_decode(spark, sf):
+    """Arriving CSV traces → file stream → per-batch parse + decode → Parquet sink."""
+    glob = _written(spark, sf, "csv", noise_every=50)
+    out, _progress = run_trace_stream_once(spark, glob, "csv", scratch_path(spark, "stream-out"),
+                                           scratch_path(spark, "stream-ckpt"), dbc=events_dbc(spark))
+    return out.select(_bucket(), F.col("ordinal").cast("bigint"), F.col("can_id").cast("bigint"), "signal_name",
+                      F.col("raw_value").cast("bigint"), "value")

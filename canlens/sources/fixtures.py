@@ -196,3 +196,47 @@ def write_text_trace(frames: DataFrame, folder: str, fmt: str, files: int = 4, n
     (lines.repartition(files, "bucket").sortWithinPartitions("bucket", "sort_key")
      .select("value", "bucket").write.mode("overwrite").partitionBy("bucket").text(out))
     return os.path.join(out, "bucket=*", "part-*")
+
+
+def _line(seq: int, value) -> Column:
+    v = F.lit(value) if isinstance(value, str) else value
+    return F.struct(F.lit(seq).alias("seq"), v.alias("value"))
+
+
+def users_dbc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message dictionary generated from the users in ``events`` (grows with the data).
+
+    Per user ``u``: message ``1024+u`` named ``User<u>`` with signals Amount (LE unsigned,
+    scale 0.01), Kind (selector, labels = event types) and Extra (multiplexed on
+    ``u % 3``, signed, scale 0.5 offset -1); users with ``u % 10 = 0`` are redefined later
+    as ``User<u>b`` with one signal, so the last definition wins and the earlier labels go
+    with the superseded definition."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("u")).distinct()
+    u = F.col("u")
+    mid = (u + 1024).cast("string")
+    lines = F.array(
+        _line(0, F.concat(F.lit("BO_ "), mid, F.lit(" User"), u.cast("string"),
+                                                 F.lit(": 8 Gateway"))),
+        _line(1, F.lit(' SG_ Amount : 0|16@1+ (0.01,0) [0|655.35] "u" Logger')),
+        _line(2, F.lit(' SG_ Kind M : 16|8@1+ (1,0) [0|4] "" Logger')),
+        _line(3, F.concat(F.lit(" SG_ Extra m"), F.pmod(u, F.lit(3)).cast("string"),
+                                    F.lit(' : 24|8@1- (0.5,-1) [-65|62.5] "deg" Logger'))),
+        _line(4, F.concat(F.lit("CM_ BO_ "), mid, F.lit(' "generated";'))),
+        _line(5, F.concat(F.lit("VAL_ "), mid,
+                                    F.lit(' Kind 0 "click" 1 "view" 2 "purchase" 3 "signup" 4 "error" ;'))),
+    )
+    redefine = F.array(
+        _line(6, F.concat(F.lit("BO_ "), mid, F.lit(" User"), u.cast("string"),
+                                                 F.lit("b: 4 Gateway"))),
+        _line(7, F.lit(' SG_ Amount : 0|16@1+ (0.1,0) [0|6553.5] "u" Logger')),
+    )
+    all_lines = F.when(F.pmod(u, F.lit(10)) == 0, F.concat(lines, redefine)).otherwise(lines)
+    return users.select(u, F.inline(all_lines))
+
+
+def write_users_dbc(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> str:
+    """Write the generated dictionary as ``files`` DBC files (each user wholly in one file)."""
+    out = os.path.join(folder, "users_dbc")
+    (users_dbc_lines(spark, sf_dir).repartitionByRange(files, "u").sortWithinPartitions("u", "seq")
+     .select("value").write.mode("overwrite").text(out))
+    return os.path.join(out, "part-*")
