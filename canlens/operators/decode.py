@@ -28,6 +28,7 @@ from ..errors import DecodeError
 from ..functions.bits import payload_words, physical_value, raw_from_words
 from ..plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_count, mark_rows
 from ..sources.dbc import Dbc
+from .compiled import compiled_layout, decode_nested_compiled
 
 LAYOUT_FIELDS = [
     "signal_index", "signal_name", "is_multiplexer", "multiplex_value", "start_bit", "bit_length", "little_endian",
@@ -114,9 +115,19 @@ def _require(dbc: Dbc | None) -> Dbc:
 
 
 def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = False,
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salt_buckets: int = 64) -> DataFrame:
-    """Frames + ``message_name`` + ``signals`` (array of active decoded signals)."""
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salt_buckets: int = 64,
+                  strategy: str = "auto") -> DataFrame:
+    """Frames + ``message_name`` + ``signals`` (array of active decoded signals).
+
+    ``strategy``: ``"compiled"`` (dictionary as literal expressions, small dictionaries),
+    ``"join"`` (broadcast or salted join), or ``"auto"`` (compiled when within bounds)."""
     dbc = _require(dbc)
+    if strategy in ("auto", "compiled"):
+        layout = compiled_layout(dbc)
+        if layout is not None:
+            return decode_nested_compiled(frames, layout, keep_undecoded)
+        if strategy == "compiled":
+            raise DecodeError("dictionary too large to compile; use strategy='join'")
     layouts = message_layouts(dbc)
     how = "left" if keep_undecoded else "inner"
     joined = _join_dictionary(_with_words(frames), layouts, how, max_broadcast_rows, salt_buckets)
@@ -148,10 +159,16 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
 
 
 def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                salt_buckets: int = 64) -> DataFrame:
+                salt_buckets: int = 64, strategy: str = "auto") -> DataFrame:
     """One row per (frame, active signal): frame columns + message_name, signal_index,
     signal_name, raw_value, value, unit, value_description (P10)."""
     dbc = _require(dbc)
+    if strategy in ("auto", "compiled"):
+        layout = compiled_layout(dbc)
+        if layout is not None:
+            return explode_signals(decode_nested_compiled(frames, layout))
+        if strategy == "compiled":
+            raise DecodeError("dictionary too large to compile; use strategy='join'")
     layouts = signal_layouts(dbc)
     joined = _join_dictionary(_with_words(frames), layouts, "inner", max_broadcast_rows, salt_buckets)
     sel_raw = _selector_raw()
@@ -167,9 +184,14 @@ def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DE
 
 
 def explode_signals(decoded: DataFrame) -> DataFrame:
-    """Nested → long (P10), keeping dictionary order via ``signal_index``."""
+    """Nested → long (P10), keeping dictionary order via ``signal_index``.
+
+    ``inline_outer`` + a null filter instead of ``inline``: for a plain generator the
+    optimizer infers ``size(signals) > 0`` and pushes it below the decode projection,
+    which evaluates the whole decode expression twice."""
     keep = [c for c in decoded.columns if c != "signals"]
-    return decoded.select(*keep, F.inline("signals")).withColumnRenamed("name", "signal_name")
+    out = decoded.select(*keep, F.inline_outer("signals")).filter(F.col("signal_index").isNotNull())
+    return out.withColumnRenamed("name", "signal_name")
 
 
 def can_decode(frames: DataFrame, dbc: Dbc) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DecodeError, QueryError
+from ..operators.compiled import compiled_layout, decode_nested_compiled
 from ..operators.decode import decode_nested
 from ..operators.filters import compile_decoded, compile_raw, ordinal_range, uses_decoded_fields, with_single_id
 from ..sources.dbc import Dbc
@@ -56,9 +57,15 @@ def run_query(frames: DataFrame, raw_filter=None, decoded_filter=None, dbc: Dbc
     if needs_decode:
         if dbc is None:
             raise DecodeError("decoding was requested but no DBC is loaded")
-        df = decode_nested(df, dbc, keep_undecoded=keep_undecoded)
-        if decoded_filter is not None:
-            df = df.filter(compile_decoded(decoded_filter))
+        layout = compiled_layout(dbc)
+        if layout is not None:
+            # Small dictionary: the decoded filter is compiled too and runs before decoding.
+            df = decode_nested_compiled(df, layout, keep_undecoded=keep_undecoded and decoded_filter is None,
+                                        decoded_filter=decoded_filter)
+        else:
+            df = decode_nested(df, dbc, keep_undecoded=keep_undecoded, strategy="join")
+            if decoded_filter is not None:
+                df = df.filter(compile_decoded(decoded_filter))
         if d_hook is not None:
             df = df.filter(d_hook)
     if first_only:

@@ -252,6 +252,25 @@ def q_decode_mux(spark, sf):
     return long_out(_long(spark, sf).filter(F.col("signal_name").isin("Sel", "Even", "Odd")))
 
 
+@register("decode_long_join", with_signals(f"SELECT {LONG_COLS} FROM signals"))
+def q_decode_long_join(spark, sf):
+    """P9 through the broadcast join with the dictionary (the path for large dictionaries)."""
+    return long_out(decode_long(frames(spark, sf), events_dbc(spark), strategy="join"))
+
+
+@register("decode_nested_join", with_signals(f"SELECT {LONG_COLS} FROM signals"))
+def q_decode_nested_join(spark, sf):
+    """P9 nested via the join path with higher-order functions, flattened."""
+    return long_out(explode_signals(decode_nested(frames(spark, sf), events_dbc(spark), strategy="join")))
+
+
+@register("decode_salted_join", with_signals(f"SELECT {LONG_COLS} FROM signals"))
+def q_decode_salted_join(spark, sf):
+    """P9 when the dictionary exceeds the broadcast bound: salted shuffle join."""
+    return long_out(decode_long(frames(spark, sf), events_dbc(spark), strategy="join", max_broadcast_rows=0,
+                                salt_buckets=16))
+
+
 @register("decode_nested_long", with_signals(f"SELECT {LONG_COLS} FROM signals"))
 def q_decode_nested_long(spark, sf):
     """P9 + P10: nested decode, then flattened in dictionary order."""

@@ -30,6 +30,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # Generated methods above the JIT limit (8000 bytes) run interpreted; let Spark
+        # fall back to per-operator code for them instead (recommended on clusters too).
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(__import__("os").environ.get("CANLENS_LOG", "ERROR"))
