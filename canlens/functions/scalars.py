@@ -1,8 +1,7 @@
 """Scalar column functions for text parsing and rendering.
 
 Everything here returns a ``Column`` built from built-in Spark functions, so it stays
-inside whole-stage code generation.  Higher-order functions (``transform``/``forall``)
-are used only on the short token arrays of one payload.
+inside whole-stage code generation (no lambdas).
 """
 
 from __future__ import annotations
@@ -10,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace set the trace formats trim, and the id range.
-_WS = "[ \\t\\r\\n]"
+# The id range.
 _MAX_CAN_ID = 0x1FFFFFFF
 
 
@@ -21,11 +19,11 @@ def col_(c) -> Column:
 
 def ws_trim(c) -> Column:
     """Trim blanks, tabs, CR and LF at both ends."""
-    return F.regexp_replace(col_(c), f"^{_WS}+|{_WS}+$", "")
+    return F.trim(col_(c), F.lit(" \t\r\n"))
 
 
 def strip_leading_zeros(c) -> Column:
-    return F.regexp_replace(col_(c), "^0+", "")
+    return F.ltrim(col_(c), F.lit("0"))
 
 
 def hex_to_long(c, max_digits: int = 8) -> Column:
@@ -66,28 +64,35 @@ def seconds_to_ns(c) -> Column:
     return F.when(c.rlike(_FLOAT_TEXT) & (d >= 0), ns)
 
 
+_HEX_TOKEN_RUN = r"^[0-9A-Fa-f]{2}( [0-9A-Fa-f]{2}){0,63}$"
+
+
+def hex_tokens_to_hex(c) -> Column:
+    """Single-blank-separated byte tokens → hex text (null if a token is not a byte or
+    there are more than 64).  Empty tokens are zero bytes; leading zeros are allowed."""
+    t = col_(c)
+    canonical = t.rlike(_HEX_TOKEN_RUN)
+    g = F.regexp_replace(t, "(?<=^| )(?= |$)", "00")  # empty token → 00
+    g = F.regexp_replace(g, "(?<=^| )0+(?=[0-9A-Fa-f]{1,2}( |$))", "")  # leading zeros
+    g = F.regexp_replace(g, "(?<=^| )([0-9A-Fa-f])(?= |$)", "0$1")  # pad one digit
+    general_ok = g.rlike(_HEX_TOKEN_RUN)
+    return F.when(canonical, F.regexp_replace(t, " ", "")).when(general_ok, F.regexp_replace(g, " ", ""))
+
+
 def parse_payload(c):
     """Payload text to (payload BINARY, dlc INT) columns; both null when invalid.
 
     Blank-separated tokens: each token is empty (one zero byte) or 1+ hex digits <= 0xFF,
     at most 64 tokens.  Otherwise one even-length hex run of at most 64 bytes.  Empty
-    text is a frame without payload."""
+    text is a frame without payload.  Canonical text (two digits per token) takes one
+    regex check; other spellings are normalised with regex replacements (tabs/CR/LF inside
+    tokens dropped, empty tokens → ``00``, leading zeros stripped, one digit padded) — no
+    per-token lambdas, so the parse stays in generated code."""
     t = ws_trim(col_(c))
-    tokens = F.split(t, " ")
-    tok_ok = F.forall(
-        tokens,
-        lambda x: (ws_trim(x) == "")
-        | (ws_trim(x).rlike("^[0-9A-Fa-f]+$") & (F.length(strip_leading_zeros(ws_trim(x))) <= 2)),
-    )
-    spaced_hex = F.array_join(
-        F.transform(tokens, lambda x: F.lpad(strip_leading_zeros(ws_trim(x)), 2, "0")), ""
-    )
-    spaced_ok = tok_ok & (F.size(tokens) <= 64)
-    run_ok = t.rlike("^([0-9A-Fa-f]{2}){0,64}$")
     has_space = F.instr(t, " ") > 0
-    hex_text = F.when(t == "", F.lit("")).when(has_space, F.when(spaced_ok, spaced_hex)).otherwise(
-        F.when(run_ok, t)
-    )
+    spaced_hex = hex_tokens_to_hex(F.regexp_replace(t, "[\\t\\r\\n]", ""))
+    run_ok = t.rlike("^([0-9A-Fa-f]{2}){0,64}$")
+    hex_text = F.when(t == "", F.lit("")).when(has_space, spaced_hex).otherwise(F.when(run_ok, t))
     payload = F.unhex(hex_text)
     dlc = (F.length(hex_text) / 2).cast("int")
     return payload, dlc

@@ -10,20 +10,17 @@ file order.  So a position in the file is
   / maxPartitionBytes rows) with a running sum per file;
 * for *physical* line numbers the rank is ``monotonically_increasing_id() - min(id)``
   over the split (all JVM);
-* for *dense* positions of the rows that survive parsing (frame ordinals) the rank is a
-  running count inside the scan partition, kept by ``mapInPandas`` (no shuffle).
+* for *dense* positions of the rows that survive parsing (frame ordinals) a second
+  ``monotonically_increasing_id()`` is taken after the filters, so it counts only the
+  surviving rows; the rank is again ``id - min(id)`` over the split.
 
 The per-split table joins back through a broadcast only after its row count was checked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.sizing import join_small
 
@@ -61,33 +58,18 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     )
 
 
-def _rank_in_split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Running 0-based count per (file, split) inside one scan partition."""
-    seen: dict[tuple, int] = {}
-    for pdf in batches:
-        if pdf.empty:
-            pdf["rn"] = pd.Series([], dtype="int64")
-            yield pdf
-            continue
-        keys = list(zip(pdf["file_path"], pdf["block_start"]))
-        key_s = pd.Series(keys, index=pdf.index)
-        rn = pdf.groupby(["file_path", "block_start"], sort=False).cumcount().astype("int64")
-        offsets = key_s.map(lambda k: seen.get(k, 0)).astype("int64")
-        pdf["rn"] = rn + offsets
-        for k, n in key_s.value_counts(sort=False).items():
-            seen[k] = seen.get(k, 0) + int(n)
-        yield pdf
-
-
 def dense_positions(rows: DataFrame, position_col: str = "ordinal") -> DataFrame:
     """Dense 0-based position of ``rows`` within their file, in file order.
 
     ``rows`` must come from ``scan_lines`` through narrow operations only (filters and
-    projections), so scan partitions and their row order are intact.  Requires the
-    columns ``file_path`` and ``block_start``."""
-    counts = rows.groupBy(*SPLIT_KEYS).agg(F.count(F.lit(1)).alias("n_rows"))
-    bases = _split_bases(counts, "n_rows", "row_base").select(*SPLIT_KEYS, "row_base").checkpoint()
-    out_schema = T.StructType(rows.schema.fields + [T.StructField("rn", T.LongType(), False)])
-    ranked = rows.mapInPandas(_rank_in_split, out_schema)
-    joined = join_small(ranked, bases, SPLIT_KEYS)
-    return joined.withColumn(position_col, (F.col("row_base") + F.col("rn")).cast("bigint")).drop("row_base", "rn")
+    projections), so scan partitions and their row order are intact.  A second
+    ``monotonically_increasing_id()`` taken *after* the filters numbers the surviving rows
+    consecutively inside each partition; rows of one split are contiguous there, so the
+    rank inside the split is ``id - min(id)``.  The per-split minimum and count come from
+    one small aggregate; no shuffle of the rows and no Python."""
+    ided = rows.withColumn("_rid", F.monotonically_increasing_id())
+    stats = ided.groupBy(*SPLIT_KEYS).agg(F.min("_rid").alias("min_rid"), F.count(F.lit(1)).alias("n_rows"))
+    bases = _split_bases(stats, "n_rows", "row_base").select(*SPLIT_KEYS, "min_rid", "row_base").checkpoint()
+    joined = join_small(ided, bases, SPLIT_KEYS)
+    pos = (F.col("row_base") + F.col("_rid") - F.col("min_rid")).cast("bigint")
+    return joined.withColumn(position_col, pos).drop("row_base", "min_rid", "_rid")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import TraceParseError, UnsupportedFormat
 from ..functions.scalars import (
     dec_mod_256,
+    hex_tokens_to_hex,
     dec_to_long,
     hex_to_long,
     parse_payload,
@@ -85,10 +86,6 @@ def _parse_csv(t: Column) -> _Parsed:
     return _Parsed(skip, ok, ts, can_id, dlc, channel, fd, payload)
 
 
-def _hex_u8_ok(x: Column) -> Column:
-    return x.rlike("^[0-9A-Fa-f]+$") & (F.length(strip_leading_zeros(x)) <= 2)
-
-
 def _parse_asc(t: Column) -> _Parsed:
     tok = F.split(t, _ASC_WS)
     n = F.size(tok)
@@ -102,9 +99,9 @@ def _parse_asc(t: Column) -> _Parsed:
     ds = F.when(is_fd, F.lit(10)).otherwise(F.lit(7))  # 1-based index of the first data byte
     dlc_ok = dlc_l.isNotNull() & (dlc_l <= 64)
     dlc = F.when(dlc_ok, dlc_l).otherwise(F.lit(0)).cast("int")
-    data = F.slice(tok, ds, F.greatest(dlc, F.lit(0)))
-    data_ok = F.forall(data, _hex_u8_ok)
-    data_hex = F.array_join(F.transform(data, lambda x: F.lpad(strip_leading_zeros(x), 2, "0")), "")
+    data = F.array_join(F.slice(tok, ds, F.greatest(dlc, F.lit(0))), " ")
+    data_hex = F.when(data == "", F.lit("")).otherwise(hex_tokens_to_hex(data))
+    data_ok = data_hex.isNotNull()
     payload = F.unhex(F.rpad(data_hex, dlc * 2, "0"))
     ts = seconds_to_ns(F.get(tok, 0))
     enough = F.when(is_fd, n >= 10).otherwise(n >= 7)
