@@ -186,6 +186,29 @@ def _signals_expr(sel, sigs) -> Column:
     return F.flatten(F.array(*elems))
 
 
+_EXPR_CACHE: dict[int, tuple] = {}
+
+
+def _decode_exprs(layout: dict) -> tuple[Column, Column]:
+    """``CASE can_id`` expressions for the message name and the signal array, built once
+    per compiled dictionary (building them is many driver↔JVM calls)."""
+    key = id(layout)
+    hit = _EXPR_CACHE.get(key)
+    if hit is not None and hit[0] is layout:
+        return hit[1], hit[2]
+    name_expr, sig_expr = None, None
+    for cid in sorted(layout):
+        name, sel, sigs = layout[cid]
+        cond = F.col("can_id") == _long(cid)
+        name_expr = F.when(cond, F.lit(name)) if name_expr is None else name_expr.when(cond, F.lit(name))
+        se = _signals_expr(sel, sigs)
+        sig_expr = F.when(cond, se) if sig_expr is None else sig_expr.when(cond, se)
+    if name_expr is None:
+        name_expr, sig_expr = F.lit(None).cast("string"), F.lit(None).cast(f"array<{_SIGNAL_TYPE}>")
+    _EXPR_CACHE[key] = (layout, name_expr, sig_expr)
+    return name_expr, sig_expr
+
+
 def decode_nested_compiled(frames: DataFrame, layout: dict, keep_undecoded: bool = False,
                            decoded_filter=None, same_signal_args: tuple | None = None) -> DataFrame:
     """Nested decode; ``decoded_filter`` (a filter tree) and ``same_signal_args``
@@ -202,15 +225,7 @@ def decode_nested_compiled(frames: DataFrame, layout: dict, keep_undecoded: bool
         df = df.filter(compiled_decoded_filter(decoded_filter, layout))
     if same_signal_args is not None:
         df = df.filter(compiled_same_signal(*same_signal_args, layout))
-    name_expr, sig_expr = None, None
-    for cid in ids:
-        name, sel, sigs = layout[cid]
-        cond = F.col("can_id") == _long(cid)
-        name_expr = F.when(cond, F.lit(name)) if name_expr is None else name_expr.when(cond, F.lit(name))
-        se = _signals_expr(sel, sigs)
-        sig_expr = F.when(cond, se) if sig_expr is None else sig_expr.when(cond, se)
-    if name_expr is None:
-        name_expr, sig_expr = F.lit(None).cast("string"), F.lit(None).cast(f"array<{_SIGNAL_TYPE}>")
+    name_expr, sig_expr = _decode_exprs(layout)
     return df.select(*frames.columns, name_expr.alias("message_name"), sig_expr.alias("signals"))
 
 

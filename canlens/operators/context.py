@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from ..plans.sizing import join_small
 
 
 def context_of(frames: DataFrame, ordinal: int, before: int = 0, after: int = 0, trace_id: str | None = None,
@@ -43,5 +44,7 @@ def context_of_matches(frames: DataFrame, matches: DataFrame, before: int = 0, a
         "ordinal",
         F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("match_ordinal") - before),
                              F.col("match_ordinal") + after)))
-    out = w.join(frames, ["trace_id", "ordinal"])
+    # Few matches (the usual case): the windows are broadcast and the frames are not
+    # shuffled; many matches: a shuffle join on the unique (trace_id, ordinal) key (no skew).
+    out = join_small(frames, w, ["trace_id", "ordinal"])
     return out.withColumn("rel_pos", F.col("ordinal") - F.col("match_ordinal"))

@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from ..errors import DecodeError, QueryError
 from ..operators.compiled import compiled_layout, decode_nested_compiled
 from ..operators.decode import decode_nested
-from ..operators.filters import compile_decoded, compile_raw, ordinal_range, uses_decoded_fields, with_single_id
+from ..operators.filters import (
+    compile_decoded,
+    compile_raw,
+    ordinal_range,
+    same_signal,
+    uses_decoded_fields,
+    with_single_id,
+)
 from ..sources.dbc import Dbc
 
 ORDER = ["trace_id", "ordinal"]
@@ -40,11 +47,14 @@ def run_query(frames: DataFrame, raw_filter=None, decoded_filter=None, dbc: Dbc
               decode: bool = False, ordinal_start: int | None = None, ordinal_end: int | None = None,
               can_id: int | None = None, first_only: bool = False, max_matches: int | None = None,
               keep_undecoded: bool = False, frame_hook=None, decoded_hook=None, ordered: bool = False,
-              double_compat: bool = False, compat_single_id: bool = False) -> DataFrame:
+              double_compat: bool = False, compat_single_id: bool = False,
+              same_signal_filter: tuple | None = None) -> DataFrame:
     """Run one query over ``frames`` and return the matching rows.
 
     ``first_only`` / ``max_matches`` return the first rows in source order (per trace id and
-    ordinal); ``max_matches=0`` returns nothing (the reference returns one row, Q14)."""
+    ordinal); ``max_matches=0`` returns nothing (the reference returns one row, Q14).
+    ``same_signal_filter=(name, op, value)`` keeps frames where one signal satisfies both
+    (G5)."""
     df = frames
     if ordinal_start is not None or ordinal_end is not None:
         df = df.filter(ordinal_range(ordinal_start, ordinal_end))
@@ -53,19 +63,23 @@ def run_query(frames: DataFrame, raw_filter=None, decoded_filter=None, dbc: Dbc
     if hook is not None:
         df = df.filter(hook)
     d_hook = _hook_column(decoded_hook)
-    needs_decode = decode or uses_decoded_fields(decoded_filter) or d_hook is not None
+    needs_decode = (decode or uses_decoded_fields(decoded_filter) or d_hook is not None
+                    or same_signal_filter is not None)
     if needs_decode:
         if dbc is None:
             raise DecodeError("decoding was requested but no DBC is loaded")
         layout = compiled_layout(dbc)
         if layout is not None:
             # Small dictionary: the decoded filter is compiled too and runs before decoding.
-            df = decode_nested_compiled(df, layout, keep_undecoded=keep_undecoded and decoded_filter is None,
-                                        decoded_filter=decoded_filter)
+            filtered = decoded_filter is not None or same_signal_filter is not None
+            df = decode_nested_compiled(df, layout, keep_undecoded=keep_undecoded and not filtered,
+                                        decoded_filter=decoded_filter, same_signal_args=same_signal_filter)
         else:
             df = decode_nested(df, dbc, keep_undecoded=keep_undecoded, strategy="join")
             if decoded_filter is not None:
                 df = df.filter(compile_decoded(decoded_filter))
+            if same_signal_filter is not None:
+                df = df.filter(same_signal(*same_signal_filter))
         if d_hook is not None:
             df = df.filter(d_hook)
     if first_only:

@@ -363,7 +363,16 @@ def q_raw_then_decoded(spark, sf):
     "EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal AND lower(s.signal_name) = 'evtvalue' "
     "AND s.value > 300.0::DOUBLE)"))
 def q_same_signal(spark, sf):
-    dec = decode_nested(frames(spark, sf), events_dbc(spark))
+    return _decoded_out(run_query(frames(spark, sf), dbc=events_dbc(spark),
+                                  same_signal_filter=("EvtValue", "gt", 300.0)))
+
+
+@register("same_signal_join", _decoded_frames_sql(
+    "EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal AND lower(s.signal_name) = 'evtvalue' "
+    "AND s.value > 300.0::DOUBLE)"))
+def q_same_signal_join(spark, sf):
+    """G5 on the join path: ``exists`` over the nested signal array."""
+    dec = decode_nested(frames(spark, sf), events_dbc(spark), strategy="join")
     return _decoded_out(dec.filter(same_signal("EvtValue", "gt", 300.0)))
 
 
@@ -482,9 +491,10 @@ def q_any_decoded(spark, sf):
     "(SELECT ordinal FROM signals WHERE lower(signal_name) = 'evtvalue' AND value > 250.0::DOUBLE)"))
 def q_flagship(spark, sf):
     """Raw filter → decode → filter on one decoded signal → one row per signal."""
-    dec = run_query(frames(spark, sf), dbc=events_dbc(spark), decode=True,
-                    raw_filter=all_of(Pred("can_id", "le", 258), Pred("channel", "ne", 0)))
-    return long_out(explode_signals(dec.filter(same_signal("EvtValue", "gt", 250.0))))
+    dec = run_query(frames(spark, sf), dbc=events_dbc(spark),
+                    raw_filter=all_of(Pred("can_id", "le", 258), Pred("channel", "ne", 0)),
+                    same_signal_filter=("EvtValue", "gt", 250.0))
+    return long_out(explode_signals(dec))
 
 
 # --------------------------------------------------------------------------- text ingest
