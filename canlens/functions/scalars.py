@@ -53,13 +53,19 @@ def dec_mod_256(c) -> Column:
 _FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def seconds_to_ns(c) -> Column:
-    """Seconds text to integer nanoseconds: ``(u64)(strtod(s) * 1e9)``.
+def seconds_to_ns(c, exact: bool = False) -> Column:
+    """Seconds text to integer nanoseconds.
 
-    The double product is truncated toward zero exactly as a C cast does.  Negative or
-    out-of-range values are rejected (null)."""
+    Default: ``(u64)(strtod(s) * 1e9)`` as the reference — the double product truncated
+    toward zero, so epoch-size values lose their last digits.  ``exact=True`` parses the
+    text as a decimal and keeps every nanosecond digit (digits past the 9th are cut).
+    Negative or out-of-range values are rejected (null)."""
     c = col_(c)
     d = c.try_cast("double")
+    if exact:
+        dec = c.try_cast("decimal(38,9)")
+        ns = (dec * F.lit(1000000000).cast("decimal(10,0)")).try_cast("bigint")
+        return F.when(c.rlike(_FLOAT_TEXT) & (dec >= 0), ns)
     ns = (d * F.lit(1e9)).try_cast("bigint")
     return F.when(c.rlike(_FLOAT_TEXT) & (d >= 0), ns)
 

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import float32_from_bits, float64_from_bits, unsigned_to_double
-from ..plans.sizing import checked_count
 
 # Bound on compiled signals (beyond it, expression size hurts more than the join costs).
 MAX_COMPILED_SIGNALS = 1500
@@ -145,9 +144,12 @@ def compiled_layout(dbc) -> dict | None:
 
     lay = signal_layouts(dbc)
     out = None
-    if checked_count(lay) <= MAX_COMPILED_SIGNALS and checked_count(dbc.messages) <= MAX_COMPILED_SIGNALS:
-        out = {int(r["can_id"]): (r["message_name"], None, []) for r in dbc.messages.collect()}
-        for r in sorted(lay.collect(), key=lambda r: (r["can_id"], r["signal_index"])):
+    # Bounded reads: at most MAX + 1 rows ever reach the driver; more means "too large".
+    sig_rows = lay.limit(MAX_COMPILED_SIGNALS + 1).collect()
+    msg_rows = dbc.messages.limit(MAX_COMPILED_SIGNALS + 1).collect()
+    if len(sig_rows) <= MAX_COMPILED_SIGNALS and len(msg_rows) <= MAX_COMPILED_SIGNALS:
+        out = {int(r["can_id"]): (r["message_name"], None, []) for r in msg_rows}
+        for r in sorted(sig_rows, key=lambda r: (r["can_id"], r["signal_index"])):
             name, _, sigs = out[int(r["can_id"])]
             sigs.append(r.asDict(recursive=True))
         for cid, (name, _, sigs) in list(out.items()):

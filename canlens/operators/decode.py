@@ -59,7 +59,7 @@ def signal_layouts(dbc: Dbc) -> DataFrame:
         .join(_label_maps(dbc), ["can_id", "signal_name"], "left")
     )
     out = out.select("can_id", "message_name", *LAYOUT_FIELDS, "sel", "labels").cache()
-    dbc._signal_layouts = mark_rows(out, out.count())
+    dbc._signal_layouts = out
     return out
 
 

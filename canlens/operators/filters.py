@@ -347,3 +347,14 @@ def with_single_id(expr, can_id: int | None, compat: bool = False):
     if _is_empty(expr):
         return leaf
     return expr if compat else And((expr, leaf))
+
+
+def hide_ids(frames, ids):
+    """Rows whose id is not hidden (F16).  ``ids``: a list (``NOT IN``, pushed to the scan)
+    or a DataFrame with a ``can_id`` column (left-anti join; broadcast behind a checked
+    size, else a shuffle join)."""
+    from ..plans.sizing import join_small
+
+    if isinstance(ids, (list, tuple, set, frozenset)):
+        return frames.filter(~F.col("can_id").isin(list(ids))) if ids else frames
+    return join_small(frames, ids.select("can_id").distinct(), "can_id", "left_anti")

@@ -17,6 +17,17 @@ from pyspark.sql import types as T
 FRAME_HOOK_ARGS = ("timestamp_ns", "can_id", "channel", "dlc")
 
 
+def _ship() -> None:
+    """Python hooks may be defined in library modules; make them importable on workers."""
+    from pyspark.sql import SparkSession
+
+    from ..session import ship_package
+
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)
+
+
 def frame_hook(fn=None, expr: str | Column | None = None, enabled: bool = True) -> Column:
     """Boolean column for a frame hook.
 
@@ -27,6 +38,7 @@ def frame_hook(fn=None, expr: str | Column | None = None, enabled: bool = True)
     if expr is not None:
         c = F.expr(expr) if isinstance(expr, str) else expr
         return F.coalesce(c.cast("boolean"), F.lit(True))
+    _ship()
     udf = F.pandas_udf(lambda a, b, c, d: pd.Series(fn(a, b, c, d)).astype("boolean"), T.BooleanType())
     return F.coalesce(udf(*[F.col(x) for x in FRAME_HOOK_ARGS]), F.lit(True))
 
@@ -38,6 +50,7 @@ def decoded_hook(fn=None, expr: str | Column | None = None, enabled: bool = True
     if expr is not None:
         c = F.expr(expr) if isinstance(expr, str) else expr
         return F.coalesce(c.cast("boolean"), F.lit(True))
+    _ship()
     udf = F.pandas_udf(lambda s: pd.Series(fn(s)).astype("boolean"), T.BooleanType())
     return F.coalesce(udf(F.col("message_name")), F.lit(True))
 

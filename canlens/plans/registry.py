@@ -29,6 +29,7 @@ from ..operators.filters import (
     from_clauses,
     from_rules,
     negate,
+    hide_ids,
     same_signal,
     time_range,
     with_single_id,
@@ -203,7 +204,18 @@ def q_single_id_compat(spark, sf):
 
 @register("hide_ids", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE can_id NOT IN (256, 260)"))
 def q_hide_ids(spark, sf):
-    return raw_out(frames(spark, sf).filter(~F.col("can_id").isin(256, 260)))
+    return raw_out(hide_ids(frames(spark, sf), [256, 260]))
+
+
+@register("hide_ids_table", with_frames(
+    f"SELECT {RAW_COLS} FROM frames WHERE can_id NOT IN (SELECT can_id FROM frames WHERE channel = 2 AND "
+    "frame_type = 1 AND timestamp_ns < " + str(T_JAN05) + ")"))
+def q_hide_ids_table(spark, sf):
+    """F16 with a hidden-id table derived from the data (left-anti join)."""
+    fr = frames(spark, sf)
+    hidden = run_query(fr, raw_filter=all_of(Pred("channel", "eq", 2), Pred("frame_type", "eq", 1),
+                                             Pred("timestamp_ns", "lt", T_JAN05)))
+    return raw_out(hide_ids(fr, hidden))
 
 
 @register("show_undecoded", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE can_id NOT IN (256, 257, 258, 259)"))
@@ -845,3 +857,40 @@ def q_stream_ingest_decode(spark, sf):
                                            scratch_path(spark, "stream-ckpt"), dbc=events_dbc(spark))
     return out.select(_bucket(), F.col("ordinal").cast("bigint"), F.col("can_id").cast("bigint"), "signal_name",
                       F.col("raw_value").cast("bigint"), "value")
+
+
+
+@register("ingest_exact_time", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, CAST(ordinal // {TRACE_FILES} AS BIGINT) AS ordinal, "
+    f"timestamp_ns - {TEXT_EPOCH_NS} AS timestamp_ns, can_id, dlc, channel, CAST(0 AS BIGINT) AS frame_type, "
+    "payload_hex FROM frames"))
+def q_ingest_exact_time(spark, sf):
+    """X1 exact: seconds text parsed as a decimal keeps every nanosecond."""
+    return ingest_out(read_trace(spark, _written(spark, sf, "candump"), fmt="candump", exact_time=True))
+
+
+@register("read_chunk", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE ordinal // {CHUNK_SIZE} = 3"))
+def q_read_chunk(spark, sf):
+    """One chunk of a saved trace (row groups of other chunks are skipped)."""
+    return raw_out(st.read_chunk(_store(spark, sf), 3))
+
+
+@register("dbc_lookup_name", (
+    f"SELECT CAST(1024 + u AS BIGINT) AS can_id, 'User' || u AS message_name, CAST(8 AS BIGINT) AS dlc "
+    f"FROM {_USERS} WHERE u = 7"))
+def q_dbc_lookup_name(spark, sf):
+    """Exact, case-sensitive lookup by name (last definition of the name wins)."""
+    d = _users_dbc(spark, sf)
+    return d.message_by_name("User7").select("can_id", "message_name", F.col("dlc").cast("bigint"))
+
+
+@register("stream_progress", with_signals(
+    f"SELECT COUNT(*) AS rows_written, CAST({TRACE_FILES} AS BIGINT) AS files FROM signals"))
+def q_stream_progress(spark, sf):
+    """Per-batch progress of the stream (rows written, files), summed over batches."""
+    glob = _written(spark, sf, "csv")
+    _out, progress = run_trace_stream_once(spark, glob, "csv", scratch_path(spark, "stream-out"),
+                                           scratch_path(spark, "stream-ckpt"), dbc=events_dbc(spark))
+    rows = [(int(p["batch_id"]), int(p["files"]), int(p["rows_written"])) for p in progress]
+    df = spark.createDataFrame(rows, "batch_id bigint, files bigint, rows_written bigint")
+    return df.agg(F.sum("rows_written").cast("bigint").alias("rows_written"), F.sum("files").cast("bigint").alias("files"))

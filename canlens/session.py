@@ -61,3 +61,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "canlens-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``canlens`` importable in Python workers (needed only by Python hooks).
+
+    Zips the package into the shared scratch folder and registers it with ``addPyFile``,
+    once per application.  On a cluster whose checkpoint folder is not a local path,
+    install the package on the executors or pass it with ``--py-files`` instead."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        _SHIPPED.add(sc.applicationId)
+        return
+    folder = scratch_path(spark, "pyfiles")
+    os.makedirs(folder, exist_ok=True)
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(folder, "canlens.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ..errors import DbcIoError, DbcParseError
 from ..functions.scalars import ws_trim
-from ..plans.sizing import mark_rows
 from .lines import scan_lines, with_line_numbers
 
 # The line grammar.
@@ -166,14 +165,10 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
     labels = label_rows.join(keys, ["def_file", "def_index"], "left_semi").select(
         "can_id", "signal_name", "raw_value", "label")
 
+    # Small tables, reused by every decode: cached; their sizes are checked where a plan
+    # depends on them (broadcast or compile), not here.
     messages = active.select("can_id", "message_name", "dlc", "def_index").cache()
-    signals = signals.cache()
-    labels = labels.cache()
-    # Dictionary sizes are known now: record them for the broadcast checks.
-    mark_rows(messages, messages.count())
-    mark_rows(signals, signals.count())
-    mark_rows(labels, labels.count())
-    return Dbc(messages, signals, labels, all_messages, problems)
+    return Dbc(messages, signals.cache(), labels.cache(), all_messages, problems)
 
 
 def write_dbc_text(spark: SparkSession, text: str, folder: str) -> str:

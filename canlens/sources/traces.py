@@ -59,25 +59,25 @@ class _Parsed:
     payload: Column
 
 
-def _parse_candump(t: Column) -> _Parsed:
+def _parse_candump(t: Column, exact: bool = False) -> _Parsed:
     g = lambda i: F.regexp_extract(t, _CANDUMP_RE, i)
     m = t.rlike(_CANDUMP_RE)
     iface = g(2)
     last = F.substring(iface, -1, 1)
     channel = F.when((F.length(iface) > 3) & last.rlike("^[0-9]$"), last.cast("int")).otherwise(F.lit(0))
-    ts = seconds_to_ns(g(1))
+    ts = seconds_to_ns(g(1), exact)
     can_id = hex_to_long(g(3))
     payload, dlc = parse_payload(g(4))
     ok = m & ts.isNotNull() & valid_can_id(can_id) & payload.isNotNull()
     return _Parsed(F.lit(False), ok, ts, can_id, dlc, channel, F.lit(0), payload)
 
 
-def _parse_csv(t: Column) -> _Parsed:
+def _parse_csv(t: Column, exact: bool = False) -> _Parsed:
     tok = F.split(t, ",")
     tk = lambda i: ws_trim(F.get(tok, i))
     skip = F.lower(tk(0)) == "timestamp"
     n = F.size(tok)
-    ts = seconds_to_ns(tk(0))
+    ts = seconds_to_ns(tk(0), exact)
     channel = dec_mod_256(tk(1))
     can_id = hex_to_long(tk(2))
     payload, dlc = parse_payload(tk(4))
@@ -86,7 +86,7 @@ def _parse_csv(t: Column) -> _Parsed:
     return _Parsed(skip, ok, ts, can_id, dlc, channel, fd, payload)
 
 
-def _parse_asc(t: Column) -> _Parsed:
+def _parse_asc(t: Column, exact: bool = False) -> _Parsed:
     tok = F.split(t, _ASC_WS)
     n = F.size(tok)
     t1 = F.lower(F.coalesce(F.get(tok, 1), F.lit("")))
@@ -103,7 +103,7 @@ def _parse_asc(t: Column) -> _Parsed:
     data_hex = F.when(data == "", F.lit("")).otherwise(hex_tokens_to_hex(data))
     data_ok = data_hex.isNotNull()
     payload = F.unhex(F.rpad(data_hex, dlc * 2, "0"))
-    ts = seconds_to_ns(F.get(tok, 0))
+    ts = seconds_to_ns(F.get(tok, 0), exact)
     enough = F.when(is_fd, n >= 10).otherwise(n >= 7)
     ok = enough & channel.isNotNull() & ts.isNotNull() & valid_can_id(can_id) & dlc_ok & data_ok
     return _Parsed(skip, ok, ts, can_id, dlc, channel, F.when(is_fd, F.lit(1)).otherwise(F.lit(0)), payload)
@@ -112,10 +112,10 @@ def _parse_asc(t: Column) -> _Parsed:
 _PARSERS = {"candump": _parse_candump, "csv": _parse_csv, "asc": _parse_asc}
 
 
-def parse_lines(lines: DataFrame, fmt: str) -> DataFrame:
+def parse_lines(lines: DataFrame, fmt: str, exact_time: bool = False) -> DataFrame:
     """Add ``is_record`` (not blank/skipped), ``is_frame`` and the frame fields."""
     t = ws_trim(F.col("value"))
-    p = _PARSERS[fmt](t)
+    p = _PARSERS[fmt](t, exact_time)
     record = (t != "") & ~F.coalesce(p.skip, F.lit(False))
     return lines.select(
         "*",
@@ -167,18 +167,19 @@ def _raise_first_bad(spark: SparkSession, parsed: DataFrame) -> None:
 
 
 def read_trace(spark: SparkSession, paths, fmt: str | None = None, mode: str = "strict",
-               keep_source: bool = False) -> DataFrame:
+               keep_source: bool = False, exact_time: bool = False) -> DataFrame:
     """Read text traces into the ``frames`` table.
 
     ``paths``: a path, glob or list; each file is one trace (``trace_id`` = file path) with
     its own dense 0-based ``ordinal``.  ``fmt`` overrides the extension rule.  ``mode`` is
     ``"strict"`` (first bad line raises ``TraceParseError``) or ``"tolerant"`` (bad lines
-    are dropped; see ``bad_lines``)."""
+    are dropped; see ``bad_lines``).  ``exact_time=True`` keeps every nanosecond digit of
+    the seconds text instead of the reference's double arithmetic."""
     if mode not in ("strict", "tolerant"):
         raise ValueError(f"mode must be 'strict' or 'tolerant', not {mode!r}")
     out = None
     for f, ps in _group_by_format(_expand(spark, paths), fmt).items():
-        parsed = parse_lines(scan_lines(spark, ps), f)
+        parsed = parse_lines(scan_lines(spark, ps), f, exact_time)
         if mode == "strict":
             _raise_first_bad(spark, parsed)
         rows = parsed.filter("is_frame").select(
