@@ -46,13 +46,34 @@ def _split_bases(counts: DataFrame, count_col: str, base_col: str) -> DataFrame:
     return counts.withColumn(base_col, F.coalesce(F.sum(count_col).over(w), F.lit(0)).cast("bigint"))
 
 
+# One row per split; with the compact key a row is four longs, so even ~800 000 splits
+# (100 TB at 128 MB) stay a ~25 MB broadcast.
+MAX_SPLIT_ROWS_COMPACT = 1_000_000
+
+
+def _join_split_table(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Join the per-split table back to the rows without shuffling the rows.
+
+    The table is checkpointed (so the size check and the join read it once).  It is
+    keyed by ``(xxhash64(file_path), block_start)`` when no two paths share a hash
+    (checked exactly on the small table), which makes a row four longs; otherwise by the
+    path itself.  Above the bound the join is left to a shuffle join."""
+    n_paths = table.select("file_path").distinct().count()
+    n_hashes = table.select(F.xxhash64("file_path").alias("h")).distinct().count()
+    if n_paths == n_hashes:
+        compact = table.withColumn("_fid", F.xxhash64("file_path")).drop("file_path")
+        keyed = rows.withColumn("_fid", F.xxhash64("file_path"))
+        return join_small(keyed, compact, ["_fid", "block_start"], max_rows=MAX_SPLIT_ROWS_COMPACT).drop("_fid")
+    return join_small(rows, table, SPLIT_KEYS)
+
+
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Add ``line_no`` (1-based physical line number in its file) to ``scan_lines`` rows."""
     stats = lines.groupBy(*SPLIT_KEYS).agg(F.min("mid").alias("min_mid"), F.count(F.lit(1)).alias("n_lines"))
     # Small (one row per split): materialise once in the shared checkpoint folder so the
     # size check and the join do not each re-read the text.
     stats = _split_bases(stats, "n_lines", "line_base").select(*SPLIT_KEYS, "min_mid", "line_base").checkpoint()
-    joined = join_small(lines, stats, SPLIT_KEYS)
+    joined = _join_split_table(lines, stats)
     return joined.withColumn("line_no", F.col("line_base") + F.col("mid") - F.col("min_mid") + 1).drop(
         "min_mid", "line_base"
     )
@@ -70,6 +91,6 @@ def dense_positions(rows: DataFrame, position_col: str = "ordinal") -> DataFrame
     ided = rows.withColumn("_rid", F.monotonically_increasing_id())
     stats = ided.groupBy(*SPLIT_KEYS).agg(F.min("_rid").alias("min_rid"), F.count(F.lit(1)).alias("n_rows"))
     bases = _split_bases(stats, "n_rows", "row_base").select(*SPLIT_KEYS, "min_rid", "row_base").checkpoint()
-    joined = join_small(ided, bases, SPLIT_KEYS)
+    joined = _join_split_table(ided, bases)
     pos = (F.col("row_base") + F.col("_rid") - F.col("min_rid")).cast("bigint")
     return joined.withColumn(position_col, pos).drop("row_base", "min_rid", "_rid")
