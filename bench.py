@@ -93,6 +93,8 @@ def main() -> None:
     timed(f"decode_long_x{rep_k}", lambda: _force(decode_long(big, dbc)), n_big)
     timed(f"decoded_filter_x{rep_k}", lambda: _force(
         run_query(big, dbc=dbc, decoded_filter=dec_tree)), n_big)
+    big_glob = write_text_trace(big, scratch_path(spark, "bench-big-text"), "csv", files=16)
+    timed(f"ingest_csv_x{rep_k}", lambda: _force(read_trace(spark, big_glob, fmt="csv", mode="tolerant")), n_big)
 
     total = round(sum(timings.values()), 3)
     print(json.dumps({

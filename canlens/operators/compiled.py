@@ -135,8 +135,29 @@ def label_literal(raw: Column, labels) -> Column:
     return F.try_element_at(m, raw)
 
 
-def compiled_layout(dbc) -> dict | None:
-    """``{can_id: (name, selector, [signal rows])}`` or None when above the bound."""
+def motorola_to_sequential(start: int) -> int:
+    """Standard DBC big-endian start bit (the MSB, numbered LSB-first in its byte) → the
+    sequential MSB-first position used by the reference's big-endian rule."""
+    return (start // 8) * 8 + 7 - start % 8
+
+
+def compiled_layout(dbc, motorola: bool = False) -> dict | None:
+    """``{can_id: (name, selector, [signal rows])}`` or None when above the bound.
+
+    ``motorola=True`` reads big-endian start bits with the standard DBC numbering."""
+    if motorola:
+        base = compiled_layout(dbc)
+        if base is None:
+            return None
+        cached = getattr(dbc, "_compiled_layout_motorola", None)
+        if cached is None:
+            def conv(sig):
+                if sig is None or sig["little_endian"]:
+                    return sig
+                return {**sig, "start_bit": motorola_to_sequential(int(sig["start_bit"]))}
+            cached = {cid: (name, conv(sel), [conv(x) for x in sigs]) for cid, (name, sel, sigs) in base.items()}
+            dbc._compiled_layout_motorola = cached
+        return cached
     cached = getattr(dbc, "_compiled_layout", False)
     if cached is not False:
         return cached

@@ -99,13 +99,13 @@ def _with_words(frames: DataFrame) -> DataFrame:
     return frames.withColumn("_bew", be).withColumn("_lew", le)
 
 
-def _raw(s_start: Column, s_len: Column, s_le: Column) -> Column:
-    return raw_from_words(F.col("_bew"), F.col("_lew"), F.length("payload"), s_start, s_len, s_le)
+def _raw(s_start: Column, s_len: Column, s_le: Column, motorola: bool = False) -> Column:
+    return raw_from_words(F.col("_bew"), F.col("_lew"), F.length("payload"), s_start, s_len, s_le, motorola)
 
 
-def _selector_raw() -> Column:
+def _selector_raw(motorola: bool = False) -> Column:
     sel = F.col("sel")
-    return F.when(sel.isNotNull(), _raw(sel["start_bit"], sel["bit_length"], sel["little_endian"]))
+    return F.when(sel.isNotNull(), _raw(sel["start_bit"], sel["bit_length"], sel["little_endian"], motorola))
 
 
 def _require(dbc: Dbc | None) -> Dbc:
@@ -116,14 +116,15 @@ def _require(dbc: Dbc | None) -> Dbc:
 
 def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = False,
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salt_buckets: int = 64,
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "auto", motorola: bool = False) -> DataFrame:
     """Frames + ``message_name`` + ``signals`` (array of active decoded signals).
 
     ``strategy``: ``"compiled"`` (dictionary as literal expressions, small dictionaries),
-    ``"join"`` (broadcast or salted join), or ``"auto"`` (compiled when within bounds)."""
+    ``"join"`` (broadcast or salted join), or ``"auto"`` (compiled when within bounds).
+    ``motorola=True``: big-endian start bits use the standard DBC numbering (P3 option)."""
     dbc = _require(dbc)
     if strategy in ("auto", "compiled"):
-        layout = compiled_layout(dbc)
+        layout = compiled_layout(dbc, motorola)
         if layout is not None:
             return decode_nested_compiled(frames, layout, keep_undecoded)
         if strategy == "compiled":
@@ -131,7 +132,7 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
     layouts = message_layouts(dbc)
     how = "left" if keep_undecoded else "inner"
     joined = _join_dictionary(_with_words(frames), layouts, how, max_broadcast_rows, salt_buckets)
-    joined = joined.withColumn("_sel_raw", _selector_raw())
+    joined = joined.withColumn("_sel_raw", _selector_raw(motorola))
     sel_raw = F.col("_sel_raw")
     active = F.filter(
         F.col("layout"),
@@ -140,7 +141,7 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
     # First the raw values, then (separately, so the raw value is computed once) the rest.
     with_raw = F.transform(active, lambda s: F.struct(
         s["signal_index"].alias("signal_index"), s["signal_name"].alias("name"),
-        _raw(s["start_bit"], s["bit_length"], s["little_endian"]).alias("raw_value"),
+        _raw(s["start_bit"], s["bit_length"], s["little_endian"], motorola).alias("raw_value"),
         s["bit_length"].alias("bit_length"), s["is_signed"].alias("is_signed"), s["value_type"].alias("value_type"),
         s["scale"].alias("scale"), s["offset"].alias("offset"), s["unit"].alias("unit"), s["labels"].alias("labels"),
     ))
@@ -159,21 +160,21 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
 
 
 def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                salt_buckets: int = 64, strategy: str = "auto") -> DataFrame:
+                salt_buckets: int = 64, strategy: str = "auto", motorola: bool = False) -> DataFrame:
     """One row per (frame, active signal): frame columns + message_name, signal_index,
     signal_name, raw_value, value, unit, value_description (P10)."""
     dbc = _require(dbc)
     if strategy in ("auto", "compiled"):
-        layout = compiled_layout(dbc)
+        layout = compiled_layout(dbc, motorola)
         if layout is not None:
             return explode_signals(decode_nested_compiled(frames, layout))
         if strategy == "compiled":
             raise DecodeError("dictionary too large to compile; use strategy='join'")
     layouts = signal_layouts(dbc)
     joined = _join_dictionary(_with_words(frames), layouts, "inner", max_broadcast_rows, salt_buckets)
-    sel_raw = _selector_raw()
+    sel_raw = _selector_raw(motorola)
     active = F.col("multiplex_value").isNull() | (sel_raw.isNotNull() & (F.col("multiplex_value") == sel_raw))
-    raw = _raw(F.col("start_bit"), F.col("bit_length"), F.col("little_endian"))
+    raw = _raw(F.col("start_bit"), F.col("bit_length"), F.col("little_endian"), motorola)
     step = joined.filter(active).withColumn("raw_value", raw)
     value = physical_value(F.col("raw_value"), F.col("bit_length"), F.col("is_signed"), F.col("value_type"),
                            F.col("scale"), F.col("offset"))

@@ -87,3 +87,32 @@ def test_float_signals(spark):
 def test_no_dictionary():
     with pytest.raises(DecodeError):
         decode_long(None, None)
+
+
+MOTO = """BO_ 9 Moto: 2 N
+ SG_ W16 : 7|16@0+ (1,0) [0|0] "" N
+ SG_ Nib : 3|4@0+ (1,0) [0|0] "" N
+ SG_ Lo : 8|4@1+ (1,0) [0|0] "" N
+"""
+
+
+@pytest.mark.parametrize("strategy", ["compiled", "join"])
+def test_motorola_numbering(spark, tmp_path, strategy):
+    d = load_dbc(spark, write(tmp_path, "m.dbc", MOTO))
+    fr = _frames(spark, [(9, [0xAB, 0xCD])])
+    got = {r.signal_name: r.raw_value for r in decode_long(fr, d, strategy=strategy, motorola=True).collect()}
+    # standard numbering: MSB at bit 7 of byte 0 → 0xABCD; bits 3..0 of byte 0 → 0xB; LE unaffected
+    assert got == {"W16": 0xABCD, "Nib": 0xB, "Lo": 0xD}
+    seq = {r.signal_name: r.raw_value for r in decode_long(fr, d, strategy=strategy).collect()}
+
+    def sequential(payload, start, n):  # the reference's big-endian rule, bit by bit
+        v = 0
+        for i in range(n):
+            b = start + i
+            if b >= len(payload) * 8:
+                break
+            v = (v << 1) | ((payload[b // 8] >> (7 - b % 8)) & 1)
+        return v
+
+    assert seq["Nib"] == sequential([0xAB, 0xCD], 3, 4) == 5
+    assert seq["W16"] == sequential([0xAB, 0xCD], 7, 16) == 0x1CD  # cut short: 9 bits, not shifted up
