@@ -31,9 +31,6 @@ _SIGNAL_TYPE = ("struct<signal_index:int,name:string,raw_value:bigint,value:doub
                 "value_description:string>")
 
 
-_EMPTY = F.array().cast(f"array<{_SIGNAL_TYPE}>") if False else None
-
-
 def _long(v: int) -> Column:
     return F.lit(v).cast("bigint")
 
@@ -180,10 +177,12 @@ def compiled_layout(dbc, motorola: bool = False) -> dict | None:
     return out
 
 
+def _empty_signals() -> Column:
+    return F.array().cast(f"array<{_SIGNAL_TYPE}>")
+
+
 def _signals_expr(sel, sigs) -> Column:
-    global _EMPTY
-    if _EMPTY is None:
-        _EMPTY = F.array().cast(f"array<{_SIGNAL_TYPE}>")
+    empty = _empty_signals()
     sel_raw = None if sel is None else raw_literal(sel["start_bit"], sel["bit_length"], sel["little_endian"])
     elems = []
     for s in sigs:
@@ -196,14 +195,14 @@ def _signals_expr(sel, sigs) -> Column:
             F.lit(s["unit"]).alias("unit"),
             label_literal(raw, s.get("labels")).alias("value_description"),
         )
-        one = F.array(st).cast(f"array<{_SIGNAL_TYPE}>")
+        one = F.array(st)
         mv = s["multiplex_value"]
         if mv is not None:
             active = F.lit(False) if sel_raw is None else (sel_raw == _long(int(mv)))
-            one = F.when(active, one).otherwise(_EMPTY)
+            one = F.when(active, one).otherwise(empty)
         elems.append(one)
     if not elems:
-        return _EMPTY
+        return empty
     # flatten of 0/1-element arrays drops inactive multiplexed signals without a lambda
     # (array_compact is a lambda filter and would turn off whole-stage codegen).
     return F.flatten(F.array(*elems))
