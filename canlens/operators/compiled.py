@@ -333,10 +333,24 @@ def _message_predicate(expr, name, sel, sigs) -> Column | bool:
     return _and(parts) if isinstance(expr, And) else _or(parts)
 
 
+_FILTER_CACHE: dict[tuple, tuple] = {}
+
+
 def compiled_decoded_filter(expr, layout: dict) -> Column:
     """A decoded filter tree as one lambda-free column over the payload words: per message
     the tree is folded at plan time (names are constants) and signal tests become ORs over
-    that message's signals, each gated by its multiplexer condition."""
+    that message's signals, each gated by its multiplexer condition.  Cached per
+    (dictionary, tree): trees are immutable."""
+    key = (id(layout), expr)
+    hit = _FILTER_CACHE.get(key)
+    if hit is not None and hit[0] is layout:
+        return hit[1]
+    col = _build_decoded_filter(expr, layout)
+    _FILTER_CACHE[key] = (layout, col)
+    return col
+
+
+def _build_decoded_filter(expr, layout: dict) -> Column:
     out = None
     for cid in sorted(layout):
         name, sel, sigs = layout[cid]
