@@ -83,7 +83,26 @@ def message_layouts(dbc: Dbc) -> DataFrame:
     return out
 
 
-def _join_dictionary(frames: DataFrame, table: DataFrame, how: str, max_rows: int, salt_buckets: int) -> DataFrame:
+MAX_PUSHED_IDS = 10_000
+
+
+def _dictionary_ids(dbc: Dbc) -> list[int] | None:
+    """The dictionary's ids when there are at most MAX_PUSHED_IDS (a bounded read)."""
+    cached = getattr(dbc, "_pushed_ids", False)
+    if cached is not False:
+        return cached
+    rows = dbc.messages.select("can_id").limit(MAX_PUSHED_IDS + 1).collect()
+    ids = None if len(rows) > MAX_PUSHED_IDS else sorted(int(r["can_id"]) for r in rows)
+    dbc._pushed_ids = ids
+    return ids
+
+
+def _join_dictionary(frames: DataFrame, table: DataFrame, how: str, max_rows: int, salt_buckets: int,
+                     ids: list[int] | None = None) -> DataFrame:
+    if ids is not None and how == "inner":
+        # Frames without a definition are dropped by the join anyway; saying so up front
+        # lets the scan skip them (IN filter pushed to Parquet).
+        frames = frames.filter(F.col("can_id").isin(ids))
     if checked_count(table) <= max_rows:
         return frames.join(F.broadcast(table), "can_id", how)
     # Large dictionary: shuffle join with the dictionary replicated over salt buckets and
@@ -131,7 +150,8 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
             raise DecodeError("dictionary too large to compile; use strategy='join'")
     layouts = message_layouts(dbc)
     how = "left" if keep_undecoded else "inner"
-    joined = _join_dictionary(_with_words(frames), layouts, how, max_broadcast_rows, salt_buckets)
+    joined = _join_dictionary(_with_words(frames), layouts, how, max_broadcast_rows, salt_buckets,
+                              _dictionary_ids(dbc))
     joined = joined.withColumn("_sel_raw", _selector_raw(motorola))
     sel_raw = F.col("_sel_raw")
     active = F.filter(
@@ -171,7 +191,8 @@ def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DE
         if strategy == "compiled":
             raise DecodeError("dictionary too large to compile; use strategy='join'")
     layouts = signal_layouts(dbc)
-    joined = _join_dictionary(_with_words(frames), layouts, "inner", max_broadcast_rows, salt_buckets)
+    joined = _join_dictionary(_with_words(frames), layouts, "inner", max_broadcast_rows, salt_buckets,
+                              _dictionary_ids(dbc))
     sel_raw = _selector_raw(motorola)
     active = F.col("multiplex_value").isNull() | (sel_raw.isNotNull() & (F.col("multiplex_value") == sel_raw))
     raw = _raw(F.col("start_bit"), F.col("bit_length"), F.col("little_endian"), motorola)
