@@ -42,12 +42,15 @@ def dec_to_long(c) -> Column:
 
 
 def dec_mod_256(c) -> Column:
-    """Unsigned decimal text kept modulo 256 (channel fields, u8 truncation)."""
+    """Unsigned decimal text kept modulo 256 (channel fields, u8 truncation); u64 range.
+    Up to 18 digits take a BIGINT fast path, longer values a DECIMAL(20,0) one."""
     c = col_(c)
-    ok = c.rlike("^[0-9]+$") & (F.length(strip_leading_zeros(c)) <= 20)
+    digits = c.rlike("^[0-9]+$")
+    n = F.length(strip_leading_zeros(c))
     d = c.try_cast("decimal(20,0)")
-    ok = ok & d.isNotNull() & (d <= F.lit("18446744073709551615").cast("decimal(20,0)"))
-    return F.when(ok, F.pmod(d, F.lit(256)).cast("int"))
+    long_ok = (n <= 20) & d.isNotNull() & (d <= F.lit("18446744073709551615").cast("decimal(20,0)"))
+    return (F.when(digits & (n <= 18), F.pmod(c.cast("bigint"), F.lit(256)).cast("int"))
+            .when(digits & long_ok, F.pmod(d, F.lit(256)).cast("int")))
 
 
 _FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
