@@ -27,6 +27,20 @@ from ..plans.sizing import join_small
 SPLIT_KEYS = ["file_path", "block_start"]
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
+
+    Used where several jobs must see one and the same scan (see ``dense_positions``); the
+    columnar copy lets the per-split aggregate read three columns only, and it cuts the
+    lineage, so a lost executor never forces a re-read of the text."""
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scan_lines(spark, paths) -> DataFrame:
     """Raw lines with file path, split start and a scan-order id (``mid``)."""
     if isinstance(paths, str):
@@ -68,7 +82,12 @@ def _join_split_table(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Add ``line_no`` (1-based physical line number in its file) to ``scan_lines`` rows."""
+    """Add ``line_no`` (1-based physical line number in its file) to ``scan_lines`` rows.
+
+    The lines are materialised first: split boundaries (and so ``mid``) depend on the
+    cores present when a scan is planned, which can change between jobs when executors
+    come and go; numbering from one materialised copy keeps every job consistent."""
+    lines = materialize(lines, "lines")
     stats = lines.groupBy(*SPLIT_KEYS).agg(F.min("mid").alias("min_mid"), F.count(F.lit(1)).alias("n_lines"))
     # Small (one row per split): materialise once in the shared checkpoint folder so the
     # size check and the join do not each re-read the text.

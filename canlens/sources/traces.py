@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import TraceParseError, UnsupportedFormat
@@ -153,17 +153,22 @@ def bad_lines(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
 
 
 def _raise_first_bad(spark: SparkSession, parsed: DataFrame) -> None:
-    """Strict mode: one aggregate finds the first bad line; only then is its number computed."""
-    bad = parsed.filter(F.col("is_record") & ~F.col("is_frame"))
-    first = bad.agg(F.min(F.struct("file_path", "block_start", "mid")).alias("k")).collect()[0]["k"]
-    if first is None:
-        return
-    same_file = parsed.filter(
-        (F.col("file_path") == first["file_path"]) & (F.col("block_start") <= first["block_start"])
-    )
-    numbered = with_line_numbers(same_file.select("value", "file_path", "block_start", "file_size", "mid"))
-    row = numbered.filter(F.col("mid") == first["mid"]).select("line_no", "value").collect()[0]
-    raise TraceParseError(first["file_path"], int(row["line_no"]), row["value"])
+    """Strict mode: one aggregation over one scan gives, per split, the line count, the
+    first line id and the first bad line; it is checkpointed (one row per split) so every
+    later step sees the same split boundaries.  The first bad line's number is the running
+    line count of the earlier splits of its file plus its rank; one row reaches the driver."""
+    bad = F.col("is_record") & ~F.col("is_frame")
+    per_split = parsed.groupBy("file_path", "block_start").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.min("mid").alias("min_mid"),
+        F.min(F.when(bad, F.struct("mid", "value"))).alias("first_bad")).checkpoint()
+    w = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = per_split.withColumn("base", F.coalesce(F.sum("n_lines").over(w), F.lit(0)))
+    first = (numbered.filter(F.col("first_bad").isNotNull())
+             .select("file_path", (F.col("base") + F.col("first_bad.mid") - F.col("min_mid") + 1).alias("line"),
+                     F.col("first_bad.value").alias("value"))
+             .orderBy("file_path", "line").limit(1).collect())
+    if first:
+        raise TraceParseError(first[0]["file_path"], int(first[0]["line"]), first[0]["value"])
 
 
 def read_trace(spark: SparkSession, paths, fmt: str | None = None, mode: str = "strict",
