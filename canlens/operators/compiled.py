@@ -317,7 +317,7 @@ def _signal_test(p, s, sel) -> Column | bool:
 
 
 def _message_predicate(expr, name, sel, sigs) -> Column | bool:
-    from .filters import DECODED_FIELDS, And, Not, Or, Pred, _is_empty
+    from .filters import DECODED_FIELDS, And, Not, Pred, _is_empty
 
     if _is_empty(expr):
         return True

@@ -8,7 +8,6 @@ BOOLEAN columns whose names equal the oracle's.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +31,6 @@ from ..operators.filters import (
     hide_ids,
     same_signal,
     time_range,
-    with_single_id,
 )
 from ..operators.session import TraceSession
 from ..session import ensure_checkpoint_dir, scratch_path

@@ -23,7 +23,6 @@ from ..functions.scalars import (
     hex_to_long,
     parse_payload,
     seconds_to_ns,
-    strip_leading_zeros,
     valid_can_id,
     ws_trim,
 )

@@ -5,7 +5,6 @@ import random
 import struct
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canlens.functions.bits import float32_from_bits, float64_from_bits, raw_bits, sign_extend
 
