@@ -892,3 +892,61 @@ def q_stream_progress(spark, sf):
     rows = [(int(p["batch_id"]), int(p["files"]), int(p["rows_written"])) for p in progress]
     df = spark.createDataFrame(rows, "batch_id bigint, files bigint, rows_written bigint")
     return df.agg(F.sum("rows_written").cast("bigint").alias("rows_written"), F.sum("files").cast("bigint").alias("files"))
+
+
+# --------------------------------------------------------------------------- float signals
+
+def _float_dbc(spark) -> Dbc:
+    """A hand-made dictionary (text DBCs cannot declare float signals, Q7): message 257
+    carries the first four payload bytes as float32 and all eight as float64, both
+    little-endian; scale and offset are set but must not be applied (P6)."""
+    key = ("float", spark.sparkContext.applicationId)
+    if key not in _DBC_CACHE:
+        msgs = spark.createDataFrame([(257, "FloatView", 8, 0)],
+                                     "can_id bigint, message_name string, dlc int, def_index bigint")
+        sigs = spark.createDataFrame(
+            [(257, 0, 0, "F32", False, None, 0, 32, True, False, "float32", 3.0, 1.0, 0.0, 0.0, ""),
+             (257, 0, 1, "F64", False, None, 0, 64, True, False, "float64", 3.0, 1.0, 0.0, 0.0, "")],
+            "can_id bigint, def_index bigint, signal_index int, signal_name string, is_multiplexer boolean, "
+            "multiplex_value bigint, start_bit int, bit_length int, little_endian boolean, is_signed boolean, "
+            "value_type string, scale double, offset double, minimum double, maximum double, unit string")
+        labels = spark.createDataFrame([], "can_id bigint, signal_name string, raw_value bigint, label string")
+        probs = spark.createDataFrame([], "file_path string, line_no bigint, message string")
+        _DBC_CACHE[key] = Dbc(msgs, sigs, labels, msgs.withColumn("def_file", F.lit("")), probs)
+    return _DBC_CACHE[key]
+
+
+# The little-endian bit pattern of the fixture payload of view frames, as DuckDB arithmetic.
+_B = ["raw % 256", "raw // 256", "user_id % 256", "(event_id % 2 + 2 * (user_id % 128))", "raw // 256",
+      "raw % 256", "event_id % 256", "(event_id // 256) % 256"]
+_BITS32 = " + ".join(f"CAST({b} AS HUGEINT) * {1 << (8 * i)}" for i, b in enumerate(_B[:4]))
+_BITS64 = " + ".join(f"CAST({b} AS HUGEINT) * {1 << (8 * i)}" for i, b in enumerate(_B))
+
+
+def _ieee_sql(bits: str, e_bits: int, m_bits: int) -> str:
+    bias, emax = (1 << (e_bits - 1)) - 1, (1 << e_bits) - 1
+    total = e_bits + m_bits
+    sign = f"(CASE WHEN (({bits}) >> {total}) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"
+    e = f"CAST(((({bits}) >> {m_bits}) & {emax}) AS BIGINT)"
+    m = f"CAST((({bits}) & {(1 << m_bits) - 1}) AS DOUBLE)"
+    return (f"CASE WHEN {e} = {emax} AND {m} = 0 THEN {sign} * 'inf'::DOUBLE WHEN {e} = {emax} THEN 'nan'::DOUBLE "
+            f"WHEN {e} = 0 THEN {sign} * {m} * {2.0 ** (1 - bias - m_bits)!r}::DOUBLE "
+            f"ELSE {sign} * (1.0::DOUBLE + {m} / {float(1 << m_bits)!r}::DOUBLE) * pow(2.0::DOUBLE, "
+            f"CAST({e} - {bias} AS DOUBLE)) END")
+
+
+@register("decode_float32", with_frames(
+    f"SELECT ordinal, CAST({_BITS32} AS BIGINT) AS raw_value, {_ieee_sql(_BITS32, 8, 23)} AS value "
+    "FROM frames WHERE can_id = 257"))
+def q_decode_float32(spark, sf):
+    """IEEE float32 bit-cast (scale/offset not applied)."""
+    d = decode_long(frames(spark, sf), _float_dbc(spark)).filter(F.col("signal_name") == "F32")
+    return d.select(F.col("ordinal").cast("bigint"), F.col("raw_value").cast("bigint"), "value")
+
+
+@register("decode_float64", with_frames(
+    f"SELECT ordinal, {_ieee_sql(_BITS64, 11, 52)} AS value FROM frames WHERE can_id = 257"))
+def q_decode_float64(spark, sf):
+    """IEEE float64 bit-cast of the whole 8-byte payload."""
+    d = decode_long(frames(spark, sf), _float_dbc(spark)).filter(F.col("signal_name") == "F64")
+    return d.select(F.col("ordinal").cast("bigint"), "value")
