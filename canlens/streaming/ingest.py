@@ -62,4 +62,8 @@ def run_trace_stream_once(spark: SparkSession, input_glob: str, fmt: str, output
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    # Lines read per batch come from the engine's own progress reports.
+    read = {p["batchId"]: p["numInputRows"] for p in q.recentProgress}
+    for p in progress:
+        p["lines_read"] = int(read.get(p["batch_id"], 0))
     return spark.read.parquet(output_path), progress

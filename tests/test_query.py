@@ -178,3 +178,11 @@ def test_session(spark, dbc, tmp_path):
     assert _ords(s.reset()) == [0, 1, 2]
     assert _ords(s.filter_full(decoded_filter=Pred("signal_value", "ge", 0))) == [0, 2]
     s.close()
+
+
+def test_callback_sink(spark, tmp_path):
+    """K5: one call per match, on the executors (counted with an accumulator)."""
+    fr = read_trace(spark, write(tmp_path, "t.csv", "".join(f"0.00{i},0,{0x100 + i % 2:X},1,00\n" for i in range(9))))
+    acc = spark.sparkContext.accumulator(0)
+    ex.for_each_match(run_query(fr, raw_filter=Pred("can_id", "eq", 0x101)), lambda row: acc.add(1))
+    assert acc.value == 4

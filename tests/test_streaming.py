@@ -20,6 +20,7 @@ def test_stream_batches_and_restart(spark, tmp_path):
     res, progress = run_trace_stream_once(spark, str(src / "*.csv"), "csv", out, ckpt, dbc=dbc,
                                           max_files_per_trigger=1)
     assert len(progress) == 4 and all(p["files"] == 1 and p["rows_written"] == 50 for p in progress)
+    assert all(p["lines_read"] == 51 for p in progress)  # 50 frames + 1 bad line per file
     got = sorted((r.trace_id.split("/")[-1], r.ordinal, r.value) for r in res.collect())
     batch = read_trace(spark, str(src / "*.csv"), mode="tolerant")
     want = sorted((r.trace_id.split("/")[-1], r.ordinal, r.ordinal * 0.5) for r in batch.collect())
