@@ -180,14 +180,19 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
 
 
 def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                salt_buckets: int = 64, strategy: str = "auto", motorola: bool = False) -> DataFrame:
-    """One row per (frame, active signal): frame columns + message_name, signal_index,
-    signal_name, raw_value, value, unit, value_description (P10)."""
+                salt_buckets: int = 64, strategy: str = "auto", motorola: bool = False,
+                keep_payload: bool = False) -> DataFrame:
+    """One row per (frame, active signal): the frame columns + message_name, signal_index,
+    signal_name, raw_value, value, unit, value_description (P10, ``signals_long``).
+
+    The payload is not repeated on every signal row unless ``keep_payload=True`` (join it
+    back on ``(trace_id, ordinal)`` when needed)."""
     dbc = _require(dbc)
     if strategy in ("auto", "compiled"):
         layout = compiled_layout(dbc, motorola)
         if layout is not None:
-            return explode_signals(decode_nested_compiled(frames, layout))
+            out = explode_signals(decode_nested_compiled(frames, layout))
+            return out if keep_payload else out.drop("payload")
         if strategy == "compiled":
             raise DecodeError("dictionary too large to compile; use strategy='join'")
     layouts = signal_layouts(dbc)
@@ -199,8 +204,9 @@ def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DE
     step = joined.filter(active).withColumn("raw_value", raw)
     value = physical_value(F.col("raw_value"), F.col("bit_length"), F.col("is_signed"), F.col("value_type"),
                            F.col("scale"), F.col("offset"))
+    keep = [c for c in frames.columns if keep_payload or c != "payload"]
     return step.select(
-        *frames.columns, "message_name", "signal_index", "signal_name", "raw_value", value.alias("value"), "unit",
+        *keep, "message_name", "signal_index", "signal_name", "raw_value", value.alias("value"), "unit",
         F.try_element_at(F.col("labels"), F.col("raw_value")).alias("value_description"),
     )
 
