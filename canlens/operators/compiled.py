@@ -184,7 +184,7 @@ def _empty_signals() -> Column:
 def _signals_expr(sel, sigs) -> Column:
     empty = _empty_signals()
     sel_raw = None if sel is None else raw_literal(sel["start_bit"], sel["bit_length"], sel["little_endian"])
-    elems = []
+    structs, elems = [], []
     for s in sigs:
         raw = raw_literal(s["start_bit"], s["bit_length"], s["little_endian"])
         st = F.struct(
@@ -195,6 +195,7 @@ def _signals_expr(sel, sigs) -> Column:
             F.lit(s["unit"]).alias("unit"),
             label_literal(raw, s.get("labels")).alias("value_description"),
         )
+        structs.append(st)
         one = F.array(st)
         mv = s["multiplex_value"]
         if mv is not None:
@@ -203,6 +204,8 @@ def _signals_expr(sel, sigs) -> Column:
         elems.append(one)
     if not elems:
         return empty
+    if all(s["multiplex_value"] is None for s in sigs):
+        return F.array(*structs)  # every signal always active
     # flatten of 0/1-element arrays drops inactive multiplexed signals without a lambda
     # (array_compact is a lambda filter and would turn off whole-stage codegen).
     return F.flatten(F.array(*elems))
