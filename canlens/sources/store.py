@@ -19,17 +19,26 @@ from ..plans.sizing import join_small
 DEFAULT_CHUNK_SIZE = 4096
 
 
+# About 1-2 GB of Parquet per file at ~40 bytes a frame.
+DEFAULT_MAX_RECORDS_PER_FILE = 40_000_000
+
+
 def save_trace(frames: DataFrame, path: str, chunk_size: int = DEFAULT_CHUNK_SIZE, files: int | None = None,
-               mode: str = "overwrite", id_bloom_filter: bool = True) -> str:
+               mode: str = "overwrite", id_bloom_filter: bool = True,
+               max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE) -> str:
     """Write frames (any source) as a chunked, ordinal-sorted Parquet store.
 
     Files are range-partitioned and sorted by ``(trace_id, ordinal)`` (min/max statistics
     prune ordinal and time lookups); a Parquet bloom filter on ``can_id`` lets id lookups
-    skip row groups although the data is not sorted by id."""
+    skip row groups although the data is not sorted by id.  Range partitioning splits a
+    trace holding a third of all frames over many ordinal ranges, so no task gets a hot
+    key; ``max_records_per_file`` bounds file sizes.  ``files`` defaults to
+    ``spark.sql.shuffle.partitions`` (size it to ~data / 1 GB on a cluster)."""
     spark = frames.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = frames.withColumn("chunk_id", F.floor(F.col("ordinal") / F.lit(chunk_size)).cast("bigint"))
-    w = out.repartitionByRange(n, "trace_id", "ordinal").sortWithinPartitions("trace_id", "ordinal").write.mode(mode)
+    w = (out.repartitionByRange(n, "trace_id", "ordinal").sortWithinPartitions("trace_id", "ordinal")
+         .write.mode(mode).option("maxRecordsPerFile", str(max_records_per_file)))
     if id_bloom_filter:
         w = w.option("parquet.bloom.filter.enabled#can_id", "true")
     w.parquet(path)
