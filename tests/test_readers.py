@@ -161,3 +161,10 @@ def test_discover(spark, tmp_path):
     write(tmp_path, "c.bin", "x\n")
     got = [r.path.split("/")[-1] for r in discover_traces(spark, str(tmp_path)).collect()]
     assert got == ["a.asc", "b.dbc"]
+
+
+def test_empty_and_header_only(spark, tmp_path):
+    for name, text in [("h.csv", "timestamp,channel,can_id,dlc,payload\n"), ("e.csv", "")]:
+        p = write(tmp_path, name, text)
+        assert read_trace(spark, p).count() == 0
+        assert bad_lines(spark, p).count() == 0
