@@ -59,14 +59,17 @@ class _Parsed:
 
 
 def _parse_candump(t: Column, exact: bool = False) -> _Parsed:
-    g = lambda i: F.regexp_extract(t, _CANDUMP_RE, i)
+    # One regex pass rewrites a matching line to "ts\x01iface\x01id\x01data" (a line that
+    # does not match is left as it is and fails the ``rlike`` check); fields are then split.
     m = t.rlike(_CANDUMP_RE)
+    parts = F.split(F.regexp_replace(t, _CANDUMP_RE, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    g = lambda i: F.get(parts, i - 1)
     iface = g(2)
     last = F.substring(iface, -1, 1)
     channel = F.when((F.length(iface) > 3) & last.rlike("^[0-9]$"), last.cast("int")).otherwise(F.lit(0))
     ts = seconds_to_ns(g(1), exact)
     can_id = hex_to_long(g(3))
-    payload, dlc = parse_payload(g(4))
+    payload, dlc = parse_payload(F.coalesce(g(4), F.lit("")))
     ok = m & ts.isNotNull() & valid_can_id(can_id) & payload.isNotNull()
     return _Parsed(F.lit(False), ok, ts, can_id, dlc, channel, F.lit(0), payload)
 
