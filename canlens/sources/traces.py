@@ -148,7 +148,11 @@ def bad_lines(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
     out = None
     for f, ps in _group_by_format(_expand(spark, paths), fmt).items():
         parsed = parse_lines(scan_lines(spark, ps), f)
-        bad = with_line_numbers(parsed).filter(F.col("is_record") & ~F.col("is_frame"))
+        # Number only what is needed: split keys, line ids, and the text of bad lines.
+        is_bad = F.col("is_record") & ~F.col("is_frame")
+        slim = parsed.select("file_path", "block_start", "mid", is_bad.alias("bad"),
+                             F.when(is_bad, F.col("value")).alias("value"))
+        bad = with_line_numbers(slim).filter("bad")
         bad = bad.select(F.col("file_path").alias("trace_id"), "line_no", F.col("value").alias("text"))
         out = bad if out is None else out.unionByName(bad)
     return out
