@@ -63,6 +63,8 @@ def _split_bases(counts: DataFrame, count_col: str, base_col: str) -> DataFrame:
 # One row per split; with the compact key a row is four longs, so even ~800 000 splits
 # (100 TB at 128 MB) stay a ~25 MB broadcast.
 MAX_SPLIT_ROWS_COMPACT = 1_000_000
+# The compact key is used when no two paths share a hash; False forces the path key.
+USE_COMPACT_SPLIT_KEY = True
 
 
 def _join_split_table(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def _join_split_table(rows: DataFrame, table: DataFrame) -> DataFrame:
     path itself.  Above the bound the join is left to a shuffle join."""
     n_paths = table.select("file_path").distinct().count()
     n_hashes = table.select(F.xxhash64("file_path").alias("h")).distinct().count()
-    if n_paths == n_hashes:
+    if USE_COMPACT_SPLIT_KEY and n_paths == n_hashes:
         compact = table.withColumn("_fid", F.xxhash64("file_path")).drop("file_path")
         keyed = rows.withColumn("_fid", F.xxhash64("file_path"))
         return join_small(keyed, compact, ["_fid", "block_start"], max_rows=MAX_SPLIT_ROWS_COMPACT).drop("_fid")

@@ -168,3 +168,17 @@ def test_empty_and_header_only(spark, tmp_path):
         p = write(tmp_path, name, text)
         assert read_trace(spark, p).count() == 0
         assert bad_lines(spark, p).count() == 0
+
+
+def test_path_key_fallback(spark, tmp_path, monkeypatch):
+    """The split table keyed by path (used when two paths share a hash) numbers the same."""
+    from canlens.sources import lines
+
+    a = write(tmp_path, "a.csv", "".join(f"{i}.0,0,1,1,00\n" for i in range(7)) + "bad\n1.5,0,2,1,00\n")
+    b = write(tmp_path, "b.csv", "9.0,0,3,1,00\n")
+    want = sorted((r.trace_id, r.ordinal, r.can_id) for r in read_trace(spark, [a, b], mode="tolerant").collect())
+    monkeypatch.setattr(lines, "USE_COMPACT_SPLIT_KEY", False)
+    got = sorted((r.trace_id, r.ordinal, r.can_id) for r in read_trace(spark, [a, b], mode="tolerant").collect())
+    assert got == want and [o for t, o, _ in got if t.endswith("a.csv")] == list(range(8))
+    bl = [(r.line_no, r.text) for r in bad_lines(spark, a).collect()]
+    assert bl == [(8, "bad")]
