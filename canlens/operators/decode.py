@@ -1,16 +1,20 @@
 """Decode frames into signals.
 
-The dictionary is joined to the frames by ``can_id``.  Dictionaries are small and their
-row counts are known after loading, so the join broadcasts them (no shuffle of frames and
-no skew problem even if one id carries a third of all frames); a dictionary beyond the
-broadcast bound falls back to a shuffle join with the dictionary side *salted* (replicated
-over ``salt_buckets``) so a hot id is spread over many tasks.
+Three strategies, chosen by the dictionary's checked size (``strategy="auto"``):
+
+* compiled (``compiled.py``): a dictionary of at most ``MAX_COMPILED_SIGNALS`` signals
+  becomes literal column expressions — no join at all, one codegen projection;
+* broadcast join on ``can_id`` when the layout table is under the broadcast bound (no
+  shuffle of frames, and no skew problem even if one id carries a third of all frames);
+* beyond that a shuffle join with the dictionary side *salted* (replicated over
+  ``salt_buckets``) so a hot id is spread over many tasks.
 
 Two shapes:
 
 * ``decode_nested``: one row per frame with ``message_name`` and ``signals`` (array of
-  structs in dictionary order).  The signal array is built with ``filter``/``transform``
-  over the message's layout array, so decoded filters (``exists``) need no regrouping.
+  structs in dictionary order).  On the join path the array is built with
+  ``filter``/``transform`` over the message's layout array, so decoded filters
+  (``exists``) need no regrouping.
 * ``decode_long``: one row per (frame, active signal) — the canonical export shape.
 
 Reference rules kept: the multiplexer selector is the first signal flagged ``M``; a
