@@ -179,8 +179,10 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
         s["unit"].alias("unit"),
         F.try_element_at(s["labels"], s["raw_value"]).alias("value_description"),
     ))
-    return joined.select(*frames.columns, "message_name",
-                         F.when(F.col("layout").isNotNull(), signals).alias("signals"))
+    # The signal array comes out of a one-row generator: a decoded filter on ``signals``
+    # then stays above it instead of being pushed below with the whole decode inlined.
+    out = F.when(F.col("layout").isNotNull(), signals).alias("signals")
+    return joined.select(*frames.columns, "message_name", F.inline_outer(F.array(F.struct(out))))
 
 
 def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,

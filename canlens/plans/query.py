@@ -48,13 +48,13 @@ def run_query(frames: DataFrame, raw_filter=None, decoded_filter=None, dbc: Dbc
               can_id: int | None = None, first_only: bool = False, max_matches: int | None = None,
               keep_undecoded: bool = False, frame_hook=None, decoded_hook=None, ordered: bool = False,
               double_compat: bool = False, compat_single_id: bool = False,
-              same_signal_filter: tuple | None = None) -> DataFrame:
+              same_signal_filter: tuple | None = None, strategy: str = "auto") -> DataFrame:
     """Run one query over ``frames`` and return the matching rows.
 
     ``first_only`` / ``max_matches`` return the first rows in source order (per trace id and
     ordinal); ``max_matches=0`` returns nothing (the reference returns one row, Q14).
     ``same_signal_filter=(name, op, value)`` keeps frames where one signal satisfies both
-    (G5)."""
+    (G5).  ``strategy`` picks the decode path (``auto``/``compiled``/``join``)."""
     df = frames
     if ordinal_start is not None or ordinal_end is not None:
         df = df.filter(ordinal_range(ordinal_start, ordinal_end))
@@ -68,7 +68,7 @@ def run_query(frames: DataFrame, raw_filter=None, decoded_filter=None, dbc: Dbc
     if needs_decode:
         if dbc is None:
             raise DecodeError("decoding was requested but no DBC is loaded")
-        layout = compiled_layout(dbc)
+        layout = compiled_layout(dbc) if strategy in ("auto", "compiled") else None
         if layout is not None:
             # Small dictionary: the decoded filter is compiled too and runs before decoding.
             filtered = decoded_filter is not None or same_signal_filter is not None

@@ -357,6 +357,17 @@ def q_decoded_tree(spark, sf):
     return _decoded_out(run_query(frames(spark, sf), dbc=events_dbc(spark), decoded_filter=tree))
 
 
+@register("decoded_tree_join", _decoded_frames_sql(
+    "f.can_id = 257 AND NOT EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal AND s.value = 0.0::DOUBLE) "
+    "AND (EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal AND lower(s.signal_name) = 'even') "
+    "OR EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal AND s.value < 1.0::DOUBLE))"))
+def q_decoded_tree_join(spark, sf):
+    """G4 on the join path (dictionaries too large to compile): ``exists`` over the array."""
+    tree = all_of(Pred("message_name", "eq", "view"), negate(Pred("signal_value", "eq", 0)),
+                  any_of(Pred("signal_name", "eq", "Even"), Pred("signal_value", "lt", 1.0)))
+    return _decoded_out(run_query(frames(spark, sf), dbc=events_dbc(spark), decoded_filter=tree, strategy="join"))
+
+
 @register("raw_then_decoded", _decoded_frames_sql(
     "f.channel = 2 AND f.frame_type = 0 AND EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal "
     "AND s.value >= 100.0::DOUBLE) AND NOT EXISTS (SELECT 1 FROM signals s WHERE s.ordinal = f.ordinal "
