@@ -47,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current.rstrip("/")
-    # Unset: only happens in local runs and tests.
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share (master {master})")
+    # Local runs and tests only: one machine, so its own folder is shared.
     path = tempfile.mkdtemp(prefix="canlens-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -66,30 +69,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _SHIPPED: set[str] = set()
 
 
+def write_shared_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one small file to any folder that Spark's file systems reach."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make ``canlens`` importable in Python workers (needed only by Python hooks).
+    """Make ``canlens`` importable in Python workers.
 
-    Zips the package into the shared scratch folder and registers it with ``addPyFile``,
-    once per application.  On a cluster whose checkpoint folder is not a local path,
-    install the package on the executors or pass it with ``--py-files`` instead."""
+    Zips the package in memory, writes it once per application to the shared folder (local
+    or remote) and registers it with ``addPyFile``, which every executor fetches from there."""
+    import io
     import zipfile
 
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    base = ensure_checkpoint_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        _SHIPPED.add(sc.applicationId)
-        return
-    folder = scratch_path(spark, "pyfiles")
-    os.makedirs(folder, exist_ok=True)
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(folder, "canlens.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = os.path.join(scratch_path(spark, "pyfiles"), "canlens.zip")
+    write_shared_bytes(spark, target, packed.getvalue())
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
