@@ -21,16 +21,21 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pre-tokens kept per Python worker.
 MEMO = 400_000
+#: Unseen pre-tokens that are encoded at a time.
+JOINED = 1024
 #: Characters of text that are split at a time.
 BLOCK_CHARS = 4 << 20
 
 #: Characters whose classes are alike in every engine and that no normaliser changes, but for case.
 _PLAIN = re.compile("[\x00-\x1b\x20-įı-ɏ‐-‧]*")
-_LETTER, _NUMBER, _OTHER = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]", r"[\d\xb2\xb3\xb9\xbc-\xbe]", r"(?:[^\w\s]|_)"
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d|"
-#: The pre-token patterns of the two files (fixed by their formats), in terms of ``re``.
-BYTE_LEVEL = re.compile(rf"{_SHORT} ?{_LETTER}+| ?{_NUMBER}+| ?{_OTHER}+|\s+(?!\S)|\s+")
-WORD_LEVEL = re.compile(rf"{_SHORT}{_LETTER}+|{_NUMBER}|{_OTHER}+")
+#: Letters and numbers among them, as ranges.
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_OTHER = rf"[^\s{_LETTER}{_NUMBER}]"
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
+#: The pre-token patterns of the two files (fixed by their formats), in terms of ``re``; the
+#: frequent alternative comes first, which is sound as each starts with characters of its own.
+BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]++|{_SHORT}| ?[{_NUMBER}]++| ?{_OTHER}++|\s+(?!\S)|\s+")
+WORD_LEVEL = re.compile(rf"[{_LETTER}]++|{_SHORT}|[{_NUMBER}]|{_OTHER}++")
 WORD_END = "</w>"
 
 
@@ -67,13 +72,16 @@ class _Encoder:
 
     def _learn(self, lists: list[list[str]]) -> None:
         found = set().union(*lists)
-        new = [w for w in found if w not in self.memo]
+        new = found.difference(self.memo)
         if len(self.memo) + len(new) > max(MEMO, len(self.fixed) + len(found)):
             self.memo = dict(self.fixed)
-            new = [w for w in found if w not in self.memo]
-        for lo in range(0, len(new), 4096):
-            part = new[lo: lo + 4096]
-            self.memo.update(zip(part, map(self.keep, self.encode(part)), strict=True))
+            new = found.difference(self.memo)
+        words = list(new)
+        for lo in range(0, len(words), JOINED):
+            self.remember(words[lo: lo + JOINED])
+
+    def remember(self, words: list[str]) -> None:
+        self.memo.update(zip(words, map(self.keep, self.encode(words)), strict=True))
 
     def pieces(self, texts: Iterable[str]) -> Iterator:
         """For each text the result of ``whole`` or of ``joined`` over its pre-tokens."""
@@ -102,6 +110,24 @@ class ByteIds(_Encoder):
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.split = BYTE_LEVEL.findall
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.n_bytes[number] = len(token)  # a character of a byte-level token stands for one byte
+
+    def remember(self, words: list[str]) -> None:
+        """As a space and letters end where the next such pre-token begins, words of this kind
+        are encoded as one text, whose ids are dealt out again by the bytes they stand for."""
+        joined = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        if joined:
+            text = "".join(joined)
+            ids = np.array(self.encode([text])[0], dtype=self.dtype)
+            begins = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 0x20)
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), begins, side="right") * self.width
+            raw, at = ids.tobytes(), [*cuts.tolist(), len(ids) * self.width]
+            self.memo.update((w, raw[lo:hi]) for w, lo, hi in zip(joined, at, at[1:], strict=False))
+        if len(joined) < len(words):
+            super().remember([w for w in words if w not in self.memo])
 
     def keep(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
