@@ -33,7 +33,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     records.write_records(documents(spark, sf_dir), path, tokenizer_file("byte_bpe_50k.json"))
-    return records.read_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "record")
+    return records.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "record")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ A masked checksum is the CRC-32 rotated right by 15 bits plus a constant, so tha
 over data that hold checksums stays sound.  The files are written by Spark's text sink (each
 row is one frame, the sink's line separator is the closing byte), so they go to any folder
 Spark reaches, with its commit protocol; they are read as ``binaryFile``.  The index is a
-Parquet table beside them: doc_id, file, record, offset, length, n_tokens, start.
+Parquet table beside them, made by reading every frame back and checking its checksums:
+doc_id, file, record, offset, length, n_tokens, start, ids_crc32.
 
 Null text counts as empty: the record holds the end id alone.  Rows with a null id come first
 and keep it null; repeated rows are records of their own, equal ids in the order of their
@@ -31,15 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions_for, ready, small, texts_of
+from .common import partitions_for, ready, small, texts_of, written
 
 #: Bytes of input a data file is made from; a file must fit in a task's memory.
 FILE_BYTES = 8 << 20
 _MASK = 0xA282EAD8
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
 _FRAME = _LENGTH.size + 2 * _SUM.size + 1
-INDEX = "doc_id bigint, file string, record bigint, offset bigint, length bigint, n_tokens bigint, start bigint"
-READ = "doc_id bigint, file string, record bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+INDEX = "doc_id bigint, file string, record bigint, offset bigint, length bigint, n_tokens bigint, start bigint, ids_crc32 bigint"
 
 
 def masked(data: bytes) -> int:
@@ -86,7 +86,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     frames = rows.mapInArrow(encode, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
-    with_starts(scan(spark, path, check=False), spark).select("doc_id", "file", "record", "offset", "length", "n_tokens", "start").write.parquet(f"{path}/index")
+    # the index comes from reading the files back, so it stands for what they hold
+    read = written(scan(spark, path), "records-read")
+    with_starts(read).select(*spark.createDataFrame([], INDEX).columns).write.parquet(f"{path}/index")
 
 
 def data_files(spark: SparkSession, path: str) -> DataFrame:
@@ -116,19 +118,16 @@ def scan(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     return data_files(spark, path).mapInArrow(parse, "doc_id bigint, file string, record bigint, offset bigint, length bigint, n_tokens bigint, before bigint, ids_crc32 bigint")
 
 
-def with_starts(records: DataFrame, spark: SparkSession, totals: DataFrame | None = None) -> DataFrame:
+def with_starts(records: DataFrame) -> DataFrame:
     """Add ``start``: ids of all records before, by one running sum over the files' totals."""
-    if totals is None:
-        totals = records.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = records.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
+    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     base = totals.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))
     return records.join(small(base), "file").withColumn("start", F.col("base") + F.col("before"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record, checked against its checksums, with the checksum of its ids."""
-    totals = spark.read.schema(INDEX).parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    return with_starts(scan(spark, path), spark, totals).select("doc_id", "file", "record", "start", "n_tokens", "ids_crc32")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
@@ -136,8 +135,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
 
     The index alone decides the order; each file's records are then cut out at the index's
     offsets, in the order of their ranks."""
-    index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    ranked = index.withColumn("rank", F.xxhash64(F.lit(seed), "file", "record"))
+    ranked = read_index(spark, path).withColumn("rank", F.xxhash64(F.lit(seed), "file", "record"))
     wanted = ranked.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", "offset"))).alias("wanted"))
 
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
