@@ -4,7 +4,7 @@ A pre-token's tokens don't depend on its neighbours, so each distinct pre-token
 once by the ``tokenizers`` library and looked up afterwards.  Texts in which the pre-token
 split could differ between regular-expression engines (characters outside ``_PLAIN``) and
 texts with a special string go to the library whole.  The memo holds ``MEMO`` pre-tokens at
-most and is emptied when full; that changes speed only.
+most; when full, only those of the block at hand stay.  That changes speed only.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pre-tokens kept per Python worker.
-MEMO = 400_000
+MEMO = 700_000
 #: Unseen pre-tokens that are encoded at a time.
 JOINED = 1024
 #: Characters of text that are split at a time.
@@ -74,8 +74,8 @@ class _Encoder:
         found = set().union(*lists)
         new = found.difference(self.memo)
         if len(self.memo) + len(new) > max(MEMO, len(self.fixed) + len(found)):
-            self.memo = dict(self.fixed)
-            new = found.difference(self.memo)
+            memo, self.memo = self.memo, dict(self.fixed)
+            self.memo.update((w, memo[w]) for w in found if w in memo)
         words = list(new)
         for lo in range(0, len(words), JOINED):
             self.remember(words[lo: lo + JOINED])
