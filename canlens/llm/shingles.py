@@ -38,6 +38,12 @@ def _byte_table() -> np.ndarray:
 _VALUE = _byte_table()
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Word bytes for which punctuation separates too: ASCII letters and digits, and all of UTF-8 beyond ASCII.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: As ``ALNUM`` without digits.
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -74,11 +80,13 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start byte, end byte and document number of each word of the block."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start byte, end byte and document number of each word of the block.
+
+    ``kind`` tells which bytes belong to words."""
     start, end = int(offsets[0]), int(offsets[-1])
     text = raw[start:end]
-    is_word = _IS_WORD[text]
+    is_word = kind[text]
     first = np.zeros(len(text) + 1, dtype=bool)
     bounds = offsets - start
     first[bounds] = True  # a document begins here, or the block ends
