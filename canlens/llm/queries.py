@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, exact_index, langid, packing, records, sharding, token_counts, toxicity
+from . import decontam, exact_index, langid, near_dup, packing, records, sharding, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), chain_labels(spark, sf_dir), ["low_quality", "toxic"], "toxic")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
