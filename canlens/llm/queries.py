@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, exact_index, langid, near_dup, packing, records, sharding, token_counts, toxicity
+from . import decontam, exact_index, langid, near_dup, packing, records, repeats, sharding, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,6 +41,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_near_dedup": op4_near_dedup,
+    "op5_repeats": op5_repeats,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
