@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +65,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def batches(rows: Iterator[pa.RecordBatch], empty: pa.RecordBatch | None = None) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        if batch.num_rows:
-            yield batch
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't among those of ``gone`` (null counts as an id)."""
+    ids = written(gone.select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
+    return docs.join(small(ids), docs[id_col].cast("bigint").eqNullSafe(F.col("_gone_id")), "left_anti")

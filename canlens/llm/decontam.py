@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, small_bytes, written
+from .common import ready, small, small_bytes, without, written
 
 SPAN, IGNORED, ERRORS = 12, 5, 2
 #: Bits of the map of benchmark hashes (a fixed bound on what is broadcast: 2 MB).
@@ -208,3 +208,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
     none = F.array().cast("array<bigint>")
     return joined.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"),
                          F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_equal", F.lit(0)).alias("n_equal"))
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id overlaps no benchmark item."""
+    return without(docs, find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options), id_col)

@@ -21,11 +21,11 @@ gives an empty index and result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import partitions_for, small
+from .common import partitions_for, small, written
 
 #: Bits of the hash that the directory can use, and its bound: 2**MAX_DEPTH slots.
 MAX_DEPTH = 16
@@ -97,3 +97,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     build_index(docs, path, capacity, id_col, text_col)
     found = probe(docs, path, id_col, text_col)
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one for each distinct text (see ``exact_groups``)."""
+    found = written(exact_groups(docs, id_col, text_col), "exact-groups")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    sha = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), _UPPER, _LOWER), 256)
+    rows = docs.withColumn("_sha", sha)
+    rows = rows.join(small(gone), docs[id_col].cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
+    # rows that repeat id and text are all marked as kept; one of them stays
+    twice = found.where("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    if not twice.isEmpty():
+        rows = rows.dropDuplicates(["_sha"])
+    return rows.drop("_sha")

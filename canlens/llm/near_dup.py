@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, written
+from .common import ready, small, without, written
 from .components import components
 
 M, K, WIDTH, PERCENT = 14, 3, 5, 85
@@ -233,3 +233,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     out = full.join(classes, ["a", "b", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of a component's other documents."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    return without(docs, found.where(~F.col("kept")), id_col)

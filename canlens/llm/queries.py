@@ -27,14 +27,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: Categories in chain order, and the one that rejects.
+CHAIN, TARGET = ["low_quality", "toxic"], "toxic"
+
+
 def chain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The label table's categories in chain order: low quality first, then toxic."""
+    """The label table's categories, as 0/1 columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(documents(spark, sf_dir), chain_labels(spark, sf_dir), ["low_quality", "toxic"], "toxic")
+    return toxicity.classify(documents(spark, sf_dir), chain_labels(spark, sf_dir), CHAIN, TARGET)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,23 @@ def classify(docs: DataFrame, labels: DataFrame, categories: Sequence[str], targ
     if chain is None:
         return found.select("doc_id", *[F.lit(None).cast("double").alias(f"p_{c}") for c in categories], F.lit(False).alias("rejected"))
     return found.withColumn("rejected", F.col(f"p_{target}") >= threshold)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, categories: Sequence[str], target: str, threshold: float = 0.5,
+               id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
+    """The rows of ``docs``, all columns, that the chain doesn't reject; all of them without labels."""
+    chain = fit_chain(docs, labels, categories, id_col=id_col, text_col=text_col, **fitting)
+    if chain is None:
+        return docs
+    shared = ready(docs.sparkSession).sparkContext.broadcast(chain)
+    at = list(categories).index(target)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = shared.value
+        for batch in parts:
+            raw, offsets = shingles.utf8_column(batch.column(text_col))
+            odds = [chain.log_odds(_present(raw, offsets[lo: hi + 1], chain.words))[at] for lo, hi in _blocks(offsets)]
+            clean = 1 / (1 + np.exp(-np.concatenate(odds).astype(float))) < threshold if odds else np.zeros(0, dtype=bool)
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
