@@ -38,7 +38,7 @@ from .common import ready, small, written
 
 LENGTH, GRAM = 200, 64
 #: Distinct runs of one anchor that are compared in one task.
-HOT = 512
+HOT = 2048
 #: Bytes hashed, and bytes whose suffixes are ordered, at a time.
 PIECE, BLOCK = 1 << 20, 1 << 18
 _U = np.uint64
@@ -202,15 +202,17 @@ def _halved(segments: DataFrame, length: int, gram: int, keep_first: bool) -> Da
         core = F.expr(f"xxhash64(substring(bytes, rel - a + 1, {length - size + 1}))")
         part = written(part.withColumn("whole", whole).withColumn("core", core), "hot-parts")
         place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("th"), (F.col("lo") + F.col("first")).alias("at"))
-        wholes = part.groupBy("h", "a", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("least"))
-        full = part.join(wholes.where(F.col("c") > 1), ["h", "a", "whole"])
+        # one part of each content goes on, as what shorter parts of others may equal
+        one = F.min(F.struct(place.alias("least"), *[c for c in part.columns if c not in ("h", "a", "whole")])).alias("one")
+        wholes = part.groupBy("h", "a", "whole").agg(F.count(F.lit(1)).alias("c"), one)
+        wholes = written(wholes.select("h", "a", "whole", "c", "one.*"), "hot-wholes")
+        full = part.join(wholes.where(F.col("c") > 1).select("h", "a", "whole", "least"), ["h", "a", "whole"])
         if keep_first:  # only single windows tell which place is the first of all
             full = full.where((place != F.col("least")) & F.lit(size == 1))
         spans = full.select("doc_id", "th", (F.col("lo") + F.col("first")).alias("lo"), (F.col("last") - F.col("first") + 1).cast("int").alias("n"))
         found = spans if found is None else found.unionByName(spans)
         if size > 1:
-            # one part of each content goes on, as what shorter parts of others may equal
-            left = part if keep_first else part.join(wholes.select("h", "a", "whole", "least"), ["h", "a", "whole"]).where(place == F.col("least"))
+            left = part if keep_first else wholes
             cores = left.groupBy("h", "a", "core").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("h", "a", "core")
             left = left.join(cores, ["h", "a", "core"])
             now = left.select("h", "doc_id", "th", "lo", "n", "rel", "bytes", F.explode(F.array(F.col("a"), F.col("a") + size // 2)).alias("a"))
@@ -294,9 +296,9 @@ def _small_lists(df: DataFrame, column: str, max_rows: int = 200_000, max_items:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
-    spans = _small_lists(repeated_spans(docs, length, gram, keep_first, id_col, text_col).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "spans"), "spans")
+    spans = repeated_spans(docs, length, gram, keep_first, id_col, text_col).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "spans")
     rows = _keyed(docs, id_col, text_col)
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(F.col("i")) & (rows["th"] == F.col("t")), "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), rows["doc_id"].eqNullSafe(F.col("i")) & (rows["th"] == F.col("t")), "left").select("doc_id", "text", "spans")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
