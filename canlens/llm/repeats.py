@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, written
+from .common import ready, written
 
 LENGTH, GRAM = 200, 64
 #: Distinct runs of one anchor that are compared in one task.
@@ -270,8 +270,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _cut(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """The bytes of the asked runs: (h, d, doc_id, th, lo, n, rel, bytes)."""
     lists = written(asked.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.collect_list(F.struct("h", "d", "lo", "n", "rel")).alias("asked")), "asked")
-    lists = _small_lists(lists, "asked")
-    joined = rows.join(lists, rows["doc_id"].eqNullSafe(F.col("i")) & (rows["th"] == F.col("t"))).select("doc_id", "th", "text", "asked")
+    joined = rows.join(lists.hint("merge"), rows["doc_id"].eqNullSafe(F.col("i")) & (rows["th"] == F.col("t"))).select("doc_id", "th", "text", "asked")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -288,12 +287,6 @@ def _cut(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "doc_id bigint, th int, h bigint, d bigint, lo bigint, n int, rel int, bytes binary")
 
 
-def _small_lists(df: DataFrame, column: str, max_rows: int = 200_000, max_items: int = 500_000) -> DataFrame:
-    """``df`` with a broadcast hint if its rows and the items of its lists are few; counted first."""
-    n, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    return F.broadcast(df) if n <= max_rows and items <= max_items else df
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
     spans = repeated_spans(docs, length, gram, keep_first, id_col, text_col).select(F.col("doc_id").alias("i"), F.col("th").alias("t"), "spans")
