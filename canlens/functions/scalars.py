@@ -130,7 +130,8 @@ def format_g6(c) -> Column:
     s = F.regexp_replace(s, r"(\.\d*?)0+(E|$)", "$1$2")
     s = F.regexp_replace(s, r"\.(E|$)", "$1")
     return (
-        F.when(F.isnan(v), F.lit("NAN"))
+        F.when(v.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(v), F.lit("NAN"))
         .when(v == F.lit(float("inf")), F.lit("INF"))
         .when(v == F.lit(float("-inf")), F.lit("-INF"))
         .when(v == 0, F.lit("0"))

@@ -300,7 +300,8 @@ def _active(s, sel) -> Column | bool:
         return True
     if sel is None:
         return False
-    return raw_literal(sel["start_bit"], sel["bit_length"], sel["little_endian"]) == _long(int(mv))
+    # a selector without a value (wider than 64 bits) selects nothing, under NOT too
+    return F.coalesce(raw_literal(sel["start_bit"], sel["bit_length"], sel["little_endian"]) == _long(int(mv)), F.lit(False))
 
 
 def _signal_test(p, s, sel) -> Column | bool:
@@ -316,7 +317,8 @@ def _signal_test(p, s, sel) -> Column | bool:
         return _active(s, sel) if p.op == "ne" else False
     value = value_literal(raw_literal(s["start_bit"], s["bit_length"], s["little_endian"]), s)
     is_float = s["value_type"] in ("float32", "float64")
-    return _and([_active(s, sel), _num_cmp(value, p.op, float(v), is_float)])
+    # a signal without a value fails its test before the test is combined or negated
+    return _and([_active(s, sel), F.coalesce(_num_cmp(value, p.op, float(v), is_float), F.lit(False))])
 
 
 def _message_predicate(expr, name, sel, sigs) -> Column | bool:

@@ -28,6 +28,15 @@ def _ship() -> None:
         ship_package(spark)
 
 
+def _verdicts(result, n: int) -> pd.Series:
+    """Only a boolean result can reject; any other value accepts."""
+    if not isinstance(result, pd.Series):
+        result = pd.Series(result if hasattr(result, "__len__") and not isinstance(result, str) else [result] * n)
+    if pd.api.types.is_bool_dtype(result.dtype):
+        return result.astype("boolean").fillna(True)
+    return result.map(lambda x: x is not False).astype("boolean")
+
+
 def frame_hook(fn=None, expr: str | Column | None = None, enabled: bool = True) -> Column:
     """Boolean column for a frame hook.
 
@@ -37,9 +46,9 @@ def frame_hook(fn=None, expr: str | Column | None = None, enabled: bool = True)
         return F.lit(True)
     if expr is not None:
         c = F.expr(expr) if isinstance(expr, str) else expr
-        return F.coalesce(c.cast("boolean"), F.lit(True))
+        return F.when(F.typeof(c) == "boolean", F.coalesce(c.try_cast("boolean"), F.lit(True))).otherwise(F.lit(True))
     _ship()
-    udf = F.pandas_udf(lambda a, b, c, d: pd.Series(fn(a, b, c, d)).astype("boolean"), T.BooleanType())
+    udf = F.pandas_udf(lambda a, b, c, d: _verdicts(fn(a, b, c, d), len(a)), T.BooleanType())
     return F.coalesce(udf(*[F.col(x) for x in FRAME_HOOK_ARGS]), F.lit(True))
 
 
@@ -49,9 +58,9 @@ def decoded_hook(fn=None, expr: str | Column | None = None, enabled: bool = True
         return F.lit(True)
     if expr is not None:
         c = F.expr(expr) if isinstance(expr, str) else expr
-        return F.coalesce(c.cast("boolean"), F.lit(True))
+        return F.when(F.typeof(c) == "boolean", F.coalesce(c.try_cast("boolean"), F.lit(True))).otherwise(F.lit(True))
     _ship()
-    udf = F.pandas_udf(lambda s: pd.Series(fn(s)).astype("boolean"), T.BooleanType())
+    udf = F.pandas_udf(lambda s: _verdicts(fn(s), len(s)), T.BooleanType())
     return F.coalesce(udf(F.col("message_name")), F.lit(True))
 
 

@@ -3,7 +3,7 @@ aggregation; the distinct lists are bounded by the id / channel domain, not by r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,14 +31,15 @@ def any_decoded(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.bool_or(F.col("message_name").isNotNull()), F.lit(False)).alias("any_decoded"))
 
 
-def chunk_summary(frames: DataFrame, chunk_size: int) -> DataFrame:
-    """Per chunk of ``chunk_size`` ordinals: count, first and last timestamp in order."""
+def chunk_summary(frames: DataFrame, chunk_size: int, *more: Column) -> DataFrame:
+    """Per chunk of ``chunk_size`` ordinals: count, first and last timestamp in order (A6), and
+    further aggregates if given."""
     return (
         frames.withColumn("chunk_id", F.floor(F.col("ordinal") / chunk_size).cast("bigint"))
         .groupBy("trace_id", "chunk_id")
         .agg(F.count(F.lit(1)).alias("event_count"),
              F.min_by("timestamp_ns", "ordinal").alias("first_timestamp_ns"),
-             F.max_by("timestamp_ns", "ordinal").alias("last_timestamp_ns"))
+             F.max_by("timestamp_ns", "ordinal").alias("last_timestamp_ns"), *more)
     )
 
 

@@ -660,8 +660,7 @@ def q_cache_summary(spark, sf):
 def q_chunk_skip(spark, sf):
     """Only chunks overlapping the time range and holding the channel are read."""
     s = _store(spark, sf)
-    chunks = st.build_chunk_summary(s, CHUNK_SIZE)
-    return raw_out(st.skip_chunks(s, chunks, T_JAN10, T_JAN20, channel=1))
+    return raw_out(st.store_range(s, T_JAN10, T_JAN20, channel=1))
 
 
 # --------------------------------------------------------------------------- sinks (K1-K7)

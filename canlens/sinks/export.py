@@ -71,8 +71,13 @@ def export_parquet(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
 
 
 def for_each_match(df: DataFrame, callback) -> None:
-    """Call ``callback(row)`` for every row, on the executors (K5)."""
-    df.foreach(callback)
+    """Call ``callback(row)`` for every row, on the executors, a partition at a time (K5)."""
+
+    def each(rows):
+        for row in rows:
+            callback(row)
+
+    df.foreachPartition(each)
 
 
 def render_frame_text(frames: DataFrame) -> DataFrame:
@@ -91,4 +96,4 @@ def render_signal_text(signals_long: DataFrame) -> DataFrame:
     unit = F.when(F.coalesce(F.col("unit"), F.lit("")) != "", F.concat(F.lit(" "), F.col("unit"))).otherwise(F.lit(""))
     return signals_long.select(
         "trace_id", "ordinal", "signal_index",
-        F.concat(F.col("signal_name"), F.lit(" = "), format_g6("value"), label, unit).alias("text"))
+        F.concat(F.col("signal_name"), F.lit(" = "), F.coalesce(format_g6("value"), F.lit("")), label, unit).alias("text"))

@@ -16,22 +16,88 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DbcIoError, DbcParseError
 from ..functions.scalars import ws_trim
 from .lines import scan_lines, with_line_numbers
 
-# The line grammar.
-_NUM = r"[+-]?[0-9]*\.?[0-9]+(?:[Ee][+-]?[0-9]+)?"
-MESSAGE_RE = r"^BO_\s+(\d+)\s+([A-Za-z0-9_]+)\s*:\s*(\d+)\s+.*$"
-SIGNAL_RE = (
-    r"^SG_\s+([A-Za-z0-9_]+)(?:\s+([Mm](?:\d+)?))?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s+"
-    rf"\(({_NUM}),({_NUM})\)\s+\[({_NUM})\|({_NUM})\]\s+\"([^\"]*)\".*$"
-)
-VALUE_LINE_RE = r"^VAL_\s+(\d+)\s+(\S+)\s+(.+);\s*$"
-VALUE_PAIR_RE = r"(-?\d+)\s+\"([^\"]*)\""
+# A line is taken apart at its separators, as the format lays it out: words are parted by blanks,
+# the name of a message or signal ends at the first colon, texts stand between double quotes.
+_BLANKS = r"\s+"
+
+
+def _word_list(c: Column) -> Column:
+    return F.split(ws_trim(c), _BLANKS)
+
+
+def _around_colon() -> tuple[Column, Column]:
+    """Words before the first colon of the line, and the text after it."""
+    at = F.locate(":", F.col("t"))
+    return _word_list(F.expr("substring(t, 1, greatest(locate(':', t) - 1, 0))")), F.when(at > 0, ws_trim(F.expr("substring(t, locate(':', t) + 1)")))
+
+
+def _digits(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
+
+
+def _identifier(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[A-Za-z0-9_]+$"), F.lit(False))
+
+
+def _number(c: Column) -> Column:
+    plain = F.coalesce(c.rlike("^[-+0-9.eE]+$") & ~c.endswith("."), F.lit(False))
+    return F.when(plain, c.try_cast("double"))
+
+
+def _inside(c: Column, opening: str, closing: str, separator: str) -> tuple[Column, Column]:
+    """The two numbers of a bracketed pair; null where the brackets or a number are missing."""
+    closed = c.startswith(opening) & c.endswith(closing)
+    pair = F.split(F.translate(c, opening + closing, ""), separator)
+    good = closed & (F.size(pair) == 2)
+    return tuple(F.when(good, _number(F.get(pair, F.lit(k)))) for k in (0, 1))
+
+
+def _message_fields() -> dict[str, Column]:
+    head, tail = _around_colon()
+    rest = _word_list(tail)
+    ok = (F.size(head) == 3) & _digits(F.get(head, F.lit(1))) & _identifier(F.get(head, F.lit(2))) & _digits(F.get(rest, F.lit(0))) & (F.size(rest) >= 2)
+    return {"ok": F.coalesce(ok, F.lit(False)), "id": F.get(head, F.lit(1)), "name": F.get(head, F.lit(2)), "dlc": F.get(rest, F.lit(0))}
+
+
+def _signal_fields() -> dict[str, Column]:
+    head, tail = _around_colon()
+    parts = F.split(tail, _BLANKS, 4)
+    layout, order = F.split(F.get(parts, F.lit(0)), "@"), F.get(F.split(F.get(parts, F.lit(0)), "@"), F.lit(1))
+    bits = F.split(F.get(layout, F.lit(0)), r"\|")
+    scale, offset = _inside(F.get(parts, F.lit(1)), "(", ")", ",")
+    minimum, maximum = _inside(F.get(parts, F.lit(2)), "[", "]", r"\|")
+    quoted = F.split(F.get(parts, F.lit(3)), '"')
+    mux = F.coalesce(F.get(head, F.lit(2)), F.lit(""))
+    ok = F.size(head).isin(2, 3) & _identifier(F.get(head, F.lit(1))) & ((mux == "") | (mux == "M") | mux.rlike("^[Mm][0-9]+$"))
+    ok = ok & (F.size(layout) == 2) & (F.size(bits) == 2) & _digits(F.get(bits, F.lit(0))) & _digits(F.get(bits, F.lit(1)))
+    ok = ok & order.isin("0+", "0-", "1+", "1-") & scale.isNotNull() & offset.isNotNull() & minimum.isNotNull() & maximum.isNotNull()
+    ok = ok & (F.get(quoted, F.lit(0)) == "") & (F.size(quoted) >= 3)
+    return {"ok": F.coalesce(ok, F.lit(False)), "name": F.get(head, F.lit(1)), "mux": mux, "start": F.get(bits, F.lit(0)), "length": F.get(bits, F.lit(1)),
+            "little": order.startswith("1"), "signed": order.endswith("-"), "scale": scale, "offset": offset, "minimum": minimum, "maximum": maximum,
+            "unit": F.get(quoted, F.lit(1))}
+
+
+def _label_fields() -> dict[str, Column]:
+    parts = F.split(F.col("t"), _BLANKS, 4)
+    body = F.get(parts, F.lit(3))
+    ok = (F.size(parts) == 4) & _digits(F.get(parts, F.lit(1))) & body.endswith(";") & (F.length(body) > 1)
+    return {"ok": F.coalesce(ok, F.lit(False)), "id": F.get(parts, F.lit(1)), "name": F.get(parts, F.lit(2)), "body": body}
+
+
+def _label_pairs() -> Column:
+    """(raw, label) of a value line's body: a number before each quoted text."""
+    pieces = F.split("body", '"')
+    numbers = F.transform(F.filter(pieces, lambda _, k: k % 2 == 0), lambda x: F.element_at(F.split(F.concat(F.lit(" "), x), " "), -2))
+    labels = F.filter(pieces, lambda _, k: k % 2 == 1)
+    pairs = F.transform(labels, lambda x, k: F.struct(F.get(numbers, k).alias("raw"), x.alias("label")))
+    return F.filter(pairs, lambda p: p["raw"].try_cast("bigint").isNotNull())
 
 
 @dataclass
@@ -60,7 +126,7 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
     try:
         lines = with_line_numbers(scan_lines(spark, paths))
     except AnalysisException as e:
-        raise DbcIoError(f"Unable to open DBC file: {paths}") from e
+        raise DbcIoError(f"no dictionary can be read from {paths}") from e
     t = ws_trim(F.col("value"))
     lines = lines.select("file_path", "line_no", t.alias("t")).filter(F.col("t").rlike("^(BO_|SG_|VAL_) "))
     kind = F.when(F.col("t").startswith("BO_ "), "BO").when(F.col("t").startswith("SG_ "), "SG").otherwise("VAL")
@@ -68,15 +134,16 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
 
     # BO_ ---------------------------------------------------------------------------
     bo = lines.filter(F.col("kind") == "BO")
-    bo_ok = F.col("t").rlike(MESSAGE_RE)
+    m = _message_fields()
+    bo_ok = m["ok"]
     all_messages = bo.filter(bo_ok).select(
-        _u32(F.regexp_extract("t", MESSAGE_RE, 1)).alias("can_id"),
-        F.regexp_extract("t", MESSAGE_RE, 2).alias("message_name"),
-        F.pmod(F.regexp_extract("t", MESSAGE_RE, 3).try_cast("decimal(20,0)"), F.lit(256)).cast("int").alias("dlc"),
+        _u32(m["id"]).alias("can_id"),
+        m["name"].alias("message_name"),
+        F.pmod(m["dlc"].try_cast("decimal(20,0)"), F.lit(256)).cast("int").alias("dlc"),
         F.col("line_no").cast("bigint").alias("def_index"),
         F.col("file_path").alias("def_file"),
     )
-    bad_bo = bo.filter(~bo_ok).select("file_path", "line_no", F.lit("Invalid DBC message definition").alias("message"))
+    bad_bo = bo.filter(~bo_ok).select("file_path", "line_no", F.lit("BO_ line can't be read").alias("message"))
 
     # SG_ attaches to the latest BO_ line before it in the same file -----------------
     w = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -84,30 +151,25 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
         "owner", F.last(F.when(F.col("kind") == "BO", F.col("line_no")), ignorenulls=True).over(w)
     )
     sg = bs.filter(F.col("kind") == "SG")
-    mux = F.regexp_extract("t", SIGNAL_RE, 2)
-    sg_ok = F.col("t").rlike(SIGNAL_RE) & (mux != "m")
+    g = _signal_fields()
+    sg_ok, mux = g["ok"], g["mux"]
     orphan_sg = sg.filter(F.col("owner").isNull()).select(
-        "file_path", "line_no", F.lit("Signal definition found before any message definition").alias("message"))
+        "file_path", "line_no", F.lit("SG_ line without a BO_ line before it").alias("message"))
     bad_sg = sg.filter(F.col("owner").isNotNull() & ~sg_ok).select(
-        "file_path", "line_no", F.lit("Invalid DBC signal definition").alias("message"))
-    g = lambda i: F.regexp_extract("t", SIGNAL_RE, i)
+        "file_path", "line_no", F.lit("SG_ line can't be read").alias("message"))
     sig_rows = sg.filter(F.col("owner").isNotNull() & sg_ok).select(
         F.col("file_path").alias("def_file"),
         F.col("owner").cast("bigint").alias("def_index"),
         F.col("line_no").alias("sg_line"),
-        g(1).alias("signal_name"),
+        g["name"].alias("signal_name"),
         (mux == "M").alias("is_multiplexer"),
         F.when(mux.startswith("m"), F.substring(mux, 2, 20).try_cast("bigint")).alias("multiplex_value"),
-        g(3).try_cast("int").alias("start_bit"),
-        g(4).try_cast("int").alias("bit_length"),
-        (g(5) == "1").alias("little_endian"),
-        (g(6) == "-").alias("is_signed"),
-        F.when(g(6) == "-", F.lit("signed")).otherwise(F.lit("unsigned")).alias("value_type"),
-        g(7).cast("double").alias("scale"),
-        g(8).cast("double").alias("offset"),
-        g(9).cast("double").alias("minimum"),
-        g(10).cast("double").alias("maximum"),
-        g(11).alias("unit"),
+        g["start"].try_cast("int").alias("start_bit"),
+        g["length"].try_cast("int").alias("bit_length"),
+        g["little"].alias("little_endian"),
+        g["signed"].alias("is_signed"),
+        F.when(g["signed"], F.lit("signed")).otherwise(F.lit("unsigned")).alias("value_type"),
+        *[g[c].alias(c) for c in ("scale", "offset", "minimum", "maximum", "unit")],
     )
     sw = Window.partitionBy("def_file", "def_index").orderBy("sg_line")
     sig_rows = sig_rows.withColumn("signal_index", (F.row_number().over(sw) - 1).cast("int"))
@@ -115,14 +177,15 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
 
     # VAL_ attaches to the latest definition of its id before the line ----------------
     vl = lines.filter(F.col("kind") == "VAL")
-    val_ok = F.col("t").rlike(VALUE_LINE_RE)
+    v = _label_fields()
+    val_ok = v["ok"]
     bad_val_syntax = vl.filter(~val_ok).select(
-        "file_path", "line_no", F.lit("Invalid DBC value description").alias("message"))
+        "file_path", "line_no", F.lit("VAL_ line can't be read or names no signal").alias("message"))
     vals = vl.filter(val_ok).select(
         F.col("file_path").alias("def_file"), F.col("line_no").alias("val_line"),
-        _u32(F.regexp_extract("t", VALUE_LINE_RE, 1)).alias("can_id"),
-        F.regexp_extract("t", VALUE_LINE_RE, 2).alias("signal_name"),
-        F.regexp_extract("t", VALUE_LINE_RE, 3).alias("body"),
+        _u32(v["id"]).alias("can_id"),
+        v["name"].alias("signal_name"),
+        v["body"].alias("body"),
     )
     owners = (
         vals.join(all_messages.select("def_file", "can_id", "def_index"), ["def_file", "can_id"], "left")
@@ -134,13 +197,10 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
     owners = owners.join(has_sig, ["def_file", "def_index", "signal_name"], "left")
     bad_val_ref = owners.filter(F.col("sig_ok").isNull()).select(
         F.col("def_file").alias("file_path"), F.col("val_line").alias("line_no"),
-        F.lit("Invalid DBC value description").alias("message"))
+        F.lit("VAL_ line can't be read or names no signal").alias("message"))
     pairs = owners.filter(F.col("sig_ok")).select(
         "def_file", "def_index", "can_id", "signal_name", "val_line",
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all("body", F.lit(VALUE_PAIR_RE), 1).alias("raw"),
-            F.regexp_extract_all("body", F.lit(VALUE_PAIR_RE), 2).alias("label"),
-        )).alias("pos", "p"),
+        F.posexplode(_label_pairs()).alias("pos", "p"),
     )
     label_rows = pairs.groupBy("def_file", "def_index", "can_id", "signal_name",
                                F.col("p.raw").try_cast("bigint").alias("raw_value")).agg(

@@ -80,24 +80,13 @@ VAL_ 258 Sel 0 "even" 1 "odd" ;
 """
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Spread an input that lands in fewer scan partitions than there are cores.
-
-    Only small inputs (one file split, as the test tables) trigger this; a large table
-    already has at least one split per core and is left as it is (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def raw_value(value: Column) -> Column:
     return F.round(value * 100).cast("bigint")
 
 
 def events_frames(spark: SparkSession, sf_dir: str, trace_id: str = "events") -> DataFrame:
     """The ``frames`` table built from ``events`` (one frame per event)."""
-    ev = spread_small_input(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     raw = raw_value(F.col("value"))
     eid = F.col("event_id")
     uid = F.col("user_id")

@@ -100,18 +100,24 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     )
 
 
-def dense_positions(rows: DataFrame, position_col: str = "ordinal") -> DataFrame:
-    """Dense 0-based position of ``rows`` within their file, in file order.
+def number_in_scan(rows: DataFrame) -> DataFrame:
+    """One written copy of ``rows`` with a scan-order id (``_rid``) of the rows that are left.
 
     ``rows`` must come from ``scan_lines`` through narrow operations only (filters and
-    projections), so scan partitions and their row order are intact.  A second
-    ``monotonically_increasing_id()`` taken *after* the filters numbers the surviving rows
-    consecutively inside each partition; rows of one split are contiguous there, so the
-    rank inside the split is ``id - min(id)``.  The per-split minimum and count come from
-    one small aggregate; no shuffle of the rows and no Python."""
-    ided = rows.withColumn("_rid", F.monotonically_increasing_id())
-    stats = ided.groupBy(*SPLIT_KEYS).agg(F.min("_rid").alias("min_rid"), F.count(F.lit(1)).alias("n_rows"))
+    projections), so scan partitions and their row order are intact.  Split boundaries depend
+    on the cores and settings at planning time; whatever numbers the rows reads this copy, so
+    a change between planning and execution can neither lose rows nor shift positions."""
+    return materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+
+
+def dense_positions(rows: DataFrame, position_col: str = "ordinal") -> DataFrame:
+    """Dense 0-based position of the rows of ``number_in_scan`` within their file, in file order.
+
+    Rows of one split are contiguous in its scan partition, so the rank inside the split is
+    ``_rid - min(_rid)``.  The per-split minimum and count come from one small aggregate; no
+    shuffle of the rows and no Python."""
+    stats = rows.groupBy(*SPLIT_KEYS).agg(F.min("_rid").alias("min_rid"), F.count(F.lit(1)).alias("n_rows"))
     bases = _split_bases(stats, "n_rows", "row_base").select(*SPLIT_KEYS, "min_rid", "row_base").checkpoint()
-    joined = _join_split_table(ided, bases)
+    joined = _join_split_table(rows, bases)
     pos = (F.col("row_base") + F.col("_rid") - F.col("min_rid")).cast("bigint")
     return joined.withColumn(position_col, pos).drop("row_base", "min_rid", "_rid")

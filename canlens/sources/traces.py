@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import TraceParseError, UnsupportedFormat
@@ -27,7 +27,7 @@ from ..functions.scalars import (
     ws_trim,
 )
 from ..schema import FRAME_COLUMNS
-from .lines import dense_positions, scan_lines, with_line_numbers
+from .lines import dense_positions, number_in_scan, scan_lines, with_line_numbers
 
 # Extension → format, and the recognised formats no reader exists for.
 TEXT_FORMATS = {".log": "candump", ".candump": "candump", ".txt": "candump", ".csv": "csv", ".asc": "asc"}
@@ -158,25 +158,6 @@ def bad_lines(spark: SparkSession, paths, fmt: str | None = None) -> DataFrame:
     return out
 
 
-def _raise_first_bad(spark: SparkSession, parsed: DataFrame) -> None:
-    """Strict mode: one aggregation over one scan gives, per split, the line count, the
-    first line id and the first bad line; it is checkpointed (one row per split) so every
-    later step sees the same split boundaries.  The first bad line's number is the running
-    line count of the earlier splits of its file plus its rank; one row reaches the driver."""
-    bad = F.col("is_record") & ~F.col("is_frame")
-    per_split = parsed.groupBy("file_path", "block_start").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.min("mid").alias("min_mid"),
-        F.min(F.when(bad, F.struct("mid", "value"))).alias("first_bad")).checkpoint()
-    w = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = per_split.withColumn("base", F.coalesce(F.sum("n_lines").over(w), F.lit(0)))
-    first = (numbered.filter(F.col("first_bad").isNotNull())
-             .select("file_path", (F.col("base") + F.col("first_bad.mid") - F.col("min_mid") + 1).alias("line"),
-                     F.col("first_bad.value").alias("value"))
-             .orderBy("file_path", "line").limit(1).collect())
-    if first:
-        raise TraceParseError(first[0]["file_path"], int(first[0]["line"]), first[0]["value"])
-
-
 def read_trace(spark: SparkSession, paths, fmt: str | None = None, mode: str = "strict",
                keep_source: bool = False, exact_time: bool = False) -> DataFrame:
     """Read text traces into the ``frames`` table.
@@ -191,12 +172,15 @@ def read_trace(spark: SparkSession, paths, fmt: str | None = None, mode: str = "
     out = None
     for f, ps in _group_by_format(_expand(spark, paths), fmt).items():
         parsed = parse_lines(scan_lines(spark, ps), f, exact_time)
-        if mode == "strict":
-            _raise_first_bad(spark, parsed)
-        rows = parsed.filter("is_frame").select(
-            "file_path", "block_start", "file_size", "timestamp_ns", "can_id", "dlc", "channel", "frame_type", "payload"
+        bad = F.col("is_record") & ~F.col("is_frame")
+        rows = parsed.filter(F.col("is_frame") | bad if mode == "strict" else F.col("is_frame")).select(
+            "file_path", "block_start", "file_size", "timestamp_ns", "can_id", "dlc", "channel", "frame_type", "payload", bad.alias("_bad")
         )
-        frames = dense_positions(rows, "ordinal").withColumn("trace_id", F.col("file_path"))
+        copy = number_in_scan(rows)
+        if mode == "strict" and not copy.filter("_bad").isEmpty():
+            first = bad_lines(spark, ps, f).orderBy("trace_id", "line_no").first()
+            raise TraceParseError(first["trace_id"], int(first["line_no"]), first["text"])
+        frames = dense_positions(copy.drop("_bad"), "ordinal").withColumn("trace_id", F.col("file_path"))
         frames = frames.withColumn("source_format", F.lit(f))
         cols = FRAME_COLUMNS + (["source_format", "file_size"] if keep_source else [])
         frames = frames.select(*cols)

@@ -94,18 +94,19 @@ def test_store_and_lookups(spark, tmp_path):
     assert sorted((c.chunk_id, c.event_count) for c in chunks.collect()) == [(0, 2), (1, 2), (2, 1)]
     total = st.store_summary(chunks).collect()[0]
     assert (total.event_count, total.start_timestamp_ns, total.end_timestamp_ns) == (5, 1_000_000, 5_000_000)
-    assert _ords(st.skip_chunks(s, chunks, 2_500_000, 3_500_000)) == [2]
+    assert _ords(st.store_range(s, 2_500_000, 3_500_000)) == [2]
 
 
 def test_lookup_goldens(spark):
-    rows = [("t", 10 + i, ts, 1, 0, 0, 0, b"") for i, ts in enumerate([100, 250, 400, 900])]
+    rows = [("t", 3 + i, ts, 1, 0, 0, 0, b"") for i, ts in enumerate([70, 81, 333, 512, 640])]
     fr = spark.createDataFrame(rows, "trace_id string, ordinal bigint, timestamp_ns bigint, can_id bigint, "
                                      "dlc int, channel int, frame_type int, payload binary")
-    r = st.lookup_time_range(fr, 200, 500).collect()[0]
-    assert (r.first_ordinal, r.last_ordinal) == (11, 12)
-    r = st.lookup_time_range(fr, 100, 100).collect()[0]
-    assert (r.first_ordinal, r.last_ordinal) == (10, 10)
-    assert st.lookup_time_range(fr, 901, 950).count() == 0
+    r = st.lookup_time_range(fr, 75, 512).collect()[0]
+    assert (r.first_ordinal, r.last_ordinal, r.matched) == (4, 6, True)
+    r = st.lookup_time_range(fr, 640, 640).collect()[0]
+    assert (r.first_ordinal, r.last_ordinal, r.matched) == (7, 7, True)
+    r = st.lookup_time_range(fr, 82, 332).collect()[0]
+    assert (r.first_ordinal, r.last_ordinal, r.matched) == (None, None, False)
 
 
 def test_export_goldens(spark, tmp_path):

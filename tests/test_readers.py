@@ -182,3 +182,25 @@ def test_path_key_fallback(spark, tmp_path, monkeypatch):
     assert got == want and [o for t, o, _ in got if t.endswith("a.csv")] == list(range(8))
     bl = [(r.line_no, r.text) for r in bad_lines(spark, a).collect()]
     assert bl == [(8, "bad")]
+
+
+def test_split_changes_between_planning_and_execution_keep_every_frame(spark, tmp_path):
+    """Numbering reads one written copy: new split sizes or parallelism can't lose frames."""
+    n = 20_000
+    lines = ["timestamp,channel,can_id,dlc,payload,frame_type"] + [f"{i / 1000:.3f},1,{i % 2000:X},2,0A 0B,CAN" for i in range(n)]
+    path = write(tmp_path, "splits.csv", "\n".join(lines) + "\n")
+    size, cores = "spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism"
+    before = {k: spark.conf.get(k, None) for k in (size, cores)}
+    try:
+        for first, then in ((("131072", "4"), ("200000", "3")), (("300000", "3"), ("65536", "8"))):
+            spark.conf.set(size, first[0])
+            spark.conf.set(cores, first[1])
+            frames = read_trace(spark, path)
+            spark.conf.set(size, then[0])
+            spark.conf.set(cores, then[1])
+            got = [(r.ordinal, r.timestamp_ns) for r in frames.orderBy("ordinal").collect()]
+            assert [o for o, _ in got] == list(range(n))
+            assert [t for _, t in got] == sorted(t for _, t in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
