@@ -112,7 +112,7 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS, n_words: int = N_WORDS,
               folds: int = FOLDS, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
-    """Learn the chain from ``labels`` (id and one 0/1 column for each category); None without labels."""
+    """Learn the chain from ``labels`` (id and one 0/1 column for each category); None without labelled rows."""
     ready(docs.sparkSession)
     names = [f"y{k}" for k in range(len(categories))]
     given = labels.select(labels[id_col].cast("bigint").alias("doc_id"), *[labels[c].cast("double").alias(n) for c, n in zip(categories, names, strict=True)])
@@ -127,6 +127,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
     train = train.withColumn("copy", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)))
     train = train.groupBy("copy").agg(F.min_by(F.struct("text", *names), "doc_id").alias("row")).select("copy", "row.*")
     train = written(train, "toxicity-train")
+    if train.isEmpty():
+        return None
 
     def words_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
