@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pre-tokens kept per Python worker.
-MEMO = 700_000
+MEMO = 500_000
 #: Unseen pre-tokens that are encoded at a time.
 JOINED = 1024
 #: Characters of text that are split at a time.
@@ -59,8 +59,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.spec = json.loads(source)
-        self.special = [x["content"] for x in self.spec.get("added_tokens") or ()]
+        self.special = [x["content"] for x in json.loads(source).get("added_tokens") or ()]
         self.memo: dict = {}
         self.fixed: dict = {}
 
@@ -148,13 +147,13 @@ class WordCounts(_Encoder):
 
     def __init__(self, source: str):
         super().__init__(source)
-        self.fixed = dict.fromkeys(self.prove(), 1)
+        self.fixed = dict.fromkeys(self.prove(json.loads(source)["model"]["vocab"]), 1)
         self.memo = dict(self.fixed)
 
-    def prove(self) -> list[str]:
+    def prove(self, vocabulary: dict[str, int]) -> list[str]:
         byte = byte_characters()
         names: dict[str, int] = {}
-        for token, number in self.spec["model"]["vocab"].items():
+        for token, number in vocabulary.items():
             if token.endswith(WORD_END):
                 raw = bytes(byte[c] for c in token.removesuffix(WORD_END))
                 try:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, small_bytes, without, written
+from .common import ready, small, small_bytes, tidy, without, written
 
 SPAN, IGNORED, ERRORS = 12, 5, 2
 #: Bits of the map of benchmark hashes (a fixed bound on what is broadcast: 2 MB).
@@ -118,7 +118,7 @@ def _item_hashes(items: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array([int(x) if x is not None else None for x in c], pa.int64()) for c in columns], names=["hash", "item_id", "at", "n_words"])
 
-    return items.mapInArrow(hash_items, "hash bigint, item_id bigint, at bigint, n_words bigint")
+    return items.mapInArrow(tidy(hash_items), "hash bigint, item_id bigint, at bigint, n_words bigint")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
@@ -156,7 +156,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
                         at, hashed = at[hit], hashed[hit]
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at] + lo)), pa.array(_signed(hashed), pa.int64()), pa.array(at - first[doc[at]], pa.int64())], names=["doc_id", "hash", "position"])
 
-    hits = rows.mapInArrow(hash_docs, "doc_id bigint, hash bigint, position bigint")
+    hits = rows.mapInArrow(tidy(hash_docs), "doc_id bigint, hash bigint, position bigint")
     diagonals = hits.join(small(hashes), "hash").select("doc_id", "item_id", (F.col("position") - F.col("at")).alias("diagonal"))
     diagonals = written(diagonals.distinct(), "diagonals")
     asked = diagonals.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one for each word of a document
@@ -178,7 +178,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
             at = pa.array([g[0] for g in good], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("item_id").take(at), *[pa.array([g[j] for g in good], pa.int64()) for j in (1, 2, 3)]], names=["doc_id", "item_id", "first_word", "n_words", "n_equal"])
 
-    found = pairs.mapInArrow(verify, "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, n_equal bigint")
+    found = pairs.mapInArrow(tidy(verify), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, n_equal bigint")
     best = F.max(F.struct("n_equal", (-F.col("first_word")).alias("w"), "n_words")).alias("best")
     found = found.groupBy("doc_id", "item_id").agg(best)
     return found.select("doc_id", "item_id", (-F.col("best.w")).alias("first_word"), "best.n_words", "best.n_equal")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready
+from .common import ready, tidy
 
 BITS, MAX_N, MAX_ROWS, N_LANDMARKS, RIDGE = 14, 4, 4096, 256, 1e-3
 UNKNOWN = "und"
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, n_landmarks: int = N_LANDMARK
             packed = [np.packbits(presence(raw, offsets[k: k + 2])[0]).tobytes() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array(packed, pa.binary())], names=["draw", "lang", "bits"])
 
-    sample = sample.select(draw.alias("draw"), "lang", "text").mapInArrow(pack, "draw bigint, lang string, bits binary")
+    sample = sample.select(draw.alias("draw"), "lang", "text").mapInArrow(tidy(pack), "draw bigint, lang string, bits binary")
     got = sample.orderBy("draw", "lang", "bits").limit(max_rows).collect()  # max_rows x 2 KB
     if not got:
         return None
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             sure = [float(x) if ok else 0.0 for x, ok in zip(sure, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fitting) -> DataFrame:

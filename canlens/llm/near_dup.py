@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, without, written
+from .common import ready, small, tidy, without, written
 from .components import components
 
 M, K, WIDTH, PERCENT = 14, 3, 5, 85
@@ -107,7 +107,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                                                   pa.array(lists, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int16()))], names=names)
 
     names = ["doc_id", "n", "a", "b", "keys", "mins"]
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, keys array<bigint>, mins array<smallint>")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n bigint, a bigint, b bigint, keys array<bigint>, mins array<smallint>")
 
 
 def linked(size_a: int, size_b: int, both: int, percent: int) -> bool:
@@ -136,7 +136,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     good.append(k)
             yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(good, pa.int64())), batch.column("y").take(pa.array(good, pa.int64()))], names=["x", "y"])
 
-    return written(both.mapInArrow(run, "x bigint, y bigint").distinct(), "near-links")
+    return written(both.mapInArrow(tidy(run), "x bigint, y bigint").distinct(), "near-links")
 
 
 def _likely(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import ready, texts_of
+from .common import ready, texts_of, tidy
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -113,4 +113,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
             yield out(found)
         yield out(list(packer.finish()))
 
-    return rows.mapInArrow(pack, SCHEMA)
+    return rows.mapInArrow(tidy(pack), SCHEMA)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, written
+from .common import ready, tidy, written
 
 LENGTH, GRAM = 200, 64
 #: Distinct runs of one anchor that are compared in one task.
@@ -104,7 +104,7 @@ def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(h, pa.int64()), pa.array(seg, pa.int64()),
                                                   pa.array(lo + shift, pa.int64()), pa.array(n, pa.int32()), pa.array(rel, pa.int32())], names=["doc_id", "th", "h", "seg", "lo", "n", "rel"])
 
-    return rows.mapInArrow(run, RUN)
+    return rows.mapInArrow(tidy(run), RUN)
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def _compared(segments: DataFrame, length: int, keep_first: bool) -> DataFrame:
             yield block(rows)
 
     dealt = segments.select("h", "doc_id", "th", "lo", "n", "bytes").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, _SPANS)
+    return dealt.mapInArrow(tidy(run), _SPANS)
 
 
 def _halved(segments: DataFrame, length: int, gram: int, keep_first: bool) -> DataFrame:
@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 merged.append(out)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "th", "spans"])
 
-    return written(lists.mapInArrow(merge, "doc_id bigint, th int, spans array<bigint>"), "spans")
+    return written(lists.mapInArrow(tidy(merge), "doc_id bigint, th int, spans array<bigint>"), "spans")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -284,7 +284,7 @@ def _cut(rows: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *[pa.array([f[j + 1] for f in found], kind) for j, kind in enumerate(kinds)]],
                                              names=["doc_id", "th", "h", "d", "lo", "n", "rel", "bytes"])
 
-    return joined.mapInArrow(run, "doc_id bigint, th int, h bigint, d bigint, lo bigint, n int, rel int, bytes binary")
+    return joined.mapInArrow(tidy(run), "doc_id bigint, th int, h bigint, d bigint, lo bigint, n int, rel int, bytes binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,4 +305,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import ready, texts_of
+from .common import ready, texts_of, tidy
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,4 +34,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
                 pa.array([x > limit for x in n], pa.bool_()),
             ], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(count, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(tidy(count), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, written
+from .common import ready, tidy, written
 
 MAX_ROWS, N_WORDS, FOLDS, RIDGE = 20_000, 128, 5, 0.3
 #: A word is selected if it is in so many training rows, and its positive share so many standard errors off.
@@ -139,7 +139,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
                 at = pa.array(pairs[0].astype(np.int64) + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64)), *[batch.column(c).take(at) for c in names]], names=["word", *names])
 
-    counts = train.mapInArrow(words_of, ", ".join(["word bigint", *[f"{c} double" for c in names]]))
+    counts = train.mapInArrow(tidy(words_of), ", ".join(["word bigint", *[f"{c} double" for c in names]]))
     counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in names], *[F.count(c).alias(f"n_{c}") for c in names])
     counts = written(counts, "toxicity-words")
     share_of = train.agg(*[F.avg(c).alias(c) for c in names]).first()
@@ -158,7 +158,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
             packed = [row.tobytes() for lo, hi in _blocks(offsets) for row in np.packbits(_present(raw, offsets[lo: hi + 1], vocabulary).astype(bool), axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(packed, pa.binary()), *[batch.column(c) for c in names]], names=["copy", "bits", *names])
 
-    got = train.mapInArrow(matrix, ", ".join(["copy bigint, bits binary", *[f"{c} double" for c in names]])).orderBy("copy").toPandas()  # max_rows x n_words bits
+    got = train.mapInArrow(tidy(matrix), ", ".join(["copy bigint, bits binary", *[f"{c} double" for c in names]])).orderBy("copy").toPandas()  # max_rows x n_words bits
     bits = np.frombuffer(b"".join(got["bits"]), dtype=np.uint8).reshape(len(got), -1)
     present = np.unpackbits(bits, axis=1, count=len(vocabulary)).astype(np.float64) if len(vocabulary) else np.zeros((len(got), 0))
     return Chain(list(categories), vocabulary, fit_links(present, got[names].to_numpy(dtype=float), got["copy"].to_numpy() % folds, ridge))
@@ -181,7 +181,7 @@ def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *[pa.array(1 / (1 + np.exp(-z.astype(float)))) for z in odds]], names=names)
 
     names = ["doc_id", *[f"p_{c}" for c in chain.categories]]
-    return rows.mapInArrow(run, ", ".join(["doc_id bigint", *[f"{n} double" for n in names[1:]]]))
+    return rows.mapInArrow(tidy(run), ", ".join(["doc_id bigint", *[f"{n} double" for n in names[1:]]]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories: Sequence[str], target: str, threshold: float = 0.5,
@@ -211,4 +211,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, categories: Sequence[str], ta
             clean = 1 / (1 + np.exp(-np.concatenate(odds).astype(float))) < threshold if odds else np.zeros(0, dtype=bool)
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
