@@ -22,7 +22,7 @@ class TraceParseError(CanLensError):
         self.path = path
         self.line = line
         self.text = text
-        super().__init__(f"Unable to parse text trace line {line} of {path}: {text!r}")
+        super().__init__(f"{path}, line {line}: not a readable trace record: {text!r}")
 
 
 class DbcParseError(CanLensError):

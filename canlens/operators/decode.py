@@ -133,7 +133,7 @@ def _selector_raw(motorola: bool = False) -> Column:
 
 def _require(dbc: Dbc | None) -> Dbc:
     if dbc is None:
-        raise DecodeError("No DBC database is loaded")
+        raise DecodeError("decoding needs a message dictionary")
     return dbc
 
 

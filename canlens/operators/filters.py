@@ -27,6 +27,7 @@ reaches Parquet statistics); a float literal compares the field as DOUBLE.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -39,6 +40,7 @@ from ..errors import QueryError
 RAW_FIELDS = ("timestamp_ns", "can_id", "channel", "frame_type")
 DECODED_FIELDS = ("message_name", "signal_name", "signal_value")
 OPERATORS = ("eq", "ne", "lt", "le", "gt", "ge", "contains")
+_LONG_MIN, _LONG_MAX = -(1 << 63), (1 << 63) - 1
 FRAME_TYPE_WORDS = {"can": 0, "can20": 0, "2.0": 0, "fd": 1, "canfd": 1, "can fd": 1}
 
 
@@ -135,6 +137,8 @@ def _raw_leaf(p: Pred, double_compat: bool) -> Column:
         if kind == "float" and math.isnan(v):
             return F.lit(p.op == "ne")
         return _cmp(col.cast("double"), p.op, F.lit(float(v)))
+    if not _LONG_MIN <= v <= _LONG_MAX:  # beyond every stored value, whatever the row
+        return F.lit(p.op == "ne" or p.op in (("lt", "le") if v > 0 else ("gt", "ge")))
     return _cmp(col, p.op, F.lit(v).cast("bigint"))
 
 
@@ -254,29 +258,21 @@ def _parse_rule_value(field_name: str, text: str):
     return t
 
 
-def _expand_rule(mode: str, value_text: str):
-    t = value_text.strip()
-    if not t:
-        return []
-    has_and = "&" in t
-    has_or = "|" in t or "," in t
-    if not has_and and not has_or:
-        return [(mode, t)]
-    if has_and and has_or:
-        return [(mode, t)]  # mixed separators: kept as one literal
-    default = "any" if has_or and mode != "exclude" else mode
-    out = []
-    for tok in t.replace("|", "\x00").replace(",", "\x00").replace("&", "\x00").split("\x00"):
-        tok = tok.strip()
-        if not tok:
-            continue
-        m = default
-        if tok[0] in "!-":
-            m = "exclude"
-            tok = tok[1:].strip()
-        if tok:
-            out.append((m, tok))
-    return out
+def _expand_rule(mode: str, value_text: str) -> list[tuple[str, str]]:
+    """(mode, item text) pairs of a rule value.
+
+    Items separated by ``&`` keep the rule's mode, items separated by ``|`` or ``,`` become
+    "any" (an exclude rule stays one); in a list, a leading ``!`` or ``-`` excludes the item.
+    Without separators, or with both kinds, the text is one item as it stands."""
+    text = value_text.strip()
+    separators = set(re.findall("[&|,]", text))
+    mixed = "&" in separators and len(separators) > 1
+    if not separators or mixed:
+        return [(mode, text)] if text else []
+    if "&" not in separators and mode == "must":
+        mode = "any"
+    items = (re.fullmatch(r"\s*([!-]?)\s*(.*?)\s*", part, re.DOTALL).groups() for part in re.split("[&|,]", text))
+    return [("exclude" if sign else mode, item) for sign, item in items if item]
 
 
 @dataclass(frozen=True)

@@ -3,9 +3,13 @@ pushed-down range filter."""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import compile_raw, time_range
+
 DEFAULT_PAGE_SIZE = 2000
 _U64_MAX = (1 << 64) - 1
 
@@ -28,11 +32,19 @@ def time_bounds(frames: DataFrame) -> tuple[int, int] | None:
     return None if r["lo"] is None else (int(r["lo"]), int(r["hi"]))
 
 
-def zoom(lo: int, hi: int, factor: float) -> tuple[int, int]:
-    """Scale a window around its centre (0.5 halves, 2 doubles), clamped to u64."""
-    centre = (lo + hi) // 2
-    half = max(0, int(round((hi - lo) * factor / 2)))
-    return max(0, centre - half), min(_U64_MAX, centre + half)
+def _around(centre: int, half: int, bounds: tuple[int, int] | None) -> tuple[int, int]:
+    """``half`` on both sides of ``centre``, clipped (not shifted) to ``bounds``; a window that
+    would begin at or below 0 begins at the lower bound."""
+    low, high = bounds if bounds is not None else (0, _U64_MAX)
+    start = max(low, centre - half) if centre > half else low
+    return min(high, start), min(high, max(start, centre + half))
+
+
+def zoom(lo: int, hi: int, factor: float, bounds: tuple[int, int] | None = None) -> tuple[int, int]:
+    """Scale a window around its centre (0.5 halves, 2 doubles), in whole ns rounded down, at
+    least 1 ns to each side, clipped to ``bounds`` (L5)."""
+    span = max(0, hi - lo)
+    return _around(lo + span // 2, max(1, int(span * Fraction(factor) / 2)), bounds)
 
 
 def pan(lo: int, hi: int, fraction: float) -> tuple[int, int]:
@@ -44,16 +56,10 @@ def pan(lo: int, hi: int, fraction: float) -> tuple[int, int]:
 
 
 def centre_on(lo: int, hi: int, ts: int, bounds: tuple[int, int] | None = None) -> tuple[int, int]:
-    """Centre a window of the same width on ``ts``, clamped to ``bounds`` if given."""
-    half = (hi - lo) // 2
-    a, b = max(0, ts - half), ts + (hi - lo - half)
-    if bounds is not None:
-        if a < bounds[0]:
-            a, b = bounds[0], bounds[0] + (hi - lo)
-        if b > bounds[1]:
-            a, b = max(bounds[0], bounds[1] - (hi - lo)), bounds[1]
-    return a, b
+    """Centre a window of the same width on ``ts``, clipped to ``bounds`` if given."""
+    return _around(ts, max(1, max(0, hi - lo) // 2), bounds)
 
 
 def time_window(frames: DataFrame, lo: int, hi: int) -> DataFrame:
-    return frames.filter(F.col("timestamp_ns").between(lo, hi))
+    """Frames from ``lo`` to ``hi`` ns, any u64 values."""
+    return frames.filter(compile_raw(time_range(lo, hi)))

@@ -12,7 +12,7 @@ output); ``orderBy(...).limit(n)`` plans as a top-k, not a full sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DecodeError, QueryError
@@ -67,7 +67,7 @@ def run_query(frames: DataFrame, raw_filter=None, decoded_filter=None, dbc: Dbc
                     or same_signal_filter is not None)
     if needs_decode:
         if dbc is None:
-            raise DecodeError("decoding was requested but no DBC is loaded")
+            raise DecodeError("decoding needs a message dictionary")
         layout = compiled_layout(dbc) if strategy in ("auto", "compiled") else None
         if layout is not None:
             # Small dictionary: the decoded filter is compiled too and runs before decoding.
@@ -98,3 +98,25 @@ def summary_counts(frames: DataFrame, matches_filter: Column | None = None, ordi
     m = matches_filter if matches_filter is not None else F.lit(True)
     return df.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("scanned"), F.count_if(m).alias("matched"))
+
+
+def early_stop_counts(frames: DataFrame, matches_filter: Column, max_matches: int, ordinal_start: int | None = None,
+                      ordinal_end: int | None = None) -> DataFrame:
+    """Scanned and matched counts per trace of a scan that ends at match ``max_matches`` (A1 with L2/L3).
+
+    With fewer matches a trace is scanned to its end; with ``max_matches`` 0 or less nothing is
+    scanned.  ``frames`` holds whole traces: as ordinals are dense, the frames up to the stopping
+    one follow from its ordinal, so frames are not shuffled.  Of the matches, each task keeps
+    ``max_matches`` per trace at most before the shuffle (a rank filter below a window)."""
+    df = frames
+    if ordinal_start is not None or ordinal_end is not None:
+        df = df.filter(ordinal_range(ordinal_start, ordinal_end))
+    n = max(0, int(max_matches))
+    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("ordinal"))
+    hits = df.filter(matches_filter).select("trace_id", "ordinal").withColumn("rank", rank).filter(F.col("rank") <= n)
+    hits = hits.groupBy("trace_id").agg(F.count(F.lit(1)).alias("matched"), F.max("ordinal").alias("last"))
+    whole = df.groupBy("trace_id").agg(F.count(F.lit(1)).alias("rows"), F.min("ordinal").alias("first"))
+    stopped = F.col("last") - F.col("first") + 1
+    scanned = F.when(F.col("matched") >= n, stopped).otherwise(F.col("rows")) if n else F.lit(0).cast("bigint")
+    return whole.join(hits, "trace_id", "left").select(
+        "trace_id", scanned.alias("scanned"), F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"))

@@ -37,7 +37,7 @@ from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.dbc import Dbc, load_dbc, write_dbc_text
 from ..sources.fixtures import EVENTS_DBC, TEXT_EPOCH_NS, events_frames
 from .oracle import LONG_COLS, RAW_COLS, with_frames, with_signals
-from .query import run_query, summary_counts
+from .query import early_stop_counts, run_query, summary_counts
 
 # Query parameters (times are UTC instants of 2024 in ns).
 T_JAN05 = 1704412800 * 10**9
@@ -206,13 +206,11 @@ def q_hide_ids(spark, sf):
 
 
 @register("hide_ids_table", with_frames(
-    f"SELECT {RAW_COLS} FROM frames WHERE can_id NOT IN (SELECT can_id FROM frames WHERE channel = 2 AND "
-    "frame_type = 1 AND timestamp_ns < " + str(T_JAN05) + ")"))
+    f"SELECT {RAW_COLS} FROM frames WHERE can_id NOT IN (SELECT can_id FROM frames WHERE can_id >= 259 AND channel = 2)"))
 def q_hide_ids_table(spark, sf):
     """F16 with a hidden-id table derived from the data (left-anti join)."""
     fr = frames(spark, sf)
-    hidden = run_query(fr, raw_filter=all_of(Pred("channel", "eq", 2), Pred("frame_type", "eq", 1),
-                                             Pred("timestamp_ns", "lt", T_JAN05)))
+    hidden = run_query(fr, raw_filter=all_of(Pred("can_id", "ge", 259), Pred("channel", "eq", 2)))
     return raw_out(hide_ids(fr, hidden))
 
 
@@ -419,16 +417,41 @@ def q_page(spark, sf):
     return raw_out(paging.page(frames(spark, sf), start=PAGE_SIZE, size=PAGE_SIZE, pages=1))
 
 
+_SPAN_SQL = "(SELECT min(timestamp_ns) AS lo, max(timestamp_ns) AS hi FROM frames) b"
+
+
 @register("zoom_window", with_frames(
-    f"SELECT {RAW_COLS} FROM frames, (SELECT min(timestamp_ns) AS lo, max(timestamp_ns) AS hi FROM frames) b "
-    "WHERE timestamp_ns BETWEEN (b.lo + b.hi) // 2 - CAST(round((b.hi - b.lo) * 0.25 / 2) AS BIGINT) "
-    "AND (b.lo + b.hi) // 2 + CAST(round((b.hi - b.lo) * 0.25 / 2) AS BIGINT)"))
+    f"SELECT {RAW_COLS} FROM frames, {_SPAN_SQL} WHERE timestamp_ns BETWEEN b.lo + (b.hi - b.lo) // 2 - (b.hi - b.lo) // 8 "
+    "AND b.lo + (b.hi - b.lo) // 2 + (b.hi - b.lo) // 8"))
 def q_zoom_window(spark, sf):
     """Zoom to a quarter of the full time span around its centre."""
     fr = frames(spark, sf)
     lo, hi = paging.time_bounds(fr)
-    a, b = paging.zoom(lo, hi, 0.25)
-    return raw_out(paging.time_window(fr, a, b))
+    return raw_out(paging.time_window(fr, *paging.zoom(lo, hi, 0.25, bounds=(lo, hi))))
+
+
+@register("zoom_out_clipped", with_frames(f"SELECT {RAW_COLS} FROM frames"))
+def q_zoom_out_clipped(spark, sf):
+    """Doubling the full span is clipped to the data, so every frame stays."""
+    fr = frames(spark, sf)
+    lo, hi = paging.time_bounds(fr)
+    return raw_out(paging.time_window(fr, *paging.zoom(lo, hi, 2, bounds=(lo, hi))))
+
+
+@register("centre_window", with_frames(
+    f"SELECT {RAW_COLS} FROM frames, {_SPAN_SQL} WHERE timestamp_ns >= b.hi - (b.hi - b.lo) // 4 // 2"))
+def q_centre_window(spark, sf):
+    """A window of a quarter span centred on the last frame is clipped at the end, not shifted."""
+    fr = frames(spark, sf)
+    lo, hi = paging.time_bounds(fr)
+    return raw_out(paging.time_window(fr, *paging.centre_on(lo, lo + (hi - lo) // 4, hi, bounds=(lo, hi))))
+
+
+@register("raw_filter_u64", with_frames(f"SELECT {RAW_COLS} FROM frames WHERE can_id = 257"))
+def q_raw_filter_u64(spark, sf):
+    """literals up to the largest u64, beyond every stored timestamp."""
+    tree = all_of(Pred("timestamp_ns", "le", 2**64 - 1), negate(Pred("timestamp_ns", "ge", 2**63)), Pred("can_id", "eq", 257))
+    return raw_out(run_query(frames(spark, sf), raw_filter=tree))
 
 
 # --------------------------------------------------------------------------- context
@@ -465,18 +488,26 @@ def q_summary_counts(spark, sf):
     return summary_counts(frames(spark, sf), m, ordinal_start=100, ordinal_end=8099)
 
 
-@register("summary_counts_early_stop", with_frames(
-    ", hits AS (SELECT ordinal FROM frames WHERE can_id = 259 AND channel = 1 ORDER BY ordinal LIMIT 40) "
-    "SELECT COUNT(*) AS scanned, (SELECT COUNT(*) FROM hits) AS matched FROM frames "
-    "WHERE ordinal <= (SELECT max(ordinal) FROM hits)"))
-def q_summary_counts_early_stop(spark, sf):
-    """A1 with max matches: scanned counts rows up to the stopping row."""
-    fr = frames(spark, sf)
-    hits = run_query(fr, raw_filter=all_of(Pred("can_id", "eq", 259), Pred("channel", "eq", 1)), max_matches=40)
-    r = hits.agg(F.max("ordinal").alias("last"), F.count(F.lit(1)).alias("matched")).collect()[0]
-    last = -1 if r["last"] is None else int(r["last"])
-    return fr.filter(F.col("ordinal") <= last).agg(F.count(F.lit(1)).alias("scanned")).select(
-        "scanned", F.lit(int(r["matched"])).cast("bigint").alias("matched"))
+def _early_stop_sql(where: str, n: int) -> str:
+    return with_frames(
+        f", hits AS (SELECT ordinal FROM frames WHERE {where} ORDER BY ordinal LIMIT {n}), "
+        f"stop AS (SELECT COUNT(*) AS matched, CASE WHEN COUNT(*) = {n} THEN max(ordinal) END AS last FROM hits) "
+        "SELECT trace_id, COUNT(*) FILTER (WHERE stop.last IS NULL OR ordinal <= stop.last) AS scanned, "
+        "any_value(stop.matched) AS matched FROM frames, stop GROUP BY trace_id")
+
+
+def _early_stop_query(name: str, tree, where: str, n: int):
+    @register(name, _early_stop_sql(where, n))
+    def q(spark, sf):
+        """A1 with L3: scanned counts frames up to the stopping one, or all if the limit is not reached."""
+        return early_stop_counts(frames(spark, sf), compile_raw(tree), n)
+    return q
+
+
+_SIGNUP_CH1 = all_of(Pred("can_id", "eq", 259), Pred("channel", "eq", 1))
+_early_stop_query("summary_counts_early_stop", _SIGNUP_CH1, "can_id = 259 AND channel = 1", 40)
+_early_stop_query("early_stop_not_reached", _SIGNUP_CH1, "can_id = 259 AND channel = 1", 1_000_000)
+_early_stop_query("early_stop_no_match", Pred("can_id", "eq", 99), "can_id = 99", 5)
 
 
 @register("result_bounds", with_frames(
@@ -684,6 +715,17 @@ def q_export_raw_csv(spark, sf):
     return spark.read.option("header", "true").schema(_CSV_STR).csv(path)
 
 
+@register("export_no_header", with_frames(
+    f"SELECT CAST(timestamp_ns AS VARCHAR) AS timestamp_ns, CAST(channel AS VARCHAR) AS channel, "
+    f"printf('%X', can_id) AS can_id, CAST(dlc AS VARCHAR) AS dlc, {_SPACED} AS payload, "
+    "CASE WHEN frame_type = 1 THEN 'FD' ELSE 'CAN' END AS frame_type FROM frames WHERE can_id = 259"))
+def q_export_no_header(spark, sf):
+    """K3: raw CSV without a header, every line read back as data."""
+    path = scratch_path(spark, "export-raw")
+    ex.export_raw_csv(run_query(frames(spark, sf), raw_filter=Pred("can_id", "eq", 259)), path, header=False)
+    return spark.read.schema(_CSV_STR).csv(path)
+
+
 @register("export_decoded_csv", with_signals(
     "SELECT CAST(timestamp_ns AS VARCHAR) AS timestamp_ns, printf('%X', can_id) AS can_id, message_name, "
     "signal_name, printf('%.6G', value) AS signal_value, unit FROM signals WHERE can_id IN (258, 259)"))

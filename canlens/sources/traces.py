@@ -34,7 +34,6 @@ TEXT_FORMATS = {".log": "candump", ".candump": "candump", ".txt": "candump", ".c
 UNSUPPORTED_FORMATS = {".blf": "BLF", ".mf4": "MF4", ".mdf4": "MF4", ".trc": "TRC"}
 DBC_EXTENSIONS = {".dbc"}
 
-_CANDUMP_RE = r"^\(([0-9]+(?:\.[0-9]+)?)\)\s+([A-Za-z0-9_]+)\s+([0-9A-Fa-f]+)#([0-9A-Fa-f]*)$"
 _ASC_WS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -59,18 +58,21 @@ class _Parsed:
 
 
 def _parse_candump(t: Column, exact: bool = False) -> _Parsed:
-    # One regex pass rewrites a matching line to "ts\x01iface\x01id\x01data" (a line that
-    # does not match is left as it is and fails the ``rlike`` check); fields are then split.
-    m = t.rlike(_CANDUMP_RE)
-    parts = F.split(F.regexp_replace(t, _CANDUMP_RE, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
-    g = lambda i: F.get(parts, i - 1)
-    iface = g(2)
+    # Three words: "(seconds)", interface, "id#data"; each is checked by itself.
+    words = F.split(t, _ASC_WS)
+    stamp, iface = F.get(words, 0), F.coalesce(F.get(words, 1), F.lit(""))
+    sides = F.split(F.get(words, 2), "#")
+    seconds = F.substring_index(F.substring_index(stamp, "(", -1), ")", 1)
     last = F.substring(iface, -1, 1)
     channel = F.when((F.length(iface) > 3) & last.rlike("^[0-9]$"), last.cast("int")).otherwise(F.lit(0))
-    ts = seconds_to_ns(g(1), exact)
-    can_id = hex_to_long(g(3))
-    payload, dlc = parse_payload(F.coalesce(g(4), F.lit("")))
-    ok = m & ts.isNotNull() & valid_can_id(can_id) & payload.isNotNull()
+    ts = seconds_to_ns(seconds, exact)
+    digits = F.coalesce(F.get(sides, 0), F.lit(""))
+    can_id = hex_to_long(digits)
+    data = F.coalesce(F.get(sides, 1), F.lit(""))
+    payload, dlc = parse_payload(data)
+    shaped = (F.size(words) == 3) & (F.size(sides) == 2) & (stamp == F.concat(F.lit("("), seconds, F.lit(")")))
+    spelled = seconds.rlike(r"^\d+(\.\d+)?$") & ~iface.rlike("[^A-Za-z0-9_]") & ~F.concat(digits, data).rlike("[^0-9A-Fa-f]")
+    ok = shaped & spelled & (digits != "") & ts.isNotNull() & valid_can_id(can_id) & payload.isNotNull()
     return _Parsed(F.lit(False), ok, ts, can_id, dlc, channel, F.lit(0), payload)
 
 

@@ -6,7 +6,7 @@ micro-batches, so per-file ordinals stay dense and correct): parse → dense ord
 optional raw filter → optional decode + decoded filter → Parquet.  Each batch writes its
 own folder ``batch=<id>`` in overwrite mode, so a replayed batch after a failure rewrites
 the same output (idempotent sink).  Progress (rows read per batch, rows written) comes
-from ``StreamingQuery.lastProgress`` and an ``Observation`` per batch.
+from one count per file of the batch and an ``Observation``.
 """
 
 from __future__ import annotations
@@ -21,23 +21,25 @@ from ..operators.filters import compile_decoded, compile_raw
 from ..sources.dbc import Dbc
 from ..sources.traces import read_trace
 
+#: Files of one micro-batch, at most.
+MAX_FILES_PER_TRIGGER = 1000
+
 
 def start_trace_stream(spark: SparkSession, input_glob: str, fmt: str, output_path: str, checkpoint_path: str,
                        dbc: Dbc | None = None, raw_filter=None, decoded_filter=None, mode: str = "tolerant",
-                       available_now: bool = True, max_files_per_trigger: int | None = None):
+                       available_now: bool = True, max_files_per_trigger: int = MAX_FILES_PER_TRIGGER):
     """Start the stream; returns ``(StreamingQuery, progress)`` where ``progress`` is a
-    list collecting one dict per batch (rows written)."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    list collecting one dict per batch (lines read, rows written).  A batch has
+    ``max_files_per_trigger`` files at most, which bounds the paths the driver reads."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", str(max_files_per_trigger))
     files = reader.load(input_glob).select(F.col("_metadata.file_path").alias("file_path"))
     progress: list[dict] = []
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["file_path"] for r in batch.select("file_path").distinct().collect()]
-        if not paths:
+        lines = {r["file_path"]: r["count"] for r in batch.groupBy("file_path").count().collect()}  # one row per file
+        if not lines:
             return
-        frames = read_trace(spark, paths, fmt=fmt, mode=mode)
+        frames = read_trace(spark, list(lines), fmt=fmt, mode=mode)
         frames = frames.filter(compile_raw(raw_filter))
         out = frames
         if dbc is not None and decoded_filter is None:
@@ -48,7 +50,7 @@ def start_trace_stream(spark: SparkSession, input_glob: str, fmt: str, output_pa
         obs = Observation(f"batch_{batch_id}")
         out = out.withColumn("batch_id", F.lit(batch_id).cast("bigint")).observe(obs, F.count(F.lit(1)).alias("rows"))
         out.write.mode("overwrite").parquet(os.path.join(output_path, f"batch={batch_id}"))
-        progress.append({"batch_id": batch_id, "files": len(paths), "rows_written": int(obs.get["rows"])})
+        progress.append({"batch_id": batch_id, "files": len(lines), "lines_read": sum(lines.values()), "rows_written": int(obs.get["rows"])})
 
     writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -62,8 +64,4 @@ def run_trace_stream_once(spark: SparkSession, input_glob: str, fmt: str, output
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    # Lines read per batch come from the engine's own progress reports.
-    read = {p["batchId"]: p["numInputRows"] for p in q.recentProgress}
-    for p in progress:
-        p["lines_read"] = int(read.get(p["batch_id"], 0))
     return spark.read.parquet(output_path), progress

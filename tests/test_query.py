@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from canlens.errors import QueryError
 from canlens.operators import hooks
 from canlens.operators.context import context_of, context_of_matches
-from canlens.operators.filters import Pred, Rule, all_of, any_of, from_clauses, from_rules, negate
+from canlens.operators.filters import Pred, Rule, all_of, any_of, compile_raw, from_clauses, from_rules, negate
 from canlens.operators.paging import centre_on, pan, shift_ordinal_window, zoom
 from canlens.operators.session import TraceSession
-from canlens.plans.query import run_query, summary_counts
+from canlens.plans.query import early_stop_counts, run_query, summary_counts
 from canlens.sinks import export as ex
 from canlens.sources import store as st
 from canlens.sources.dbc import load_dbc
@@ -168,7 +168,28 @@ def test_paging_helpers():
     assert shift_ordinal_window(0, 2000, 2) == (4000, 5999)
     assert zoom(100, 200, 0.5) == (125, 175)
     assert pan(0, 100, -0.5) == (0, 100)
-    assert centre_on(0, 100, 1000, bounds=(0, 500)) == (400, 500)
+    assert zoom(100, 200, 2) == (50, 250) and zoom(100, 200, 2, bounds=(90, 220)) == (90, 220)
+    assert zoom(7, 7, 0.5) == (6, 8)  # at least 1 to each side
+    assert zoom(0, 2**60 + 2, 0.5) == (2**59 + 1 - 2**58, 2**59 + 1 + 2**58)  # exact beyond 2**53
+    assert centre_on(0, 100, 480, bounds=(0, 500)) == (430, 500)  # clipped, not shifted
+    assert centre_on(0, 100, 1000, bounds=(0, 500)) == (500, 500)
+
+
+def test_early_stop_counts(spark):
+    rows = [(t, i, 0x10 + i % 3) for t, n in (("a", 10), ("b", 4), ("c", 2)) for i in range(n)]
+    fr = spark.createDataFrame(rows, "trace_id string, ordinal bigint, can_id bigint")
+    hit = compile_raw(Pred("can_id", "eq", 0x12))
+    got = lambda *a: {r.trace_id: (r.scanned, r.matched) for r in early_stop_counts(fr, hit, *a).collect()}
+    assert got(2) == {"a": (6, 2), "b": (4, 1), "c": (2, 0)}
+    assert got(2, 4) == {"a": (5, 2)}
+    assert got(0) == {"a": (0, 0), "b": (0, 0), "c": (0, 0)}
+
+
+def test_u64_literals(spark):
+    fr = spark.createDataFrame([(0, 2**63 - 1), (1, 5)], "ordinal bigint, timestamp_ns bigint")
+    want = {"lt": [0, 1], "le": [0, 1], "ne": [0, 1], "eq": [], "gt": [], "ge": []}
+    assert {op: _ords(fr.filter(compile_raw(Pred("timestamp_ns", op, 2**63)))) for op in want} == want
+    assert _ords(fr.filter(compile_raw(Pred("timestamp_ns", "gt", -(2**63) - 1)))) == [0, 1]
 
 
 def test_session(spark, dbc, tmp_path):
