@@ -4,7 +4,7 @@ A pre-token's tokens don't depend on its neighbours, so each distinct pre-token
 once by the ``tokenizers`` library and looked up afterwards.  Texts in which the pre-token
 split could differ between regular-expression engines (characters outside ``_PLAIN``) and
 texts with a special string go to the library whole.  The memo holds ``MEMO`` pre-tokens at
-most; when full, only those of the block at hand stay.  That changes speed only.
+most, or what the operator asks for; when full, only those of the block at hand stay.  That changes speed only.
 """
 
 from __future__ import annotations
@@ -55,11 +55,12 @@ def byte_characters() -> dict[str, int]:
 class _Encoder:
     """Base: the library's tokenizer, the pattern and the memo of one worker."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, limit: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
         self.special = [x["content"] for x in json.loads(source).get("added_tokens") or ()]
+        self.limit = MEMO if limit is None else limit
         self.memo: dict = {}
         self.fixed: dict = {}
 
@@ -72,7 +73,7 @@ class _Encoder:
     def _learn(self, lists: list[list[str]]) -> None:
         found = set().union(*lists)
         new = found.difference(self.memo)
-        if len(self.memo) + len(new) > max(MEMO, len(self.fixed) + len(found)):
+        if len(self.memo) + len(new) > max(self.limit, len(self.fixed) + len(found)):
             memo, self.memo = self.memo, dict(self.fixed)
             self.memo.update((w, memo[w]) for w in found if w in memo)
         words = list(new)
@@ -104,8 +105,8 @@ class _Encoder:
 class ByteIds(_Encoder):
     """Little-endian ids (2 bytes each if the vocabulary allows, else 4) by the byte-level file."""
 
-    def __init__(self, source: str):
-        super().__init__(source)
+    def __init__(self, source: str, limit: int | None = None):
+        super().__init__(source, limit)
         self.width = 2 if self.tokenizer.get_vocab_size() < 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.split = BYTE_LEVEL.findall
@@ -145,8 +146,8 @@ class WordCounts(_Encoder):
     alone, encodes as that one token: proved once per worker, before any text is read.  Such
     pre-tokens count 1 without merging; only the rest are merged (and remembered)."""
 
-    def __init__(self, source: str):
-        super().__init__(source)
+    def __init__(self, source: str, limit: int | None = None):
+        super().__init__(source, limit)
         self.fixed = dict.fromkeys(self.prove(json.loads(source)["model"]["vocab"]), 1)
         self.memo = dict(self.fixed)
 
@@ -176,13 +177,13 @@ class WordCounts(_Encoder):
         return sum(parts)
 
 
-_OPEN: dict[tuple[str, str], _Encoder] = {}
+_OPEN: dict[tuple[str, str, int | None], _Encoder] = {}
 
 
-def encoder(kind: type[_Encoder], source: str) -> _Encoder:
-    """One encoder per worker process, kind and tokenizer file."""
-    key = (kind.__name__, hashlib.sha256(source.encode()).hexdigest())
+def encoder(kind: type[_Encoder], source: str, limit: int | None = None) -> _Encoder:
+    """One encoder per worker process, kind, tokenizer file and memo size."""
+    key = (kind.__name__, hashlib.sha256(source.encode()).hexdigest(), limit)
     if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = kind(source)
+        _OPEN[key] = kind(source, limit)
     return _OPEN[key]
