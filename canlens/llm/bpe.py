@@ -17,6 +17,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import KEPT
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pre-tokens kept per Python worker.
@@ -177,13 +179,10 @@ class WordCounts(_Encoder):
         return sum(parts)
 
 
-_OPEN: dict[tuple[str, str, int | None], _Encoder] = {}
-
-
 def encoder(kind: type[_Encoder], source: str, limit: int | None = None) -> _Encoder:
     """One encoder per worker process, kind, tokenizer file and memo size."""
     key = (kind.__name__, hashlib.sha256(source.encode()).hexdigest(), limit)
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = kind(source, limit)
-    return _OPEN[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = kind(source, limit)
+    return KEPT[key]

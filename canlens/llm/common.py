@@ -63,18 +63,37 @@ def small_bytes(df: DataFrame, text_col: str, max_bytes: int = 8 << 20, max_rows
     return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What a worker keeps from task to task (an encoder and its memo), by its key.
+KEPT: dict = {}
+
+
+def drop_kept() -> None:
+    """Drop what this worker keeps.  Named by the closures, which would carry a copy of ``KEPT``."""
+    if KEPT:
+        KEPT.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return the memory that this worker's allocators hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for a Python stage, whose worker gives freed memory back when a task ends.
 
-    Spark keeps workers for later stages; what their allocators hold would count there."""
+    Spark keeps workers for later stages; what their allocators hold would count there.  So
+    would an encoder: a stage that doesn't say it ``keeps`` one drops that of earlier stages."""
 
     def wrapped(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            drop_kept()
         try:
             yield from run(parts)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a C library without it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

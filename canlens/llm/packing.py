@@ -113,4 +113,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
             yield out(found)
         yield out(list(packer.finish()))
 
-    return rows.mapInArrow(tidy(pack), SCHEMA)
+    return rows.mapInArrow(tidy(pack, keeps=True), SCHEMA)

@@ -86,7 +86,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             frames = [frame(doc, np.frombuffer(raw + end, ids.dtype)) for doc, raw in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    frames = rows.mapInArrow(tidy(encode), "frame binary")
+    frames = rows.mapInArrow(tidy(encode, keeps=True), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     # the index comes from reading the files back, so it stands for what they hold
     read = written(scan(spark, path), "records-read")
@@ -117,7 +117,7 @@ def scan(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 
     names = ["doc_id", "file", "record", "offset", "length", "n_tokens", "before", "ids_crc32"]
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
-    return data_files(spark, path).mapInArrow(tidy(parse), "doc_id bigint, file string, record bigint, offset bigint, length bigint, n_tokens bigint, before bigint, ids_crc32 bigint")
+    return data_files(spark, path).mapInArrow(tidy(parse, keeps=True), "doc_id bigint, file string, record bigint, offset bigint, length bigint, n_tokens bigint, before bigint, ids_crc32 bigint")
 
 
 def with_starts(records: DataFrame) -> DataFrame:
@@ -149,4 +149,4 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2].tolist() for g in got], pa.list_(pa.int32()))], names=["rank", "doc_id", "ids"])
 
     joined = data_files(ready(spark), path).join(small(wanted, 10_000), "file").select("wanted", "content")
-    return joined.mapInArrow(tidy(pick), "rank bigint, doc_id bigint, ids array<int>").orderBy("rank")
+    return joined.mapInArrow(tidy(pick, keeps=True), "rank bigint, doc_id bigint, ids array<int>").orderBy("rank")

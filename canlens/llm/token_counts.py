@@ -34,4 +34,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
                 pa.array([x > limit for x in n], pa.bool_()),
             ], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(tidy(count), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(tidy(count, keeps=True), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from canlens.llm import bpe, decontam, exact_index, langid, near_dup, packing, records, repeats, sharding, token_counts, toxicity
+from canlens.llm import bpe, common, decontam, exact_index, langid, near_dup, packing, records, repeats, sharding, token_counts, toxicity
 from canlens.llm.components import components
 from canlens.session import scratch_path
 
@@ -64,6 +64,20 @@ def test_memo_bound_changes_nothing(monkeypatch):
     assert list(bpe.ByteIds(bpe.read_tokenizer(BYTE)).pieces(texts)) == want
 
 
+def test_workers_drop_what_other_stages_kept(spark):
+    """An encoder stays for stages that keep it, in the same worker, and goes with any other stage."""
+
+    def look(parts):
+        import pyarrow as pa
+
+        bpe.encoder(bpe.ByteIds, source.value) if fill else None
+        yield from (pa.RecordBatch.from_pydict({"n": [len(common.KEPT)]}) for _ in parts)
+
+    source, one = spark.sparkContext.broadcast(bpe.read_tokenizer(BYTE)), spark.range(1).coalesce(1)
+    for fill, keeps, want in [(True, True, 1), (False, False, 0), (False, True, 0)]:
+        assert [r.n for r in one.mapInArrow(common.tidy(look, keeps=keeps), "n bigint").collect()] == [want]
+
+
 def test_token_counts(spark, rows):
     tok = Tokenizer.from_file(WORD)
     want = [(i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows]
