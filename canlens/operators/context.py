@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..plans.sizing import join_small
+from ..sources.lines import materialize
 
 
 def context_of(frames: DataFrame, ordinal: int, before: int = 0, after: int = 0, trace_id: str | None = None,
@@ -39,12 +40,16 @@ def context_of_matches(frames: DataFrame, matches: DataFrame, before: int = 0, a
     neighbouring matches may overlap; each (match, row) pair appears once."""
     if before < 0 or after < 0:
         raise QueryError("before/after must be >= 0")
-    m = matches.select("trace_id", F.col("ordinal").alias("match_ordinal")).distinct()
+    # Written once: the bounds, the size check and the join all read the matches.
+    m = materialize(matches.select("trace_id", F.col("ordinal").alias("match_ordinal")).distinct(), "matches")
+    lo, hi = m.agg(F.min("match_ordinal"), F.max("match_ordinal")).first()
+    # Frames outside all windows are left to the scan's ordinal statistics.
+    near = F.lit(False) if lo is None else F.col("ordinal").between(max(0, lo - before), hi + after)
     w = m.withColumn(
         "ordinal",
         F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("match_ordinal") - before),
                              F.col("match_ordinal") + after)))
     # Few matches (the usual case): the windows are broadcast and the frames are not
     # shuffled; many matches: a shuffle join on the unique (trace_id, ordinal) key (no skew).
-    out = join_small(frames, w, ["trace_id", "ordinal"])
+    out = join_small(frames.filter(near), w, ["trace_id", "ordinal"])
     return out.withColumn("rel_pos", F.col("ordinal") - F.col("match_ordinal"))

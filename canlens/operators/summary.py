@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 
 def result_bounds(rows: DataFrame) -> DataFrame:
-    """Count and min/max timestamp per trace (A2)."""
+    """Count, min/max timestamp and, if the rows carry it, the source format per trace (A2)."""
+    formats = [F.first("source_format").alias("source_format")] if "source_format" in rows.columns else []
     return rows.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min("timestamp_ns").alias("start_timestamp_ns"),
         F.max("timestamp_ns").alias("end_timestamp_ns"),
+        *formats,
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import context as ctx
@@ -1002,3 +1002,130 @@ def q_decode_float64(spark, sf):
     """IEEE float64 bit-cast of the whole 8-byte payload."""
     d = decode_long(frames(spark, sf), _float_dbc(spark)).filter(F.col("signal_name") == "F64")
     return d.select(F.col("ordinal").cast("bigint"), "value")
+
+
+# --------------------------------------------------------------------------- listings, errors, order, counts of sinks
+
+from ..errors import DecodeError  # noqa: E402
+from ..sources.fixtures import write_flawed_dbc  # noqa: E402
+from ..sources.traces import classify_paths, discover_traces  # noqa: E402
+
+_BUCKET_SQL = f"CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket"
+
+
+@register("ingest_by_extension", _ingest_sql(frame_type="0"))
+def q_ingest_by_extension(spark, sf):
+    """No format given; the files' extension names it."""
+    return ingest_out(read_trace(spark, _written(spark, sf, "candump") + ".txt"))
+
+
+_EXTENSIONS = {".log": "candump", ".CSV": "csv", ".asc": "asc", ".BLF": None, ".mf4": None, ".bin": None, "": None}
+_KNOWN = {".BLF": "BLF", ".mf4": "MF4"}
+
+
+@register("classify_formats", with_frames(
+    "SELECT ordinal, CASE ordinal % 7 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_EXTENSIONS.values()) if v)
+    + " END AS source_format, CASE ordinal % 7 " + " ".join(f"WHEN {k} THEN '{_KNOWN[e]}'" for k, e in enumerate(_EXTENSIONS) if e in _KNOWN)
+    + " END AS known_format FROM frames"))
+def q_classify_formats(spark, sf):
+    """Readable, recognised and unknown extensions of a table of paths."""
+    ext = F.get(F.array(*[F.lit(e) for e in _EXTENSIONS]), F.pmod("ordinal", F.lit(len(_EXTENSIONS))).cast("int"))
+    paths = frames(spark, sf).select(F.col("ordinal").cast("bigint"), F.concat(F.lit("run.1/t"), "ordinal", ext).alias("path"))
+    return classify_paths(paths).select("ordinal", "source_format", "known_format")
+
+
+_CANDUMP_SQL = (f"printf('(%d.%09d) can%d %X#', (timestamp_ns - {TEXT_EPOCH_NS}) // 1000000000, "
+                f"(timestamp_ns - {TEXT_EPOCH_NS}) % 1000000000, channel, can_id) || payload_hex")
+
+
+@register("discover_traces", with_frames(
+    f"SELECT {_BUCKET_SQL}, 'txt' AS extension, CAST(sum(length({_CANDUMP_SQL}) + 1) AS BIGINT) AS size_bytes FROM frames GROUP BY 1"))
+def q_discover_traces(spark, sf):
+    """The trace files below a folder with their sizes."""
+    found = discover_traces(spark, _written(spark, sf, "candump").split("/bucket=")[0])
+    return found.select(_bucket("path"), "extension", "size_bytes")
+
+
+@register("trace_metadata_empty", with_frames(
+    f"SELECT {_BUCKET_SQL}, count_if(ordinal % 4 <> 3) AS event_count, arg_min({_TS_SQL}, ordinal) FILTER (WHERE ordinal % 4 <> 3) "
+    f"AS start_timestamp_ns, arg_max({_TS_SQL}, ordinal) FILTER (WHERE ordinal % 4 <> 3) AS end_timestamp_ns, "
+    "'csv' AS source_format FROM frames GROUP BY 1"))
+def q_trace_metadata_empty(spark, sf):
+    """A trace without a readable record still has its row."""
+    glob = _written(spark, sf, "csv", broken_every=4)
+    fr = read_trace(spark, glob, fmt="csv", mode="tolerant", keep_source=True)
+    md = trace_metadata(fr, discover_traces(spark, glob.split("/bucket=")[0]), fmt="csv")
+    return md.select(_bucket(), "event_count", "start_timestamp_ns", "end_timestamp_ns", "source_format")
+
+
+@register("result_bounds_format", with_frames(
+    f"SELECT {_BUCKET_SQL}, COUNT(*) AS row_count, min({_TS_SQL}) AS start_timestamp_ns, max({_TS_SQL}) AS end_timestamp_ns, "
+    "'asc' AS source_format FROM frames WHERE can_id = 256 GROUP BY 1"))
+def q_result_bounds_format(spark, sf):
+    """A2: the bounds of a result of read traces name their format."""
+    fr = read_trace(spark, _written(spark, sf, "asc"), fmt="asc", keep_source=True)
+    found = summ.result_bounds(run_query(fr, raw_filter=Pred("can_id", "eq", 256)))
+    return found.select(_bucket(), "row_count", "start_timestamp_ns", "end_timestamp_ns", "source_format")
+
+
+@register("dbc_load_errors", (
+    "SELECT CAST(u % 4 AS BIGINT) AS bucket, CAST(2 * n AS BIGINT) AS line_no, 'SG_ line can''t be read' AS message "
+    f"FROM (SELECT u, row_number() OVER (PARTITION BY u % 4 ORDER BY u) AS n FROM {_USERS}) WHERE u % 5 = 0"))
+def q_dbc_load_errors(spark, sf):
+    """Every unreadable dictionary line with its line number."""
+    d = load_dbc(spark, write_flawed_dbc(spark, sf, scratch_path(spark, "flawed-dbc")), strict=False)
+    return d.problems.select(_bucket("file_path"), F.col("line_no").cast("bigint"), "message")
+
+
+@register("decode_without_dictionary", with_frames(
+    "SELECT can_id, COUNT(*) AS n_frames, 'DecodeError' AS error FROM frames GROUP BY can_id"))
+def q_decode_without_dictionary(spark, sf):
+    """Decoding without a dictionary is an error; the frames stay countable."""
+    fr, error = frames(spark, sf), None
+    try:
+        decode_long(fr, None)
+    except DecodeError as e:
+        error = type(e).__name__
+    return fr.groupBy("can_id").agg(F.count(F.lit(1)).alias("n_frames"), F.lit(error).alias("error")).withColumn(
+        "can_id", F.col("can_id").cast("bigint"))
+
+
+@register("ordered_output", with_frames(
+    "SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS out_of_order FROM frames WHERE channel = 1"))
+def q_ordered_output(spark, sf):
+    """L1: rows come in source order, within the partitions of the result and between them."""
+    rows = run_query(frames(spark, sf), raw_filter=Pred("channel", "eq", 1), ordered=True)
+    placed = rows.select("ordinal", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("ordinal").over(Window.partitionBy("part").orderBy("at"))
+    parts = placed.withColumn("wrong", F.coalesce(before > F.col("ordinal"), F.lit(False))).groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("wrong").alias("wrong"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
+    # One row per partition of the result, so one window over all of them is small.
+    last = F.lag("hi").over(Window.orderBy("part"))
+    return parts.withColumn("apart", F.coalesce(last > F.col("lo"), F.lit(False))).agg(
+        F.sum("n").cast("bigint").alias("n_rows"), (F.sum("wrong") + F.count_if("apart")).cast("bigint").alias("out_of_order"))
+
+
+@register("export_row_count", with_frames(
+    "SELECT COUNT(*) AS rows_read, COUNT(*) AS rows_written FROM frames WHERE can_id = 258"))
+def q_export_row_count(spark, sf):
+    """The count an export returns, beside the rows found in its files."""
+    path = scratch_path(spark, "export-count")
+    n = ex.export_raw_csv(run_query(frames(spark, sf), raw_filter=Pred("can_id", "eq", 258)), path)
+    back = spark.read.option("header", "true").schema(_CSV_STR).csv(path)
+    return back.agg(F.count(F.lit(1)).alias("rows_read"), F.lit(n).cast("bigint").alias("rows_written"))
+
+
+@register("callback_sink", with_frames(
+    "SELECT COUNT(*) AS matches, COUNT(*) AS calls, CAST(sum(ordinal) AS BIGINT) AS ordinal_sum FROM frames WHERE can_id = 259"))
+def q_callback_sink(spark, sf):
+    """K5: one call per match on the executors, counted and summed there by accumulators."""
+    found = run_query(frames(spark, sf), raw_filter=Pred("can_id", "eq", 259))
+    calls, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        calls.add(1)
+        total.add(row["ordinal"])
+
+    ex.for_each_match(found.select("ordinal"), seen)
+    return found.agg(F.count(F.lit(1)).alias("matches"), F.lit(calls.value).cast("bigint").alias("calls"),
+                     F.lit(total.value).cast("bigint").alias("ordinal_sum"))

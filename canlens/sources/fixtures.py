@@ -223,6 +223,21 @@ def users_dbc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select(u, F.inline(all_lines))
 
 
+def write_flawed_dbc(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> str:
+    """One message and one signal per user, user ``u`` in file ``u % files`` (folder ``bucket=<k>``)
+    in id order; the signal line of every fifth user names no start bit."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("u")).distinct()
+    mid = (F.col("u") + 1024).cast("string")
+    layout = F.when(F.pmod("u", F.lit(5)) == 0, F.lit("|8@1+")).otherwise(F.lit("0|8@1+"))
+    lines = F.array(_line(0, F.concat(F.lit("BO_ "), mid, F.lit(" User"), F.col("u").cast("string"), F.lit(": 1 Gateway"))),
+                    _line(1, F.concat(F.lit(" SG_ Level : "), layout, F.lit(' (1,0) [0|255] "" Logger'))))
+    out = os.path.join(folder, "flawed_dbc")
+    rows = users.select("u", F.pmod("u", F.lit(files)).cast("int").alias("bucket"), F.inline(lines))
+    (rows.repartition(files, "bucket").sortWithinPartitions("bucket", "u", "seq")
+     .select("value", "bucket").write.mode("overwrite").partitionBy("bucket").text(out))
+    return os.path.join(out, "bucket=*", "part-*")
+
+
 def write_users_dbc(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> str:
     """Write the generated dictionary as ``files`` DBC files (each user wholly in one file)."""
     out = os.path.join(folder, "users_dbc")

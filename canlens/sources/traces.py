@@ -45,6 +45,20 @@ def format_of(path: str) -> str:
     raise UnsupportedFormat(path, UNSUPPORTED_FORMATS.get(ext))
 
 
+def classify_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """``paths`` with ``extension``, the ``source_format`` it names (null if none can be read)
+    and ``known_format``, the name of a recognised format without a reader (S1, S11).
+
+    The rule of ``format_of`` as columns, for listings too long for the driver."""
+    name = F.substring_index(F.regexp_replace(path_col, "/+$", ""), "/", -1)
+    ext = F.lower(F.regexp_extract(name, r"[^.].*(\.[^.]*)$", 1))
+
+    def named(table: dict[str, str]) -> Column:
+        return F.coalesce(*[F.when(ext == e, F.lit(f)) for e, f in table.items()])
+
+    return paths.withColumns({"extension": ext, "source_format": named(TEXT_FORMATS), "known_format": named(UNSUPPORTED_FORMATS)})
+
+
 @dataclass
 class _Parsed:
     skip: Column  # line is not a record (blank, header, other bus): never an error
@@ -190,10 +204,22 @@ def read_trace(spark: SparkSession, paths, fmt: str | None = None, mode: str = "
     return out
 
 
-def trace_metadata(frames: DataFrame) -> DataFrame:
+def trace_metadata(frames: DataFrame, files: DataFrame | None = None, fmt: str | None = None) -> DataFrame:
     """One row per trace: count, first/last timestamp in file order, size, format.
 
-    ``frames`` must carry ``source_format`` and ``file_size`` (``keep_source=True``)."""
+    ``frames`` must carry ``source_format`` and ``file_size`` (``keep_source=True``).  With
+    ``files`` (of ``discover_traces``) each listed trace has a row: one without frames has
+    count 0, null timestamps, its size, and ``fmt`` or the format its extension names."""
+    found = _metadata(frames)
+    if files is None:
+        return found
+    listed = classify_paths(files).select("trace_id", "size_bytes", F.coalesce(F.lit(fmt), "source_format").alias("named"))
+    return listed.join(found, "trace_id", "left").select(
+        "trace_id", F.coalesce("event_count", F.lit(0)).cast("bigint").alias("event_count"), "start_timestamp_ns", "end_timestamp_ns",
+        F.col("size_bytes").alias("source_size_bytes"), F.coalesce("source_format", "named").alias("source_format"))
+
+
+def _metadata(frames: DataFrame) -> DataFrame:
     return frames.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min_by("timestamp_ns", "ordinal").alias("start_timestamp_ns"),
@@ -204,12 +230,14 @@ def trace_metadata(frames: DataFrame) -> DataFrame:
 
 
 def discover_traces(spark: SparkSession, folder: str, include_dbc: bool = True) -> DataFrame:
-    """Readable trace (and DBC) files in a folder, sorted by path."""
+    """Readable trace (and DBC) files in a folder, sorted by path (S12); ``trace_id`` as ``read_trace`` names them.
+
+    Files of no bytes at all are left out, as in any file scan of Spark."""
     exts = set(TEXT_FORMATS) | (DBC_EXTENSIONS if include_dbc else set())
     pattern = "|".join(e.lstrip(".") for e in sorted(exts))
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .select(F.col("path"), F.col("length").alias("size_bytes"))
+        .select(F.col("path"), F.col("length").alias("size_bytes"), F.col("_metadata.file_path").alias("trace_id"))
     )
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.filter(ext.rlike(f"^({pattern})$")).withColumn("extension", ext).orderBy("path")

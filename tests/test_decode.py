@@ -10,18 +10,18 @@ from canlens.operators.decode import decode_long, decode_nested
 from canlens.sources.dbc import load_dbc
 from helpers import write
 
-DBC = """BO_ 1 Enc: 3 N
- SG_ U16 : 0|16@1+ (0.5,1) [0|0] "" N
- SG_ S8 : 16|8@1- (1,0) [0|0] "" N
-BO_ 2 Be: 2 N
- SG_ B12 : 0|12@0+ (1,0) [0|0] "" N
-BO_ 4 Mux: 1 N
- SG_ Sel M : 0|1@1+ (1,0) [0|1] "" N
- SG_ Br0 m0 : 1|7@1+ (1,0) [0|0] "" N
- SG_ Br1 m1 : 1|7@1+ (1,0) [0|0] "" N
-BO_ 5 Lab: 1 N
- SG_ L : 0|8@1+ (1,0) [0|255] "x" N
-VAL_ 5 L 42 "forty-two" ;
+DBC = """BO_ 700 Tank: 4 N
+ SG_ Fill : 3|13@1+ (0.25,-7) [0|0] "" N
+ SG_ Drift : 20|10@1- (3,0) [0|0] "" N
+BO_ 701 Horn: 3 N
+ SG_ Pitch : 5|14@0+ (1,0) [0|0] "" N
+BO_ 702 Page: 3 N
+ SG_ Leaf M : 4|3@1+ (1,0) [0|7] "" N
+ SG_ Ink m5 : 8|9@1+ (1,0) [0|0] "" N
+ SG_ Ply m2 : 11|6@1+ (1,0) [0|0] "" N
+BO_ 703 Door: 2 N
+ SG_ State : 6|5@1+ (1,0) [0|31] "x" N
+VAL_ 703 State 19 "ajar" 3 "shut" ;
 BO_ 6 Short: 8 N
  SG_ Cut : 8|16@1+ (1,0) [0|0] "" N
  SG_ CutBe : 8|16@0+ (1,0) [0|0] "" N
@@ -41,16 +41,18 @@ def dbc(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("strategy", ["compiled", "join"])
 def test_goldens(spark, dbc, strategy):
-    fr = _frames(spark, [(1, [0x34, 0x12, 0xFE]), (2, [0xAB, 0xC0]), (4, [0x54]), (4, [0x55]), (5, [0x2A]),
-                         (6, [0x01, 0x02]), (99, [1])])
+    little = lambda n, *parts: list(sum(v << at for v, at in parts).to_bytes(n, "little"))
+    fr = _frames(spark, [(700, little(4, (4803, 3), (-211 & 0x3FF, 20))), (701, list((9177 << 5).to_bytes(3, "big"))),
+                         (702, little(3, (5, 4), (391, 8))), (702, little(3, (2, 4), (45, 11))),
+                         (703, little(2, (19, 6))), (6, [0x01, 0x02]), (99, [1])])
     got = {(r.ordinal, r.signal_name): (r.raw_value, r.value, r.value_description)
            for r in decode_long(fr, dbc, strategy=strategy).collect()}
-    assert got[(0, "U16")][1] == 2331.0
-    assert got[(0, "S8")][1] == -2.0
-    assert got[(1, "B12")][0] == 0xABC
-    assert got[(2, "Sel")][0] == 0 and got[(2, "Br0")][1] == 42.0 and (2, "Br1") not in got
-    assert got[(3, "Sel")][0] == 1 and got[(3, "Br1")][1] == 42.0 and (3, "Br0") not in got
-    assert got[(4, "L")] == (42, 42.0, "forty-two")
+    assert got[(0, "Fill")][1] == 4803 * 0.25 - 7
+    assert got[(0, "Drift")][1] == -633.0
+    assert got[(1, "Pitch")][0] == 9177
+    assert got[(2, "Leaf")][0] == 5 and got[(2, "Ink")][1] == 391.0 and (2, "Ply") not in got
+    assert got[(3, "Leaf")][0] == 2 and got[(3, "Ply")][1] == 45.0 and (3, "Ink") not in got
+    assert got[(4, "State")] == (19, 19.0, "ajar")
     # a frame shorter than the signal: LE keeps the low bits present, BE the bits present, not shifted up
     assert got[(5, "Cut")][0] == 0x02 and got[(5, "CutBe")][0] == 0x02
     assert not any(o == 6 for o, _ in got)  # unknown id dropped
@@ -58,9 +60,9 @@ def test_goldens(spark, dbc, strategy):
 
 @pytest.mark.parametrize("strategy", ["compiled", "join"])
 def test_nested_order_and_undecoded(spark, dbc, strategy):
-    fr = _frames(spark, [(1, [0x34, 0x12, 0xFE]), (99, [1])])
+    fr = _frames(spark, [(700, [0x9D, 0x31, 0xE6, 0x07]), (99, [1])])
     out = {r.ordinal: r for r in decode_nested(fr, dbc, keep_undecoded=True, strategy=strategy).collect()}
-    assert [s.name for s in out[0].signals] == ["U16", "S8"]
+    assert [s.name for s in out[0].signals] == ["Fill", "Drift"]
     assert out[1].message_name is None and out[1].signals is None
 
 

@@ -78,6 +78,7 @@ def test_context(spark, tmp_path):
     m = run_query(fr, raw_filter=any_of(Pred("can_id", "eq", 0x111), Pred("can_id", "eq", 0x444)))
     pairs = sorted((r.match_ordinal, r.rel_pos) for r in context_of_matches(fr, m, 1, 1).collect())
     assert pairs == [(0, 0), (0, 1), (4, -1), (4, 0)]
+    assert context_of_matches(fr, m.filter("false"), 1, 1).count() == 0
 
 
 def test_store_and_lookups(spark, tmp_path):

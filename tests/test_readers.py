@@ -1,10 +1,12 @@
 """Text trace readers: formats, strict/tolerant, ordinals, metadata (unit tier)."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from canlens.errors import TraceParseError, UnsupportedFormat
-from canlens.sources.traces import bad_lines, discover_traces, format_of, read_trace, trace_metadata
+from canlens.sources.traces import UNSUPPORTED_FORMATS, bad_lines, classify_paths, discover_traces, format_of, read_trace, trace_metadata
 from helpers import rows, write
 
 
@@ -82,18 +84,16 @@ def test_payload_token_rules(spark, tmp_path):
     assert got == [(1, b"\x0a\x00\x0b"), (2, b"\x0a\x0b\x0c")]
 
 
-ASC = """date Tue Mar 5 10:00:00.000 am 2024
+ASC = """date Fri Aug 9 06:30:00.000 am 2019
 base hex  timestamps absolute
-internal events logged
-// version 13.0.0
-Begin Triggerblock Tue Mar 5 10:00:00.000 am 2024
+// recorded on the test track
+Begin Triggerblock Fri Aug 9 06:30:00.000 am 2019
    0.000000 Start of measurement
-   0.010000 1  131             Rx   d 8 01 02 03 04 05 06 07 08  Length = 0 BitCount = 0
-   0.020000 CANFD   2 Rx        3EC  1 0 d 12 01 02 03 04 05 06 07 08 09 0A 0B 0C
-   0.030000 ETH 1 Rx 0011223344
-   0.040000 1  AF9556Ex        Rx   d 2 11 22
-   0.050000 3  17331A10x       Tx   d 4 0A 0B
-   1.060000 10 1BFD9201x       Rx   d 1 FF
+   0.125000 LIN 2 Rx 5C 77
+   0.250000 7  0C0FFEEx        Tx   d 3 9E 41
+   0.375000 4  2D              Rx   d 5 F0 E1 D2 C3 B4  Length = 0 BitCount = 0
+   0.500000 CANFD   6 Tx        6A1  1 0 d 10 21 32 43 54 65 76 87 98 A9 BA
+   2.750000 12 1A2B3C4x        Rx   d 2 6B 5A
 End TriggerBlock
 """
 
@@ -101,14 +101,13 @@ End TriggerBlock
 def test_asc_mixed_bus(spark, tmp_path):
     df = read_trace(spark, write(tmp_path, "t.asc", ASC))
     got = rows(df, "ordinal", "can_id", "frame_type", "channel", "dlc")
-    assert got == [(0, 0x131, 0, 1, 8), (1, 0x3EC, 1, 2, 12), (2, 0x0AF9556E, 0, 1, 2),
-                   (3, 0x17331A10, 0, 3, 4), (4, 0x1BFD9201, 0, 10, 1)]
+    assert got == [(0, 0x0C0FFEE, 0, 7, 3), (1, 0x2D, 0, 4, 5), (2, 0x6A1, 1, 6, 10), (3, 0x1A2B3C4, 0, 12, 2)]
     # missing bytes are zero-filled up to the declared length
     p = {r.ordinal: bytes(r.payload) for r in df.collect()}
-    assert p[3] == b"\x0a\x0b\x00\x00"
+    assert p[0] == b"\x9e\x41\x00"
     md = trace_metadata(read_trace(spark, write(tmp_path, "u.asc", ASC), keep_source=True)).collect()[0]
     assert (md.event_count, md.start_timestamp_ns, md.end_timestamp_ns, md.source_format) == \
-        (5, 10000000, 1060000000, "asc")
+        (4, 250000000, 2750000000, "asc")
 
 
 def test_asc_error_frame_is_strict_error(spark, tmp_path):
@@ -204,3 +203,25 @@ def test_split_changes_between_planning_and_execution_keep_every_frame(spark, tm
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_classify_paths_as_format_of(spark):
+    paths = ["a/b.c/t.LOG", "t.candump", "x.Csv/", "x.asc", "x.blf", "d/x.TRC", "x.bin", "noext", ".csv", "..csv", ".a.csv", "a.b/c", "t.csv.gz", "", None]
+    got = classify_paths(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    for r in got:
+        try:
+            want = (format_of(r.path or ""), None)
+        except UnsupportedFormat as e:
+            want = (None, UNSUPPORTED_FORMATS.get(os.path.splitext(e.path)[1].lower()))
+        assert (r.source_format, r.known_format) == want, r.path
+
+
+def test_metadata_of_empty_traces(spark, tmp_path):
+    write(tmp_path, "a.csv", "timestamp,channel,can_id,dlc,payload\n0.5,0,7A,1,03\n")
+    write(tmp_path, "b.csv", "timestamp,channel,can_id,dlc,payload\n")
+    write(tmp_path, "c.log", "\n")
+    write(tmp_path, "d.log", "")  # Spark's file scans leave out files of no bytes
+    files = discover_traces(spark, str(tmp_path))
+    md = trace_metadata(read_trace(spark, [r.path for r in files.collect()], keep_source=True), files)
+    got = {r.trace_id[-5:]: (r.event_count, r.start_timestamp_ns, r.source_size_bytes, r.source_format) for r in md.collect()}
+    assert got == {"a.csv": (1, 500_000_000, 51, "csv"), "b.csv": (0, None, 37, "csv"), "c.log": (0, None, 1, "candump")}
