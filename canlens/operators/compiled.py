@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import float32_from_bits, float64_from_bits, unsigned_to_double
 
-# Bound on compiled signals (beyond it, expression size hurts more than the join costs).
-MAX_COMPILED_SIGNALS = 1500
+# Bound on compiled signals: measured faster than the join at 56, slower at 196 (code over 64 KB).
+MAX_COMPILED_SIGNALS = 56
 MAX_CASE_LABELS = 64
 
 _SIGNAL_TYPE = ("struct<signal_index:int,name:string,raw_value:bigint,value:double,unit:string,"
