@@ -1,6 +1,7 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
-A file is a run of frames, in ascending document order within and across files (by name):
+A file is a run of frames, in ascending document order within and across files (by the number in
+their name, which isn't the order of the names themselves from 100,000 files on):
 
     length of the payload   8 bytes, little-endian
     checksum of those 8     4 bytes, masked CRC-32
@@ -123,7 +124,9 @@ def scan(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
 def with_starts(records: DataFrame) -> DataFrame:
     """Add ``start``: ids of all records before, by one running sum over the files' totals."""
     totals = records.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    # Spark pads the numbers to five and three digits, so longer ones sort wrongly as text
+    part, piece = (F.regexp_extract("file", digits, 1).try_cast("bigint") for digits in (r"^part-(\d+)", r"-c(\d+)[^-]*$"))
+    order = Window.orderBy(part, piece, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     base = totals.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base"))
     return records.join(small(base), "file").withColumn("start", F.col("base") + F.col("before"))
 

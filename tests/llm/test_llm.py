@@ -131,6 +131,17 @@ def test_records(spark, rows):
     assert records.read_index(spark, empty).count() == 0
 
 
+def test_starts_follow_the_number_of_the_file(spark):
+    names = [f"part-{n}-e95db1e0-c{c}.txt" for n, c in (("00000", "000"), ("09999", "000"), ("10000", "000"), ("10000", "999"), ("10000", "1000"), ("10001", "000"), ("99999", "000"), ("100000", "000"), ("100001", "000"))]
+    frames = [(name, k, before, n) for k, name in enumerate(names) for before, n in ((0, k + 1), (k + 1, 10))]
+    found = records.with_starts(spark.createDataFrame(frames, "file string, k int, before bigint, n_tokens bigint")).collect()
+    want, start = [], 0
+    for name, _, before, n in frames:
+        want.append((name, before, start))
+        start += n
+    assert counted((r.file, r.before, r.start) for r in found) == counted(want)
+
+
 def norm(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
