@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask covers ``SPAN`` words and ignores some of them: words may differ there.  The masks are
-chosen so that for any ``ERRORS`` substituted words in a span, at least one mask ignores them all.
+A mask covers a span of words and ignores some of them: words may differ there.  The masks are
+chosen so that for any substituted words that a span may have, at least one mask ignores them all:
+``ERRORS`` in ``SPAN`` words for the usual overlap, else what ``seed`` derives from the length of the
+stretch and the similarity, so that no stretch that passes verification goes without a joined hash.
 Each position of a benchmark item and of a document is hashed under each mask; equal hashes
 join a document and an item on a diagonal (their relative position).  Every such diagonal is
 then verified on the words themselves: a stretch of ``overlap`` words (or the whole item if
@@ -12,8 +14,7 @@ to leave out positions that can't join (a full map only lets more through); the
 is an equi-join of tables.  Only documents with a joined hash are read again for verification.
 
 Words: runs of letters and digits and of anything beyond ASCII, lower-cased A-Z.  Items of
-fewer than ``SPAN`` words have no full span; they are looked for as whole word sequences, without
-substitutions; items without words match nothing.  Null texts hold no words; null ids are kept
+fewer than ``SPAN`` words have masks of their length; items without words match nothing.  Null texts hold no words; null ids are kept
 (they can't be told apart, so texts with a null id are verified together); rows that repeat
 an id share a result; other columns are left out; an empty table on either side contaminates
 nothing.
@@ -22,6 +23,7 @@ nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -55,14 +57,43 @@ def masks(span: int = SPAN, ignored: int = IGNORED, errors: int = ERRORS) -> lis
 MASKS = masks()
 
 
-def spaced_hashes(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def errors_allowed(length: int, similarity: float) -> int:
+    """Words of a stretch that may differ, by the comparison that verifies it."""
+    return max(e for e in range(length) if length - e >= similarity * length)
+
+
+def seed(length: int, similarity: float) -> tuple[int, int]:
+    """Span and errors of the masks for stretches of ``length`` words.
+
+    A stretch of n spans side by side has one with a n-th of its errors at most."""
+    n = max(1, length // SPAN)
+    span, errors = length // n, errors_allowed(length, similarity) // n
+    return (SPAN, ERRORS) if span >= SPAN and errors <= ERRORS else (span, errors)
+
+
+@cache
+def masks_for(span: int, errors: int) -> list[tuple[int, ...]]:
+    """Kept positions of masks that ignore any ``errors`` words of a span: ``MASKS`` or as few; for
+    more than ``ERRORS`` the span is cut into pieces, and each mask keeps two pieces."""
+    if (span, errors) == (SPAN, ERRORS):
+        return MASKS
+    if span <= SPAN and errors <= ERRORS:
+        return next(m for ignored in range(errors, span) if len(m := masks(span, ignored, errors)) <= len(MASKS) or ignored == span - 1)
+    kept = min(2, span - errors)
+    pieces = np.array_split(np.arange(span), errors + kept)
+    return [tuple(int(i) for piece in chosen for i in piece) for chosen in combinations(pieces, kept)]
+
+
+def spaced_hashes(words: np.ndarray, doc: np.ndarray, span: int = SPAN, errors: int = ERRORS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(mask, positions in ``words``, hashes) of all full spans within one document each."""
-    n = len(words) - SPAN + 1
+    n = len(words) - span + 1
     if n <= 0:
         return
-    at = np.flatnonzero(doc[:n] == doc[SPAN - 1:])
-    for number, kept in enumerate(MASKS):
-        acc = np.full(n, number + 1, dtype=_U)
+    at = np.flatnonzero(doc[:n] == doc[span - 1:])
+    # masks of another span or error count start from other values
+    start = 1 if (span, errors) == (SPAN, ERRORS) else span << 32 | errors << 16
+    for number, kept in enumerate(masks_for(span, errors)):
+        acc = np.full(n, start + number, dtype=_U)
         for j in kept:
             np.multiply(acc, _FACTOR, out=acc)
             np.add(acc, words[j: j + n], out=acc)
@@ -71,23 +102,6 @@ def spaced_hashes(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.
         yield number, at, acc * _FACTOR
 
 
-def whole_hash(words: np.ndarray) -> int:
-    """Hash of a word sequence shorter than a span, told apart by its length."""
-    return int(short_hashes(words, np.zeros(len(words), dtype=np.int64), len(words))[1][0])
-
-
-def short_hashes(words: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
-    acc = np.full(n, 0x5157 + length, dtype=_U)
-    for j in range(length):
-        acc = acc * _FACTOR + words[j: j + n]
-    acc = (acc ^ acc >> _U(32)) * _FACTOR
-    at = np.flatnonzero(doc[:n] == doc[length - 1: length - 1 + n])
-    return at, acc[at]
-
-
 def _bit(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(64 - MAP_BITS)).astype(np.int64)
 
@@ -96,7 +110,7 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-def _item_hashes(items: DataFrame) -> DataFrame:
+def _item_hashes(items: DataFrame, overlap: int, similarity: float) -> DataFrame:
     """(hash, item_id, at, n_words) of all spans of all items, and each item's words."""
 
     def hash_items(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +122,12 @@ def _item_hashes(items: DataFrame) -> DataFrame:
                 words, _, _, doc = shingles.word_hashes(raw, offsets[lo: hi + 1], shingles.ALNUM)
                 counts = np.bincount(doc, minlength=hi - lo)
                 first = np.concatenate(([0], np.cumsum(counts)))
-                for k in range(hi - lo):
-                    own = words[first[k]: first[k + 1]]
-                    if 0 < len(own) < SPAN:
-                        rows.append((_U(whole_hash(own)).astype(np.int64), ids[lo + k], 0, len(own)))
-                for _, at, hashed in spaced_hashes(words, doc):
+                need = np.minimum(counts, overlap)
+                seeds = {int(n): seed(int(n), similarity) for n in np.unique(need[need > 0])}
+                found = ((s, *f) for s in sorted(set(seeds.values())) for f in spaced_hashes(words, doc, *s))
+                for s, _, at, hashed in found:
+                    own = np.isin(need[doc[at]], [n for n in seeds if seeds[n] == s])
+                    at, hashed = at[own], hashed[own]
                     owner = doc[at]
                     rows.extend(zip(_signed(hashed).tolist(), [ids[lo + k] for k in owner.tolist()], (at - first[owner]).tolist(), counts[owner].tolist(), strict=True))
             columns = zip(*rows, strict=True) if rows else [[]] * 4
@@ -125,10 +140,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, first_word (in the
     document, of the best stretch), n_words (its length), n_equal (words that agree)."""
+    if overlap < 1 or not 0 < similarity <= 1:
+        raise ValueError(f"no masks for an overlap of {overlap} words and a similarity of {similarity}: at least 1 word, and over 0 to 1")
     spark = ready(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("item_id"), benchmark[item_text_col].alias("text"))
-    hashes = written(_item_hashes(items), "item-hashes")
+    hashes = written(_item_hashes(items, overlap, similarity), "item-hashes")
     # a map of fixed size: its set bits, by words of 64
     bit = f"shiftrightunsigned(hash, {64 - MAP_BITS})"
     set_bits = hashes.selectExpr(f"shiftright({bit}, 6) AS word", f"shiftleft(1L, CAST({bit} & 63 AS INT)) AS b")
@@ -137,8 +154,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
     for r in words64:
         packed[r["word"]] = r["bits"]
     bits = spark.sparkContext.broadcast(packed.tobytes())
-    # lengths below SPAN: fewer than SPAN values
-    lengths = sorted(r["n_words"] for r in hashes.where(F.col("n_words") < SPAN).select("n_words").distinct().collect())
+    # lengths of the items' stretches: ``overlap`` values at most
+    lengths = hashes.select(F.least("n_words", F.lit(overlap)).alias("n")).distinct().collect()
+    seeds = sorted({seed(r["n"], similarity) for r in lengths})
 
     def hash_docs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
@@ -148,9 +166,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
             for lo, hi in shingles.blocks(offsets):
                 words, _, _, doc = shingles.word_hashes(raw, offsets[lo: hi + 1], shingles.ALNUM)
                 first = np.searchsorted(doc, np.arange(hi - lo))
-                found = [(at, hashed) for _, at, hashed in spaced_hashes(words, doc)]
-                found += [short_hashes(words, doc, n) for n in lengths]
-                for at, hashed in found:
+                for _, at, hashed in (f for s in seeds for f in spaced_hashes(words, doc, *s)):
                     hit = table[_bit(hashed)]
                     if hit.any():
                         at, hashed = at[hit], hashed[hit]

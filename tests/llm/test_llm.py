@@ -306,6 +306,44 @@ def test_masks_ignore_any_two_errors():
         assert any(not set(pair) & set(kept) for kept in decontam.MASKS)
 
 
+@pytest.mark.parametrize(("overlap", "similarity"), [(13, 0.8), (7, 0.8), (20, 0.8), (13, 0.6), (26, 0.7)])
+def test_overlaps_of_any_length(spark, overlap, similarity):
+    """Items of 1 to 30 words, with as many substitutions as verification allows and one more, against all diagonals."""
+    rng = random.Random(overlap)
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in [*range(1, 14), 17, 30]]
+    docs, want = [], set()
+    for n, item in items:
+        for errors in range(n):
+            for _ in range(3):
+                found = list(item)
+                for k in rng.sample(range(n), errors):
+                    found[k] = "other"
+                doc = ["before"] * rng.randint(0, 3) + found + ["after"] * 2
+                docs.append((len(docs), doc))
+    for i, doc in docs:
+        for n, item in items:
+            need = min(n, overlap)
+            sums = [sum(doc[d + k + j] == item[k + j] for j in range(need)) for d in range(-n, len(doc)) for k in range(n - need + 1) if 0 <= d + k and d + k + need <= len(doc)]
+            if sums and max(sums) >= similarity * need:
+                want.add((i, n, max(sums)))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items], "item_id bigint, text string")
+    got = decontam.find_overlaps(table(spark, [(i, " ".join(doc)) for i, doc in docs]), bench, overlap, similarity).collect()
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in got} == want and len(got) == len(want)
+
+
+def test_masks_ignore_what_a_stretch_allows():
+    from itertools import combinations
+
+    for length in range(1, 40):
+        for similarity in (0.5, 0.8, 0.9, 1.0):
+            span, errors = decontam.seed(length, similarity)
+            for pattern in combinations(range(span), errors) if span <= 13 else ():
+                assert any(not set(pattern) & set(kept) for kept in decontam.masks_for(span, errors))
+    for overlap, similarity in ((0, 0.8), (13, 0.0), (13, 1.1)):
+        with pytest.raises(ValueError):
+            decontam.find_overlaps(None, None, overlap, similarity)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ["grrk", "blargh"]
