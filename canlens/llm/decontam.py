@@ -14,9 +14,9 @@ to leave out positions that can't join (a full map only lets more through); the
 is an equi-join of tables.  Only documents with a joined hash are read again for verification.
 
 Words: runs of letters and digits and of anything beyond ASCII, lower-cased A-Z.  Items of
-fewer than ``SPAN`` words have masks of their length; items without words match nothing.  Null texts hold no words; null ids are kept
-(they can't be told apart, so texts with a null id are verified together); rows that repeat
-an id share a result; other columns are left out; an empty table on either side contaminates
+fewer than ``SPAN`` words have masks of their length; items without words match nothing.  Null texts hold no words; null ids are kept,
+and rows with one are told apart by a hash of their text (equal texts share a result); rows that
+repeat an id share a result; other columns are left out; an empty table on either side contaminates
 nothing.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, small_bytes, tidy, without, written
+from .common import ready, small, small_bytes, tidy, written
 
 SPAN, IGNORED, ERRORS = 12, 5, 2
 #: Bits of the map of benchmark hashes (a fixed bound on what is broadcast: 2 MB).
@@ -136,14 +136,30 @@ def _item_hashes(items: DataFrame, overlap: int, similarity: float) -> DataFrame
     return items.mapInArrow(tidy(hash_items), "hash bigint, item_id bigint, at bigint, n_words bigint")
 
 
+def _own_key(text):
+    """Tells rows with a null id apart; null for rows with an id."""
+    return F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(text, F.lit("")), 256)).alias("own_key")
+
+
+def _same_document(left: DataFrame, doc_id: str, own_key: str):
+    return left["doc_id"].eqNullSafe(F.col(doc_id)) & left["own_key"].eqNullSafe(F.col(own_key))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: doc_id, item_id, first_word (in the
     document, of the best stretch), n_words (its length), n_equal (words that agree)."""
+    return _overlaps(docs, benchmark, overlap, similarity, id_col, text_col, item_col, item_text_col).drop("own_key")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+              item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``find_overlaps`` with ``own_key``, which tells rows with a null id apart."""
     if overlap < 1 or not 0 < similarity <= 1:
         raise ValueError(f"no masks for an overlap of {overlap} words and a similarity of {similarity}: at least 1 word, and over 0 to 1")
     spark = ready(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    rows = rows.select("doc_id", _own_key(F.col("text")), "text")
     items = benchmark.select(benchmark[item_col].cast("bigint").alias("item_id"), benchmark[item_text_col].alias("text"))
     hashes = written(_item_hashes(items, overlap, similarity), "item-hashes")
     # a map of fixed size: its set bits, by words of 64
@@ -162,7 +178,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
         table = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
         for batch in parts:
             raw, offsets = shingles.utf8_column(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("own_key")
             for lo, hi in shingles.blocks(offsets):
                 words, _, _, doc = shingles.word_hashes(raw, offsets[lo: hi + 1], shingles.ALNUM)
                 first = np.searchsorted(doc, np.arange(hi - lo))
@@ -170,15 +186,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
                     hit = table[_bit(hashed)]
                     if hit.any():
                         at, hashed = at[hit], hashed[hit]
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[at] + lo)), pa.array(_signed(hashed), pa.int64()), pa.array(at - first[doc[at]], pa.int64())], names=["doc_id", "hash", "position"])
+                        row = pa.array(doc[at] + lo)
+                        yield pa.RecordBatch.from_arrays([ids.take(row), keys.take(row), pa.array(_signed(hashed), pa.int64()), pa.array(at - first[doc[at]], pa.int64())], names=["doc_id", "own_key", "hash", "position"])
 
-    hits = rows.mapInArrow(tidy(hash_docs), "doc_id bigint, hash bigint, position bigint")
-    diagonals = hits.join(small(hashes), "hash").select("doc_id", "item_id", (F.col("position") - F.col("at")).alias("diagonal"))
+    hits = rows.mapInArrow(tidy(hash_docs), "doc_id bigint, own_key string, hash bigint, position bigint")
+    diagonals = hits.join(small(hashes), "hash").select("doc_id", "own_key", "item_id", (F.col("position") - F.col("at")).alias("diagonal"))
     diagonals = written(diagonals.distinct(), "diagonals")
-    asked = diagonals.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one for each word of a document
-    texts = rows.join(small(diagonals.select("doc_id").distinct()), rows["doc_id"].eqNullSafe(diagonals["doc_id"]), "left_semi")
-    texts = written(texts, "texts-with-hits").withColumnRenamed("doc_id", "d")
-    pairs = asked.join(texts, asked["doc_id"].eqNullSafe(texts["d"])).select("doc_id", "item_id", "diagonals", "text")
+    asked = diagonals.groupBy("doc_id", "own_key", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one for each word of a document
+    hit = diagonals.select(F.col("doc_id").alias("d"), F.col("own_key").alias("k")).distinct()
+    texts = rows.join(small(hit), _same_document(rows, "d", "k"), "left_semi")
+    texts = written(texts, "texts-with-hits").withColumnsRenamed({"doc_id": "d", "own_key": "k"})
+    pairs = asked.join(texts, _same_document(asked, "d", "k")).select("doc_id", "own_key", "item_id", "diagonals", "text")
     item_texts = items.select(F.col("item_id").alias("i"), F.col("text").alias("item_text"))
     pairs = pairs.join(small_bytes(item_texts, "item_text"), F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
 
@@ -192,12 +210,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
                 if best[1] and best[2] >= similarity * best[1]:
                     good.append((k, *best))
             at = pa.array([g[0] for g in good], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("item_id").take(at), *[pa.array([g[j] for g in good], pa.int64()) for j in (1, 2, 3)]], names=["doc_id", "item_id", "first_word", "n_words", "n_equal"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("doc_id", "own_key", "item_id")], *[pa.array([g[j] for g in good], pa.int64()) for j in (1, 2, 3)]], names=["doc_id", "own_key", "item_id", "first_word", "n_words", "n_equal"])
 
-    found = pairs.mapInArrow(tidy(verify), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, n_equal bigint")
+    found = pairs.mapInArrow(tidy(verify), "doc_id bigint, own_key string, item_id bigint, first_word bigint, n_words bigint, n_equal bigint")
     best = F.max(F.struct("n_equal", (-F.col("first_word")).alias("w"), "n_words")).alias("best")
-    found = found.groupBy("doc_id", "item_id").agg(best)
-    return found.select("doc_id", "item_id", (-F.col("best.w")).alias("first_word"), "best.n_words", "best.n_equal")
+    found = found.groupBy("doc_id", "own_key", "item_id").agg(best)
+    return found.select("doc_id", "own_key", "item_id", (-F.col("best.w")).alias("first_word"), "best.n_words", "best.n_equal")
 
 
 def best_stretch(text: np.ndarray, item: np.ndarray, diagonal: int, overlap: int) -> tuple[int, int, int]:
@@ -216,16 +234,21 @@ def best_stretch(text: np.ndarray, item: np.ndarray, diagonal: int, overlap: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids (ascending), n_equal (of the best stretch)."""
-    found = find_overlaps(docs, benchmark, overlap, similarity, id_col, text_col)
+    found = _overlaps(docs, benchmark, overlap, similarity, id_col, text_col)
     # at most one entry for each item
-    per_doc = written(found.groupBy(F.col("doc_id").alias("d")).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("n_equal").alias("n_equal")), "contaminated")
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"))
-    joined = rows.join(small(per_doc), rows["doc_id"].eqNullSafe(F.col("d")), "left")
+    per_doc = written(found.groupBy(F.col("doc_id").alias("d"), F.col("own_key").alias("k")).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("n_equal").alias("n_equal")), "contaminated")
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    rows = rows.select("doc_id", _own_key(F.col("text")))
+    joined = rows.join(small(per_doc), _same_document(rows, "d", "k"), "left")
     none = F.array().cast("array<bigint>")
     return joined.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"),
                          F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_equal", F.lit(0)).alias("n_equal"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id overlaps no benchmark item."""
-    return without(docs, find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options), id_col)
+    """The rows of ``docs``, all columns, whose id (for a null id, whose text) overlaps no benchmark item."""
+    found = _overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    gone = written(found.select(F.col("doc_id").alias("_gone_id"), F.col("own_key").alias("_gone_key")).distinct(), "gone")
+    own_id = docs[id_col].cast("bigint")
+    own_key = F.when(own_id.isNull(), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    return docs.join(small(gone), own_id.eqNullSafe(F.col("_gone_id")) & own_key.eqNullSafe(F.col("_gone_key")), "left_anti")

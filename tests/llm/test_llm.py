@@ -299,6 +299,19 @@ def test_decontamination(spark, rows):
     assert counted(r.doc_id for r in decontam.keep_uncontaminated(table(spark, docs), bench).collect()) == [4, 6, 7, 8]
 
 
+def test_contaminated_null_ids_leave_others(spark):
+    """A row with a null id answers for its own text alone; a repeated id still shares a result."""
+    rng = random.Random(13)
+    items = [(k, words(rng, 20)) for k in range(2)]
+    docs = [(None, words(rng, 30)), (None, "x " + items[0][1]), (None, None), (None, ""), (None, items[1][1] + " y"), (None, "x " + items[0][1]), (5, words(rng, 30)), (6, items[1][1]), (7, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    kept = decontam.keep_uncontaminated(table(spark, docs), bench)
+    assert kept.columns == table(spark, []).columns
+    assert counted((r.doc_id, r.text) for r in kept.collect()) == counted(docs[k] for k in (0, 2, 3, 6, 8))
+    got = [(r.doc_id, r.contaminated, tuple(r.item_ids)) for r in decontam.decontaminate(table(spark, docs), bench).collect()]
+    assert counted(got) == counted([(None, False, ())] * 3 + [(None, True, (0,))] * 2 + [(None, True, (1,)), (5, False, ()), (6, True, (1,)), (7, False, ())])
+
+
 def test_masks_ignore_any_two_errors():
     from itertools import combinations
 
