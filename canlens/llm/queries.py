@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontam, exact_index, langid, near_dup, packing, records, repeats, sharding, token_counts, toxicity
+from . import collocations, decontam, exact_index, langid, lexical, near_dup, packing, records, repeats, sharding, simhash, token_counts, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -71,6 +71,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 8)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -82,9 +94,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_records": op9_token_records,
     "op10_sharding": op10_sharding,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
+    "op13_simhash": op13_simhash,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLES = {
     "op8_exact_dedup": f"""
@@ -92,4 +108,33 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)""",
+    "op11_lexical_search": rf"""
+        WITH words AS (SELECT doc_id, unnest(regexp_extract_all({_NORM}, '{_TERM}')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_NORM}, '{_TERM}')) AS term FROM benchmark),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * total.docs) // total.terms))))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (doc_id), total GROUP BY item_id, doc_id),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+    "op12_collocations": rf"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_NORM}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        grams AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+                  FROM words, (VALUES (1), (2), (3), (4)) AS sizes(k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2 AND f >= 30),
+        inside AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+                   FROM cand, range(2, 4) AS lens(m), range(1, 4) AS starts(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+        kept AS (SELECT cand.* FROM cand LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+        cuts AS (SELECT parts.lang, parts.phrase, a, c, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+                 FROM (SELECT *, array_to_string(ws[1:c], ' ') AS p, array_to_string(ws[c + 1:], ' ') AS q FROM kept, range(1, 4) AS places(c) WHERE c < k) AS parts
+                 JOIN f AS x ON x.lang = parts.lang AND x.phrase = parts.p JOIN f AS y ON y.lang = parts.lang AND y.phrase = parts.q),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang))
+        SELECT * FROM ranked WHERE rank <= 2000""",
 }
