@@ -63,6 +63,22 @@ def small_bytes(df: DataFrame, text_col: str, max_bytes: int = 8 << 20, max_rows
     return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
+#: Rows of one key from which ``join_counted`` treats it as hot, at least, and hot keys at most.
+HOT, HOT_KEYS = 1000, 50_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table`` on ``keys``, whose ``count`` says how many of the ``total`` rows hold each key.
+
+    Keys of many rows, fewer than ``HOT_KEYS``, are joined by broadcast, so no task gets all rows of one; the
+    rest by a shuffle.  ``rows`` and ``table`` are read twice; null keys join nothing."""
+    many = max(HOT, total // HOT_KEYS)
+    payload = [c for c in table.columns if c not in (*keys, count)]
+    marked = rows.join(F.broadcast(table.where(F.col(count) > many).drop(count).withColumn("_hot", F.lit(True))), keys, "left")
+    hot = marked.where(F.col("_hot")).drop("_hot")
+    return hot.unionByName(marked.where(F.col("_hot").isNull()).drop("_hot", *payload).join(table.where(F.col(count) <= many).drop(count), keys))
+
+
 #: What a worker keeps from task to task (an encoder and its memo), by its key.
 KEPT: dict = {}
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, small, tidy, written
+from .common import join_counted, ready, small, tidy, written
 from .components import components
 from .wordlists import SPACE, raw_text, slices
 
@@ -216,11 +216,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rooted = distinct.join(found, distinct["print"] == found["node"], "left").select("print", "least", "members", F.coalesce("component", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = written(rooted.join(least, "root").select("print", "members", "component_id"), "simhash-known")
-    # fingerprints of many rows are joined by broadcast, those of few by a shuffle
-    total = int(rows.count())
-    many = max(1000, total // 50_000)  # so 50,000 rows at most are broadcast
-    hot = known.where(F.col("members") > many).select("print", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
-    marked = rows.join(F.broadcast(hot), "print", "left")
-    out = marked.where(F.col("hot").isNull()).join(known.where(F.col("members") <= many), "print").select("doc_id", "print", "component_id")
-    out = out.unionByName(marked.where(F.col("hot")).select("doc_id", "print", F.col("hot_id").alias("component_id")))
+    out = join_counted(rows, known, ["print"], "members", rows.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
