@@ -5,10 +5,11 @@ presence of selected words and on the log-odds of the categories before it.  In
 those earlier log-odds are out-of-fold predictions (the row's fold was left out of the model that
 made them), so later links learn how far earlier ones can be trusted.
 
-Training is bounded: about ``max_rows`` labelled rows, taken by a hash of their id, with copies
-of a text reduced to one row; ``n_words`` words for each category, those whose share of positive
-rows differs most from the category's, if significantly.  Document counts of words are summed up by Spark; only the
-bounded matrix of selected words reaches the driver.  Scoring covers whole texts, row by row.
+Training is bounded: ``max_rows`` labelled rows at most, taken by a hash of their id, with copies
+of a text reduced to one row.  A link's words are all those in ``MIN_ROWS`` training rows or more whose share of
+positive rows differs from the category's significantly (``MIN_Z``).  Document counts of words are summed up by
+Spark; only the places of those words in the training rows reach the driver, where each model is fitted by Newton
+steps solved by conjugate gradients over those places.  Scoring covers whole texts, row by row.
 
 Words: runs of letters (anything beyond ASCII counts as a letter), lower-cased A-Z.  Null texts
 hold no words; labels that are null are left out in training; repeated ids are rows of their own
@@ -18,7 +19,7 @@ nothing is toxic; a category with one class only has that class's smoothed share
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import ready, tidy, written
 
-MAX_ROWS, N_WORDS, FOLDS, RIDGE = 20_000, 128, 5, 0.3
+MAX_ROWS, FOLDS, RIDGE = 20_000, 5, 0.3
 #: A word is selected if it is in so many training rows, and its positive share so many standard errors off.
 MIN_ROWS, MIN_Z = 5, 4.0
 
@@ -53,40 +54,82 @@ class Chain:
         return found
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last column of x is the bias, unpenalised.
+class Design:
+    """Training rows: the places of the words they hold (row, word), and dense columns; the last is the bias."""
+
+    def __init__(self, row: np.ndarray, word: np.ndarray, n_words: int, dense: np.ndarray):
+        self.row, self.word, self.n_words, self.dense = row, word, n_words, dense
+        self.width = n_words + dense.shape[1]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.word], minlength=len(self.dense)) + self.dense @ w[self.n_words:]
+
+    def weighed(self, u: np.ndarray, power: int = 1) -> np.ndarray:
+        """Column sums of the rows times ``u`` (of the squared columns for a ``power`` of 2)."""
+        return np.concatenate((np.bincount(self.word, weights=u[self.row], minlength=self.n_words), (self.dense ** power).T @ u))
+
+    def take(self, keep: np.ndarray) -> Design:
+        place = np.cumsum(keep) - 1
+        held = keep[self.row]
+        return Design(place[self.row[held]], self.word[held], self.n_words, self.dense[keep])
+
+    def beside(self, column: np.ndarray) -> Design:
+        """With one more dense column before the bias."""
+        return Design(self.row, self.word, self.n_words, np.column_stack((self.dense[:, :-1], column, self.dense[:, -1])))
+
+
+def solve(times: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """``x`` with ``times(x) = target`` by conjugate gradients, scaled by the diagonal."""
+    x, left = np.zeros(len(target)), target.copy()
+    scaled = left / diagonal
+    way, size = scaled.copy(), left @ scaled
+    least = 1e-18 * max(float(size), 1e-300)
+    for _ in range(10 * len(target)):
+        if size <= least:
+            break
+        ahead = times(way)
+        step = size / (way @ ahead)
+        x += step * way
+        left -= step * ahead
+        scaled = left / diagonal
+        size, before = left @ scaled, size
+        way = scaled + size / before * way
+    return x
+
+
+def fit_logistic(x: Design, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the bias isn't penalised.
 
     The two classes weigh alike in total."""
     positive = y.mean()
     each = np.where(y == 1, 0.5 / positive, 0.5 / (1 - positive)) if 0 < positive < 1 else np.ones(len(y))
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    w = np.zeros(x.width)
+    penalty = np.full(x.width, ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (each * (y - p)) - penalty * w
-        hessian = (x * (each * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, gradient)
+        p = 1 / (1 + np.exp(-np.clip(x.dot(w), -30, 30)))
+        gradient = x.weighed(each * (y - p)) - penalty * w
+        curve = each * p * (1 - p) + 1e-6
+        step = solve(lambda v, curve=curve: x.weighed(curve * x.dot(v)) + penalty * v, gradient, x.weighed(curve, 2) + penalty)
         w += step
         if np.abs(step).max() < 1e-4:
             break
     return w
 
 
-def fit_links(present: np.ndarray, labels: np.ndarray, folds: np.ndarray, ridge: float = RIDGE) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def fit_links(words: Design, labels: np.ndarray, folds: np.ndarray, ridge: float = RIDGE) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """The chain's models.  labels: one column per category, NaN where unknown."""
-    n, links, earlier = len(present), [], np.zeros((len(present), 0))
+    links, x = [], words
     for k in range(labels.shape[1]):
         known = ~np.isnan(labels[:, k])
-        x = np.hstack((present, earlier, np.ones((n, 1))))
-        w = fit_logistic(x[known], labels[known, k], ridge)
-        out = np.empty(n)
+        w = fit_logistic(x.take(known), labels[known, k], ridge)
+        out = np.empty(len(labels))
         for fold in np.unique(folds):
             train = known & (folds != fold)
-            own = fit_logistic(x[train], labels[train, k], ridge) if train.any() else w
-            out[folds == fold] = np.clip(x[folds == fold] @ own, -30, 30)
-        links.append((float(w[-1]), w[: present.shape[1]], w[present.shape[1]: -1]))
-        earlier = np.hstack((earlier, out[:, None]))
+            own = fit_logistic(x.take(train), labels[train, k], ridge) if train.any() else w
+            out[folds == fold] = np.clip(x.take(folds == fold).dot(own), -30, 30)
+        links.append((float(w[-1]), w[: x.n_words], w[x.n_words: -1]))
+        x = x.beside(out)
     return links
 
 
@@ -110,7 +153,7 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             yield a, min(a + 1024, hi)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS, n_words: int = N_WORDS,
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS,
               folds: int = FOLDS, ridge: float = RIDGE, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
     """Learn the chain from ``labels`` (id and one 0/1 column for each category); None without labelled rows."""
     ready(docs.sparkSession)
@@ -149,19 +192,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max
         if p is None or not 0 < p < 1:
             continue
         z = F.abs(F.col(c) - F.col(f"n_{c}") * p) / F.sqrt(F.col(f"n_{c}") * F.lit(p * (1 - p)))
-        chosen |= {r["word"] for r in counts.where((F.col(f"n_{c}") >= MIN_ROWS) & (z >= MIN_Z)).orderBy(z.desc(), "word").limit(n_words).collect()}
+        # each is in MIN_ROWS of the max_rows training rows
+        chosen |= {r["word"] for r in counts.where((F.col(f"n_{c}") >= MIN_ROWS) & (z >= MIN_Z)).select("word").collect()}
     vocabulary = np.sort(np.array(sorted(chosen), dtype=np.int64).view(np.uint64))
 
-    def matrix(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             raw, offsets = shingles.utf8_column(batch.column("text"))
-            packed = [row.tobytes() for lo, hi in _blocks(offsets) for row in np.packbits(_present(raw, offsets[lo: hi + 1], vocabulary).astype(bool), axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(packed, pa.binary()), *[batch.column(c) for c in names]], names=["copy", "bits", *names])
-
-    got = train.mapInArrow(tidy(matrix), ", ".join(["copy bigint, bits binary", *[f"{c} double" for c in names]])).orderBy("copy").toPandas()  # max_rows x n_words bits
-    bits = np.frombuffer(b"".join(got["bits"]), dtype=np.uint8).reshape(len(got), -1)
-    present = np.unpackbits(bits, axis=1, count=len(vocabulary)).astype(np.float64) if len(vocabulary) else np.zeros((len(got), 0))
-    return Chain(list(categories), vocabulary, fit_links(present, got[names].to_numpy(dtype=float), got["copy"].to_numpy() % folds, ridge))
+            held = [np.flatnonzero(row).astype(np.int32) for lo, hi in _blocks(offsets) for row in _present(raw, offsets[lo: hi + 1], vocabulary)]
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(held, pa.list_(pa.int32())), *[batch.column(c) for c in names]], names=["copy", "held", *names])
+
+    # max_rows rows with the selected words that each holds
+    got = train.mapInArrow(tidy(places), ", ".join(["copy bigint, held array<int>", *[f"{c} double" for c in names]])).orderBy("copy").toPandas()
+    sizes = got["held"].map(len).to_numpy()
+    words = Design(np.repeat(np.arange(len(got)), sizes), np.concatenate([np.zeros(0, np.int32), *got["held"]]).astype(np.int64), len(vocabulary), np.ones((len(got), 1)))
+    return Chain(list(categories), vocabulary, fit_links(words, got[names].to_numpy(dtype=float), got["copy"].to_numpy() % folds, ridge))
 
 
 def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
