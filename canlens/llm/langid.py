@@ -2,13 +2,13 @@
 
 A text is the set of its byte n-grams of all lengths 1 to ``MAX_N`` (lower-cased A-Z), hashed
 to ``BITS`` bits of buckets.  The kernel of two texts is the number of buckets they share over
-the geometric mean of their sizes.  Landmark texts give each text a vector of kernel values
+the geometric mean of their sizes.  A set fills up as a text grows, so texts are taken in parts of ``PART`` bytes, and
+a text's kernel value is the mean of its parts'.  Landmark parts give each text a vector of kernel values
 (Nystrom features); one-versus-rest kernel ridge regression on those is solved in closed form.
 A text's scores are then two matrix products over a batch of presence rows.
 
-Training is bounded: ``max_rows`` labelled rows at most, about as many for each language, taken
-by a hash of their id, and ``n_landmarks`` of them as landmarks; every training row is read
-whole.  Scoring covers whole texts, row by row.
+Training is bounded: about ``max_rows`` parts of labelled texts at most, about as many texts for each language, taken
+by a hash of their id, and ``n_landmarks`` of them as landmarks.  Scoring covers whole texts, row by row.
 
 A text that is null or holds no letter is ``und`` with score 0, as is every text if there is
 nothing to learn from.  Rows without a language aren't learned from; a null id counts as not held
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import ready, tidy
 
+#: Bytes of a part; its grams fill about half the buckets at most.
+PART = 1 << 15
 BITS, MAX_N, MAX_ROWS, N_LANDMARKS, RIDGE = 14, 4, 4096, 256, 1e-3
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -66,6 +68,14 @@ def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found.reshape(n_docs, 1 << BITS)
 
 
+def in_parts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the parts of the documents, and each part's document.  An empty document is one part."""
+    parts = np.maximum(-(-np.diff(offsets) // PART), 1)
+    doc = np.repeat(np.arange(len(parts)), parts)
+    first = np.cumsum(parts) - parts
+    return np.append(offsets[doc] + (np.arange(len(doc)) - first[doc]) * PART, offsets[-1]), doc
+
+
 def kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     x = present.astype(np.float32)
     size = np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
@@ -113,8 +123,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, n_landmarks: int = N_LANDMARK
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             raw, offsets = shingles.utf8_column(batch.column("text"))
-            packed = [np.packbits(presence(raw, offsets[k: k + 2])[0]).tobytes() for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array(packed, pa.binary())], names=["draw", "lang", "bits"])
+            bounds, doc = in_parts(offsets)
+            packed = [np.packbits(presence(raw, bounds[k: k + 2])[0]).tobytes() for k in range(len(doc))]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("draw").take(at), batch.column("lang").take(at), pa.array(packed, pa.binary())], names=["draw", "lang", "bits"])
 
     sample = sample.select(draw.alias("draw"), "lang", "text").mapInArrow(tidy(pack), "draw bigint, lang string, bits binary")
     got = sample.orderBy("draw", "lang", "bits").limit(max_rows).collect()  # max_rows x 2 KB
@@ -138,12 +150,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             raw, offsets = shingles.utf8_column(batch.column("text"))
             known = [x is not None and has_letter(x) for x in batch.column("text").to_pylist()]
             langs, sure = [], []
-            for lo, hi in shingles.blocks(offsets):
-                for a in range(lo, hi, 256):
-                    s = model.scores(presence(raw, offsets[a: min(a + 256, hi) + 1]))
-                    e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
-                    langs += [model.langs[k] for k in s.argmax(axis=1)]
-                    sure += (e.max(axis=1) / e.sum(axis=1)).tolist()
+            bounds, doc = in_parts(offsets)
+            found = [model.scores(presence(raw, bounds[a: min(a + 256, hi) + 1])) for lo, hi in shingles.blocks(bounds) for a in range(lo, hi, 256)]
+            if found:
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                s = np.add.reduceat(np.concatenate(found), first) / np.bincount(doc)[:, None]
+                e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
+                langs = [model.langs[k] for k in s.argmax(axis=1)]
+                sure = (e.max(axis=1) / e.sum(axis=1)).tolist()
             langs = [x if ok else UNKNOWN for x, ok in zip(langs, known, strict=True)]
             sure = [float(x) if ok else 0.0 for x, ok in zip(sure, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
