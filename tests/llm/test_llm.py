@@ -383,28 +383,3 @@ def test_language_id(spark):
     assert got == {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "en")}
     assert langid.identify(table(spark, [])).count() == 0
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as pipe
-    from canlens.llm import queries
-    from canlens.llm.common import written
-
-    sf = "/root/testdata/sf0.001"
-    docs = queries.documents(spark, sf)
-    before = docs
-    for name, stage in pipe.STAGES[:-1]:
-        after = written(stage(spark, before, sf), "test-stage")
-        assert after.columns == docs.columns and after.exceptAll(before).isEmpty()
-        left = {r.doc_id: r.text for r in after.select("doc_id", "text").collect()}
-        was = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
-        if name == "exact_dedup":
-            assert sorted(map(norm, left.values())) == sorted({norm(t) for t in was.values()})
-        if name == "near_dedup":
-            for i in was.keys() - left.keys():
-                s = shingles(was[i])
-                assert any(100 * len(s & shingles(t)) >= 70 * len(s | shingles(t)) for t in left.values())
-        before = after
-    packed = pipe.STAGES[-1][1](spark, before, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
-    assert len(pipe.run(spark, sf).columns) == len(packed.columns)

@@ -140,16 +140,28 @@ def collocations_by_hand(rows, min_count, percent=80, top=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("min_count", "budget", "held", "limit"), [(30, 1 << 17, 1 << 20, 1 << 20), (4, 40, 50, 200), (2, 4, 1 << 20, 60)])
-def test_collocations(spark, rows, monkeypatch, min_count, budget, held, limit):
-    monkeypatch.setattr(collocations, "HELD", held)
+@pytest.mark.parametrize(("min_count", "budget", "chunk", "limit"), [(30, 1 << 17, 12 << 20, 1 << 20), (4, 40, 3000, 200), (2, 4, 12 << 20, 60)])
+def test_collocations(spark, rows, monkeypatch, min_count, budget, chunk, limit):
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", limit)
     monkeypatch.setattr(collocations, "slices", lambda raw, sep: wordlists.slices(raw, sep, limit))
-    monkeypatch.setattr(collocations, "DEPTH", 4)
     found = collocations.collocations(table(spark, rows).repartition(3), min_count=min_count, budget=budget)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(tuple(r) for r in found.collect()) == collocations_by_hand(rows, min_count)
 
 
+def test_words_whose_hashes_meet(spark, rows, monkeypatch):
+    """Numbers go by bytes where hashes of different words meet."""
+    mix = collocations.shingles.mix64
+    monkeypatch.setattr(collocations.shingles, "mix64", lambda x: mix(x) >> np.uint64(58))
+    found = collocations.word_counts(table(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "text"))
+    want = Counter()
+    for _, text, lang in rows:
+        for w in re.findall("[^\x20\x09.,;:!?\x0a-\x0d]+", lower(text)):
+            want[lang or "und", w] += 1
+    assert {(r.lang, bytes(r.phrase).decode()): r.n for r in found.collect()} == want
+
+
 def test_collocation_ranks_stop_at_top(spark, rows):
     found = collocations.collocations(table(spark, rows), min_count=3, top=7)
     assert sorted(tuple(r) for r in found.collect()) == collocations_by_hand(rows, 3, top=7)
@@ -157,20 +169,28 @@ def test_collocation_ranks_stop_at_top(spark, rows):
 
 def test_collocations_of_full_maps(spark, rows, monkeypatch):
     """With every bit of the maps set, nothing is left out early and every prefix is extended: same counts."""
-    monkeypatch.setattr(collocations, "bit_map", lambda phrases: b"\xff" * (1 << collocations.MAP_BITS >> 3))
+    monkeypatch.setattr(collocations, "bit_map", lambda places: b"\xff" * (1 << collocations.MAP_BITS >> 3))
     found = collocations.collocations(table(spark, rows), min_count=5, budget=64)
     assert sorted(tuple(r) for r in found.collect()) == collocations_by_hand(rows, 5)
 
 
-def test_pieces_over_slices(monkeypatch):
+def test_segments_hold_each_phrase_once(monkeypatch):
     text = ("a b c d e f g " * 9 + ". x y z ").encode() * 3
-    whole = [(w, k) for w, k in collocations.pieces(text)]
-    for limit in (1, 3, 20, 33):
+
+    def grams(parts, size):
+        found = Counter()
+        for part, limit in parts:
+            at = 0
+            for piece in re.split(rb"(?<=[.])", part):
+                words = [(at + m.start(), m.group()) for m in re.finditer(rb"[^ .]+", piece)]
+                found.update(tuple(w for _, w in words[i: i + size]) for i in range(len(words) - size + 1) if words[i][0] < limit)
+                at += len(piece)
+        return found
+
+    for limit in (1, 3, 20, 33, 100):
         monkeypatch.setattr(collocations, "slices", lambda raw, sep, limit=limit: wordlists.slices(raw, sep, limit))
         for size in range(1, 5):
-            def grams(parts, size=size):
-                return Counter(tuple(w[i: i + size]) for w, starts in parts for i in range(min(starts, len(w) - size + 1)))
-            assert grams(collocations.pieces(text)) == grams(whole)
+            assert grams(collocations.segments(text), size) == grams([(text, len(text))], size)
 
 
 def test_collocations_empty(spark):
