@@ -31,6 +31,8 @@ from . import shingles
 from .common import ready, tidy, written
 
 MAX_ROWS, FOLDS, RIDGE = 20_000, 5, 0.3
+#: Steps of a conjugate gradient solution, at most.
+MAX_STEPS = 200
 #: A word is selected if it is in so many training rows, and its positive share so many standard errors off.
 MIN_ROWS, MIN_Z = 5, 4.0
 
@@ -79,12 +81,14 @@ class Design:
 
 
 def solve(times: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """``x`` with ``times(x) = target`` by conjugate gradients, scaled by the diagonal."""
+    """``x`` with ``times(x) = target`` by conjugate gradients, scaled by the diagonal, to two digits or ``MAX_STEPS``.
+
+    A Newton step that is a little off is mended by the next one."""
     x, left = np.zeros(len(target)), target.copy()
     scaled = left / diagonal
     way, size = scaled.copy(), left @ scaled
-    least = 1e-18 * max(float(size), 1e-300)
-    for _ in range(10 * len(target)):
+    least = 1e-4 * max(float(size), 1e-300)
+    for _ in range(MAX_STEPS):
         if size <= least:
             break
         ahead = times(way)
@@ -97,22 +101,33 @@ def solve(times: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagona
     return x
 
 
-def fit_logistic(x: Design, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the bias isn't penalised.
+def fit_logistic(x: Design, y: np.ndarray, ridge: float, start: np.ndarray | None = None, steps: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps from ``start``; the bias isn't penalised.
 
     The two classes weigh alike in total."""
     positive = y.mean()
     each = np.where(y == 1, 0.5 / positive, 0.5 / (1 - positive)) if 0 < positive < 1 else np.ones(len(y))
-    w = np.zeros(x.width)
+    w = np.zeros(x.width) if start is None else start.copy()
     penalty = np.full(x.width, ridge)
     penalty[-1] = 1e-3
+    z = x.dot(w)
+
+    def loss(z: np.ndarray, w: np.ndarray) -> float:
+        return float(each @ (np.logaddexp(0, z) - y * z) + 0.5 * penalty @ (w * w))
+
+    now = loss(z, w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         gradient = x.weighed(each * (y - p)) - penalty * w
         curve = each * p * (1 - p) + 1e-6
         step = solve(lambda v, curve=curve: x.weighed(curve * x.dot(v)) + penalty * v, gradient, x.weighed(curve, 2) + penalty)
-        w += step
-        if np.abs(step).max() < 1e-4:
+        along, part = x.dot(step), 1.0
+        while (after := loss(z + part * along, w + part * step)) > now and part > 1e-4:
+            part /= 2
+        if after > now:
+            break
+        w, z, before, now = w + part * step, z + part * along, now, after
+        if before - now < 1e-8 * now or part * np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -123,12 +138,14 @@ def fit_links(words: Design, labels: np.ndarray, folds: np.ndarray, ridge: float
     for k in range(labels.shape[1]):
         known = ~np.isnan(labels[:, k])
         w = fit_logistic(x.take(known), labels[known, k], ridge)
+        links.append((float(w[-1]), w[: x.n_words], w[x.n_words: -1]))
+        if k + 1 == labels.shape[1]:
+            break  # no later link needs its out-of-fold predictions
         out = np.empty(len(labels))
         for fold in np.unique(folds):
             train = known & (folds != fold)
-            own = fit_logistic(x.take(train), labels[train, k], ridge) if train.any() else w
+            own = fit_logistic(x.take(train), labels[train, k], ridge, w) if train.any() else w
             out[folds == fold] = np.clip(x.take(folds == fold).dot(own), -30, 30)
-        links.append((float(w[-1]), w[: x.n_words], w[x.n_words: -1]))
         x = x.beside(out)
     return links
 
