@@ -4,9 +4,9 @@ The texts' suffixes are cut at ``DEPTH`` words and at the end of their piece.  T
 built whole: it is partitioned by word prefixes, whose subtrees fit a memory budget and are built
 independently of each other.
 
-1. *Prefix counts.*  Words are counted for each language, then pairs of words that both occur
-   ``min_count`` times.  A phrase can't occur more often than a part of it, so a suffix is followed only as
-   far as its pairs occur ``min_count`` times: what lies below is no candidate nor part of one.
+1. *Prefix counts.*  Words are counted for each language, then word by word longer prefixes, as long as all their
+   parts occur ``min_count`` times.  A phrase can't occur more often than a part of it, so a suffix is followed
+   only as far: what lies below is no candidate nor part of one.
 2. *Vertical partition.*  A prefix is one word.  If more than ``BUDGET`` suffixes start with it, it is
    extended to two words, and a pair above the budget to the whole suffix.  Prefixes are dealt to
    groups by hash, so many groups that one holds about ``BUDGET`` suffixes (a prefix is a bounded part of it).
@@ -15,10 +15,13 @@ independently of each other.
    read in one pass with one open node for each depth.  Nodes of a prefix that was dealt to several groups get
    partial sums, which are added up.
 
-Frequent words, pairs and heavy prefixes reach the tasks as bit maps of fixed size: a bit set by
+Frequent words and longer prefixes, and heavy prefixes, reach the tasks as bit maps of fixed size: a bit set by
 chance lets a suffix be followed or a prefix be extended without need, and changes no count.
 
-All counts are exact: phrases are compared as bytes, never by hash, and products are decimals.
+A task works on arrays of words (``Words``), a chunk of texts at a time: words are numbered by their hash, checked
+by their bytes, and phrases are counted by those numbers; only distinct phrases of a chunk become strings.  Prefix
+counts are a filter, so they go by hash alone: what meets by chance is followed without need.  Phrase counts are
+exact: chunks give strings, Spark sums them up by their bytes, and products are decimals.
 
 Rows.  Null texts are empty, a null language is ``und``, ids aren't read, other columns are left out;
 repeated rows count each time; an empty table gives no rows.  Texts are read a slice at a time.
@@ -27,8 +30,7 @@ repeated rows count each time; an empty table gives no rows.  Texts are read a s
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,153 +39,246 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import ready, tidy, written
-from .wordlists import raw_text, slices
+from .wordlists import SLICE_BYTES, slices
 
 DEPTH, MIN_COUNT, PERCENT, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Suffixes of a group of prefixes, about; a prefix with more of them is extended.
 BUDGET = 1 << 17
 #: Bits of each map that tasks get (2 MB each).
 MAP_BITS = 24
-#: Distinct phrases that a task counts before it gives them on.
-HELD = 1 << 20
+#: Bytes of texts whose words a task holds at a time.
+CHUNK_BYTES = 4 << 20
 #: Rows that a task gives on at a time.
 GIVEN = 1 << 16
 #: Parts that the ranking of one language is dealt to.
 PARTS = 64
-_PIECE = re.compile(rb"[.,;:!?\x0A-\x0D]+")
+_U = np.uint64
+_SEPARATES = np.zeros(256, dtype=bool)
+_SEPARATES[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+_IS_WORD = ~_SEPARATES
+_IS_WORD[[0x20, 0x09]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _END = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
-_MASK = (1 << MAP_BITS) - 1
+_TAIL = re.compile(rb"[^.,;:!?\x0A-\x0D]*$")
+_WORD = re.compile(rb"[^\x20\x09]+")
 _WORDS = [f"w{k}" for k in range(1, DEPTH + 1)]
 
 
-def _map_bit(lang: bytes, phrase: bytes) -> int:
-    return xxhash.xxh64_intdigest(phrase, len(lang) + sum(lang)) & _MASK
+def segments(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """Parts of a text, each with the byte from which on phrases start in the next part only.
+
+    A piece that a part cuts is given with its last ``DEPTH`` - 1 words to the next part."""
+    kept = b""
+    cuts = list(slices(raw, _END))
+    for k, part in enumerate(cuts):
+        part = kept + part
+        if k + 1 == len(cuts):
+            yield part, len(part)
+            return
+        tail = _TAIL.search(part).start()
+        words = [m.start() for m in _WORD.finditer(part, tail)]
+        at = words[1 - DEPTH] if len(words) >= DEPTH else tail
+        yield part, at
+        kept = part[at:]
+
+
+def _mixed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), 1)
+
+
+class Words:
+    """The words of a chunk: language, hash (of language and word), place, whether phrases start there and
+    whether the next word follows in the same piece."""
+
+    def __init__(self, raw: np.ndarray, lang: np.ndarray, hashed: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, joined: np.ndarray, langs: list[str]):
+        self.raw, self.lang, self.hashed, self.begin, self.end, self.starts, self.joined, self.langs = raw, lang, hashed, begin, end, starts, joined, langs
+
+    def numbered(self) -> None:
+        """Number the words: ``number`` of each, and ``names``, ``name_lang``, ``name_hash`` by number."""
+        _, first, self.number = np.unique(self.hashed, return_index=True, return_inverse=True)
+        if not self._same(first[self.number]):
+            first = self._number_by_bytes()
+        text = self.raw.tobytes()
+        self.names = [text[a:b] for a, b in zip(self.begin[first].tolist(), self.end[first].tolist(), strict=True)]
+        self.name_lang, self.name_hash = self.lang[first], self.hashed[first]
+
+    def _same(self, other: np.ndarray) -> bool:
+        """Whether each word has the language, length, first and last eight bytes of another."""
+        padded = np.concatenate((np.zeros(8, np.uint8), self.raw, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded.data, strides=(1,))
+        size = self.end - self.begin
+        spare = (8 * np.maximum(8 - size, 0)).astype(_U)
+        head, tail = eight[self.begin + 8] << spare, eight[self.end] >> spare
+        return all(np.array_equal(x, x[other]) for x in (self.lang, size, head, tail))
+
+    def _number_by_bytes(self) -> np.ndarray:
+        """Numbers by the bytes themselves, for chunks in which hashes of different words meet."""
+        text, known, first = self.raw.tobytes(), {}, []
+        for k, key in enumerate(zip(self.lang.tolist(), (text[a:b] for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)), strict=True)):
+            if known.setdefault(key, len(first)) == len(first):
+                first.append(k)
+            self.number[k] = known[key]
+        return np.array(first, dtype=np.int64)
+
+    def followed(self, maps: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For 1, 2 ... words, one length for each map: whether the words from each place on may be frequent, and
+        their hash; the last hash is that of one word more, 0 where its parts don't allow it."""
+        hashed, found = self.hashed, []
+        for k, bits in enumerate(maps):
+            if k:
+                hashed = self._longer(found[-1], hashed, k)
+            good = _has(bits, (hashed >> _U(64 - MAP_BITS)).astype(np.int64))
+            found.append(good & (hashed != 0))
+        return found, self._longer(found[-1], hashed, len(maps))
+
+    def _longer(self, good: np.ndarray, hashed: np.ndarray, k: int) -> np.ndarray:
+        """Hash of the ``k`` + 1 words from each place on whose first and last ``k`` words are ``good``; else 0."""
+        out = np.zeros(len(hashed), dtype=_U)
+        at = np.flatnonzero(good[:-1] & good[1:] & self.joined[:-1]) if k == 1 else np.flatnonzero(good[:-1] & good[1:])
+        out[at] = shingles.mix64(hashed[at] * _U(0x9E3779B97F4A7C15) + self.hashed[at + k]) | _U(1)
+        return out
+
+
+def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Words of the batches' texts (lang, text), ``CHUNK_BYTES`` of them or so at a time."""
+    langs: dict[str, int] = {}
+    held: list[tuple] = []
+    size = 0
+
+    def give() -> Iterator[Words]:
+        if held:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            if len(columns[1]):
+                yield Words(*columns, list(langs))
+
+    for batch in parts:
+        code = np.array([langs.setdefault(x, len(langs)) for x in batch.column("lang").to_pylist()], dtype=np.int64)
+        raw, offsets = shingles.utf8_column(batch.column("text"))
+        limit = offsets[1:]
+        if len(offsets) > 1 and int(np.diff(offsets).max()) > SLICE_BYTES:
+            cut = [(x, *s) for x, a, b in zip(code.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for s in segments(raw[a:b].tobytes())]
+            code, raw = np.array([c[0] for c in cut]), np.frombuffer(b"".join(c[1] for c in cut), dtype=np.uint8)
+            offsets = np.concatenate(([0], np.cumsum([len(c[1]) for c in cut])))
+            limit = offsets[:-1] + np.array([c[2] for c in cut])
+        mixed = np.array([_mixed(x) for x in langs], dtype=_U)
+        for lo, hi in shingles.blocks(offsets):
+            a, b = int(offsets[lo]), int(offsets[hi])
+            hashed, begin, end, doc = shingles.word_hashes(raw, offsets[lo: hi + 1], _IS_WORD)
+            apart = np.concatenate(([0], np.cumsum(_SEPARATES[raw[a:b]])))
+            joined = np.zeros(len(begin), dtype=bool)
+            joined[:-1] = (doc[1:] == doc[:-1]) & (apart[begin[1:] - a] == apart[end[:-1] - a])
+            own = code[lo:hi][doc]
+            held.append((_LOWER[raw[a:b]], own, shingles.mix64(hashed ^ mixed[own]) | _U(1), begin - a + size, end - a + size, begin < limit[lo:hi][doc], joined))
+            size += b - a
+            if size >= CHUNK_BYTES:
+                yield from give()
+                size = 0
+    yield from give()
+
+
+def _rows(langs: list[str], code: np.ndarray, phrases: list[bytes], n: np.ndarray, hashed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    names = pa.array(langs, pa.string())
+    for k in range(0, len(n), GIVEN):
+        to = slice(k, k + GIVEN)
+        columns = {"lang": names.take(pa.array(code[to])), "phrase": pa.array(phrases[to], pa.binary()), "n": pa.array(n[to], pa.int64())}
+        yield pa.RecordBatch.from_pydict(columns | ({} if hashed is None else {"hash": pa.array(hashed[to].view(np.int64))}))
 
 
-def bit_map(phrases: DataFrame) -> bytes:
-    """A map of ``MAP_BITS`` bits over (lang, phrase): words of it are set in tasks and joined by ``bit_or``."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, phrase, n, hash) of single words; ``hash`` as in ``Words``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS >> 6, dtype=np.uint64)
-        for batch in parts:
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                at = _map_bit(lang.encode(), phrase)
-                bits[at >> 6] |= np.uint64(1 << (at & 63))
-        at = np.flatnonzero(bits)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
-
-    set_words = phrases.select("lang", "phrase").mapInArrow(tidy(run), "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    found = np.zeros(1 << MAP_BITS >> 6, dtype=np.uint64)
-    rows = set_words.toArrow()  # 2**18 rows at most
-    found[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return found.tobytes()
+        for words in chunks(parts):
+            words.numbered()
+            n = np.bincount(words.number[words.starts], minlength=len(words.names))
+            yield from _rows(words.langs, words.name_lang, words.names, n, words.name_hash)
+
+    counts = texts.mapInArrow(tidy(run), "lang string, phrase binary, n bigint, hash bigint").where("n > 0")
+    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("hash").alias("hash"))
+
+
+def _bit(lang: str, phrase: bytes) -> int:
+    return xxhash.xxh64_intdigest(phrase, _mixed(lang)) >> (64 - MAP_BITS)
 
 
-def pieces(raw: bytes) -> Iterator[tuple[list[bytes], int]]:
-    """Word lists of the pieces of a text, each with the number of words at which phrases start.
+def _maps(kept: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint8) for x in kept]
 
-    A piece that reaches over slices comes in parts; the last ``DEPTH`` - 1 words of a part come again with
-    the next one, where phrases start at them."""
-    kept: list[bytes] = []
-    for part in slices(raw, _END):
-        lists = [p.split() for p in _PIECE.split(part.lower())]
-        lists[0] = kept + lists[0]
-        kept = lists.pop()
-        yield from ((words, len(words)) for words in lists if words)
-        if len(kept) >= DEPTH:
-            yield kept, len(kept) - DEPTH + 1
-            kept = kept[1 - DEPTH:]
-    if kept:
-        yield kept, len(kept)
 
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-def counted(docs: DataFrame, phrases: Callable[[bytes, list[bytes], int], Iterable[bytes]]) -> DataFrame:
-    """(lang, phrase, n): the ``phrases`` that start at each piece's first words, counted in each task first.
 
-    Equal phrases of a task are one row, unless it held ``HELD`` distinct ones in between."""
+def bit_map(places: DataFrame) -> bytes:
+    """A map of ``MAP_BITS`` bits with those of ``place`` set; set in tasks and joined by ``bit_or``."""
+    word = F.shiftright("place", 6).alias("at")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    rows = places.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**(MAP_BITS - 6) rows at most
+    found = np.zeros(1 << MAP_BITS >> 6, dtype=_U)
+    found[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(_U)
+    return found.tobytes()
+
 
-    def give(lang: str, counts: Counter) -> Iterator[pa.RecordBatch]:
-        if counts:
-            names, n = pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())
-            counts.clear()
-            for k in range(0, len(n), GIVEN):
-                size = min(GIVEN, len(n) - k)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), names.slice(k, size), n.slice(k, size)], names=["lang", "phrase", "n"])
+def phrase_map(phrases: DataFrame) -> bytes:
+    """The map of (lang, phrase) rows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
         for batch in parts:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                counts, code = held.setdefault(lang, Counter()), lang.encode()
-                for words, starts in pieces(raw_text(text.as_py())):
-                    counts.update(phrases(code, words, starts))
-                    if len(counts) > HELD:
-                        yield from give(lang, counts)
-            if sum(map(len, held.values())) > HELD:
-                for lang, counts in held.items():
-                    yield from give(lang, counts)
-                held.clear()
-        for lang, counts in held.items():
-            yield from give(lang, counts)
-
-    return docs.mapInArrow(tidy(run), "lang string, phrase binary, n bigint")
-
-
-class Memo:
-    """What a map says of the phrases of a language asked about last; of bounded size."""
-
-    def __init__(self, bits: bytes):
-        self.bits, self.known = np.frombuffer(bits, dtype=np.uint8), {}
-
-    def has(self, lang: bytes, phrase: bytes) -> bool:
-        known = self.known.get((lang, phrase))
-        if known is None:
-            if len(self.known) > HELD:
-                self.known.clear()
-            at = _map_bit(lang, phrase)
-            known = self.known[lang, phrase] = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return known
+            place = [_bit(x, p) for x, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64())], names=["place"])
 
+    return bit_map(phrases.select("lang", "phrase").mapInArrow(tidy(run), "place bigint"))
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of single words."""
-    return counted(texts, lambda lang, words, starts: words[:starts]).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
+def hash_map(counts: DataFrame, min_count: int) -> bytes:
+    """The map of the rows (hash, n) that occur ``min_count`` times."""
+    return bit_map(counts.where(F.col("n") >= min_count).select(F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("place")))
 
-def pair_counts(texts: DataFrame, frequent_words: bytes) -> DataFrame:
-    """(lang, phrase, n) of pairs whose words may both be frequent."""
-    keep = texts.sparkSession.sparkContext.broadcast(frequent_words)
-    memo: list[Memo] = []
 
-    def pairs(lang: bytes, words: list[bytes], starts: int) -> Iterable[bytes]:
-        if not memo:
-            memo.append(Memo(keep.value))
-        has = memo[0].has
-        ok = [has(lang, w) for w in words]
-        return [b"%b %b" % (words[k], words[k + 1]) for k in range(min(starts, len(words) - 1)) if ok[k] and ok[k + 1]]
+def prefix_counts(texts: DataFrame, maps: list[bytes]) -> DataFrame:
+    """(hash, n) of the prefixes of one word more than the maps have, as far as they let them."""
+    keep = texts.sparkSession.sparkContext.broadcast(maps)
 
-    return counted(texts, pairs).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter = _maps(keep.value)
+        for words in chunks(parts):
+            hashed = words.followed(shorter)[1]
+            prefix, n = np.unique(hashed[words.starts & (hashed != 0)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
 
+    return texts.mapInArrow(tidy(run), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
-def suffix_counts(texts: DataFrame, frequent_pairs: bytes) -> DataFrame:
-    """(lang, phrase, n): suffixes of 2 to ``DEPTH`` words, followed as far as their pairs may be frequent."""
-    keep = texts.sparkSession.sparkContext.broadcast(frequent_pairs)
-    memo: list[Memo] = []
 
-    def suffixes(lang: bytes, words: list[bytes], starts: int) -> Iterable[bytes]:
-        if not memo:
-            memo.append(Memo(keep.value))
-        has = memo[0].has
-        reach, found = 0, []
-        for k in range(len(words) - 2, -1, -1):
-            reach = min(reach + 1, DEPTH - 1) if has(lang, b"%b %b" % (words[k], words[k + 1])) else 0
-            if reach and k < starts:
-                found.append(b" ".join(words[k: k + reach + 1]))
-        return found
+def suffix_counts(texts: DataFrame, maps: list[bytes]) -> DataFrame:
+    """(lang, phrase, n): suffixes of 2 to ``DEPTH`` words, followed as far as the maps of 1 to ``DEPTH`` - 1 words let them."""
+    keep = texts.sparkSession.sparkContext.broadcast(maps)
 
-    return counted(texts, suffixes).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shorter = _maps(keep.value)
+        for words in chunks(parts):
+            found, longest = words.followed(shorter)
+            words.numbered()
+            first = np.flatnonzero(found[1] & words.starts)
+            numbers = np.append(words.number, np.zeros(DEPTH, dtype=np.int64))
+            columns = [numbers[first], numbers[first + 1] + 1]
+            for k in range(2, DEPTH):  # longer ones are followed only where shorter ones are
+                on = found[k][first] if k < DEPTH - 1 else longest[first] != 0
+                columns.append(np.where(on, numbers[first + k] + 1, 0))
+            key = columns[0]
+            for column in columns[1:]:  # numbers of longer and longer prefixes
+                _, key = np.unique(key << 32 | column, return_inverse=True)
+            _, one, n = np.unique(key, return_index=True, return_counts=True)
+            rows = np.stack([c[one] for c in columns], axis=1).tolist()
+            names = words.names
+            phrases = [b" ".join([names[r[0]], *[names[x - 1] for x in r[1:] if x]]) for r in rows]
+            yield from _rows(words.langs, words.lang[first[one]], phrases, n)
+
+    counts = texts.mapInArrow(tidy(run), "lang string, phrase binary, n bigint")
+    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def dealt_suffixes(suffixes: DataFrame, heavy: DataFrame, groups: int) -> DataFrame:
@@ -191,23 +286,28 @@ def dealt_suffixes(suffixes: DataFrame, heavy: DataFrame, groups: int) -> DataFr
 
     ``heavy`` holds the prefixes above the budget.  ``whole`` is the least depth whose nodes have all their
     leaves in the group: 1 for a light word, 2 below a heavy one, ``DEPTH`` below a heavy pair."""
-    keep = suffixes.sparkSession.sparkContext.broadcast(bit_map(heavy))
+    keep = suffixes.sparkSession.sparkContext.broadcast(phrase_map(heavy))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = Memo(keep.value)
+        bits = np.frombuffer(keep.value, dtype=np.uint8)
+
+        def has(lang: str, prefix: bytes) -> bool:
+            at = _bit(lang, prefix)
+            return bool(bits[at >> 3] >> (at & 7) & 1)
+
         for batch in parts:
             columns: list[list] = [[] for _ in range(DEPTH)]
             whole, group = [], []
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                code, words = lang.encode(), phrase.split(b" ")
+                words = phrase.split(b" ")
                 depth = 1
-                if bits.has(code, words[0]):
-                    depth = DEPTH if bits.has(code, b" ".join(words[:2])) else 2
+                if has(lang, words[0]):
+                    depth = DEPTH if has(lang, b" ".join(words[:2])) else 2
                 prefix = b" ".join(words[:depth])
                 for k in range(DEPTH):
                     columns[k].append(words[k] if k < len(words) else None)
                 whole.append(depth)
-                group.append(xxhash.xxh64_intdigest(prefix, len(code)) % groups)
+                group.append(xxhash.xxh64_intdigest(prefix, _mixed(lang)) % groups)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), *(pa.array(c, pa.binary()) for c in columns), batch.column("n"), pa.array(whole, pa.int32()), pa.array(group, pa.int64())],
                                              names=["lang", *_WORDS, "n", "whole", "group"])
 
@@ -283,8 +383,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     words = written(word_counts(texts), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= min_count)
-    pairs = written(pair_counts(texts, bit_map(frequent)).where(F.col("n") >= min_count), "phrase-pairs")
-    suffixes = written(suffix_counts(texts, bit_map(pairs)), "phrase-suffixes")
+    maps = [hash_map(words, min_count)]
+    while len(maps) < DEPTH - 1:
+        maps.append(hash_map(prefix_counts(texts, maps), min_count))
+    suffixes = written(suffix_counts(texts, maps), "phrase-suffixes")
 
     # vertical partition: the prefixes of one and two words with more than a quarter of a group's suffixes
     start = [F.substring_index(F.col("phrase").cast("string"), " ", k).cast("binary").alias("phrase") for k in (1, 2)]
