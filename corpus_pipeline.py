@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's ``docs``; all but the last return the columns they were given.
+
+Null texts count as empty throughout: such documents are clean, copies of one another, and near no
+other.  Rows with a null or repeated id are rows of their own, but where an operator's docstring lets rows that
+share an id share a result.  Empty tables pass through; without labels no document is toxic, without items none is
+contaminated.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Stages learn, hash and tokenize: no SQL; tests hold the result against a brute-force version.
+#: Stages learn, hash and tokenize: no SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
