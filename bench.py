@@ -23,9 +23,10 @@ from canlens.operators.context import context_of_matches  # noqa: E402
 from canlens.operators.decode import decode_long, decode_nested  # noqa: E402
 from canlens.operators.filters import Pred, all_of, any_of  # noqa: E402
 from canlens.plans import registry as R  # noqa: E402
-from canlens.plans.query import run_query, summary_counts  # noqa: E402
+from canlens.plans.query import early_stop_counts, run_query, summary_counts  # noqa: E402
 from canlens.session import local_session, scratch_path  # noqa: E402
 from canlens.sources import store as st  # noqa: E402
+from canlens.sources.dbc import load_dbc, write_dbc_text  # noqa: E402
 from canlens.sources.fixtures import write_text_trace  # noqa: E402
 from canlens.sources.traces import read_trace  # noqa: E402
 
@@ -46,6 +47,20 @@ def replicate(frames, k: int):
         "can_id", "dlc", "channel", "frame_type", "payload")
 
 
+def vehicle_dbc(spark, messages: int, signals: int):
+    """A dictionary of ``messages`` x ``signals``: both byte orders, signed ones, labels, a selector in every tenth message."""
+    lines = []
+    for m in range(messages):
+        lines.append(f"BO_ {2000 + m} Msg{m}: 8 Bus")
+        for k in range(signals):
+            start, n = (k * 61) // signals, 3 + (k * 7 + m) % 14
+            n = min(n, 64 - start)
+            mux = ("M " if k == 0 else f"m{k % 4} " if k > signals // 2 else "") if m % 10 == 0 else ""
+            lines.append(f' SG_ Sig{m}_{k} {mux}: {start}|{n}@{(m + k) % 3 and 1}{"-" if k % 4 == 1 else "+"} ({0.25 * (1 + k % 5)},{k - 3}) [0|0] "u{k % 6}" Bus')
+        lines.append(f'VAL_ {2000 + m} Sig{m}_1 0 "off" 1 "on" 2 "fault" ;')
+    return load_dbc(spark, write_dbc_text(spark, "\n".join(lines) + "\n", scratch_path(spark, "bench-dbc")))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -87,6 +102,16 @@ def main() -> None:
     timed("lookup_time_range", lambda: st.lookup_time_range(base, R.T_JAN10, R.T_JAN20).collect(), n_frames)
     timed("lookup_ordinal", lambda: st.lookup_ordinal(base, n_frames // 2).collect(), n_frames)
 
+    for messages, signals in ((100, 14), (250, 20)):
+        many = vehicle_dbc(spark, messages, signals)
+        own = base_frames.withColumn("can_id", (F.lit(2000) + F.col("ordinal") % messages).cast("bigint"))
+        name = f"{messages * signals}_signals"
+        timed(f"decode_long_{name}", lambda: _force(decode_long(own, many)), n_frames)
+        timed(f"decode_nested_{name}", lambda: _force(decode_nested(own, many)), n_frames)
+        pick = all_of(Pred("signal_name", "contains", "_1"), Pred("signal_value", "gt", 2.0))
+        timed(f"decoded_filter_{name}", lambda: _force(run_query(own, dbc=many, decoded_filter=pick)), n_frames)
+    timed("early_stop", lambda: early_stop_counts(base_frames, F.col("can_id") == 257, n_frames // 10).collect(), n_frames)
+
     folder = scratch_path(spark, "bench-text")
     glob = write_text_trace(base_frames, folder, "csv", files=8)
     timed("ingest_csv", lambda: _force(read_trace(spark, glob, fmt="csv", mode="tolerant")), n_frames)
@@ -100,6 +125,12 @@ def main() -> None:
         run_query(big, dbc=dbc, decoded_filter=dec_tree)), n_big)
     big_glob = write_text_trace(big, scratch_path(spark, "bench-big-text"), "csv", files=16)
     timed(f"ingest_csv_x{rep_k}", lambda: _force(read_trace(spark, big_glob, fmt="csv", mode="tolerant")), n_big)
+    timed(f"ingest_csv_strict_x{rep_k}", lambda: _force(read_trace(spark, big_glob, fmt="csv")), n_big)
+    dump_glob = write_text_trace(big, scratch_path(spark, "bench-big-text"), "candump", files=16)
+    timed(f"ingest_candump_x{rep_k}", lambda: _force(read_trace(spark, dump_glob, fmt="candump", mode="tolerant")), n_big)
+    many = vehicle_dbc(spark, 100, 14)
+    many_big = big.withColumn("can_id", (F.lit(2000) + F.col("ordinal") % 100).cast("bigint"))
+    timed(f"decode_long_1400_signals_x{rep_k}", lambda: _force(decode_long(many_big, many)), n_big)
 
     total = round(sum(timings.values()), 3)
     print(json.dumps({

@@ -1,19 +1,26 @@
 """Context retrieval around matches.
 
 Context is ordinal arithmetic on the *unfiltered* frames: the rows
-``[max(0, o - before), min(n - 1, o + after)]`` of the same trace.  For many matches the
-window of each match is generated with ``explode(sequence(...))`` (at most
-``before + after + 1`` rows per match, a bounded fan-out) and equi-joined to the frames on
-``(trace_id, ordinal)`` — no range join, no window without partitioning, no pairs.
+``[max(0, o - before), min(n - 1, o + after)]`` of the same trace.  For many matches:
+
+* the windows are merged into *islands*, kept as bins of ``BIN`` ordinals of a trace with one bit for each
+  covered ordinal, so neighbouring and overlapping windows cost nothing twice;
+* frames outside the islands go before anything is shuffled: by bounds of each trace, which the scan's
+  statistics use, then by the bins, broadcast while they are few, else by a map of fixed size over
+  the hashed bins (``MAP_BITS`` bits; a bit set by chance lets a frame through to the exact join);
+* what is left is joined with the windows on ``(trace_id, ordinal)``: each match has at most
+  ``before + after + 1`` rows, no range join, no pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..plans.sizing import join_small
+from ..plans.sizing import fits_broadcast, join_small
 from ..sources.lines import materialize
 
 
@@ -33,6 +40,55 @@ def context_of(frames: DataFrame, ordinal: int, before: int = 0, after: int = 0,
         "rel_pos", F.col("ordinal") - F.lit(ordinal))
 
 
+#: Ordinals of a bin: the bits of a long.
+BIN = 64
+#: Traces whose bounds are written into the scan's filter.
+MAX_BOUNDS = 64
+#: Bits of the map of hashed bins: 16 MB in pieces of 2**15 bits.
+MAP_BITS, PIECE_BITS = 27, 15
+
+
+def _within_bounds(m: DataFrame, before: int, after: int) -> Column:
+    """Frames between the first and the last window of each trace, or of all if there are many traces."""
+    bounds = m.groupBy("trace_id").agg(F.min("match_ordinal").alias("lo"), F.max("match_ordinal").alias("hi"))
+    rows = bounds.limit(MAX_BOUNDS + 1).collect()
+    if not rows:
+        return F.lit(False)
+    if len(rows) > MAX_BOUNDS:
+        lo, hi = bounds.agg(F.min("lo"), F.max("hi")).first()
+        return F.col("ordinal").between(max(0, lo - before), hi + after)
+    inside = [F.col("trace_id").eqNullSafe(F.lit(r.trace_id)) & F.col("ordinal").between(max(0, r.lo - before), r.hi + after) for r in rows]
+    return reduce(lambda a, b: a | b, inside)
+
+
+def islands(windows: DataFrame) -> DataFrame:
+    """(trace_id, bin, covered): the covered ordinals of each bin, as bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("ordinal", F.lit(BIN)).cast("int"))
+    return windows.groupBy("trace_id", F.floor(F.col("ordinal") / BIN).alias("bin")).agg(F.bit_or(bit).alias("covered"))
+
+
+def _hashed(bin_: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col("trace_id"), bin_), F.lit(1 << MAP_BITS))
+
+
+def _on_islands(frames: DataFrame, bins: DataFrame) -> DataFrame:
+    """Frames on the islands; beyond the bound of a broadcast, also those that the map lets through."""
+    own = F.floor(F.col("ordinal") / BIN)
+    if fits_broadcast(bins):
+        there = F.broadcast(bins.select(F.col("trace_id").alias("_trace"), F.col("bin").alias("_bin"), "covered"))
+        bit = F.call_function("shiftright", F.col("covered"), F.pmod("ordinal", F.lit(BIN)).cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
+        return frames.join(there, (F.col("trace_id") == F.col("_trace")) & (own == F.col("_bin")) & (bit == 1), "left_semi")
+    spot = bins.select(_hashed(F.col("bin")).alias("h"))
+    pieces = spot.groupBy(F.shiftright("h", PIECE_BITS).alias("_piece")).agg(
+        F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit((1 << PIECE_BITS) - 1).cast("bigint"))).alias("_map"))
+    at = _hashed(own)
+    place = at.bitwiseAND(F.lit((1 << PIECE_BITS) - 1).cast("bigint")).cast("int")
+    byte = F.conv(F.hex(F.substr(F.col("_map"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, place.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
+    there = F.broadcast(pieces)  # 2**(MAP_BITS - PIECE_BITS) rows at most
+    return frames.join(there, (F.shiftright(at, PIECE_BITS) == F.col("_piece")) & (bit == 1), "left_semi")
+
+
 def context_of_matches(frames: DataFrame, matches: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """Context rows of every match (C3): ``match_ordinal``, ``rel_pos`` and the frame columns.
 
@@ -40,16 +96,15 @@ def context_of_matches(frames: DataFrame, matches: DataFrame, before: int = 0, a
     neighbouring matches may overlap; each (match, row) pair appears once."""
     if before < 0 or after < 0:
         raise QueryError("before/after must be >= 0")
-    # Written once: the bounds, the size check and the join all read the matches.
+    # Written once: the bounds, the islands and the join all read the matches.
     m = materialize(matches.select("trace_id", F.col("ordinal").alias("match_ordinal")).distinct(), "matches")
-    lo, hi = m.agg(F.min("match_ordinal"), F.max("match_ordinal")).first()
-    # Frames outside all windows are left to the scan's ordinal statistics.
-    near = F.lit(False) if lo is None else F.col("ordinal").between(max(0, lo - before), hi + after)
+    near = frames.filter(_within_bounds(m, before, after))
     w = m.withColumn(
         "ordinal",
         F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("match_ordinal") - before),
                              F.col("match_ordinal") + after)))
-    # Few matches (the usual case): the windows are broadcast and the frames are not
-    # shuffled; many matches: a shuffle join on the unique (trace_id, ordinal) key (no skew).
-    out = join_small(frames.filter(near), w, ["trace_id", "ordinal"])
+    if not fits_broadcast(w):
+        # Many matches: only frames on islands are shuffled, on a key that is unique among frames.
+        near = _on_islands(near, materialize(islands(w.select("trace_id", "ordinal")), "islands"))
+    out = join_small(near, w, ["trace_id", "ordinal"])
     return out.withColumn("rel_pos", F.col("ordinal") - F.col("match_ordinal"))

@@ -4,17 +4,18 @@ Three strategies, chosen by the dictionary's checked size (``strategy="auto"``):
 
 * compiled (``compiled.py``): a dictionary of at most ``MAX_COMPILED_SIGNALS`` signals
   becomes literal column expressions — no join at all, one codegen projection;
-* broadcast join on ``can_id`` when the layout table is under the broadcast bound (no
-  shuffle of frames, and no skew problem even if one id carries a third of all frames);
-* beyond that a shuffle join with the dictionary side *salted* (replicated over
-  ``salt_buckets``) so a hot id is spread over many tasks.
+* one generic program over typed parameters (``program.py``), which frames meet by a broadcast
+  join on ``can_id`` while the parameters are within bounds of rows and bytes (no shuffle of
+  frames, and no skew problem even if one id carries a third of all frames);
+* beyond that the same program by a shuffle join with the dictionary side *salted* (replicated
+  over ``salt_buckets``) so a hot id is spread over many tasks.
 
 Two shapes:
 
 * ``decode_nested``: one row per frame with ``message_name`` and ``signals`` (array of
-  structs in dictionary order).  On the join path the array is built with
-  ``filter``/``transform`` over the message's layout array, so decoded filters
-  (``exists``) need no regrouping.
+  structs in dictionary order), so decoded filters (``exists``) need no regrouping.
+  Dictionaries with a message of more than ``program.MAX_SLOTS`` signals build the array with
+  ``filter``/``transform`` over the message's layout array.
 * ``decode_long``: one row per (frame, active signal) — the canonical export shape.
 
 Reference rules kept: the multiplexer selector is the first signal flagged ``M``; a
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from ..errors import DecodeError
 from ..functions.bits import payload_words, physical_value, raw_from_words
-from ..plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_count, mark_rows
+from ..plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_count
 from ..sources.dbc import Dbc
+from . import program
 from .compiled import compiled_layout, decode_nested_compiled
 
 LAYOUT_FIELDS = [
@@ -62,7 +64,7 @@ def signal_layouts(dbc: Dbc) -> DataFrame:
         .join(_selector(dbc), "can_id", "left")
         .join(_label_maps(dbc), ["can_id", "signal_name"], "left")
     )
-    out = out.select("can_id", "message_name", *LAYOUT_FIELDS, "sel", "labels").cache()
+    out = dbc.keep(out.select("can_id", "message_name", *LAYOUT_FIELDS, "sel", "labels"))
     dbc._signal_layouts = out
     return out
 
@@ -82,8 +84,8 @@ def message_layouts(dbc: Dbc) -> DataFrame:
     # Messages without signals still decode (to an empty list).
     out = dbc.messages.select("can_id", "message_name").join(
         per_msg.drop("message_name"), "can_id", "left"
-    ).select("can_id", "message_name", "sel", F.coalesce("layout", F.array()).alias("layout")).cache()
-    dbc._message_layouts = mark_rows(out, out.count())
+    ).select("can_id", "message_name", "sel", F.coalesce("layout", F.array()).alias("layout"))
+    dbc._message_layouts = out = dbc.keep(out)
     return out
 
 
@@ -101,19 +103,23 @@ def _dictionary_ids(dbc: Dbc) -> list[int] | None:
     return ids
 
 
-def _join_dictionary(frames: DataFrame, table: DataFrame, how: str, max_rows: int, salt_buckets: int,
-                     ids: list[int] | None = None) -> DataFrame:
+def _join_dictionary(frames: DataFrame, table: DataFrame, how: str, broadcast: bool, salt_buckets: int,
+                     ids: list[int] | None = None, condition: Column | None = None) -> DataFrame:
     if ids is not None and how == "inner":
         # Frames without a definition are dropped by the join anyway; saying so up front
         # lets the scan skip them (IN filter pushed to Parquet).
         frames = frames.filter(F.col("can_id").isin(ids))
-    if checked_count(table) <= max_rows:
-        return frames.join(F.broadcast(table), "can_id", how)
+    table = table.withColumnRenamed("can_id", "_dict_id")
+    matching = F.col("can_id") == F.col("_dict_id")
+    if condition is not None:
+        matching = matching & condition
+    if broadcast:
+        return frames.join(F.broadcast(table), matching, how).drop("_dict_id")
     # Large dictionary: shuffle join with the dictionary replicated over salt buckets and
     # each frame sent to one bucket (by ordinal), so one hot id spreads over many tasks.
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    salted = table.withColumn("_dict_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     keyed = frames.withColumn("_salt", F.pmod(F.xxhash64("trace_id", "ordinal"), F.lit(salt_buckets)).cast("int"))
-    return keyed.join(salted, ["can_id", "_salt"], how).drop("_salt")
+    return keyed.join(salted, matching & (F.col("_salt") == F.col("_dict_salt")), how).drop("_salt", "_dict_id", "_dict_salt")
 
 
 def _with_words(frames: DataFrame) -> DataFrame:
@@ -152,10 +158,12 @@ def decode_nested(frames: DataFrame, dbc: Dbc | None, keep_undecoded: bool = Fal
             return decode_nested_compiled(frames, layout, keep_undecoded)
         if strategy == "compiled":
             raise DecodeError("dictionary too large to compile; use strategy='join'")
-    layouts = message_layouts(dbc)
     how = "left" if keep_undecoded else "inner"
-    joined = _join_dictionary(_with_words(frames), layouts, how, max_broadcast_rows, salt_buckets,
-                              _dictionary_ids(dbc))
+    prog, ids = program.build(dbc, motorola), _dictionary_ids(dbc)
+    broadcast = prog.broadcast and prog.rows <= max_broadcast_rows
+    if prog.slots <= program.MAX_SLOTS:
+        return program.decode_nested(frames, prog, lambda f, t: _join_dictionary(f, t, how, broadcast, salt_buckets, ids))
+    joined = _join_dictionary(_with_words(frames), message_layouts(dbc), how, broadcast, salt_buckets, ids)
     joined = joined.withColumn("_sel_raw", _selector_raw(motorola))
     sel_raw = F.col("_sel_raw")
     active = F.filter(
@@ -201,20 +209,10 @@ def decode_long(frames: DataFrame, dbc: Dbc | None, max_broadcast_rows: int = DE
             return out if keep_payload else out.drop("payload")
         if strategy == "compiled":
             raise DecodeError("dictionary too large to compile; use strategy='join'")
-    layouts = signal_layouts(dbc)
-    joined = _join_dictionary(_with_words(frames), layouts, "inner", max_broadcast_rows, salt_buckets,
-                              _dictionary_ids(dbc))
-    sel_raw = _selector_raw(motorola)
-    active = F.col("multiplex_value").isNull() | (sel_raw.isNotNull() & (F.col("multiplex_value") == sel_raw))
-    raw = _raw(F.col("start_bit"), F.col("bit_length"), F.col("little_endian"), motorola)
-    step = joined.filter(active).withColumn("raw_value", raw)
-    value = physical_value(F.col("raw_value"), F.col("bit_length"), F.col("is_signed"), F.col("value_type"),
-                           F.col("scale"), F.col("offset"))
+    prog, ids = program.build(dbc, motorola), _dictionary_ids(dbc)
+    broadcast = prog.broadcast and prog.rows <= max_broadcast_rows
     keep = [c for c in frames.columns if keep_payload or c != "payload"]
-    return step.select(
-        *keep, "message_name", "signal_index", "signal_name", "raw_value", value.alias("value"), "unit",
-        F.try_element_at(F.col("labels"), F.col("raw_value")).alias("value_description"),
-    )
+    return program.decode_long(frames, prog, keep, lambda f, t, active: _join_dictionary(f, t, "inner", broadcast, salt_buckets, ids, active))
 
 
 def explode_signals(decoded: DataFrame) -> DataFrame:

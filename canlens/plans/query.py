@@ -27,6 +27,8 @@ from ..operators.filters import (
     with_single_id,
 )
 from ..sources.dbc import Dbc
+from ..sources.lines import materialize
+from .sizing import join_small
 
 ORDER = ["trace_id", "ordinal"]
 
@@ -100,23 +102,37 @@ def summary_counts(frames: DataFrame, matches_filter: Column | None = None, ordi
         F.count(F.lit(1)).alias("scanned"), F.count_if(m).alias("matched"))
 
 
+#: Ordinals of a range in which matches are counted first: 2**16.
+RANGE_BITS = 16
+
+
 def early_stop_counts(frames: DataFrame, matches_filter: Column, max_matches: int, ordinal_start: int | None = None,
                       ordinal_end: int | None = None) -> DataFrame:
     """Scanned and matched counts per trace of a scan that ends at match ``max_matches`` (A1 with L2/L3).
 
     With fewer matches a trace is scanned to its end; with ``max_matches`` 0 or less nothing is
     scanned.  ``frames`` holds whole traces: as ordinals are dense, the frames up to the stopping
-    one follow from its ordinal, so frames are not shuffled.  Of the matches, each task keeps
-    ``max_matches`` per trace at most before the shuffle (a rank filter below a window)."""
+    one follow from its ordinal.  Selection has two levels, so no task gets a trace's matches: frames and
+    matches are counted by trace and range of 2**``RANGE_BITS`` ordinals, a running sum over the ranges finds
+    the one that holds match number ``max_matches``, and only that range's matches are ranked."""
     df = frames
     if ordinal_start is not None or ordinal_end is not None:
         df = df.filter(ordinal_range(ordinal_start, ordinal_end))
     n = max(0, int(max_matches))
-    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("ordinal"))
-    hits = df.filter(matches_filter).select("trace_id", "ordinal").withColumn("rank", rank).filter(F.col("rank") <= n)
-    hits = hits.groupBy("trace_id").agg(F.count(F.lit(1)).alias("matched"), F.max("ordinal").alias("last"))
-    whole = df.groupBy("trace_id").agg(F.count(F.lit(1)).alias("rows"), F.min("ordinal").alias("first"))
-    stopped = F.col("last") - F.col("first") + 1
-    scanned = F.when(F.col("matched") >= n, stopped).otherwise(F.col("rows")) if n else F.lit(0).cast("bigint")
-    return whole.join(hits, "trace_id", "left").select(
-        "trace_id", scanned.alias("scanned"), F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"))
+    df = df.withColumn("_range", F.shiftright("ordinal", RANGE_BITS))
+    counted = df.groupBy("trace_id", "_range").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("ordinal").alias("first"), F.count_if(matches_filter).alias("hits"))
+    upto = F.sum("hits").over(Window.partitionBy("trace_id").orderBy("_range"))
+    ranges = materialize(counted.withColumn("upto", upto), "match-ranges")
+    whole = ranges.groupBy("trace_id").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"), F.sum("hits").alias("hits"))
+    if not n:
+        zero = F.lit(0).cast("bigint")
+        return whole.select("trace_id", zero.alias("scanned"), zero.alias("matched"))
+    before = F.col("upto") - F.col("hits")
+    stop = ranges.filter((F.col("upto") >= n) & (before < n)).select("trace_id", "_range", (F.lit(n) - before).alias("left"))
+    inside = join_small(df.filter(matches_filter).select("trace_id", "_range", "ordinal"), stop, ["trace_id", "_range"])
+    rank = F.row_number().over(Window.partitionBy("trace_id", "_range").orderBy("ordinal"))
+    last = inside.withColumn("rank", rank).filter(F.col("rank") == F.col("left")).select("trace_id", F.col("ordinal").alias("last"))
+    return whole.join(last, "trace_id", "left").select(
+        "trace_id", F.coalesce(F.col("last") - F.col("first") + 1, F.col("rows")).alias("scanned"),
+        F.least("hits", F.lit(n)).cast("bigint").alias("matched"))

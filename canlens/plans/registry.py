@@ -8,6 +8,7 @@ BOOLEAN columns whose names equal the oracle's.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,10 +34,10 @@ from ..operators.filters import (
     time_range,
 )
 from ..operators.session import TraceSession
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path, write_shared_bytes
 from ..sources.dbc import Dbc, load_dbc, write_dbc_text
 from ..sources.fixtures import EVENTS_DBC, TEXT_EPOCH_NS, events_frames
-from .oracle import LONG_COLS, RAW_COLS, with_frames, with_signals
+from .oracle import FRAMES_CTE, LONG_COLS, RAW_COLS, with_frames, with_signals
 from .query import early_stop_counts, run_query, summary_counts
 
 # Query parameters (times are UTC instants of 2024 in ns).
@@ -552,9 +553,18 @@ def q_flagship(spark, sf):
 # --------------------------------------------------------------------------- text ingest
 
 from ..sources.fixtures import write_text_trace  # noqa: E402
-from ..sources.traces import bad_lines, read_trace, trace_metadata  # noqa: E402
+from ..errors import TraceParseError  # noqa: E402
+from ..sources.traces import bad_lines, read_trace, scan_stats, trace_metadata  # noqa: E402
+
+#: Rows of a rendered trace file, and the least number of files, as SQL and below as Spark counts them.
+TRACE_ROWS, LEAST_FILES = 1_000_000, 4
+TRACE_FILES = f"(SELECT greatest({LEAST_FILES}, count(*) // {TRACE_ROWS}) FROM events)"
+
+
+def trace_files(spark, sf) -> int:
+    return max(LEAST_FILES, spark.read.parquet(f"{sf}/events.parquet").count() // TRACE_ROWS)
+
 
-TRACE_FILES = 4
 _TS_SQL = (f"CAST(trunc(CAST(printf('%d.%09d', (timestamp_ns - {TEXT_EPOCH_NS}) // 1000000000, "
            f"(timestamp_ns - {TEXT_EPOCH_NS}) % 1000000000) AS DOUBLE) * 1000000000.0::DOUBLE) AS BIGINT)")
 INGEST_COLS = "bucket, ordinal, timestamp_ns, can_id, dlc, channel, frame_type, payload_hex"
@@ -577,7 +587,7 @@ def ingest_out(df: DataFrame) -> DataFrame:
 
 
 def _written(spark, sf, fmt, **kw) -> str:
-    return write_text_trace(frames(spark, sf), scratch_path(spark, f"trace-{fmt}"), fmt, files=TRACE_FILES, **kw)
+    return write_text_trace(frames(spark, sf), scratch_path(spark, f"trace-{fmt}"), fmt, files=trace_files(spark, sf), **kw)
 
 
 @register("ingest_candump", _ingest_sql(frame_type="0"))
@@ -814,7 +824,7 @@ def q_dbc_signals(spark, sf):
 
 @register("dbc_labels", (
     f"SELECT CAST(1024 + u AS BIGINT) AS can_id, 'Kind' AS signal_name, CAST(k AS BIGINT) AS raw_value, label "
-    f"FROM {_USERS}, (VALUES (0, 'click'), (1, 'view'), (2, 'purchase'), (3, 'signup'), (4, 'error')) AS l(k, label) "
+    f"FROM {_USERS}, (VALUES (0, 'click'), (1, 'view'), (2, 'purchase'), (3, 'signup'), (4, 'error'), (-1, 'none 7 ')) AS l(k, label) "
     "WHERE u % 10 <> 0"))
 def q_dbc_labels(spark, sf):
     """Value labels; labels of a superseded definition do not carry over."""
@@ -946,6 +956,140 @@ def q_stream_progress(spark, sf):
     return df.agg(F.sum("rows_written").cast("bigint").alias("rows_written"), F.sum("files").cast("bigint").alias("files"))
 
 
+_CSV_LINE = (f"CASE WHEN ordinal % 97 = 96 THEN 8 ELSE length(printf('%d.%09d,%d,%X,%d,', (timestamp_ns - {TEXT_EPOCH_NS}) // 1000000000, "
+             f"(timestamp_ns - {TEXT_EPOCH_NS}) % 1000000000, channel, can_id, dlc)) + 3 * dlc - 1 + CASE frame_type WHEN 1 THEN 3 ELSE 4 END END")
+
+
+@register("stream_metrics", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, count_if(ordinal % 97 <> 96) AS scanned, count_if(ordinal % 97 <> 96 AND can_id = 257) AS matched, "
+    f"count_if(ordinal % 97 = 96) AS rejected, count(*) + 1 AS lines, CAST(sum({_CSV_LINE} + 1) + 48 AS BIGINT) AS bytes, count_if(ordinal % 97 <> 96 AND can_id = 257) AS rows_written, "
+    f"count_if(ordinal % 97 = 96) AS rejected_rows FROM frames GROUP BY 1"))
+def q_stream_metrics(spark, sf):
+    """Observed metrics of each batch (one file each): scanned, matched, rejected, lines, bytes; and the written rows."""
+    glob = _written(spark, sf, "csv", broken_every=97)
+    out_path = scratch_path(spark, "stream-out")
+    out, progress = run_trace_stream_once(spark, glob, "csv", out_path, scratch_path(spark, "stream-ckpt"), raw_filter=Pred("can_id", "eq", 257), max_files_per_trigger=1)
+    names = ["scanned", "matched", "rejected", "lines", "bytes", "rows_written"]
+    told = spark.createDataFrame([(p["batch_id"], *(p[n] for n in names)) for p in progress], "batch bigint, " + ", ".join(f"{n} bigint" for n in names))
+    lost = spark.read.parquet(out_path + "-rejected")
+    files = out.select("batch", _bucket()).unionByName(lost.select("batch", _bucket())).distinct()
+    per_file = lost.groupBy("batch").agg(F.count(F.lit(1)).alias("rejected_rows"))
+    return told.join(files, "batch").join(per_file, "batch", "left").select("bucket", *names, F.coalesce("rejected_rows", F.lit(0)).alias("rejected_rows"))
+
+
+# --------------------------------------------------------------------------- many signals, several traces, options
+
+def _users_frames(spark, sf) -> DataFrame:
+    """The fixture frames with the id of their user's message (``users_dbc_lines``)."""
+    users = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("ordinal"), (F.col("user_id") + 1024).cast("bigint").alias("can_id"))
+    fr = frames(spark, sf)
+    return fr.drop("can_id").join(users, "ordinal").select(*fr.columns)
+
+
+_MANY = with_frames(f"""SELECT * FROM (
+    WITH d AS (SELECT ordinal, CAST(1024 + user_id AS BIGINT) AS can_id, user_id AS u, raw, CAST(CASE WHEN dlc = 2 THEN 0 ELSE user_id % 256 END AS BIGINT) AS b2,
+                      CAST(CASE WHEN dlc = 2 THEN 0 ELSE event_id % 2 + 2 * (user_id % 128) END AS BIGINT) AS b3 FROM frames)
+    SELECT ordinal, can_id, 'User' || u || CASE WHEN u % 10 = 0 THEN 'b' ELSE '' END AS message_name, 0::BIGINT AS signal_index, 'Amount' AS signal_name, raw AS raw_value,
+           raw::DOUBLE * CASE WHEN u % 10 = 0 THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END + 0.0::DOUBLE AS value, 'u' AS unit, NULL::VARCHAR AS value_description FROM d
+    UNION ALL SELECT ordinal, can_id, 'User' || u, 1, 'Kind', b2, b2::DOUBLE, '', CASE b2 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' WHEN 4 THEN 'error' END FROM d WHERE u % 10 <> 0
+    UNION ALL SELECT ordinal, can_id, 'User' || u, 2, 'Extra', b3, (CASE WHEN b3 >= 128 THEN b3 - 256 ELSE b3 END)::DOUBLE * 0.5::DOUBLE - 1.0::DOUBLE, 'deg', NULL FROM d WHERE u % 10 <> 0 AND b2 = u % 3)""")
+
+
+@register("decode_many_long", _MANY)
+def q_decode_many_long(spark, sf):
+    """A dictionary of three signals a user (over the bound of compiled ones), by the generic program."""
+    return long_out(decode_long(_users_frames(spark, sf), _users_dbc(spark, sf), strategy="join"))
+
+
+@register("decode_many_nested", _MANY)
+def q_decode_many_nested(spark, sf):
+    """The same as nested rows, a slot for each signal of a message."""
+    return long_out(explode_signals(decode_nested(_users_frames(spark, sf), _users_dbc(spark, sf), strategy="join")))
+
+
+def _event_traces(spark, sf, **kw) -> DataFrame:
+    """The fixture as four traces with ordinals of their own."""
+    return read_trace(spark, _written(spark, sf, "csv"), fmt="csv", **kw)
+
+
+_TRACES = f"t AS (SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, ordinal // {TRACE_FILES} AS o, can_id, channel FROM frames)"
+
+
+@register("early_stop_traces", (
+    f"WITH {FRAMES_CTE}, {_TRACES}, r AS (SELECT bucket, o, row_number() OVER (PARTITION BY bucket ORDER BY o) AS n FROM t WHERE can_id <= 257) "
+    "SELECT t.bucket, coalesce(max(r.o) + 1, count(*)) AS scanned, CAST(least(700, count_if(t.can_id <= 257)) AS BIGINT) AS matched "
+    "FROM t LEFT JOIN r ON r.bucket = t.bucket AND r.n = 700 GROUP BY t.bucket"))
+def q_early_stop_traces(spark, sf):
+    """A1 with L2: each of several traces stops at its own match."""
+    return early_stop_counts(_event_traces(spark, sf), F.col("can_id") <= 257, 700).select(_bucket(), "scanned", "matched")
+
+
+@register("context_traces", (
+    f"WITH {FRAMES_CTE}, {_TRACES} SELECT m.bucket, m.o AS match_ordinal, c.o AS ordinal, c.o - m.o AS rel_pos, c.can_id "
+    "FROM t AS m JOIN t AS c ON c.bucket = m.bucket AND c.o BETWEEN m.o - 2 AND m.o + 3 WHERE m.can_id = 259 AND m.channel = 1"))
+def q_context_traces(spark, sf):
+    """C3 over several traces: windows stay within their trace."""
+    fr = _event_traces(spark, sf)
+    found = ctx.context_of_matches(fr, run_query(fr, raw_filter=all_of(Pred("can_id", "eq", 259), Pred("channel", "eq", 1))), 2, 3)
+    return found.select(_bucket(), "match_ordinal", "ordinal", "rel_pos", F.col("can_id").cast("bigint"))
+
+
+@register("decode_extended_ids", with_signals(f"SELECT {LONG_COLS} FROM signals"))
+def q_decode_extended_ids(spark, sf):
+    """Q8: ids marked as 29-bit ones decode when the mark is taken off."""
+    marked = re.sub(r"^(BO_|VAL_) (\d+)", lambda m: f"{m[1]} {int(m[2]) + (1 << 31)}", EVENTS_DBC, flags=re.M)
+    d = load_dbc(spark, write_dbc_text(spark, marked, scratch_path(spark, "dbc")), strip_extended_flag=True)
+    return long_out(decode_long(frames(spark, sf), d))
+
+
+@register("decode_signed_labels", with_signals(
+    "SELECT ordinal, raw_value, value, CASE raw_value WHEN 130 THEN 'below' WHEN 5 THEN 'above' END AS value_description FROM signals WHERE signal_name = 'UserTag'"))
+def q_decode_signed_labels(spark, sf):
+    """Q10: labels of negative values of a signed signal are found."""
+    text = EVENTS_DBC + "".join(f'VAL_ {i} UserTag -126 "below" 5 "above" ;\n' for i in (256, 257, 258))
+    d = load_dbc(spark, write_dbc_text(spark, text, scratch_path(spark, "dbc")), signed_labels=True)
+    return long_out(decode_long(frames(spark, sf), d)).filter("signal_name = 'UserTag'").select("ordinal", "raw_value", "value", "value_description")
+
+
+@register("ingest_full_channel", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, ordinal // {TRACE_FILES} AS ordinal, channel + 10 AS channel, payload_hex FROM frames"))
+def q_ingest_full_channel(spark, sf):
+    """Q21: the whole number of a candump interface is the channel."""
+    fr = frames(spark, sf).withColumn("channel", F.col("channel") + 10)
+    glob = write_text_trace(fr, scratch_path(spark, "trace-candump"), "candump", files=trace_files(spark, sf))
+    return ingest_out(read_trace(spark, glob, fmt="candump", full_channel=True)).select("bucket", "ordinal", "channel", "payload_hex")
+
+
+@register("scan_stats", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, count(*) + 1 AS lines, count_if(ordinal % 97 <> 96) AS frames, count_if(ordinal % 97 = 96) AS rejected, "
+    f"CAST(sum({_CSV_LINE} + 1) + 48 AS BIGINT) AS bytes_consumed, 'csv' AS source_format FROM frames GROUP BY 1"))
+def q_scan_stats(spark, sf):
+    """What a whole scan of each trace consumed."""
+    return scan_stats(spark, _written(spark, sf, "csv", broken_every=97), "csv").select(_bucket(), "lines", "frames", "rejected", "bytes_consumed", "source_format")
+
+
+@register("ingest_strict_error", with_frames(
+    f"SELECT CAST(ordinal % {TRACE_FILES} AS BIGINT) AS bucket, min(ordinal // {TRACE_FILES}) + 2 AS line_no, 'bad,line' AS text FROM frames WHERE ordinal % 97 = 96 GROUP BY 1"))
+def q_ingest_strict_error(spark, sf):
+    """The strict error of each trace names the first bad line and its text."""
+    glob = _written(spark, sf, "csv", broken_every=97)
+    found = []
+    for k in range(trace_files(spark, sf)):
+        try:
+            read_trace(spark, glob.replace("bucket=*", f"bucket={k}"), fmt="csv")
+        except TraceParseError as e:
+            found.append((k, e.line, e.text))
+    return spark.createDataFrame(found, "bucket bigint, line_no bigint, text string")
+
+
+@register("callback_batches", with_frames("SELECT COUNT(*) AS rows, CAST(sum(ordinal) AS BIGINT) AS handled FROM frames WHERE can_id = 258"))
+def q_callback_batches(spark, sf):
+    """K5: matches handed out as Arrow batches, counted by what the tasks committed."""
+    found = run_query(frames(spark, sf), raw_filter=Pred("can_id", "eq", 258)).select("ordinal")
+    ledger = ex.for_each_batch(found, lambda batch, partition, attempt: sum(batch.column("ordinal").to_pylist()))
+    return ledger.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("handled").alias("handled"))
+
+
 # --------------------------------------------------------------------------- float signals
 
 def _float_dbc(spark) -> Dbc:
@@ -1038,23 +1182,31 @@ _CANDUMP_SQL = (f"printf('(%d.%09d) can%d %X#', (timestamp_ns - {TEXT_EPOCH_NS})
                 f"(timestamp_ns - {TEXT_EPOCH_NS}) % 1000000000, channel, can_id) || payload_hex")
 
 
+def _with_empty_file(spark, glob: str) -> str:
+    """The folder of a written trace, with a file of no bytes (bucket 9) beside the others."""
+    folder = glob.split("/bucket=")[0]
+    write_shared_bytes(spark, f"{folder}/bucket=9/part-none.txt", b"")
+    return folder
+
+
 @register("discover_traces", with_frames(
-    f"SELECT {_BUCKET_SQL}, 'txt' AS extension, CAST(sum(length({_CANDUMP_SQL}) + 1) AS BIGINT) AS size_bytes FROM frames GROUP BY 1"))
+    f"SELECT {_BUCKET_SQL}, 'txt' AS extension, CAST(sum(length({_CANDUMP_SQL}) + 1) AS BIGINT) AS size_bytes FROM frames GROUP BY 1 UNION ALL SELECT 9, 'txt', 0"))
 def q_discover_traces(spark, sf):
-    """The trace files below a folder with their sizes."""
-    found = discover_traces(spark, _written(spark, sf, "candump").split("/bucket=")[0])
+    """The trace files below a folder with their sizes, one of no bytes too."""
+    found = discover_traces(spark, _with_empty_file(spark, _written(spark, sf, "candump")))
     return found.select(_bucket("path"), "extension", "size_bytes")
 
 
 @register("trace_metadata_empty", with_frames(
     f"SELECT {_BUCKET_SQL}, count_if(ordinal % 4 <> 3) AS event_count, arg_min({_TS_SQL}, ordinal) FILTER (WHERE ordinal % 4 <> 3) "
     f"AS start_timestamp_ns, arg_max({_TS_SQL}, ordinal) FILTER (WHERE ordinal % 4 <> 3) AS end_timestamp_ns, "
-    "'csv' AS source_format FROM frames GROUP BY 1"))
+    "'csv' AS source_format FROM frames GROUP BY 1 UNION ALL SELECT 9, 0, NULL, NULL, 'csv'"))
 def q_trace_metadata_empty(spark, sf):
-    """A trace without a readable record still has its row."""
+    """A trace without a readable record still has its row, one of no bytes too."""
     glob = _written(spark, sf, "csv", broken_every=4)
+    folder = _with_empty_file(spark, glob)
     fr = read_trace(spark, glob, fmt="csv", mode="tolerant", keep_source=True)
-    md = trace_metadata(fr, discover_traces(spark, glob.split("/bucket=")[0]), fmt="csv")
+    md = trace_metadata(fr, discover_traces(spark, folder), fmt="csv")
     return md.select(_bucket(), "event_count", "start_timestamp_ns", "end_timestamp_ns", "source_format")
 
 
@@ -1069,10 +1221,11 @@ def q_result_bounds_format(spark, sf):
 
 
 @register("dbc_load_errors", (
-    "SELECT CAST(u % 4 AS BIGINT) AS bucket, CAST(2 * n AS BIGINT) AS line_no, 'SG_ line can''t be read' AS message "
-    f"FROM (SELECT u, row_number() OVER (PARTITION BY u % 4 ORDER BY u) AS n FROM {_USERS}) WHERE u % 5 = 0"))
+    "SELECT CAST(u % 4 AS BIGINT) AS bucket, CAST(3 * n - CASE WHEN u % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS line_no, "
+    "CASE WHEN u % 5 = 0 THEN 'SG_ line can''t be read' ELSE 'VAL_ line has a text without a number' END AS message "
+    f"FROM (SELECT u, row_number() OVER (PARTITION BY u % 4 ORDER BY u) AS n FROM {_USERS}) WHERE u % 5 = 0 OR u % 3 = 0"))
 def q_dbc_load_errors(spark, sf):
-    """Every unreadable dictionary line with its line number."""
+    """Every unreadable dictionary line, and every label without a number, with its line number."""
     d = load_dbc(spark, write_flawed_dbc(spark, sf, scratch_path(spark, "flawed-dbc")), strict=False)
     return d.problems.select(_bucket("file_path"), F.col("line_no").cast("bigint"), "message")
 

@@ -81,6 +81,12 @@ def write_shared_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def delete_shared(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own on any file system that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``canlens`` importable in Python workers.
 

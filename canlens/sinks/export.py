@@ -7,10 +7,13 @@ it costs no extra pass.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_g6, hex_upper, payload_spaced_hex
+from ..sources.lines import materialize
 
 # Export headers.
 RAW_HEADER = ["timestamp_ns", "channel", "can_id", "dlc", "payload", "frame_type"]
@@ -80,6 +83,32 @@ def for_each_match(df: DataFrame, callback) -> None:
     df.foreachPartition(each)
 
 
+def for_each_batch(df: DataFrame, write, commit=None) -> DataFrame:
+    """Hand the rows to ``write(batch, partition, attempt)`` as Arrow batches, on the executors (K5).
+
+    A task that is retried calls ``write`` again, with the next attempt.  What counts is what its partition
+    *commits*: each task ends with one ledger row, the ledger is written through Spark's output commit, which
+    keeps the rows of one successful attempt of each partition, and ``commit(partition, attempt)`` is then called on
+    the driver for each of them.  So a sink that stages by (partition, attempt) and publishes on commit
+    takes every row once.  Returns the ledger: partition, attempt, rows, and the sum of what ``write`` returned
+    (a number or None) as ``handled``."""
+
+    def run(batches):
+        context = TaskContext.get()
+        partition, attempt = context.partitionId(), context.attemptNumber()
+        rows, handled = 0, 0
+        for batch in batches:
+            handled += int(write(batch, partition, attempt) or 0)
+            rows += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"partition": [partition], "attempt": [attempt], "rows": [rows], "handled": [handled]})
+
+    ledger = materialize(df.mapInArrow(run, "partition bigint, attempt bigint, rows bigint, handled bigint"), "ledger")
+    if commit is not None:
+        for row in ledger.orderBy("partition").toLocalIterator():  # one row per partition
+            commit(row["partition"], row["attempt"])
+    return ledger
+
+
 def render_frame_text(frames: DataFrame) -> DataFrame:
     """``[ordinal] ts=.. can_id=0x.. dlc=.. ch=.. data=..`` per frame."""
     return frames.select(

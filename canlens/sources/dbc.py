@@ -8,12 +8,13 @@ dictionary file is small), and duplicate ids resolve to the *last* definition.
 Strict mode (default, as the reference) raises ``DbcParseError`` for the first bad line:
 a malformed ``BO_``/``SG_``/``VAL_`` line, a signal before any message, or a value label
 for an unknown message or signal.  ``strict=False`` drops such lines and keeps them in
-``Dbc.problems``.
+``Dbc.problems``.  A quoted text of a value line that has no number before it is left out and
+reported there in either mode; the line's other labels are kept.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +27,9 @@ from .lines import scan_lines, with_line_numbers
 # A line is taken apart at its separators, as the format lays it out: words are parted by blanks,
 # the name of a message or signal ends at the first colon, texts stand between double quotes.
 _BLANKS = r"\s+"
+# The mark of a 29-bit id, and the largest id.
+EXTENDED, MAX_ID = 1 << 31, 0x1FFFFFFF
+_NO_NUMBER = "VAL_ line has a text without a number"
 
 
 def _word_list(c: Column) -> Column:
@@ -47,7 +51,7 @@ def _identifier(c: Column) -> Column:
 
 
 def _number(c: Column) -> Column:
-    plain = F.coalesce(c.rlike("^[-+0-9.eE]+$") & ~c.endswith("."), F.lit(False))
+    plain = F.coalesce(c.rlike("^[-+0-9.eE]+$") & ~c.rlike("[.]([eE]|$)"), F.lit(False))
     return F.when(plain, c.try_cast("double"))
 
 
@@ -91,13 +95,13 @@ def _label_fields() -> dict[str, Column]:
     return {"ok": F.coalesce(ok, F.lit(False)), "id": F.get(parts, F.lit(1)), "name": F.get(parts, F.lit(2)), "body": body}
 
 
-def _label_pairs() -> Column:
-    """(raw, label) of a value line's body: a number before each quoted text."""
+def _labelled() -> Column:
+    """(raw, label) of every closed quoted text of a value line's body; raw is empty where no number
+    with blanks after it stands before the text."""
     pieces = F.split("body", '"')
-    numbers = F.transform(F.filter(pieces, lambda _, k: k % 2 == 0), lambda x: F.element_at(F.split(F.concat(F.lit(" "), x), " "), -2))
-    labels = F.filter(pieces, lambda _, k: k % 2 == 1)
-    pairs = F.transform(labels, lambda x, k: F.struct(F.get(numbers, k).alias("raw"), x.alias("label")))
-    return F.filter(pairs, lambda p: p["raw"].try_cast("bigint").isNotNull())
+    before = F.transform(F.filter(pieces, lambda _, k: k % 2 == 0), lambda x: F.regexp_extract(x, r"(-?[0-9]+)\s+$", 1))
+    texts = F.filter(pieces, lambda _, k: (k % 2 == 1) & (k < F.size(pieces) - 1))
+    return F.transform(texts, lambda x, k: F.struct(F.get(before, k).alias("raw"), x.alias("label")))
 
 
 @dataclass
@@ -106,7 +110,19 @@ class Dbc:
     signals: DataFrame  # signals of active definitions
     labels: DataFrame  # value labels of active definitions
     all_messages: DataFrame  # every BO_ line, superseded ones included
-    problems: DataFrame  # (file_path, line_no, message) of dropped lines
+    problems: DataFrame  # (file_path, line_no, message) of dropped lines and texts
+    kept: list[DataFrame] = field(default_factory=list)  # cached tables
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """``table``, cached until ``release``."""
+        self.kept.append(table.cache())
+        return self.kept[-1]
+
+    def release(self) -> None:
+        """Give the cached tables back; later uses compute them again."""
+        for table in self.kept:
+            table.unpersist()
+        self.kept.clear()
 
     def message_by_name(self, name: str) -> DataFrame:
         """Exact, case-sensitive lookup; the last definition of a name wins."""
@@ -121,8 +137,12 @@ def _u32(digits) -> F.Column:
     return F.pmod(digits.try_cast("decimal(20,0)"), F.lit(4294967296)).cast("bigint")
 
 
-def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
-    """Load one or more DBC files (a glob or list) into tables."""
+def load_dbc(spark: SparkSession, paths, strict: bool = True, strip_extended_flag: bool = False, signed_labels: bool = False) -> Dbc:
+    """Load one or more DBC files (a glob or list) into tables.
+
+    The format marks 29-bit ids with bit 31, which no frame's id has: ``strip_extended_flag`` takes the bit
+    away, so those messages decode.  Labels are looked up by the raw unsigned value: ``signed_labels`` stores those
+    of negative values of signed signals under their two's complement at the signal's width, so they are found."""
     try:
         lines = with_line_numbers(scan_lines(spark, paths))
     except AnalysisException as e:
@@ -136,8 +156,12 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
     bo = lines.filter(F.col("kind") == "BO")
     m = _message_fields()
     bo_ok = m["ok"]
+    def frame_id(digits: Column) -> Column:
+        number = _u32(digits)
+        return F.when(number >= EXTENDED, number.bitwiseAND(F.lit(MAX_ID).cast("bigint"))).otherwise(number) if strip_extended_flag else number
+
     all_messages = bo.filter(bo_ok).select(
-        _u32(m["id"]).alias("can_id"),
+        frame_id(m["id"]).alias("can_id"),
         m["name"].alias("message_name"),
         F.pmod(m["dlc"].try_cast("decimal(20,0)"), F.lit(256)).cast("int").alias("dlc"),
         F.col("line_no").cast("bigint").alias("def_index"),
@@ -183,7 +207,7 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
         "file_path", "line_no", F.lit("VAL_ line can't be read or names no signal").alias("message"))
     vals = vl.filter(val_ok).select(
         F.col("file_path").alias("def_file"), F.col("line_no").alias("val_line"),
-        _u32(v["id"]).alias("can_id"),
+        frame_id(v["id"]).alias("can_id"),
         v["name"].alias("signal_name"),
         v["body"].alias("body"),
     )
@@ -200,13 +224,16 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
         F.lit("VAL_ line can't be read or names no signal").alias("message"))
     pairs = owners.filter(F.col("sig_ok")).select(
         "def_file", "def_index", "can_id", "signal_name", "val_line",
-        F.posexplode(_label_pairs()).alias("pos", "p"),
+        F.posexplode(_labelled()).alias("pos", "p"),
     )
-    label_rows = pairs.groupBy("def_file", "def_index", "can_id", "signal_name",
+    no_number = pairs.filter(F.col("p.raw").try_cast("bigint").isNull()).select(
+        F.col("def_file").alias("file_path"), F.col("val_line").alias("line_no"), F.lit(_NO_NUMBER).alias("message"))
+    label_rows = pairs.filter(F.col("p.raw").try_cast("bigint").isNotNull()).groupBy("def_file", "def_index", "can_id", "signal_name",
                                F.col("p.raw").try_cast("bigint").alias("raw_value")).agg(
         F.max_by(F.col("p.label"), F.struct("val_line", "pos")).alias("label"))
 
     problems = bad_bo.unionByName(orphan_sg).unionByName(bad_sg).unionByName(bad_val_syntax).unionByName(bad_val_ref)
+    reported = problems.unionByName(no_number.distinct())
     if strict:
         first = problems.orderBy("file_path", "line_no").limit(1).collect()
         if first:
@@ -224,11 +251,18 @@ def load_dbc(spark: SparkSession, paths, strict: bool = True) -> Dbc:
     )
     labels = label_rows.join(keys, ["def_file", "def_index"], "left_semi").select(
         "can_id", "signal_name", "raw_value", "label")
+    if signed_labels:
+        widths = signals.filter(F.col("is_signed") & F.col("bit_length").between(1, 63)).groupBy("can_id", "signal_name").agg(F.min_by("bit_length", "signal_index").alias("n"))
+        raw = F.when(F.col("raw_value") < 0, F.col("raw_value").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("n")) - 1))
+        labels = labels.join(widths, ["can_id", "signal_name"], "left").select("can_id", "signal_name", F.coalesce(raw, "raw_value").alias("raw_value"), "label")
 
     # Small tables, reused by every decode: cached; their sizes are checked where a plan
     # depends on them (broadcast or compile), not here.
-    messages = active.select("can_id", "message_name", "dlc", "def_index").cache()
-    return Dbc(messages, signals.cache(), labels.cache(), all_messages, problems)
+    messages = active.select("can_id", "message_name", "dlc", "def_index")
+    dbc = Dbc(messages, signals, labels, all_messages, reported, [lines])
+    for table in (messages, signals, labels):
+        dbc.keep(table)
+    return dbc
 
 
 def write_dbc_text(spark: SparkSession, text: str, folder: str) -> str:

@@ -212,7 +212,7 @@ def users_dbc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.lit(' : 24|8@1- (0.5,-1) [-65|62.5] "deg" Logger'))),
         _line(4, F.concat(F.lit("CM_ BO_ "), mid, F.lit(' "generated";'))),
         _line(5, F.concat(F.lit("VAL_ "), mid,
-                                    F.lit(' Kind 0 "click" 1 "view" 2 "purchase" 3 "signup" 4 "error" ;'))),
+                                    F.lit(' Kind 0 "click" 1 "view" 2  "purchase" 3\t"signup"  4 \t "error"\t-1 "none 7 " ;'))),
     )
     redefine = F.array(
         _line(6, F.concat(F.lit("BO_ "), mid, F.lit(" User"), u.cast("string"),
@@ -225,12 +225,15 @@ def users_dbc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_flawed_dbc(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> str:
     """One message and one signal per user, user ``u`` in file ``u % files`` (folder ``bucket=<k>``)
-    in id order; the signal line of every fifth user names no start bit."""
+    in id order; the signal line of every fifth user names no start bit, and the value line of the others
+    has a text without a number where the id can be divided by 3."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("u")).distinct()
     mid = (F.col("u") + 1024).cast("string")
     layout = F.when(F.pmod("u", F.lit(5)) == 0, F.lit("|8@1+")).otherwise(F.lit("0|8@1+"))
     lines = F.array(_line(0, F.concat(F.lit("BO_ "), mid, F.lit(" User"), F.col("u").cast("string"), F.lit(": 1 Gateway"))),
-                    _line(1, F.concat(F.lit(" SG_ Level : "), layout, F.lit(' (1,0) [0|255] "" Logger'))))
+                    _line(1, F.concat(F.lit(" SG_ Level : "), layout, F.lit(' (1,0) [0|255] "" Logger'))),
+                    _line(2, F.when(F.pmod("u", F.lit(5)) == 0, F.lit('CM_ "no value line" ;')).when(F.pmod("u", F.lit(3)) == 0, F.concat(F.lit("VAL_ "), mid, F.lit(' Level 1 "low" "lost" 2 "high" ;')))
+                          .otherwise(F.concat(F.lit("VAL_ "), mid, F.lit(' Level 1 "low" 2 "high" ;')))))
     out = os.path.join(folder, "flawed_dbc")
     rows = users.select("u", F.pmod("u", F.lit(files)).cast("int").alias("bucket"), F.inline(lines))
     (rows.repartition(files, "bucket").sortWithinPartitions("bucket", "u", "seq")
@@ -238,9 +241,15 @@ def write_flawed_dbc(spark: SparkSession, sf_dir: str, folder: str, files: int =
     return os.path.join(out, "bucket=*", "part-*")
 
 
-def write_users_dbc(spark: SparkSession, sf_dir: str, folder: str, files: int = 4) -> str:
-    """Write the generated dictionary as ``files`` DBC files (each user wholly in one file)."""
+#: Users of a generated dictionary file.
+FILE_USERS = 10_000
+
+
+def write_users_dbc(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Write the generated dictionary as DBC files of ``FILE_USERS`` users or so, four at least (each user wholly in one file)."""
     out = os.path.join(folder, "users_dbc")
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+    files = max(4, users // FILE_USERS)
     (users_dbc_lines(spark, sf_dir).repartitionByRange(files, "u").sortWithinPartitions("u", "seq")
      .select("value").write.mode("overwrite").text(out))
     return os.path.join(out, "part-*")

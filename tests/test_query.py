@@ -1,14 +1,22 @@
 """Integration tier: text file → query → rows, counts, context, lookups, exports, hooks."""
 
+import json
+import os
+import random
+import subprocess
+import sys
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canlens.errors import QueryError
-from canlens.operators import hooks
+from canlens.operators import context, hooks
 from canlens.operators.context import context_of, context_of_matches
 from canlens.operators.filters import Pred, Rule, all_of, any_of, compile_raw, from_clauses, from_rules, negate
 from canlens.operators.paging import centre_on, pan, shift_ordinal_window, zoom
-from canlens.operators.session import TraceSession
+from canlens.operators.session import TraceSession, open_session
+from canlens.plans import query
 from canlens.plans.query import early_stop_counts, run_query, summary_counts
 from canlens.sinks import export as ex
 from canlens.sources import store as st
@@ -67,17 +75,18 @@ def test_first_and_max_matches(spark, tmp_path):
 
 
 def test_context(spark, tmp_path):
-    ids = [0x111, 0x222, 0x123, 0x333, 0x444]
-    fr = read_trace(spark, write(tmp_path, "t.csv", "".join(f"0.00{i},0,{c:X},1,00\n" for i, c in enumerate(ids))))
-    got = [r.can_id for r in context_of(fr, 2, before=1, after=1).orderBy("ordinal").collect()]
-    assert got == [0x222, 0x123, 0x333]
-    assert context_of(fr, 9, 1, 1).count() == 0
-    assert context_of(fr, 2, 1, 1, enabled=False).count() == 0
-    edge = [r.ordinal for r in context_of(fr, 0, before=3, after=10).orderBy("ordinal").collect()]
-    assert edge == [0, 1, 2, 3, 4]
-    m = run_query(fr, raw_filter=any_of(Pred("can_id", "eq", 0x111), Pred("can_id", "eq", 0x444)))
-    pairs = sorted((r.match_ordinal, r.rel_pos) for r in context_of_matches(fr, m, 1, 1).collect())
-    assert pairs == [(0, 0), (0, 1), (4, -1), (4, 0)]
+    """Windows at the middle and both ends of a trace of 30 frames, and of overlapping matches."""
+    fr = read_trace(spark, write(tmp_path, "t.csv", "".join(f"{k}.5,1,{0x40 + k % 7:X},1,{k:02X}\n" for k in range(30))))
+
+    def near(o, before, after, **kw):
+        return [(r.ordinal, r.rel_pos) for r in context_of(fr, o, before, after, **kw).orderBy("ordinal").collect()]
+
+    assert near(17, 4, 2) == [(o, o - 17) for o in range(13, 20)]
+    assert near(1, 5, 0) == [(0, -1), (1, 0)] and near(29, 1, 90) == [(28, -1), (29, 0)]
+    assert near(30, 8, 8) == [] and near(17, 4, 2, enabled=False) == []
+    m = run_query(fr, raw_filter=all_of(Pred("can_id", "eq", 0x42), Pred("timestamp_ns", "lt", 20 * 10**9)))
+    want = sorted((o, o + d) for o in (2, 9, 16) for d in range(-3, 5) if o + d >= 0)
+    assert sorted((r.match_ordinal, r.ordinal) for r in context_of_matches(fr, m, 3, 4).collect()) == want
     assert context_of_matches(fr, m.filter("false"), 1, 1).count() == 0
 
 
@@ -111,20 +120,22 @@ def test_lookup_goldens(spark):
 
 
 def test_export_goldens(spark, tmp_path):
-    rows = [("t", 0, 100, 0x123, 3, 1, 0, bytes([0x0A, 0xBC, 0x00])), ("t", 1, 200, 0x7FF, 1, 2, 1, bytes([0xFF]))]
+    """Ids in hex, payloads as blank-separated bytes, an empty payload, both frame types."""
+    rows = [("t", 0, 7_500_000_001, 0x5C, 4, 0, 1, bytes.fromhex("00c07f10")), ("t", 1, 7_500_000_999, 0x1ABCDE0, 0, 13, 0, b""), ("t", 2, 8 * 10**9, 0x7, 2, 4, 0, b"\x3e\x01")]
     fr = spark.createDataFrame(rows, "trace_id string, ordinal bigint, timestamp_ns bigint, can_id bigint, "
                                      "dlc int, channel int, frame_type int, payload binary")
-    n = ex.export_raw_csv(fr.coalesce(1), str(tmp_path / "raw"))
-    assert n == 2
-    text = "".join(open(p).read() for p in sorted((tmp_path / "raw").glob("part-*.csv")))
-    assert text.splitlines() == ["timestamp_ns,channel,can_id,dlc,payload,frame_type",
-                                 "100,1,123,3,0A BC 00,CAN", "200,2,7FF,1,FF,FD"]
-    long = spark.createDataFrame([(100, 0x123, "M", "A", 42.5, "V"), (100, 0x123, "M", "B", -1.0, "")],
+    assert ex.export_raw_csv(fr.coalesce(1), str(tmp_path / "raw")) == 3
+    lines = "".join(open(p).read() for p in sorted((tmp_path / "raw").glob("part-*.csv"))).splitlines()
+    assert lines[0] == "timestamp_ns,channel,can_id,dlc,payload,frame_type"
+    assert [x.split(",")[:4] + [x.split(",")[5]] for x in lines[1:]] == [["7500000001", "0", "5C", "4", "FD"], ["7500000999", "13", "1ABCDE0", "0", "CAN"], ["8000000000", "4", "7", "2", "CAN"]]
+    assert [x.split(",")[4].strip('"') for x in lines[1:]] == ["00 C0 7F 10", "", "3E 01"]
+    long = spark.createDataFrame([(61, 0xB2, "Tide", "Level", 1e-7, "m"), (61, 0xB2, "Tide", "Moon", 1234567.0, ""), (62, 0xB3, "Wind", "Gust", -0.5, "kn")],
                                  "timestamp_ns bigint, can_id bigint, message_name string, signal_name string, "
                                  "value double, unit string")
-    assert ex.export_decoded_csv(long.coalesce(1), str(tmp_path / "dec")) == 2
-    text = "".join(open(p).read() for p in sorted((tmp_path / "dec").glob("part-*.csv")))
-    assert text.splitlines()[1:] == ["100,123,M,A,42.5,V", "100,123,M,B,-1,"]
+    assert ex.export_decoded_csv(long.coalesce(1), str(tmp_path / "dec")) == 3
+    lines = "".join(open(p).read() for p in sorted((tmp_path / "dec").glob("part-*.csv"))).splitlines()
+    assert [x.split(",")[:4] for x in lines[1:]] == [["61", "B2", "Tide", "Level"], ["61", "B2", "Tide", "Moon"], ["62", "B3", "Wind", "Gust"]]
+    assert [x.split(",")[4] for x in lines[1:]] == ["1E-07", "1.23457E+06", "-0.5"] and lines[3].endswith(",kn")
 
 
 def test_format_g6_matches_c(spark):
@@ -186,6 +197,44 @@ def test_early_stop_counts(spark):
     assert got(0) == {"a": (0, 0), "b": (0, 0), "c": (0, 0)}
 
 
+@pytest.mark.parametrize("bits", [16, 2])
+def test_early_stop_by_ranges(spark, monkeypatch, bits):
+    """Stops at every match of traces with matches in some ranges only; no task ranks a whole trace."""
+    monkeypatch.setattr(query, "RANGE_BITS", bits)
+    hits = {"a": {3, 4, 5, 17, 18, 40}, "b": {0, 59}, "c": set()}
+    rows = [(t, i, i in hits[t]) for t in hits for i in range(60)]
+    fr = spark.createDataFrame(rows, "trace_id string, ordinal bigint, hit boolean").repartition(5)
+    for n in range(8):
+        want = {t: (0 if not n else sorted(h)[n - 1] + 1 if len(h) >= n else 60, min(n, len(h))) for t, h in hits.items()}
+        assert {r.trace_id: (r.scanned, r.matched) for r in early_stop_counts(fr, F.col("hit"), n).collect()} == want
+    plan = early_stop_counts(fr, F.col("hit"), 1_000_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(trace_id" in plan and "_range" in plan.split("row_number")[1]
+
+
+@pytest.mark.parametrize("bound", [200_000, 3])
+def test_context_over_islands(spark, monkeypatch, bound):
+    """Windows by exact bins and by the map of hashed bins, with overlaps and windows over bin ends, in many traces."""
+    monkeypatch.setattr(context, "fits_broadcast", lambda df, max_rows=None: df.columns == ["trace_id", "bin", "covered"] and bound > 3)
+    rng = random.Random(bound)
+    fr = spark.createDataFrame([(f"t{k}", i) for k in range(70) for i in range(150)], "trace_id string, ordinal bigint").repartition(7)
+    picked = {(f"t{k}", rng.randrange(150)) for k in range(0, 70, 2) for _ in range(4)}
+    m = spark.createDataFrame(sorted(picked), "trace_id string, ordinal bigint")
+    found = context_of_matches(fr, m, 4, 9)
+    got = sorted((r.trace_id, r.match_ordinal, r.ordinal, r.rel_pos) for r in found.collect())
+    assert got == sorted((t, o, c, c - o) for t, o in picked for c in range(max(0, o - 4), min(149, o + 9) + 1))
+    bins = spark.createDataFrame([(t, (o + d) // 64) for t, o in picked for d in (-4, 9) if o + d >= 0], "trace_id string, bin bigint").distinct()
+    exact = context.islands(m)
+    kept = context._on_islands(fr, exact)
+    assert {(r.trace_id, r.ordinal) for r in kept.collect()} >= picked
+    if bound > 3:
+        assert {(r.trace_id, r.ordinal) for r in kept.collect()} == picked
+    else:
+        near = {(r.trace_id, r.bin) for r in exact.collect()}
+        assert {(r.trace_id, r.ordinal // 64) for r in kept.collect()} == near and bins.count() >= len(near)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_u64_literals(spark):
     fr = spark.createDataFrame([(0, 2**63 - 1), (1, 5)], "ordinal bigint, timestamp_ns bigint")
     want = {"lt": [0, 1], "le": [0, 1], "ne": [0, 1], "eq": [], "gt": [], "ge": []}
@@ -203,9 +252,79 @@ def test_session(spark, dbc, tmp_path):
     s.close()
 
 
+def test_session_table(spark, dbc, tmp_path):
+    """The base is a table with an owner: results read it, nothing is cached, another session reads it, the owner removes it."""
+    p = write(tmp_path, "t.csv", "".join(f"{k}.0,0,{0x123 + k % 2:X},2,{k:02X} 00\n" for k in range(20)))
+    s = TraceSession(read_trace(spark, p), dbc, decode=True, path=str(tmp_path / "kept"))
+    os.remove(p)  # the source isn't needed again
+    found = s.refine(raw_filter=Pred("can_id", "eq", 0x123))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "kept/rows" in plan and "InMemoryTableScan" not in plan and not s.base.is_cached
+    other = open_session(spark, str(tmp_path / "kept"))
+    assert _ords(other.filter_full(decoded_filter=Pred("signal_value", "gt", 9))) == [10, 12, 14, 16, 18]
+    other.owned = False  # as in another application
+    other.close()
+    assert _ords(found) == list(range(0, 20, 2))
+    s.close()
+    assert not os.path.exists(tmp_path / "kept")
+
+
 def test_callback_sink(spark, tmp_path):
     """K5: one call per match, on the executors (counted with an accumulator)."""
     fr = read_trace(spark, write(tmp_path, "t.csv", "".join(f"0.00{i},0,{0x100 + i % 2:X},1,00\n" for i in range(9))))
     acc = spark.sparkContext.accumulator(0)
     ex.for_each_match(run_query(fr, raw_filter=Pred("can_id", "eq", 0x101)), lambda row: acc.add(1))
     assert acc.value == 4
+
+
+RETRY = """
+import json, os, sys
+from pyspark.sql import SparkSession, functions as F
+sys.path.insert(0, sys.argv[1])
+from canlens.sinks.export import for_each_batch
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2] + "/ckpt").getOrCreate()
+spark.sparkContext.setCheckpointDir(sys.argv[2] + "/ckpt")
+out = sys.argv[2]
+
+def write(batch, partition, attempt):
+    with open(f"{out}/staged-{partition}-{attempt}", "a") as f:
+        f.write("".join(f"{x}\\n" for x in batch.column("id").to_pylist()))
+    if partition == 1 and attempt == 0:
+        raise RuntimeError("first attempt")
+    return batch.num_rows
+
+ledger = for_each_batch(spark.range(1000, numPartitions=4), write, lambda p, a: os.rename(f"{out}/staged-{p}-{a}", f"{out}/done-{p}"))
+print(json.dumps([list(r) for r in ledger.orderBy("partition").collect()]))
+"""
+
+
+def test_callback_of_a_retried_task(tmp_path):
+    """A task whose first attempt fails after writing counts once, and its rows are published once."""
+    script = write(tmp_path, "retry.py", RETRY)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root + os.pathsep + os.environ.get("PYTHONPATH", "")}
+    done = subprocess.run([sys.executable, script, root, str(tmp_path)], capture_output=True, text=True, timeout=180, env=env)
+    ledger = json.loads(done.stdout.strip().splitlines()[-1])
+    assert ledger == [[0, 0, 250, 250], [1, 1, 250, 250], [2, 0, 250, 250], [3, 0, 250, 250]]
+    rows = [int(x) for p in range(4) for x in open(tmp_path / f"done-{p}")]
+    assert sorted(rows) == list(range(1000)) and os.path.exists(tmp_path / "staged-1-0")
+
+
+@pytest.mark.parametrize("traces", [1, 1000])
+def test_store_files_have_the_target_size(spark, tmp_path, monkeypatch, traces):
+    """Files within twice the target for one trace and for a thousand, one of which holds a third of all frames."""
+    monkeypatch.setattr(st, "LEAST_ROWS", 1)
+    n = 60_000
+    trace = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.lit(traces)))
+    rows = spark.range(n).select(F.format_string("t%04d", trace).alias("trace_id"), F.col("id").alias("o"), (F.xxhash64("id") % 2000).alias("can_id"), F.lit(8).alias("dlc"),
+                                 F.lit(0).alias("channel"), F.lit(0).alias("frame_type"), F.unhex(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)).alias("payload"))
+    ordinal = (F.row_number().over(Window.partitionBy("trace_id").orderBy("o")) - 1).cast("bigint")
+    fr = rows.withColumn("ordinal", ordinal).withColumn("timestamp_ns", F.col("o") * 1000).select("trace_id", "ordinal", "timestamp_ns", "can_id", "dlc", "channel", "frame_type", "payload")
+    target = 100_000
+    path = st.save_trace(fr, str(tmp_path / "store"), target_bytes=target, id_bloom_filter=False)
+    sizes = [os.path.getsize(p) for p in (tmp_path / "store").glob("part-*.parquet")]
+    assert len(sizes) > 5 and all(target / 2 < x < 2 * target for x in sizes)
+    back = st.read_store(spark, path).drop("chunk_id")
+    assert back.exceptAll(fr).count() == 0 and back.count() == n
+    spread = st.read_store(spark, path).groupBy(F.input_file_name().alias("f")).agg(F.min(F.struct("trace_id", "ordinal")).alias("a"), F.max(F.struct("trace_id", "ordinal")).alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(spread, spread[1:], strict=False))  # files don't overlap

@@ -1,12 +1,14 @@
 """Text trace readers: formats, strict/tolerant, ordinals, metadata (unit tier)."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from canlens.errors import TraceParseError, UnsupportedFormat
-from canlens.sources.traces import UNSUPPORTED_FORMATS, bad_lines, classify_paths, discover_traces, format_of, read_trace, trace_metadata
+from canlens.sources import traces
+from canlens.sources.traces import UNSUPPORTED_FORMATS, bad_lines, classify_paths, discover_traces, flag_lines, format_of, parse_lines, read_trace, scan_stats, trace_metadata
 from helpers import rows, write
 
 
@@ -184,7 +186,7 @@ def test_path_key_fallback(spark, tmp_path, monkeypatch):
 
 
 def test_split_changes_between_planning_and_execution_keep_every_frame(spark, tmp_path):
-    """Numbering reads one written copy: new split sizes or parallelism can't lose frames."""
+    """Byte ranges are pinned: new split sizes or parallelism can't lose or shift frames, and nothing is copied."""
     n = 20_000
     lines = ["timestamp,channel,can_id,dlc,payload,frame_type"] + [f"{i / 1000:.3f},1,{i % 2000:X},2,0A 0B,CAN" for i in range(n)]
     path = write(tmp_path, "splits.csv", "\n".join(lines) + "\n")
@@ -195,6 +197,7 @@ def test_split_changes_between_planning_and_execution_keep_every_frame(spark, tm
             spark.conf.set(size, first[0])
             spark.conf.set(cores, first[1])
             frames = read_trace(spark, path)
+            assert "Scan text" in frames._jdf.queryExecution().executedPlan().toString()
             spark.conf.set(size, then[0])
             spark.conf.set(cores, then[1])
             got = [(r.ordinal, r.timestamp_ns) for r in frames.orderBy("ordinal").collect()]
@@ -220,8 +223,51 @@ def test_metadata_of_empty_traces(spark, tmp_path):
     write(tmp_path, "a.csv", "timestamp,channel,can_id,dlc,payload\n0.5,0,7A,1,03\n")
     write(tmp_path, "b.csv", "timestamp,channel,can_id,dlc,payload\n")
     write(tmp_path, "c.log", "\n")
-    write(tmp_path, "d.log", "")  # Spark's file scans leave out files of no bytes
+    write(tmp_path, "d.log", "")  # of no bytes: no file scan has a row for it
+    write(tmp_path, "e f+%41.log", "")
     files = discover_traces(spark, str(tmp_path))
-    md = trace_metadata(read_trace(spark, [r.path for r in files.collect()], keep_source=True), files)
+    md = trace_metadata(read_trace(spark, [r.path for r in files.collect() if "+" not in r.path], keep_source=True), files)
+    assert [r.path.split("/")[-1] for r in files.collect()] == ["a.csv", "b.csv", "c.log", "d.log", "e f+%41.log"]
     got = {r.trace_id[-5:]: (r.event_count, r.start_timestamp_ns, r.source_size_bytes, r.source_format) for r in md.collect()}
-    assert got == {"a.csv": (1, 500_000_000, 51, "csv"), "b.csv": (0, None, 37, "csv"), "c.log": (0, None, 1, "candump")}
+    assert got == {"a.csv": (1, 500_000_000, 51, "csv"), "b.csv": (0, None, 37, "csv"), "c.log": (0, None, 1, "candump"), "d.log": (0, None, 0, "candump"),
+                   "1.log": (0, None, 0, "candump")}
+
+
+def test_scan_stats(spark, tmp_path):
+    """Bytes consumed are the file's, with and without a last line end and with carriage returns."""
+    texts = {"a.csv": "1.0,0,1,1,00\r\nworse\n\n2.0,0,1,1,00", "b.csv": "timestamp,channel\n", "c.log": "(1.0) can0 1#00\n(2.0) can0 1#zz\n"}
+    paths = [write(tmp_path, n, t) for n, t in texts.items()]
+    got = {r.trace_id[-5:]: (r.lines, r.frames, r.rejected, r.bytes_consumed) for r in scan_stats(spark, paths).collect()}
+    assert got == {"a.csv": (4, 2, 1, len(texts["a.csv"])), "b.csv": (1, 0, 0, len(texts["b.csv"])), "c.log": (2, 1, 1, len(texts["c.log"]))}
+    assert [(r.line_no, r.text) for r in bad_lines(spark, paths[0]).collect()] == [(2, "worse")]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "candump"])
+def test_plain_lines_parse_as_the_others(spark, monkeypatch, fmt):
+    """The short way of plainly spelled lines gives what the full checks give, on lines near its limits."""
+    rng = random.Random(7)
+    data = ["", "00", "0a FF", "0aff", "0", "0a f", "GG", "00 " * 64, ("00 " * 64).strip(), ("7f " * 65).strip(), "11" * 64, "11" * 65]
+    times = ["0.0", "1.5", "123456789.123456789", "1234567890.5", "1.1234567891", "1", ".5", "1e3", "-1.0", "0.000000001", "1704067200.000001"]
+    ids = ["0", "7FF", "1fffffff", "20000000", "01FFFFFFF", "FFFFFFFF", "00000000012", "", "xyz", "1ABCDEF0"]
+    if fmt == "csv":
+        lines = [",".join([rng.choice(times), rng.choice(["0", "3", "255", "256", "999", "1000", "x", ""]), rng.choice(ids), rng.choice(["", "8", "x"]), rng.choice(data), rng.choice(["CAN", "FD", "fd", "", "FD,x"])]) for _ in range(1500)]
+    else:
+        lines = [f"({rng.choice(times)}) {rng.choice(['can0', 'can12', 'vcan3', 'can', 'c9', 'c-n0', 'slcan0x'])} {rng.choice(ids)}#{rng.choice(data)}" for _ in range(1500)]
+    lines += [" " + lines[0] + "\t", lines[1] + "\r"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, value string")
+    for options in ({}, {"exact_time": True}, {"full_channel": True}):
+        short = sorted(map(repr, parse_lines(rows, fmt, **options).collect()))
+        flags = sorted((r.k, r.is_record, r.is_frame) for r in flag_lines(rows, fmt).collect())
+        with monkeypatch.context() as m:
+            m.setattr(traces, "PLAIN", {})
+            full = parse_lines(rows, fmt, **options).collect()
+        keep = [r if r.is_frame else r.asDict() | dict.fromkeys(("timestamp_ns", "can_id", "dlc", "channel", "frame_type", "payload")) for r in full]
+        assert [x for x in short if "is_frame=True" in x] == sorted(repr(r) for r in keep if not isinstance(r, dict))
+        assert flags == sorted((r.k, r.is_record, r.is_frame) for r in full)
+        assert 100 < sum(r.is_frame for r in full) < 1400
+
+
+def test_full_channel(spark, tmp_path):
+    p = write(tmp_path, "a.log", "".join(f"(1.0) {i} 1#00\n" for i in ("can10", "vcan7", "can", "can300", "x12y")))
+    assert [r.channel for r in read_trace(spark, p, full_channel=True).orderBy("ordinal").collect()] == [10, 7, 0, 44, 0]
+    assert [r.channel for r in read_trace(spark, p).orderBy("ordinal").collect()] == [0, 7, 0, 0, 0]
