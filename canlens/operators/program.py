@@ -144,8 +144,13 @@ def _byteswap(w: Column) -> Column:
 
 
 def _opaque(df: DataFrame, **columns: Column) -> DataFrame:
-    """Columns out of a one-row generator: computed once per row, never inlined into their uses."""
-    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    """Columns that are computed once per row and never inlined into their uses.
+
+    A projection computes them, in generated code that splits into methods however large it is; a one-row
+    generator only hands them on.  Neither projections nor filters above are merged with what is below it."""
+    df = df.withColumns({f"_own{k}": c for k, c in columns.items()})
+    handed = F.inline_outer(F.array(F.struct(*[F.col(f"_own{k}").alias(k) for k in columns])))
+    return df.select(*[c for c in df.columns if c not in {f"_own{k}" for k in columns}], handed)
 
 
 def with_words(frames: DataFrame, words: int) -> DataFrame:
@@ -220,5 +225,6 @@ def decode_nested(frames: DataFrame, prog: Program, join: Callable[[DataFrame, D
         active = inside[k] & (p("mux").isNull() | F.coalesce(F.col("_sel") == p("mux"), F.lit(False))) if prog.muxed else inside[k]
         found.append(F.when(active, one).otherwise(empty))
     signals = F.when(_of("message_name").isNotNull(), F.flatten(F.array(*found)) if found else empty)
+    df = df.select(*frames.columns, _of("message_name").alias("message_name"), signals.alias("_signals"))
     # a decoded filter stays above the generator, so it doesn't pull the decode into its condition
-    return df.select(*frames.columns, _of("message_name").alias("message_name"), F.inline_outer(F.array(F.struct(signals.alias("signals")))))
+    return _opaque(df, signals=F.col("_signals")).drop("_signals")

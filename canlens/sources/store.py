@@ -28,7 +28,7 @@ TARGET_BYTES = 512 << 20
 #: Rows of the sample that is written to measure the bytes of a row, about.
 SAMPLE_ROWS = 200_000
 #: Frames that make a file of its own worth while, as long as there are fewer files than cores.
-LEAST_ROWS = 100_000
+LEAST_ROWS = 10_000
 #: Files whose frames are cut off one running count.
 SPAN_FILES = 1000
 
