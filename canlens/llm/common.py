@@ -63,6 +63,12 @@ def small_bytes(df: DataFrame, text_col: str, max_bytes: int = 8 << 20, max_rows
     return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
+def small_lists(df: DataFrame, list_col: str, max_items: int = 500_000, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows and its lists ``max_items`` entries at most; measured first."""
+    n, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(list_col)), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and items <= max_items else df
+
+
 #: Rows of one key from which ``join_counted`` treats it as hot, at least, and hot keys at most.
 HOT, HOT_KEYS = 1000, 50_000
 

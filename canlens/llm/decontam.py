@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import ready, small, small_bytes, tidy, written
+from .common import ready, small, small_bytes, small_lists, tidy, written
 
 SPAN, IGNORED, ERRORS = 12, 5, 2
 #: Bits of the map of benchmark hashes (a fixed bound on what is broadcast: 2 MB).
@@ -239,7 +239,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, simi
     per_doc = written(found.groupBy(F.col("doc_id").alias("d"), F.col("own_key").alias("k")).agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("n_equal").alias("n_equal")), "contaminated")
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     rows = rows.select("doc_id", _own_key(F.col("text")))
-    joined = rows.join(small(per_doc), _same_document(rows, "d", "k"), "left")
+    joined = rows.join(small_lists(per_doc, "item_ids"), _same_document(rows, "d", "k"), "left")
     none = F.array().cast("array<bigint>")
     return joined.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce(F.size("item_ids"), F.lit(0)).alias("n_items"),
                          F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("n_equal", F.lit(0)).alias("n_equal"))

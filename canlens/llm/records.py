@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions_for, ready, small, texts_of, tidy, written
+from .common import partitions_for, ready, small, small_lists, texts_of, tidy, written
 
 #: Bytes of input a data file is made from; a file must fit in a task's memory.
 FILE_BYTES = 8 << 20
@@ -141,7 +141,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
     The index alone decides the order; each file's records are then cut out at the index's
     offsets, in the order of their ranks."""
     ranked = read_index(spark, path).withColumn("rank", F.xxhash64(F.lit(seed), "file", "record"))
-    wanted = ranked.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", "offset"))).alias("wanted"))
+    wanted = written(ranked.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rank", "offset"))).alias("wanted")), "wanted")
 
     def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -151,5 +151,5 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
                     got = [(w["rank"], *read_frame(data, w["offset"])[:2]) for w in wants[lo: lo + 256]]
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2].tolist() for g in got], pa.list_(pa.int32()))], names=["rank", "doc_id", "ids"])
 
-    joined = data_files(ready(spark), path).join(small(wanted, 10_000), "file").select("wanted", "content")
+    joined = data_files(ready(spark), path).join(small_lists(wanted, "wanted"), "file").select("wanted", "content")
     return joined.mapInArrow(tidy(pick, keeps=True), "rank bigint, doc_id bigint, ids array<int>").orderBy("rank")
