@@ -128,9 +128,13 @@ def main() -> None:
     timed(f"ingest_csv_strict_x{rep_k}", lambda: _force(read_trace(spark, big_glob, fmt="csv")), n_big)
     dump_glob = write_text_trace(big, scratch_path(spark, "bench-big-text"), "candump", files=16)
     timed(f"ingest_candump_x{rep_k}", lambda: _force(read_trace(spark, dump_glob, fmt="candump", mode="tolerant")), n_big)
-    many = vehicle_dbc(spark, 100, 14)
-    many_big = big.withColumn("can_id", (F.lit(2000) + F.col("ordinal") % 100).cast("bigint"))
-    timed(f"decode_long_1400_signals_x{rep_k}", lambda: _force(decode_long(many_big, many)), n_big)
+    for messages, signals in ((100, 14), (250, 20)):
+        many = vehicle_dbc(spark, messages, signals)
+        own = big.withColumn("can_id", (F.lit(2000) + F.col("ordinal") % messages).cast("bigint"))
+        name = f"{messages * signals}_signals_x{rep_k}"
+        timed(f"decode_long_{name}", lambda: _force(decode_long(own, many)), n_big)
+        timed(f"decode_nested_{name}", lambda: _force(decode_nested(own, many)), n_big)
+        timed(f"decoded_filter_{name}", lambda: _force(run_query(own, dbc=many, decoded_filter=pick)), n_big)
 
     total = round(sum(timings.values()), 3)
     print(json.dumps({

@@ -7,8 +7,8 @@ Three strategies, chosen by the dictionary's checked size (``strategy="auto"``):
 * one generic program over typed parameters (``program.py``), which frames meet by a broadcast
   join on ``can_id`` while the parameters are within bounds of rows and bytes (no shuffle of
   frames, and no skew problem even if one id carries a third of all frames);
-* beyond that the same program by a shuffle join with the dictionary side *salted* (replicated
-  over ``salt_buckets``) so a hot id is spread over many tasks.
+* beyond that the same program by a shuffle join in which ids with many frames are *salted*: dealt to
+  buckets by their counts, with their part of the dictionary replicated, so a hot id is spread over many tasks.
 
 Two shapes:
 
@@ -33,6 +33,7 @@ from ..errors import DecodeError
 from ..functions.bits import payload_words, physical_value, raw_from_words
 from ..plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, checked_count
 from ..sources.dbc import Dbc
+from ..sources.lines import materialize
 from . import program
 from .compiled import compiled_layout, decode_nested_compiled
 
@@ -115,11 +116,22 @@ def _join_dictionary(frames: DataFrame, table: DataFrame, how: str, broadcast: b
         matching = matching & condition
     if broadcast:
         return frames.join(F.broadcast(table), matching, how).drop("_dict_id")
-    # Large dictionary: shuffle join with the dictionary replicated over salt buckets and
-    # each frame sent to one bucket (by ordinal), so one hot id spreads over many tasks.
-    salted = table.withColumn("_dict_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    keyed = frames.withColumn("_salt", F.pmod(F.xxhash64("trace_id", "ordinal"), F.lit(salt_buckets)).cast("int"))
-    return keyed.join(salted, matching & (F.col("_salt") == F.col("_dict_salt")), how).drop("_salt", "_dict_id", "_dict_salt")
+    # Large dictionary: a shuffle join.  Ids with many frames are dealt to buckets by ordinal, as many as their share
+    # asks for, and only their part of the dictionary is replicated.
+    hot = F.broadcast(_hot_ids(frames, salt_buckets))
+    spread = table.join(hot, F.col("_dict_id") == F.col("_hot_id"), "left")
+    spread = spread.withColumn("_dict_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_buckets", F.lit(1)) - 1))).drop("_hot_id", "_buckets")
+    keyed = frames.join(hot, F.col("can_id") == F.col("_hot_id"), "left")
+    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("trace_id", "ordinal"), F.coalesce("_buckets", F.lit(1))).cast("int")).drop("_hot_id", "_buckets")
+    return keyed.join(spread, matching & (F.col("_salt") == F.col("_dict_salt")), how).drop("_salt", "_dict_id", "_dict_salt")
+
+
+def _hot_ids(frames: DataFrame, parts: int) -> DataFrame:
+    """(_hot_id, _buckets): ids with more than half a part's frames, were all frames dealt to ``parts`` (fewer than twice as many ids)."""
+    counts = materialize(frames.groupBy("can_id").agg(F.count(F.lit(1)).alias("n")), "id-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = max(1, total // (2 * parts))
+    return counts.where(F.col("n") > share).select(F.col("can_id").alias("_hot_id"), F.ceil(F.col("n") / share).cast("int").alias("_buckets"))
 
 
 def _with_words(frames: DataFrame) -> DataFrame:

@@ -118,3 +118,16 @@ def test_motorola_numbering(spark, tmp_path, strategy):
 
     assert seq["Nib"] == sequential([0xAB, 0xCD], 3, 4) == 5
     assert seq["W16"] == sequential([0xAB, 0xCD], 7, 16) == 0x1CD  # cut short: 9 bits, not shifted up
+
+
+def test_salted_join_spreads_hot_ids(spark, dbc):
+    """Ids with many frames get buckets by their counts; results are those of the broadcast join, nested and long."""
+    from canlens.operators.decode import _hot_ids
+
+    fr = _frames(spark, [(700 if k % 4 else 703, [k % 256, 3, 9, 1]) for k in range(400)] + [(701, [1, 2, 3]), (99, [0])] * 3)
+    hot = {r._hot_id: r._buckets for r in _hot_ids(fr, 5).collect()}
+    assert set(hot) == {700, 703} and hot[700] == 8 and hot[703] == 3
+    for shape in (decode_long, decode_nested):
+        want = shape(fr, dbc, strategy="join")
+        got = shape(fr, dbc, strategy="join", max_broadcast_rows=0, salt_buckets=5)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
