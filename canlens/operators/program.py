@@ -21,7 +21,7 @@ measured on the tables themselves; beyond that the caller joins by shuffle (``de
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,8 @@ class Program:
     wide: bool
     muxed: bool
     labelled: bool
+    #: Expressions of the nested form; building them takes thousands of calls, so they are kept.
+    slots_built: dict[str, Column] = field(default_factory=dict)
 
     @property
     def broadcast(self) -> bool:
@@ -205,16 +207,16 @@ def decode_long(frames: DataFrame, prog: Program, keep: list[str], join: Callabl
                        _of("unit").alias("unit"), label.alias("value_description"))
 
 
-def decode_nested(frames: DataFrame, prog: Program, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """The frame columns with ``message_name`` and ``signals``, the active signals in dictionary order."""
-    df = join(with_words(frames, prog.words), prog.messages)
+def _slots(prog: Program) -> dict[str, Column]:
+    """The raw values of all slots, the selector's raw value, and the active signals made of them."""
+    if prog.slots_built:
+        return prog.slots_built
 
     def slot(k: int) -> Callable[[str], Column]:
         return lambda c: F.get(_of(c), F.lit(k))
 
     inside = [_of("signals") > k for k in range(prog.slots)]
     raws = F.array(*[F.when(inside[k], _raw(slot(k), prog)) for k in range(prog.slots)]).cast("array<bigint>")
-    df = _opaque(df, _raws=raws, _sel=_raw(_selector, prog) if prog.muxed else _long(0))
     empty = F.array().cast(f"array<{_SIGNAL}>")
     found = []
     for k in range(prog.slots):
@@ -225,6 +227,14 @@ def decode_nested(frames: DataFrame, prog: Program, join: Callable[[DataFrame, D
         active = inside[k] & (p("mux").isNull() | F.coalesce(F.col("_sel") == p("mux"), F.lit(False))) if prog.muxed else inside[k]
         found.append(F.when(active, one).otherwise(empty))
     signals = F.when(_of("message_name").isNotNull(), F.flatten(F.array(*found)) if found else empty)
-    df = df.select(*frames.columns, _of("message_name").alias("message_name"), signals.alias("_signals"))
+    prog.slots_built |= {"raws": raws, "sel": _raw(_selector, prog) if prog.muxed else _long(0), "signals": signals}
+    return prog.slots_built
+
+
+def decode_nested(frames: DataFrame, prog: Program, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The frame columns with ``message_name`` and ``signals``, the active signals in dictionary order."""
+    built = _slots(prog)
+    df = _opaque(join(with_words(frames, prog.words), prog.messages), _raws=built["raws"], _sel=built["sel"])
+    df = df.select(*frames.columns, _of("message_name").alias("message_name"), built["signals"].alias("_signals"))
     # a decoded filter stays above the generator, so it doesn't pull the decode into its condition
     return _opaque(df, signals=F.col("_signals")).drop("_signals")
