@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -271,3 +272,20 @@ def test_full_channel(spark, tmp_path):
     p = write(tmp_path, "a.log", "".join(f"(1.0) {i} 1#00\n" for i in ("can10", "vcan7", "can", "can300", "x12y")))
     assert [r.channel for r in read_trace(spark, p, full_channel=True).orderBy("ordinal").collect()] == [10, 7, 0, 44, 0]
     assert [r.channel for r in read_trace(spark, p).orderBy("ordinal").collect()] == [0, 7, 0, 0, 0]
+
+
+@pytest.mark.parametrize("parse", [flag_lines, parse_lines])
+def test_asc_code_is_short_enough_to_be_compiled(spark, capsys, parse):
+    """Generated methods over 8000 bytes are never compiled by the JIT; ASC lines took 11312 and 16981."""
+    parse(spark.createDataFrame([("1.0 1 100x Rx d 1 05",)], "value string"), "asc").explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_asc_odd_lines(spark):
+    """Kinds, cut lines and lengths of the steps that ASC lines take."""
+    text = ["1.5 1 7FFx Rx d 2 0A b", " 2.0 canfd 3 Rx 1FFFFFFFX 1 0 9 2 01 02 03", "1.0 CANFD 3 Rx 100x 1 0 9 65 01", "1.0 x 100 Rx d 1 05", "1.0 1 100 Rx d 1", "1.0 1 20000000x Rx d 1 05", "9", "", "1.0 257 100 Rx d 0 GG"]
+    got = {r.k: r for r in parse_lines(spark.createDataFrame(list(enumerate(text)), "k int, value string"), "asc").collect()}
+    frames = [(k, r.timestamp_ns, r.can_id, r.dlc, r.channel, r.frame_type, bytes(r.payload).hex()) for k, r in sorted(got.items()) if r.is_frame]
+    assert frames == [(0, 1500000000, 0x7FF, 2, 1, 0, "0a0b"), (1, 2000000000, 0x1FFFFFFF, 2, 3, 1, "0102"), (8, 1000000000, 0x100, 0, 1, 0, "")]
+    assert [k for k, r in sorted(got.items()) if r.is_record and not r.is_frame] == [2, 4, 5]
