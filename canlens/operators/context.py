@@ -8,7 +8,7 @@ Context is ordinal arithmetic on the *unfiltered* frames: the rows
 * frames outside the islands go before anything is shuffled: by bounds of each trace, which the scan's
   statistics use, then by the bins, broadcast while they are few, else by a map of fixed size over
   the hashed bins (``MAP_BITS`` bits; a bit set by chance lets a frame through to the exact join);
-* what is left is joined with the windows on ``(trace_id, ordinal)``: each match has at most
+* what is left is joined with the windows on ``(trace_id, ordinal)``, traces by number: each match has at most
   ``before + after + 1`` rows, no range join, no pairs.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from ..plans.sizing import fits_broadcast, join_small
+from ..plans.sizing import checked_count, fits_broadcast, join_small, mark_rows
 from ..sources.lines import materialize
 
 
@@ -106,5 +106,19 @@ def context_of_matches(frames: DataFrame, matches: DataFrame, before: int = 0, a
     if not fits_broadcast(w):
         # Many matches: only frames on islands are shuffled, on a key that is unique among frames.
         near = _on_islands(near, materialize(islands(w.select("trace_id", "ordinal")), "islands"))
-    out = join_small(near, w, ["trace_id", "ordinal"])
+        out = _by_number(near, w, m)
+    else:
+        out = join_small(near, w, ["trace_id", "ordinal"])
     return out.withColumn("rel_pos", F.col("ordinal") - F.col("match_ordinal"))
+
+
+def _by_number(near: DataFrame, windows: DataFrame, matches: DataFrame) -> DataFrame:
+    """``near`` joined with ``windows``; while there are few traces, by a number for each instead of its name,
+    which would be the most of every row that is shuffled and sorted."""
+    traces = materialize(matches.select("trace_id").distinct().withColumn("_number", F.monotonically_increasing_id()), "traces")
+    if not fits_broadcast(traces):
+        return join_small(near, windows, ["trace_id", "ordinal"])
+    names = F.broadcast(traces)
+    short, wide = (df.join(names, "trace_id").drop("trace_id") for df in (windows, near))
+    found = join_small(wide, mark_rows(short, checked_count(windows)), ["_number", "ordinal"]).join(names, "_number")
+    return found.select("trace_id", "ordinal", *[c for c in near.columns if c not in ("trace_id", "ordinal")], "match_ordinal")

@@ -16,7 +16,7 @@ from canlens.operators.context import context_of, context_of_matches
 from canlens.operators.filters import Pred, Rule, all_of, any_of, compile_raw, from_clauses, from_rules, negate
 from canlens.operators.paging import centre_on, pan, shift_ordinal_window, zoom
 from canlens.operators.session import TraceSession, open_session
-from canlens.plans import query
+from canlens.plans import query, sizing
 from canlens.plans.query import early_stop_counts, run_query, summary_counts
 from canlens.sinks import export as ex
 from canlens.sources import store as st
@@ -328,3 +328,20 @@ def test_store_files_have_the_target_size(spark, tmp_path, monkeypatch, traces):
     assert back.exceptAll(fr).count() == 0 and back.count() == n
     spread = st.read_store(spark, path).groupBy(F.input_file_name().alias("f")).agg(F.min(F.struct("trace_id", "ordinal")).alias("a"), F.max(F.struct("trace_id", "ordinal")).alias("b")).orderBy("a").collect()
     assert all(x.b < y.a for x, y in zip(spread, spread[1:], strict=False))  # files don't overlap
+
+
+def test_context_of_many_matches_is_not_broadcast(spark, monkeypatch, capsys):
+    """Windows over the bound are joined by a shuffle, though the file they are generated from is small."""
+    small = sizing.DEFAULT_MAX_BROADCAST_ROWS
+    fr = spark.createDataFrame([(t, o, 10 * o) for t in ("x", "y") for o in range(40)] + [(None, 1, 2)], "trace_id string, ordinal bigint, can_id bigint")
+    matches = fr.filter("ordinal % 8 = 1")
+    want = sorted((t, m, o, o - m, 10 * o) for t in ("x", "y") for m in range(1, 40, 8) for o in range(max(0, m - 2), min(39, m + 3) + 1))
+    for bound in (small, 4):  # two traces fit in either
+        monkeypatch.setattr(context, "fits_broadcast", lambda df, n=bound: sizing.fits_broadcast(df, n))
+        monkeypatch.setattr(context, "join_small", lambda a, b, on, n=bound: sizing.join_small(a, b, on, max_rows=n))
+        found = context.context_of_matches(fr, matches, 2, 3)
+        assert found.columns == ["trace_id", "ordinal", "can_id", "match_ordinal", "rel_pos"]
+        assert sorted((r.trace_id, r.match_ordinal, r.ordinal, r.rel_pos, r.can_id) for r in found.collect()) == want
+        found.explain()
+        plan = capsys.readouterr().out
+        assert ("SortMergeJoin" in plan) == (bound == 4)

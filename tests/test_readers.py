@@ -1,5 +1,6 @@
 """Text trace readers: formats, strict/tolerant, ordinals, metadata (unit tier)."""
 
+import glob
 import os
 import random
 import re
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from canlens.errors import TraceParseError, UnsupportedFormat
 from canlens.sources import traces
+from canlens.sources.fixtures import write_text_trace
 from canlens.sources.traces import UNSUPPORTED_FORMATS, bad_lines, classify_paths, discover_traces, flag_lines, format_of, parse_lines, read_trace, scan_stats, trace_metadata
 from helpers import rows, write
 
@@ -289,3 +291,12 @@ def test_asc_odd_lines(spark):
     frames = [(k, r.timestamp_ns, r.can_id, r.dlc, r.channel, r.frame_type, bytes(r.payload).hex()) for k, r in sorted(got.items()) if r.is_frame]
     assert frames == [(0, 1500000000, 0x7FF, 2, 1, 0, "0a0b"), (1, 2000000000, 0x1FFFFFFF, 2, 3, 1, "0102"), (8, 1000000000, 0x100, 0, 1, 0, "")]
     assert [k for k, r in sorted(got.items()) if r.is_record and not r.is_frame] == [2, 4, 5]
+
+
+def test_each_rendered_file_has_its_task(spark, tmp_path):
+    """No task writes several traces; by hash of the bucket one of six tasks got three of them."""
+    fr = spark.createDataFrame([("t", o, 1704067200 * 10**9, 1, 1, 0, 0, b"a") for o in range(60)],
+                               "trace_id string, ordinal bigint, timestamp_ns bigint, can_id bigint, dlc int, channel int, frame_type int, payload binary")
+    paths = glob.glob(write_text_trace(fr, str(tmp_path), "csv", files=6))
+    assert len(paths) == 6 and len({os.path.basename(p).split("-")[1] for p in paths}) == 6
+    assert sorted(r.ordinal for r in read_trace(spark, paths, fmt="csv").collect()) == sorted(list(range(10)) * 6)
