@@ -6,7 +6,9 @@ independently of each other.
 
 1. *Prefix counts.*  Words are counted for each language, then word by word longer prefixes, as long as all their
    parts occur ``min_count`` times.  A phrase can't occur more often than a part of it, so a suffix is followed
-   only as far: what lies below is no candidate nor part of one.
+   only as far: what lies below is no candidate nor part of one.  Nodes of one and two words are done with that: pairs
+   are counted by the hashes of both words, which the table of words turns into the words again.  Only suffixes of
+   three words or more go on; if a frequent word has the hash of another word, those of two words do too.
 2. *Vertical partition.*  A prefix is one word.  If more than ``BUDGET`` suffixes start with it, it is
    extended to two words, and a pair above the budget to the whole suffix.  Prefixes are dealt to
    groups by hash, so many groups that one holds about ``BUDGET`` suffixes (a prefix is a bounded part of it).
@@ -20,8 +22,9 @@ chance lets a suffix be followed or a prefix be extended without need, and chang
 
 A task works on arrays of words (``Words``), a chunk of texts at a time: words are numbered by their hash, checked
 by their bytes, and phrases are counted by those numbers; only distinct phrases of a chunk become strings.  Prefix
-counts are a filter, so they go by hash alone: what meets by chance is followed without need.  Phrase counts are
-exact: chunks give strings, Spark sums them up by their bytes, and products are decimals.
+counts of three words are a filter, so they go by hash alone: what meets by chance is followed without need.  Phrase
+counts are exact: chunks give strings, Spark sums them up by their bytes, pairs go by hash only where each hash is one
+word's, and products are decimals.
 
 Rows.  Null texts are empty, a null language is ``und``, ids aren't read, other columns are left out;
 repeated rows count each time; an empty table gives no rows.  Texts are read a slice at a time.
@@ -89,6 +92,11 @@ def _mixed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 1)
 
 
+def _extended(hashed: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a prefix and one word more."""
+    return shingles.mix64(hashed * _U(0x9E3779B97F4A7C15) + word) | _U(1)
+
+
 class Words:
     """The words of a chunk: language, hash (of language and word), place, whether phrases start there and
     whether the next word follows in the same piece."""
@@ -138,7 +146,7 @@ class Words:
         """Hash of the ``k`` + 1 words from each place on whose first and last ``k`` words are ``good``; else 0."""
         out = np.zeros(len(hashed), dtype=_U)
         at = np.flatnonzero(good[:-1] & good[1:] & self.joined[:-1]) if k == 1 else np.flatnonzero(good[:-1] & good[1:])
-        out[at] = shingles.mix64(hashed[at] * _U(0x9E3779B97F4A7C15) + self.hashed[at + k]) | _U(1)
+        out[at] = _extended(hashed[at], self.hashed[at + k])
         return out
 
 
@@ -239,6 +247,51 @@ def hash_map(counts: DataFrame, min_count: int) -> bytes:
     return bit_map(counts.where(F.col("n") >= min_count).select(F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("place")))
 
 
+def clashing(words: DataFrame, min_count: int) -> bool:
+    """Whether a word that occurs ``min_count`` times has the hash of another word."""
+    owners = words.groupBy("hash").agg(F.count(F.lit(1)).alias("words"), F.max("n").alias("n"))
+    return not owners.where((F.col("words") > 1) & (F.col("n") >= min_count)).isEmpty()
+
+
+def pair_counts(texts: DataFrame, bits: bytes) -> DataFrame:
+    """(first, second, n) of the pairs whose words are in the map, by the hashes of the words."""
+    keep = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single = _maps([keep.value])
+        for words in chunks(parts):
+            both = words.followed(single)[1]
+            at = np.flatnonzero(words.starts & (both != 0))
+            at = at[np.argsort(both[at])]
+            first, second = words.hashed[at], words.hashed[at + 1]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            one = np.flatnonzero(new)
+            n = np.diff(np.append(one, len(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(first[one].view(np.int64)), pa.array(second[one].view(np.int64)), pa.array(n, pa.int64())], names=["first", "second", "n"])
+
+    return texts.mapInArrow(tidy(run), "first bigint, second bigint, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
+
+
+def pair_map(pairs: DataFrame) -> bytes:
+    """The map of (first, second) rows."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            first, second = (batch.column(k).to_numpy(zero_copy_only=False).view(_U) for k in ("first", "second"))
+            place = (_extended(first, second) >> _U(64 - MAP_BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place)], names=["place"])
+
+    return bit_map(pairs.select("first", "second").mapInArrow(tidy(run), "place bigint"))
+
+
+def named_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, phrase, n) of pairs whose hashes are those of one word each."""
+    first = words.select(F.col("hash").alias("first"), "lang", F.col("phrase").alias("one"))
+    second = words.select(F.col("hash").alias("second"), F.col("phrase").alias("two"))
+    return pairs.join(first, "first").join(second, "second").select("lang", F.concat("one", F.lit(b" "), "two").alias("phrase"), "n")
+
+
 def prefix_counts(texts: DataFrame, maps: list[bytes]) -> DataFrame:
     """(hash, n) of the prefixes of one word more than the maps have, as far as they let them."""
     keep = texts.sparkSession.sparkContext.broadcast(maps)
@@ -253,8 +306,8 @@ def prefix_counts(texts: DataFrame, maps: list[bytes]) -> DataFrame:
     return texts.mapInArrow(tidy(run), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def suffix_counts(texts: DataFrame, maps: list[bytes]) -> DataFrame:
-    """(lang, phrase, n): suffixes of 2 to ``DEPTH`` words, followed as far as the maps of 1 to ``DEPTH`` - 1 words let them."""
+def suffix_counts(texts: DataFrame, maps: list[bytes], least: int) -> DataFrame:
+    """(lang, phrase, n): suffixes of ``least`` to ``DEPTH`` words, followed as far as the maps of 1 to ``DEPTH`` - 1 words let them."""
     keep = texts.sparkSession.sparkContext.broadcast(maps)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +315,7 @@ def suffix_counts(texts: DataFrame, maps: list[bytes]) -> DataFrame:
         for words in chunks(parts):
             found, longest = words.followed(shorter)
             words.numbered()
-            first = np.flatnonzero(found[1] & words.starts)
+            first = np.flatnonzero(found[least - 1] & words.starts)
             numbers = np.append(words.number, np.zeros(DEPTH, dtype=np.int64))
             columns = [numbers[first], numbers[first + 1] + 1]
             for k in range(2, DEPTH):  # longer ones are followed only where shorter ones are
@@ -314,8 +367,8 @@ def dealt_suffixes(suffixes: DataFrame, heavy: DataFrame, groups: int) -> DataFr
     return suffixes.mapInArrow(tidy(run), "lang string, " + ", ".join(f"{w} binary" for w in _WORDS) + ", n bigint, whole int, group bigint")
 
 
-def _subtrees(min_count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Node counts of the subtrees whose sorted suffixes come in; memory: one batch and one open path."""
+def _subtrees(min_count: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the nodes from depth ``least`` on of the subtrees whose sorted suffixes come in; memory: one batch and one open path."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [None] * (DEPTH + 1)  # for each depth: (lang, words), count, whole depth of the open node
@@ -336,8 +389,8 @@ def _subtrees(min_count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 starts = np.flatnonzero(differs)
                 totals = np.add.reduceat(counts, starts)
                 there = np.ones(len(starts), dtype=bool) if depth < 2 else pc.is_valid(cells[names[depth]]).to_numpy(zero_copy_only=False)[starts]
-                if depth < 2:
-                    continue  # words have counts of their own
+                if depth < least:
+                    continue  # shorter prefixes have counts of their own
 
                 def path(k: int, depth: int = depth) -> tuple:
                     return (cells["lang"][k].as_py(), *(cells[w][k].as_py() for w in _WORDS[:depth]))
@@ -356,7 +409,7 @@ def _subtrees(min_count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                         held[depth] = (node, int(totals[r]), int(whole[starts[r]])) if node is not None else None
             if out:
                 yield _nodes(out)
-        out = [x for depth in range(2, DEPTH + 1) for x in _closed(held[depth], min_count, depth)]
+        out = [x for depth in range(least, DEPTH + 1) for x in _closed(held[depth], min_count, depth)]
         if out:
             yield _nodes(out)
 
@@ -384,9 +437,12 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= min_count)
     maps = [hash_map(words, min_count)]
+    pairs = written(pair_counts(texts, maps[0]).where(F.col("n") >= min_count), "phrase-pairs")
+    maps.append(pair_map(pairs))
     while len(maps) < DEPTH - 1:
         maps.append(hash_map(prefix_counts(texts, maps), min_count))
-    suffixes = written(suffix_counts(texts, maps), "phrase-suffixes")
+    least = 2 if clashing(words, min_count) else 3
+    suffixes = written(suffix_counts(texts, maps, least), "phrase-suffixes")
 
     # vertical partition: the prefixes of one and two words with more than a quarter of a group's suffixes
     start = [F.substring_index(F.col("phrase").cast("string"), " ", k).cast("binary").alias("phrase") for k in (1, 2)]
@@ -396,9 +452,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     groups = max(1, -(-rows // budget))
     dealt = dealt_suffixes(suffixes, heavy, groups)
     ordered = dealt.repartition(groups, "group").sortWithinPartitions("group", "lang", *_WORDS)
-    nodes = ordered.mapInArrow(tidy(_subtrees(min_count)), "lang string, phrase binary, n bigint")
+    nodes = ordered.mapInArrow(tidy(_subtrees(min_count, least)), "lang string, phrase binary, n bigint")
     longer = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     counts = frequent.select("lang", "phrase", "n").unionByName(longer)
+    if least > 2:
+        counts = counts.unionByName(named_pairs(pairs, frequent))
     depth = F.size(F.split(F.col("phrase").cast("string"), " "))
     return written(counts.withColumn("words", depth), "phrase-counts"), totals
 

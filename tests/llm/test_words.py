@@ -174,6 +174,34 @@ def test_collocations_of_full_maps(spark, rows, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == collocations_by_hand(rows, 5)
 
 
+def test_only_suffixes_of_three_words_are_shuffled(spark, rows, monkeypatch):
+    """Pairs are counted once, by their words; the suffix tree gets what is longer."""
+    seen = []
+    kept = collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, name: seen.append((name, kept(df, name))) or seen[-1][1])
+    counts, _ = collocations.phrase_counts(table(spark, rows), min_count=4)
+    suffixes = dict(seen)["phrase-suffixes"].collect()
+    assert suffixes and all(bytes(r.phrase).count(b" ") >= 2 for r in suffixes)
+    pairs = Counter()
+    for _, text, lang in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text)):
+            words = re.findall("[^\x20\x09]+", piece)
+            pairs.update((lang or "und", f"{a} {b}") for a, b in zip(words, words[1:]))
+    found = [((r.lang, bytes(r.phrase).decode()), r.n) for r in counts.where("words = 2").collect()]
+    assert sorted(found) == sorted((p, n) for p, n in pairs.items() if n >= 4)
+
+
+def test_collocations_of_clashing_words(spark, rows, monkeypatch):
+    """Where the hash of a frequent word is another word's too, pairs are counted by their bytes."""
+    counts = spark.createDataFrame([("en", b"a", 9, 5), ("en", b"b", 1, 5), ("de", b"a", 9, 7)], "lang string, phrase binary, n bigint, hash bigint")
+    assert collocations.clashing(counts, 9) and not collocations.clashing(counts, 10)
+    assert not collocations.clashing(counts.where("n > 1"), 1)
+    monkeypatch.setattr(collocations, "clashing", lambda words, min_count: True)
+    monkeypatch.setattr(collocations, "named_pairs", None)
+    found = collocations.collocations(table(spark, rows).repartition(3), min_count=4, budget=40)
+    assert sorted(tuple(r) for r in found.collect()) == collocations_by_hand(rows, 4)
+
+
 def test_segments_hold_each_phrase_once(monkeypatch):
     text = ("a b c d e f g " * 9 + ". x y z ").encode() * 3
 
